@@ -8,6 +8,7 @@ so the two engines can be compared value by value.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from string import Template
 from typing import Callable
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIGITS = 6
+SCALE = float(10 ** DIGITS)  # round(x * 1e6) / 1e6: same bits in Spark and DuckDB
 
 _SPARK_TYPES = {
     "double": "double", "bigint": "bigint", "int": "int", "string": "string",
@@ -49,10 +51,12 @@ def normalize(df: DataFrame, schema: str) -> DataFrame:
     for name, typ in parse_schema(schema):
         c = F.col(name)
         if typ == "double":
-            r = F.round(c.cast("double"), DIGITS)
+            r = F.round(c.cast("double") * SCALE, 0) / SCALE
             c = F.when(r == 0, F.lit(0.0)).otherwise(r)
         elif typ == "array<double>":
-            c = F.transform(c.cast("array<double>"), lambda x: F.round(x, DIGITS) + F.lit(0.0))
+            c = F.transform(c.cast("array<double>"),
+                            lambda x: F.when(F.round(x * SCALE, 0) == 0, F.lit(0.0))
+                            .otherwise(F.round(x * SCALE, 0) / SCALE))
         else:
             c = c.cast(_SPARK_TYPES[typ])
         cols.append(c.alias(name))
@@ -64,10 +68,12 @@ def wrap_sql(inner: str, schema: str) -> str:
     for name, typ in parse_schema(schema):
         q = f'"{name}"'
         if typ == "double":
-            r = f"ROUND(CAST(q.{q} AS DOUBLE), {DIGITS})"
+            r = f"(ROUND(CAST(q.{q} AS DOUBLE) * {SCALE!r}) / {SCALE!r})"
             cols.append(f"CASE WHEN {r} = 0 THEN CAST(0 AS DOUBLE) ELSE {r} END AS {q}")
         elif typ == "array<double>":
-            cols.append(f"list_transform(CAST(q.{q} AS DOUBLE[]), x -> ROUND(x, {DIGITS}) + CAST(0 AS DOUBLE)) AS {q}")
+            r = f"(ROUND(x * {SCALE!r}) / {SCALE!r})"
+            cols.append(f"list_transform(CAST(q.{q} AS DOUBLE[]), x -> CASE WHEN {r} = 0 "
+                        f"THEN CAST(0 AS DOUBLE) ELSE {r} END) AS {q}")
         else:
             cols.append(f"CAST(q.{q} AS {_DUCK_TYPES[typ]}) AS {q}")
     return "SELECT " + ", ".join(cols) + f" FROM (\n{inner}\n) AS q"
@@ -101,6 +107,18 @@ def sql_view(name: str, text: str) -> None:
     SQL_VIEWS[name] = text
 
 
+_DEC = re.compile(r"(?<![\w.])(\d+\.\d+(?:[eE][-+]?\d+)?|\d+[eE][-+]?\d+)(?![\w.])")
+
+
+def double_literals(sql: str) -> str:
+    """Make DuckDB read ``0.7`` as DOUBLE (it defaults to DECIMAL), as Spark does
+    for Python floats, so both engines do the same IEEE arithmetic."""
+    parts = sql.split("'")
+    for i in range(0, len(parts), 2):  # outside single-quoted strings
+        parts[i] = _DEC.sub(lambda m: f"CAST({m.group(1)} AS DOUBLE)", parts[i])
+    return "'".join(parts)
+
+
 def expand(sql: str) -> str:
     # views may reference earlier views; expand until stable
     prev = None
@@ -126,4 +144,4 @@ def oracle(name: str) -> str | None:
     q = REGISTRY[name]
     if q.sql is None:
         return None
-    return wrap_sql(expand(q.sql), q.schema)
+    return wrap_sql(double_literals(expand(q.sql)), q.schema)
