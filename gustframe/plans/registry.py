@@ -17,7 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIGITS = 6
-SCALE = float(10 ** DIGITS)  # round(x * 1e6) / 1e6: same bits in Spark and DuckDB
+SCALE = float(10 ** DIGITS)  # round(x * 1e6 + JITTER) / 1e6: same bits in Spark and DuckDB
+# Values built from binary fractions (k/16, k/128 ...) often sit exactly on a
+# 6-digit half; a fixed shift moves the rounding boundary off those ties so a
+# last-bit difference between two engines cannot flip the rounded digit.
+JITTER = 0.0137
 
 _SPARK_TYPES = {
     "double": "double", "bigint": "bigint", "int": "int", "string": "string",
@@ -51,12 +55,14 @@ def normalize(df: DataFrame, schema: str) -> DataFrame:
     for name, typ in parse_schema(schema):
         c = F.col(name)
         if typ == "double":
-            r = F.round(c.cast("double") * SCALE, 0) / SCALE
+            r = F.round(c.cast("double") * SCALE + JITTER, 0) / SCALE
             c = F.when(r == 0, F.lit(0.0)).otherwise(r)
         elif typ == "array<double>":
             c = F.transform(c.cast("array<double>"),
-                            lambda x: F.when(F.round(x * SCALE, 0) == 0, F.lit(0.0))
-                            .otherwise(F.round(x * SCALE, 0) / SCALE))
+                            lambda x: F.when(F.round(x * SCALE + JITTER, 0) == 0, F.lit(0.0))
+                            .otherwise(F.round(x * SCALE + JITTER, 0) / SCALE))
+        elif typ == "date":   # dates travel as ISO text: engines map DATE to different pandas types
+            c = F.date_format(c.cast("date"), "yyyy-MM-dd")
         else:
             c = c.cast(_SPARK_TYPES[typ])
         cols.append(c.alias(name))
@@ -68,12 +74,14 @@ def wrap_sql(inner: str, schema: str) -> str:
     for name, typ in parse_schema(schema):
         q = f'"{name}"'
         if typ == "double":
-            r = f"(ROUND(CAST(q.{q} AS DOUBLE) * {SCALE!r}) / {SCALE!r})"
+            r = f"(ROUND(CAST(q.{q} AS DOUBLE) * {SCALE!r} + {JITTER!r}) / {SCALE!r})"
             cols.append(f"CASE WHEN {r} = 0 THEN CAST(0 AS DOUBLE) ELSE {r} END AS {q}")
         elif typ == "array<double>":
-            r = f"(ROUND(x * {SCALE!r}) / {SCALE!r})"
+            r = f"(ROUND(x * {SCALE!r} + {JITTER!r}) / {SCALE!r})"
             cols.append(f"list_transform(CAST(q.{q} AS DOUBLE[]), x -> CASE WHEN {r} = 0 "
                         f"THEN CAST(0 AS DOUBLE) ELSE {r} END) AS {q}")
+        elif typ == "date":
+            cols.append(f"strftime(CAST(q.{q} AS DATE), '%Y-%m-%d') AS {q}")
         else:
             cols.append(f"CAST(q.{q} AS {_DUCK_TYPES[typ]}) AS {q}")
     return "SELECT " + ", ".join(cols) + f" FROM (\n{inner}\n) AS q"

@@ -71,3 +71,61 @@ LATERAL (SELECT
   CASE WHEN a.wind_peak_3h <= 4 THEN 0 ELSE least(25, (a.wind_peak_3h - 4) * 3) END AS penalty_wind,
   CASE WHEN a.humidity_avg_3h IS NULL THEN 0 WHEN a.humidity_avg_3h BETWEEN 30 AND 70 THEN 0
        ELSE least(15, abs(a.humidity_avg_3h - 50) * 0.4) END AS penalty_humidity) p""")
+
+
+def scr1_sql(med: str, rain: str, snow: str, peak: str, hum: str) -> dict[str, str]:
+    """SCR1 penalty / score / label expressions over named aggregate columns."""
+    pt = (f"CASE WHEN {med} BETWEEN 10 AND 25 THEN 0 WHEN {med} < 10 THEN least(40, (10 - {med}) * 2.5) "
+          f"ELSE least(40, ({med} - 25) * 1.8) END")
+    pp = f"(least(45, {rain} * 10) + least(50, {snow} * 15))"
+    pw = f"CASE WHEN {peak} <= 4 THEN 0 ELSE least(25, ({peak} - 4) * 3) END"
+    ph = (f"CASE WHEN {hum} IS NULL THEN 0 WHEN {hum} BETWEEN 30 AND 70 THEN 0 "
+          f"ELSE least(15, abs({hum} - 50) * 0.4) END")
+    score = f"greatest(0, 100 - ({pt} + {pp} + {pw} + {ph}))"
+    label = (f"CASE WHEN {score} >= 80 THEN 'excellent' WHEN {score} >= 60 THEN 'good' "
+             f"WHEN {score} >= 50 THEN 'uncomfortable' ELSE 'harsh' END")
+    return {"penalty_temperature": pt, "penalty_precipitation": pp, "penalty_wind": pw,
+            "penalty_humidity": ph, "score": score, "label": label}
+
+
+FRAME_AGG_SQL = """count(*) AS n_obs, median(temperature_c) AS med_t,
+  max(wind_speed_ms) AS peak_w, avg(relative_humidity) AS mean_h,
+  coalesce(sum(CASE WHEN precipitation_mm > 0 AND precipitation_type <> 'snow' THEN precipitation_mm END), 0) AS rain,
+  coalesce(sum(CASE WHEN precipitation_mm > 0 AND precipitation_type = 'snow' THEN precipitation_mm END), 0) AS snow"""
+
+# DDP1 dedup (first per station-minute) + same-day lag of time and temperature
+sql_view("obs_dedup_lag", """
+SELECT *, lag(obs_ts) OVER w AS prev_ts, lag(temperature_c) OVER w AS prev_t
+FROM (SELECT *, CAST(obs_ts AS DATE) AS obs_date FROM $obs
+      QUALIFY row_number() OVER (PARTITION BY station_id, date_trunc('minute', obs_ts) ORDER BY obs_ts, event_id) = 1)
+WINDOW w AS (PARTITION BY station_id, obs_date ORDER BY obs_ts, event_id)""")
+
+# WIN1 membership: each row in the sets [s, s+3h) with s on the hour grid of its day
+sql_view("set_members", """
+SELECT l.*, date_trunc('hour', l.obs_ts) - to_hours(t.i) AS window_start
+FROM $obs_dedup_lag l
+JOIN (SELECT station_id, obs_date, date_trunc('hour', min(obs_ts)) AS first_h, max(obs_ts) AS last_ts
+      FROM $obs_dedup_lag GROUP BY ALL) b USING (station_id, obs_date)
+CROSS JOIN range(0, 3) t(i)
+WHERE date_trunc('hour', l.obs_ts) - to_hours(t.i) >= b.first_h
+  AND date_trunc('hour', l.obs_ts) - to_hours(t.i) < b.last_ts""")
+
+_S = scr1_sql("med_t", "rain", "snow", "peak_w", "mean_h")
+sql_view("training_sets", f"""
+SELECT station_id, obs_date, window_start, n_obs, completeness, reasonableness, consistency, gap_consistency,
+  (completeness + reasonableness + consistency + gap_consistency) / 4 AS quality_score,
+  {_S['score']} AS baseline_comfort_score, {_S['label']} AS label_bucket,
+  (completeness + reasonableness + consistency + gap_consistency) / 4 >= 0.6 AS passed_gate
+FROM (
+  SELECT *, 1 - missing / (n_obs * 5) AS completeness, greatest(0, 1 - 0.1 * extreme) AS reasonableness,
+    1 - jumps / pairs AS consistency, 1 - least(1, coalesce(gap_std, 0) / 2) AS gap_consistency
+  FROM (
+    SELECT station_id, obs_date, window_start, {FRAME_AGG_SQL},
+      sum(CASE WHEN temperature_c = 0 THEN 1 ELSE 0 END + CASE WHEN relative_humidity IS NULL THEN 1 ELSE 0 END
+          + CASE WHEN wind_speed_ms < 0 THEN 1 ELSE 0 END + CASE WHEN precipitation_mm < 0 THEN 1 ELSE 0 END) AS missing,
+      sum(CASE WHEN abs(temperature_c) > 50 THEN 1 ELSE 0 END + CASE WHEN wind_speed_ms > 50 THEN 1 ELSE 0 END
+          + CASE WHEN precipitation_mm > 100 THEN 1 ELSE 0 END) AS extreme,
+      count(*) FILTER (WHERE prev_ts >= window_start) AS pairs,
+      count(*) FILTER (WHERE prev_ts >= window_start AND abs(temperature_c - prev_t) > 10) AS jumps,
+      stddev_pop((epoch_us(obs_ts) - epoch_us(prev_ts)) / 3.6e9) FILTER (WHERE prev_ts >= window_start) AS gap_std
+    FROM $set_members GROUP BY ALL HAVING count(*) >= 3))""")
