@@ -78,7 +78,7 @@ def wrap_sql(inner: str, schema: str) -> str:
             cols.append(f"CASE WHEN {r} = 0 THEN CAST(0 AS DOUBLE) ELSE {r} END AS {q}")
         elif typ == "array<double>":
             r = f"(ROUND(x * {SCALE!r} + {JITTER!r}) / {SCALE!r})"
-            cols.append(f"list_transform(CAST(q.{q} AS DOUBLE[]), x -> CASE WHEN {r} = 0 "
+            cols.append(f"list_transform(CAST(q.{q} AS DOUBLE[]), lambda x: CASE WHEN {r} = 0 "
                         f"THEN CAST(0 AS DOUBLE) ELSE {r} END) AS {q}")
         elif typ == "date":
             cols.append(f"strftime(CAST(q.{q} AS DATE), '%Y-%m-%d') AS {q}")

@@ -129,3 +129,14 @@ FROM (
       count(*) FILTER (WHERE prev_ts >= window_start AND abs(temperature_c - prev_t) > 10) AS jumps,
       stddev_pop((epoch_us(obs_ts) - epoch_us(prev_ts)) / 3.6e9) FILTER (WHERE prev_ts >= window_start) AS gap_std
     FROM $set_members GROUP BY ALL HAVING count(*) >= 3))""")
+
+# AGG13 + AGG14 per (model, evaluation day)
+sql_view("model_metrics", """
+SELECT *, sqrt(mse) AS rmse, mape * 100 AS mape_pct FROM (
+  SELECT model_name, date_trunc('day', eval_ts) AS eval_day, count(*) AS sample_count,
+    avg(abs(prediction - actual)) AS mae, avg((prediction - actual) * (prediction - actual)) AS mse,
+    1 - sum((prediction - actual) * (prediction - actual)) / (var_pop(actual) * count(*)) AS r2,
+    avg(CASE WHEN actual <> 0 THEN abs((prediction - actual) / actual) END) AS mape,
+    avg(confidence) AS prediction_confidence, avg(data_quality) AS data_quality_score,
+    avg(latency_ms) AS prediction_latency_ms
+  FROM $predictions GROUP BY ALL)""")

@@ -24,6 +24,8 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in _DEFAULTS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if not spark.sparkContext.getCheckpointDir():
+        checkpoint_dir(spark)
     return spark
 
 
