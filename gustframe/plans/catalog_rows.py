@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gustframe.functions import comfort as C
 from gustframe.functions import timefn as D
-from gustframe.functions.features_row import row_feature_columns, temporal_columns
+from gustframe.functions.features_row import temporal_columns, with_row_features
 from gustframe.functions.mathfn import default_if_falsy, finite_or_zero
 from gustframe.operators import clean as CL
 from gustframe.plans import common as X
@@ -101,7 +101,8 @@ FROM (
           ids=("FTR1", "FTR3", "FTR4", "FTR6", "PRJ5", "CND1", "MTH1", "MTH2", "MTH4", "MTH5"))
 def row_features(spark, sf):
     o = T.observations(spark, sf)
-    return o.select("event_id", "station_id", "obs_ts", *row_feature_columns())
+    return with_row_features(o.select("event_id", "station_id", "obs_ts", "temperature_c",
+                                      "relative_humidity", "wind_speed_ms", "precipitation_mm"))
 
 
 TEMPORAL_SCHEMA = """event_id bigint, obs_ts timestamp, temporal_hour_sin double, temporal_hour_cos double,

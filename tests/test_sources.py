@@ -10,7 +10,7 @@ from gustframe.operators.scores import frame_features
 from gustframe.sources.json_source import read_observations_json
 from gustframe.sources.text import parse_header_text, parse_positional_text, read_raw_lines
 
-SAMPLE = ("# Sample typ01 data\n"
+SAMPLE = ("# Sample station data\n"
           "stn stnNm tm ta hm ws wd rn\n"
           "108 Seoul 202301010800 18.2 55 3.2 200 0.0\n"
           "108 Seoul 202301010900 19.1 53 3.5 210 0.0\n"
