@@ -66,10 +66,10 @@ def is_weekend(col) -> Column:
 
 
 def season_code(col) -> Column:
-    """DTM6: 0 winter (12,1,2), 1 spring (3-5), 2 summer (6-8), 3 autumn (9-11)."""
+    """DTM6: 0 spring (3-5), 1 summer (6-8), 2 autumn (9-11), 3 winter (12-2)."""
     m = F.month(_c(col))
-    return (F.when(m.isin(12, 1, 2), 0).when(m.isin(3, 4, 5), 1)
-            .when(m.isin(6, 7, 8), 2).otherwise(3))
+    return (F.when(m.between(3, 5), 0).when(m.between(6, 8), 1)
+            .when(m.between(9, 11), 2).otherwise(3))
 
 
 def is_rush_hour_set(col) -> Column:

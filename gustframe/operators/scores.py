@@ -106,3 +106,58 @@ def frame_features(obs: DataFrame, keys=("station_id", "window_start", "window_e
     if "window_end" in keys:
         out = out.withColumn("target_period", commute_period("window_end"))
     return out
+
+
+def frame_statistics(frames: DataFrame, keys=("station_id", "window_start"),
+                     order=("obs_ts", "event_id")) -> DataFrame:
+    """FTR7: AGG5 dispersion, comfort temperature score, severity points, AGG6 shape,
+    AGG7 completeness, and the temporal parts of the frame's first row -- one groupBy."""
+    from gustframe.functions import timefn as D
+    T, W, P, H = (F.col(c) for c in ("temperature_c", "wind_speed_ms", "precipitation_mm",
+                                      "relative_humidity"))
+    first_ts = F.min_by(F.col(order[0]), F.struct(*order))
+    g = frames.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_obs"),
+        F.stddev_samp(T).alias("_sd_t"), F.median(T).alias("_med_t"),
+        F.stddev_samp(W).alias("_sd_w"), F.avg(W).alias("_mean_w"), F.max(W).alias("_max_w"),
+        F.max(P).alias("_max_p"), F.sum(P).alias("_sum_p"),
+        F.count(T).alias("_nn_t"), F.count(W).alias("_nn_w"),
+        F.skewness(T).alias("_skew_t"), F.kurtosis(W).alias("_kurt_w"),
+        (F.count(T) + F.count(W) + F.count(P) + F.count(H)).alias("_cells"),
+        first_ts.alias("_first_ts"),
+    )
+    m = F.col("_med_t")
+    sev = (F.when((m < 0) | (m > 35), 30).when((m < 5) | (m > 30), 15).otherwise(0)
+           + F.when(F.col("_max_w") > 15, 25).when(F.col("_max_w") > 10, 10).otherwise(0)
+           + F.when(F.col("_sum_p") > 10, 20).when(F.col("_sum_p") > 5, 10).otherwise(0))
+    mp = F.col("_max_p")
+    ft = F.col("_first_ts")
+    return g.select(
+        *keys, "n_obs",
+        (1.0 / (F.col("_sd_t") + 1e-6)).alias("temp_stability"),
+        F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * F.exp(-((m - 20) * (m - 20)) / 200.0)))
+        .alias("comfort_temp_score"),
+        (F.col("_sd_w") / (F.col("_mean_w") + 1e-6)).alias("wind_variability"),
+        F.when(mp == 0, 0).when(mp <= 1, 1).when(mp <= 5, 2).otherwise(3).alias("precip_intensity"),
+        F.least(F.lit(100), sev).alias("weather_severity"),
+        F.when(F.col("_nn_t") > 2, F.col("_skew_t")).otherwise(0.0).alias("temp_skewness"),
+        F.when(F.col("_nn_w") > 2, F.col("_kurt_w")).otherwise(0.0).alias("wind_kurtosis"),
+        (F.col("_cells") / (F.col("n_obs") * 4)).alias("data_completeness"),
+        F.hour(ft).alias("hour_of_day"), D.weekday_mon0(ft).alias("day_of_week"),
+        F.month(ft).alias("month_of_year"), D.is_weekend(ft).cast("int").alias("is_weekend"),
+        D.is_rush_hour_set(ft).cast("int").alias("is_rush_hour"), D.season_code(ft).alias("season"),
+    )
+
+
+def null_report(obs: DataFrame, key: str = "station_id", ts: str = "obs_ts",
+                stored_order: str = "event_id", columns=("temperature_c", "wind_speed_ms",
+                                                         "precipitation_mm", "relative_humidity")) -> DataFrame:
+    """AGG8: rows, null counts, and unsorted timestamps in stored order (bucketed lag)."""
+    from gustframe.operators.sequence import sequence_lag
+    d = sequence_lag(obs, [key], [stored_order], [ts], bucket=F.floor(F.col(stored_order) / 4096))
+    aggs = [F.count(F.lit(1)).alias("row_count"), F.count_if(F.col(ts).isNull()).alias(f"null_{ts}")]
+    aggs += [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns]
+    aggs.append(F.count_if(F.col(ts) < F.col("prev_" + ts)).alias("unsorted_count"))
+    g = d.groupBy(key).agg(*aggs)
+    nulls = sum((F.col(f"null_{c}") for c in (ts,) + tuple(columns)), F.lit(0))
+    return g.withColumn("valid", (nulls == 0) & (F.col("unsorted_count") == 0))

@@ -187,8 +187,8 @@ CALENDAR_SQL = """
 SELECT event_id, date_trunc('hour', ts) AS hour_start, date_trunc('minute', ts) AS minute_start,
   CASE WHEN minute(ts) < 10 THEN date_trunc('hour', ts) - INTERVAL 1 HOUR ELSE date_trunc('hour', ts) END
     AS request_hour,
-  CASE WHEN month(ts) IN (12, 1, 2) THEN 0 WHEN month(ts) IN (3, 4, 5) THEN 1
-       WHEN month(ts) IN (6, 7, 8) THEN 2 ELSE 3 END AS season,
+  CASE WHEN month(ts) BETWEEN 3 AND 5 THEN 0 WHEN month(ts) BETWEEN 6 AND 8 THEN 1
+       WHEN month(ts) BETWEEN 9 AND 11 THEN 2 ELSE 3 END AS season,
   hour(ts) IN (7, 8, 9, 18, 19, 20) AS rush_set,
   hour(ts) BETWEEN 7 AND 9 OR hour(ts) BETWEEN 17 AND 19 AS rush_ranges,
   strftime(ts, '%Y%m%d%H%M') AS compact_text,
