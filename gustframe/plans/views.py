@@ -140,3 +140,44 @@ SELECT *, sqrt(mse) AS rmse, mape * 100 AS mape_pct FROM (
     avg(confidence) AS prediction_confidence, avg(data_quality) AS data_quality_score,
     avg(latency_ms) AS prediction_latency_ms
   FROM $predictions GROUP BY ALL)""")
+
+sql_view("observations_wide", """
+SELECT station_id, obs_ts, event_id, temperature_c AS temperature, relative_humidity AS humidity,
+  CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(1000 + event_id % 40 AS DOUBLE) END AS pressure,
+  wind_speed_ms AS wind_speed,
+  CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST((event_id * 7) % 360 AS DOUBLE) END AS wind_direction,
+  precipitation_mm AS precipitation_1h,
+  CASE WHEN event_type = 'click' THEN NULL ELSE CAST(user_id % 20 AS DOUBLE) END AS visibility,
+  CASE WHEN event_type IN ('click', 'view') AND event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 11 AS DOUBLE) END AS cloud_cover,
+  temperature_c - 5 AS dew_point, wind_speed_ms * 1.5 AS wind_gust
+FROM (SELECT o.*, e.event_type, e.user_id FROM $observations o JOIN events e USING (event_id))""")
+
+sql_view("core_rows", """
+SELECT *, (CAST(temperature_c IS NOT NULL AS INT) + CAST(relative_humidity_pct IS NOT NULL AS INT)
+    + CAST(precipitation_mm_1h IS NOT NULL AS INT) + CAST(wind_speed_ms IS NOT NULL AS INT)
+    + CAST(pressure_hpa IS NOT NULL AS INT) + CAST(visibility_km IS NOT NULL AS INT)) / 6 * 100.0 AS feature_completeness,
+  greatest(0, least(100, 100.0 * (CASE WHEN temperature_c > 35 AND relative_humidity_pct > 90 THEN 0.9 ELSE 1.0 END)
+    * (CASE WHEN precipitation_mm_1h > 0 AND relative_humidity_pct < 50 THEN 0.8 ELSE 1.0 END))) AS feature_reliability,
+  list_filter([CASE WHEN temperature_c < 0 THEN 'freezing' WHEN temperature_c > 30 THEN 'hot' END,
+    CASE WHEN precipitation_mm_1h > 10 THEN 'heavy_rain' WHEN precipitation_mm_1h > 0 THEN 'light_rain' END,
+    CASE WHEN wind_speed_ms > 10 THEN 'windy' END], lambda x: x IS NOT NULL) AS weather_conditions,
+  CAST(temperature_c IS NOT NULL AS INT) + CAST(relative_humidity_pct IS NOT NULL AS INT)
+    + CAST(precipitation_mm_1h IS NOT NULL AS INT) + CAST(wind_speed_ms IS NOT NULL AS INT)
+    + CAST(pressure_hpa IS NOT NULL AS INT) + CAST(visibility_km IS NOT NULL AS INT)
+    + CAST(wind_direction_deg IS NOT NULL AS INT) + CAST(cloud_cover_tenths IS NOT NULL AS INT) AS feature_count,
+  data_quality > 50 AS passes_quality
+FROM (
+  SELECT station_id, obs_ts, event_id,
+    greatest(0, least(100, 100.0 * (CASE WHEN r < 0.5 THEN 0.3 WHEN r < 0.7 THEN 0.6 WHEN r < 0.9 THEN 0.8 ELSE 1.0 END)
+      * (CASE WHEN temperature IS NOT NULL AND (temperature < -50 OR temperature > 60) THEN 0.8 ELSE 1.0 END)
+      * (CASE WHEN humidity IS NOT NULL AND (humidity < 0 OR humidity > 100) THEN 0.8 ELSE 1.0 END)
+      * (CASE WHEN wind_speed IS NOT NULL AND (wind_speed < 0 OR wind_speed > 100) THEN 0.8 ELSE 1.0 END)
+      * (CASE WHEN (epoch_us(as_of) - epoch_us(obs_ts)) / 3.6e9 > 2 THEN 0.9 ELSE 1.0 END))) AS data_quality,
+    temperature AS temperature_c, humidity AS relative_humidity_pct, precipitation_1h AS precipitation_mm_1h,
+    wind_speed AS wind_speed_ms, pressure AS pressure_hpa, visibility AS visibility_km,
+    wind_direction AS wind_direction_deg, cloud_cover AS cloud_cover_tenths
+  FROM (SELECT *, (CAST(temperature IS NOT NULL AS INT) + CAST(humidity IS NOT NULL AS INT)
+          + CAST(precipitation_1h IS NOT NULL AS INT) + CAST(wind_speed IS NOT NULL AS INT)
+          + CAST(pressure IS NOT NULL AS INT) + CAST(visibility IS NOT NULL AS INT)
+          + CAST(wind_direction IS NOT NULL AS INT) + CAST(cloud_cover IS NOT NULL AS INT)) / 8 AS r
+        FROM $observations_wide, (SELECT max(ts) AS as_of FROM events) m))""")

@@ -37,6 +37,20 @@ def observations_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def _obs_with_raw(events: DataFrame) -> DataFrame:
+    """Observation columns plus the event columns the wide view needs (one projection)."""
+    eid = F.col("event_id")
+    return events.select(
+        (F.lit(100) + F.col("user_id") % 10).cast("string").alias("station_id"),
+        F.col("ts").alias("obs_ts"), eid.alias("event_id"), "event_type", "user_id",
+        (_k() / 2 - 12.5).alias("temperature_c"),
+        (F.col("value") / 16.0).alias("wind_speed_ms"),
+        F.when(F.col("event_type") == "error", (eid % 32) / 4.0).otherwise(F.lit(0.0)).alias("precipitation_mm"),
+        F.when((F.col("event_type") == "signup") & (eid % 7 == 0), F.lit(None).cast("double"))
+        .otherwise((15 + (eid * 37) % 85).cast("double")).alias("relative_humidity"),
+    )
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations_from_events(table(spark, sf_dir, "events"))
 
@@ -76,3 +90,24 @@ def system_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def max_value(df: DataFrame, col: str):
     """One scalar (e.g. ``as_of = max(ts)``) fetched to the driver as a literal."""
     return df.agg(F.max(col).alias("m")).first()["m"]
+
+
+def observations_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide station rows (13 nullable measures) derived from ``events``."""
+    ev = table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    et = F.col("event_type")
+    o = _obs_with_raw(ev)
+    return o.select(
+        "station_id", F.col("obs_ts"), "event_id",
+        F.col("temperature_c").alias("temperature"), F.col("relative_humidity").alias("humidity"),
+        F.when(eid % 11 == 0, F.lit(None)).otherwise(1000 + eid % 40).cast("double").alias("pressure"),
+        F.col("wind_speed_ms").alias("wind_speed"),
+        F.when(eid % 13 == 0, F.lit(None)).otherwise((eid * 7) % 360).cast("double").alias("wind_direction"),
+        F.col("precipitation_mm").alias("precipitation_1h"),
+        F.when(et == "click", F.lit(None)).otherwise(F.col("user_id") % 20).cast("double").alias("visibility"),
+        F.when(et.isin("click", "view") & (eid % 3 == 0), F.lit(None)).otherwise(eid % 11).cast("double")
+        .alias("cloud_cover"),
+        (F.col("temperature_c") - 5).alias("dew_point"),
+        (F.col("wind_speed_ms") * 1.5).alias("wind_gust"),
+    )
