@@ -19,11 +19,15 @@ completeness double, reasonableness double, consistency double, gap_consistency
 quality_score double, baseline_comfort_score double, label_bucket string, passed_gate boolean"""
 
 
-def training_sets(spark, sf, min_obs: int = 3):
-    """WIN1 sets of deduplicated observations with DQ13 quality and the SCR1 score."""
+def set_members(spark, sf):
+    """WIN1 membership rows of deduplicated observations (with same-day lag)."""
     o = CL.dedup_first_per_minute(X.obs(spark, sf))
-    o = WN.with_day_lag(o)
-    m = sliding_sets(o)
+    return sliding_sets(WN.with_day_lag(o))
+
+
+def training_sets(spark, sf, min_obs: int = 3, members=None):
+    """WIN1 sets of deduplicated observations with DQ13 quality and the SCR1 score."""
+    m = members if members is not None else set_members(spark, sf)
     g = m.groupBy("station_id", "obs_date", "window_start").agg(
         *frame_aggregates(), *WN.set_quality_aggregates())
     g = g.where(F.col("n_obs") >= min_obs)
