@@ -166,3 +166,34 @@ def render_compact_lines(obs: DataFrame) -> DataFrame:
                     F.regexp_replace(fmt("relative_humidity"), ",", ""),
                     F.regexp_replace(fmt("wind_speed_ms"), ",", ""),
                     F.regexp_replace(fmt("precipitation_mm"), ",", "")).alias("value"))
+
+
+def lines_from_observations(obs: DataFrame, layout: str = "compact") -> DataFrame:
+    """Render a table as landed station text, one file per station-day, in the lines
+    schema of ``read_raw_lines`` (used to run the parsers over whole tables).
+
+    ``compact``: a ``# STN YYMMDDHHMI TA HM WS RN`` header line per file plus one data
+    line per row; ``positional``: 16-token lines of the documented column layout.
+    Missing humidity is written as the ``-9.0`` sentinel.
+    """
+    path = F.concat(F.lit("raw_data/asos/"), F.col("station_id"), F.lit("/"),
+                    F.date_format("obs_ts", "yyyy/MM/dd"), F.lit("/0000.txt"))
+    num = lambda c: F.format_string("%.6f", F.col(c))
+    hum = F.when(F.col("relative_humidity").isNull(), F.lit("-9.0")).otherwise(num("relative_humidity"))
+    tm = F.date_format("obs_ts", "yyyyMMddHHmm")
+    base = obs.select(path.alias("file_path"), F.lit("asos").alias("provider"),
+                      F.col("station_id").alias("path_station"), F.col("event_id").alias("line_no"),
+                      F.col("station_id"), tm.alias("_tm"), num("temperature_c").alias("_t"), hum.alias("_h"),
+                      num("wind_speed_ms").alias("_w"), num("precipitation_mm").alias("_p"))
+    if layout == "compact":
+        data = base.select("file_path", "provider", "path_station", "line_no",
+                           F.concat_ws(" ", "station_id", "_tm", "_t", "_h", "_w", "_p").alias("value"))
+        header = (base.select("file_path", "provider", "path_station").distinct()
+                  .select("*", F.lit(-1).cast("bigint").alias("line_no"),
+                          F.lit("# STN YYMMDDHHMI TA HM WS RN").alias("value")))
+        return data.unionByName(header)
+    filler = lambda s: F.lit(s)
+    return base.select("file_path", "provider", "path_station", "line_no", F.concat_ws(
+        " ", "_tm", "station_id", filler("-9"), "_w", filler("-9"), filler("-9.0"), filler("-9"),
+        filler("1000.2"), filler("1010.2"), filler("-9"), filler("-9.0"), "_t", filler("-9.0"), "_h",
+        filler("-9.0"), "_p").alias("value"))
