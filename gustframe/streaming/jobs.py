@@ -79,3 +79,96 @@ def run_available_now(stream: DataFrame, checkpoint: str, sink: Callable | None
     q = w.trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+# ---- keyed state (STM6, STM7) ----------------------------------------------------------
+
+ALERT_OUT = "rule_name string, host string, fired_ts timestamp_ntz"
+ALERT_STATE = "streak long, last_fired long"
+
+
+def _alert_state_fn(key, pdfs, state):
+    """Per (rule, host): breach streak and last firing carried across micro-batches."""
+    import pandas as pd
+    rule, host = key
+    streak, last_fired = (state.get if state.exists else (0, None))
+    out = []
+    for pdf in pdfs:
+        pdf = pdf.sort_values(["_t", "event_id"])
+        for t, breach, dur, cd in zip(pdf["_t"], pdf["breach"], pdf["duration_samples"], pdf["cooldown_minutes"]):
+            streak = streak + 1 if breach else 0
+            if streak >= dur and (last_fired is None or t >= last_fired + int(cd) * 60_000_000):
+                last_fired = int(t)
+                out.append(t)
+    state.update((int(streak), last_fired))
+    if out:
+        ts = pd.to_datetime(pd.Series(out, dtype="int64"), unit="us")
+        yield pd.DataFrame({"rule_name": rule, "host": host, "fired_ts": ts})
+
+
+def stream_alerts(rule_rows: DataFrame) -> DataFrame:
+    """STM6: sustained breach with cool-down as keyed state (``applyInPandasWithState``).
+
+    ``rule_rows`` = metric samples joined with rules and flagged (``breach``), as from
+    ``monitor.evaluate_rules`` before the streak step. State per key is two numbers.
+    Within a micro-batch rows are ordered by time; across batches arrival order counts.
+    """
+    d = rule_rows.select("rule_name", "host", "event_id", "breach", "duration_samples", "cooldown_minutes",
+                         F.unix_micros(F.col("metric_ts").cast("timestamp")).alias("_t"))
+    return d.groupBy("rule_name", "host").applyInPandasWithState(
+        _alert_state_fn, ALERT_OUT, ALERT_STATE, "append", "NoTimeout")
+
+
+HISTORY_OUT = "station_id string, n_rows long, change_pct double, std double"
+HISTORY_STATE = "ts array<long>, v array<double>"
+
+
+def _history_fn(key, pdfs, state, keep: int = 100, last: int = 24):
+    import numpy as np
+    import pandas as pd
+    (station,) = key
+    ts, vs = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
+    for pdf in pdfs:
+        ts += [int(x) for x in pdf["_t"]]
+        vs += [float(x) for x in pdf["v"]]
+    order = sorted(range(len(ts)), key=lambda i: ts[i])[-keep:]
+    ts, vs = [ts[i] for i in order], [vs[i] for i in order]
+    state.update((ts, vs))
+    recent = np.array(vs[-last:])
+    if len(recent):
+        change = (recent[-1] - recent[0]) / abs(recent[0] + 1e-6) * 100
+        yield pd.DataFrame({"station_id": [station], "n_rows": [len(recent)], "change_pct": [change],
+                            "std": [float(recent.std())]})
+
+
+def stream_history_trends(obs: DataFrame, value: str = "temperature_c", keep: int = 100,
+                          last: int = 24) -> DataFrame:
+    """STM7: bounded per-key history (newest ``keep`` rows) with first->last change and
+    pop-std over the newest ``last`` rows, emitted per micro-batch (update mode)."""
+    d = obs.select("station_id", F.unix_micros(F.col("obs_ts").cast("timestamp")).alias("_t"),
+                   F.col(value).alias("v"))
+    fn = lambda k, p, s: _history_fn(k, p, s, keep, last)
+    return d.groupBy("station_id").applyInPandasWithState(fn, HISTORY_OUT, HISTORY_STATE, "update", "NoTimeout")
+
+
+def retraining_trigger_sink(trigger_path: str, min_new: int = 50, min_quality: float = 0.8,
+                            daily_cap: int = 3) -> Callable[[DataFrame, int], None]:
+    """STM8: per micro-batch of training sets, append a trigger row when at least
+    ``min_new`` sets with quality >= ``min_quality`` arrived, at most ``daily_cap`` per day."""
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        good = batch.where(F.col("quality_score") >= min_quality)
+        stats = good.agg(F.count(F.lit(1)).alias("n"), F.max("window_start").alias("day_ts")).first()
+        if stats["n"] < min_new:
+            return
+        day = stats["day_ts"].date()
+        try:
+            done = spark.read.parquet(trigger_path).where(F.col("trigger_date") == F.lit(day)).count()
+        except Exception:  # noqa: BLE001 -- no trigger table yet
+            done = 0
+        if done >= daily_cap:
+            return
+        row = spark.createDataFrame([(int(epoch_id), day, int(stats["n"]))],
+                                    "epoch_id long, trigger_date date, new_sets long")
+        row.write.mode("append").parquet(trigger_path)
+    return write
