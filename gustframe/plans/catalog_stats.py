@@ -217,3 +217,10 @@ def q_nested(spark, sf):
                  F.size("types").alias("n_types"),
                  F.to_json(F.struct("station_id", "k_max")).alias("details_json"), details.alias("details"))
     return g.select("*", F.explode("details").alias("detail_key", "detail_value")).drop("details")
+
+
+@register("FTR11_pattern_index", "station_id string, window_start timestamp, pattern_index double, n_obs bigint",
+          None, ids=("FTR11",))
+def q_pattern(spark, sf):
+    from gustframe.operators.pattern import pattern_index
+    return pattern_index(X.frames(spark, sf))
