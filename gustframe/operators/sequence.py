@@ -28,27 +28,28 @@ def sequence_lag(df: DataFrame, keys, order, values, bucket: Column,
     """Add ``prefix+v`` = value of ``v`` on the previous row of the same key.
 
     ``order`` must be a total order within the key (e.g. ``(obs_ts, event_id)``).
+    One window pass over ``(key, bucket)`` gives the in-bucket lag and marks each
+    bucket's last row; those edge rows (one per bucket) are lagged over the key's
+    buckets and joined to the first row of the next non-empty bucket.
     """
     keys, order, values = _cols(keys), _cols(order), _cols(values)
     carry = sorted(set(order) | set(values), key=(order + values).index)
     b = "_seq_bucket"
     d = df.withColumn(b, bucket)
     w = Window.partitionBy(*keys, b).orderBy(*order)
-    d = d.withColumn("_seq_rn", F.row_number().over(w))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.withColumn("_seq_rn", F.row_number().over(w)).withColumn("_seq_cnt", F.count(F.lit(1)).over(whole))
     for v in carry:
         d = d.withColumn(f"_seq_in_{v}", F.lag(v).over(w))
-    # last row of every (key, bucket), then the previous non-empty bucket's last row
-    last = (d.groupBy(*keys, b)
-            .agg(F.max_by(F.struct(*carry), F.struct(*order)).alias("_seq_last")))
+    edge = d.where(F.col("_seq_rn") == F.col("_seq_cnt")).select(*keys, b, F.struct(*carry).alias("_seq_last"))
     wb = Window.partitionBy(*keys).orderBy(b)
-    edge = (last.withColumn("_seq_prev", F.lag("_seq_last").over(wb))
+    edge = (edge.withColumn("_seq_prev", F.lag("_seq_last").over(wb))
             .select(*keys, b, F.lit(1).alias("_seq_rn"), "_seq_prev"))
     d = d.join(edge, on=[*keys, b, "_seq_rn"], how="left")
-    out = d.select(
+    return d.select(
         *[F.col(c) for c in df.columns],
         *[F.coalesce(F.col(f"_seq_in_{v}"), F.col(f"_seq_prev.{v}")).alias(prefix + v)
           for v in values])
-    return out
 
 
 def sequence_index(df: DataFrame, keys, order, bucket: Column,

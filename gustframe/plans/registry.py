@@ -55,8 +55,8 @@ def normalize(df: DataFrame, schema: str) -> DataFrame:
     for name, typ in parse_schema(schema):
         c = F.col(name)
         if typ == "double":
-            r = F.round(c.cast("double") * SCALE + JITTER, 0) / SCALE
-            c = F.when(r == 0, F.lit(0.0)).otherwise(r)
+            # "+ 0.0" turns -0.0 into 0.0 (IEEE) without repeating the expression
+            c = F.round(c.cast("double") * SCALE + JITTER, 0) / SCALE + F.lit(0.0)
         elif typ == "array<double>":
             c = F.transform(c.cast("array<double>"),
                             lambda x: F.when(F.round(x * SCALE + JITTER, 0) == 0, F.lit(0.0))

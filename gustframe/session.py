@@ -17,6 +17,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # wide feature projections generate methods too large for the JVM to JIT;
+    # above 8000 bytes of bytecode fall back to split per-expression codegen
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
