@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gustframe.functions.timefn import trunc_ntz
-from gustframe.operators.sequence import sequence_index
+from gustframe.operators.sequence import sequence_streak
 
 # The five default alert rules
 # (name, metric, threshold, operator, duration in samples, cooldown minutes, severity).
@@ -60,20 +60,8 @@ def evaluate_rules(metrics: DataFrame, rules: DataFrame, key: str = "host", ts:
     j = j.withColumn("breach", F.coalesce(rule_predicate(F.col("value"), F.col("operator"),
                                                          F.col("threshold")), F.lit(False)))
     part = ["rule_name", key]
-    bucket = trunc_ntz("hour", ts)
-    d = sequence_index(j, part, list(order), bucket=bucket, index_col="_i", size_col=None)
-    # last non-breach position: inside the bucket, else carried from earlier buckets
-    d = d.withColumn("_b", bucket)
-    w_in = Window.partitionBy(*part, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_nb_in", F.max(F.when(~F.col("breach"), F.col("_i"))).over(w_in))
-    per_b = d.groupBy(*part, "_b").agg(F.max(F.when(~F.col("breach"), F.col("_i"))).alias("_nb_b"))
-    wb = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_b = per_b.withColumn("_nb_prev", F.max("_nb_b").over(wb)).drop("_nb_b")
-    d = d.join(per_b, on=[*part, "_b"], how="inner")
-    last_nb = F.coalesce(F.col("_nb_in"), F.col("_nb_prev"), F.lit(0))
-    d = d.withColumn("streak", F.col("_i") - last_nb)
-    d = d.withColumn("sustained", F.col("streak") >= F.col("duration_samples"))
-    return d.drop("_nb_in", "_nb_prev", "_b", "_i")
+    d = sequence_streak(j, part, list(order), "breach", bucket=trunc_ntz("hour", ts))
+    return d.withColumn("sustained", F.col("streak") >= F.col("duration_samples"))
 
 
 def _fold_day(cands: Column, carry: Column, cooldown_us: Column) -> Column:

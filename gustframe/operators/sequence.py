@@ -76,3 +76,35 @@ def sequence_index(df: DataFrame, keys, order, bucket: Column,
     d = d.join(counts.select(*keep), on=[*keys, b], how="inner")
     d = d.withColumn(index_col, (F.col("_seq_local") + F.col("_seq_off")).cast("bigint"))
     return d.drop("_seq_local", "_seq_off", b)
+
+
+def sequence_streak(df: DataFrame, keys, order, flag: str, bucket: Column,
+                    out: str = "streak") -> DataFrame:
+    """Length of the run of consecutive ``flag`` = true rows ending at each row, per key.
+
+    streak = position - position of the last row with ``flag`` false (0 if none).
+    One window pass over ``(key, bucket)`` gives local positions, the bucket size and
+    the last local false position; a bucket-level table (one row per bucket) turns
+    them into global offsets and the carried last-false position.
+    """
+    keys, order = _cols(keys), _cols(order)
+    b = "_seq_bucket"
+    d = df.withColumn(b, bucket)
+    w = Window.partitionBy(*keys, b).orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nf = F.when(~F.col(flag), F.col("_seq_i"))
+    d = (d.withColumn("_seq_i", F.row_number().over(w))
+         .withColumn("_seq_cnt", F.count(F.lit(1)).over(whole))
+         .withColumn("_seq_nf", F.max(nf).over(run))
+         .withColumn("_seq_nf_b", F.max(nf).over(whole)))
+    edge = d.where(F.col("_seq_i") == 1).select(*keys, b, "_seq_cnt", "_seq_nf_b")
+    wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("_seq_off", F.coalesce(F.sum("_seq_cnt").over(wb), F.lit(0)))
+    edge = edge.withColumn("_seq_nf_g", F.col("_seq_nf_b") + F.col("_seq_off"))
+    edge = edge.withColumn("_seq_prev_nf", F.coalesce(F.max("_seq_nf_g").over(wb), F.lit(0)))
+    d = d.join(edge.select(*keys, b, "_seq_off", "_seq_prev_nf"), on=[*keys, b], how="inner")
+    streak = F.when(F.col("_seq_nf").isNotNull(), F.col("_seq_i") - F.col("_seq_nf")) \
+        .otherwise(F.col("_seq_i") + F.col("_seq_off") - F.col("_seq_prev_nf"))
+    return d.withColumn(out, streak.cast("bigint")).drop(
+        b, "_seq_i", "_seq_cnt", "_seq_nf", "_seq_nf_b", "_seq_off", "_seq_prev_nf")

@@ -21,3 +21,17 @@ def test_lag_and_index_match_windows(spark):
     assert len(j) == 400
     for r in j:
         assert r.pv == r.prev_v and r.rn == r.rn2
+
+
+def test_streak_matches_plain_window(spark):
+    from gustframe.operators.sequence import sequence_streak
+    rnd = random.Random(11)
+    rows = [(rnd.choice("xy"), rnd.randint(0, 300), i, rnd.random() < 0.7) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, t int, id int, f boolean")
+    w = Window.partitionBy("k").orderBy("t", "id")
+    ref = df.withColumn("i", F.row_number().over(w)).withColumn(
+        "nf", F.max(F.when(~F.col("f"), F.col("i"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ref = ref.select("k", "id", (F.col("i") - F.coalesce("nf", F.lit(0))).alias("want"))
+    got = sequence_streak(df, ["k"], ["t", "id"], "f", bucket=(F.col("t") / 29).cast("int"))
+    bad = got.join(ref, ["k", "id"]).where(F.col("streak") != F.col("want")).count()
+    assert bad == 0 and got.count() == 500
