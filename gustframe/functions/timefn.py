@@ -108,3 +108,10 @@ def in_service_window(col) -> Column:
     """FLT5 serving predicate: morning 6 <= h < 9, evening 14 <= h <= 18."""
     h = F.hour(_c(col))
     return ((h >= 6) & (h < 9)) | h.between(14, 18)
+
+
+def station_wall_clock(col, zone: str = "Asia/Seoul") -> Column:
+    """DTM10: zone-aware instants become the station's wall clock (NTZ); NTZ input is
+    already wall clock and is returned unchanged (the reference only relabels it)."""
+    c = _c(col)
+    return F.from_utc_timestamp(c.cast("timestamp"), zone).cast("timestamp_ntz")

@@ -224,3 +224,37 @@ def q_nested(spark, sf):
 def q_pattern(spark, sf):
     from gustframe.operators.pattern import pattern_index
     return pattern_index(X.frames(spark, sf))
+
+
+@register("ML12_training_table", """station_id string, window_start timestamp, baseline_comfort_score double,
+source string""", """
+WITH u AS (
+  SELECT station_id, window_start, baseline_comfort_score, 'v1' AS source, 1 AS ord FROM $frame_table
+  UNION ALL
+  SELECT station_id, window_start, baseline_comfort_score, 'v2', 2 FROM $frame_table WHERE n_obs >= 3)
+SELECT station_id, window_start, baseline_comfort_score, source FROM u
+WHERE window_start >= (SELECT max(ts) FROM events) - INTERVAL 14 DAY
+QUALIFY row_number() OVER (PARTITION BY station_id, window_start ORDER BY ord DESC) = 1""",
+          ids=("ML12", "SET1", "FLT2", "DDP2", "SRT1"))
+def q_training_table(spark, sf):
+    ft = X.frame_table(spark, sf)
+    v1 = ft.select("station_id", "window_start", "baseline_comfort_score").withColumn("source", F.lit("v1")) \
+        .withColumn("ord", F.lit(1))
+    v2 = ft.where(F.col("n_obs") >= 3).select("station_id", "window_start", "baseline_comfort_score") \
+        .withColumn("source", F.lit("v2")).withColumn("ord", F.lit(2))
+    u = v1.unionByName(v2)
+    as_of = T.max_value(T.table(spark, sf, "events"), "ts")
+    u = CL.lookback_cutoff(u, "window_start", as_of, days=14)
+    d = CL.dedup_keep_last(u, ["station_id", "window_start"], ["ord"])
+    return d.select("station_id", "window_start", "baseline_comfort_score", "source")
+
+
+@register("DQ17_readiness_7d", "station_id string, sets_7d bigint, quality_7d double, ready boolean", """
+SELECT station_id, count(*) AS sets_7d, avg(quality_score) AS quality_7d, count(*) >= 50 AND avg(quality_score) >= 0.6 AS ready
+FROM $training_sets WHERE passed_gate AND window_start >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY
+GROUP BY station_id""", ids=("DQ17", "FLT2"))
+def q_readiness(spark, sf):
+    as_of = T.max_value(T.table(spark, sf, "events"), "ts")
+    s = CL.lookback_cutoff(training_sets(spark, sf).where("passed_gate"), "window_start", as_of, days=7)
+    g = s.groupBy("station_id").agg(F.count(F.lit(1)).alias("sets_7d"), F.avg("quality_score").alias("quality_7d"))
+    return g.withColumn("ready", (F.col("sets_7d") >= 50) & (F.col("quality_7d") >= 0.6))

@@ -64,3 +64,28 @@ def test_pattern_index_centered(spark):
     pi = pattern_index(X.frames(spark, SF)).toPandas()
     assert len(pi) == X.frame_table(spark, SF).count()
     assert np.isfinite(pi["pattern_index"]).all()
+
+
+def test_append_sinks_and_pipeline_report(spark, tmp_path):
+    from gustframe.operators.pipeline import run_report, run_steps
+    from gustframe.operators.scores import alternate_penalties
+    p = T.predictions(spark, SF)
+    base = str(tmp_path / "preds")
+    SK.append_rows(p, base, partition_by=("model_name",))
+    SK.append_rows(p, base, partition_by=("model_name",))
+    assert spark.read.parquet(base).count() == 2 * p.count()
+    ft = X.frame_table(spark, SF)
+    out = run_steps(ft, [("alt", alternate_penalties, ["predicted_comfort_score"])])
+    rep = run_report(out, ["predicted_comfort_score", "humidity_avg_3h"]).first()
+    assert rep["rows"] == ft.count() and not rep["empty_input"]
+    import pytest
+    with pytest.raises(ValueError):
+        run_steps(ft, [("bad", lambda d: d, ["not_there"])])
+
+
+def test_station_wall_clock(spark):
+    import datetime as dt
+    from gustframe.functions.timefn import station_wall_clock
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0),)], "t timestamp")
+    r = df.select(station_wall_clock("t").alias("w")).first()["w"]
+    assert r == dt.datetime(2024, 1, 1, 9, 0)
