@@ -108,3 +108,35 @@ def sequence_streak(df: DataFrame, keys, order, flag: str, bucket: Column,
         .otherwise(F.col("_seq_i") + F.col("_seq_off") - F.col("_seq_prev_nf"))
     return d.withColumn(out, streak.cast("bigint")).drop(
         b, "_seq_i", "_seq_cnt", "_seq_nf", "_seq_nf_b", "_seq_off", "_seq_prev_nf")
+
+
+def sequence_asof(left: DataFrame, right: DataFrame, keys, left_t: Column, right_t: Column,
+                  right_tie: str, right_cols, bucket_width: int, out: str = "_asof") -> DataFrame:
+    """For each ``left`` row, the last ``right`` row of the same key with ``right_t <= left_t``.
+
+    ``left_t`` / ``right_t`` are numeric (e.g. micros; negate both for a forward lookup);
+    ``right_tie`` breaks ties among right rows. Both sides are unioned into one ordered
+    sequence split into ``bucket_width`` buckets; a running ``last(ignorenulls)`` inside
+    ``(key, bucket)`` plus the last right row of earlier buckets (one row per bucket)
+    answers every left row -- linear work, no pairs, no key-wide window.
+    Adds struct column ``out`` (NULL when no right row precedes).
+    """
+    keys = _cols(keys)
+    rc = list(right_cols)
+    rstruct = F.struct(*[F.col(c) for c in rc])
+    L = left.select(*[F.col(k) for k in keys], left_t.cast("long").alias("_aq_t"), F.lit(1).alias("_aq_kind"),
+                    F.lit(None).cast("long").alias("_aq_tie"), F.lit(None).cast(right.select(rstruct).schema[0].dataType).alias("_aq_r"),
+                    F.struct(*[F.col(c) for c in left.columns]).alias("_aq_l"))
+    R = right.select(*[F.col(k) for k in keys], right_t.cast("long").alias("_aq_t"), F.lit(0).alias("_aq_kind"),
+                     F.col(right_tie).cast("long").alias("_aq_tie"), rstruct.alias("_aq_r"),
+                     F.lit(None).cast(L.schema["_aq_l"].dataType).alias("_aq_l"))
+    u = L.unionByName(R).withColumn("_aq_b", F.floor(F.col("_aq_t") / bucket_width))
+    w = Window.partitionBy(*keys, "_aq_b").orderBy("_aq_t", "_aq_kind", "_aq_tie") \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn("_aq_in", F.last("_aq_r", ignorenulls=True).over(w))
+    edge = (u.where(F.col("_aq_kind") == 0).groupBy(*keys, "_aq_b")
+            .agg(F.max_by("_aq_r", F.struct("_aq_t", "_aq_tie")).alias("_aq_last")))
+    wb = Window.partitionBy(*keys).orderBy("_aq_b").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("_aq_prev", F.last("_aq_last", ignorenulls=True).over(wb)).drop("_aq_last")
+    res = u.where(F.col("_aq_kind") == 1).join(edge, on=[*keys, "_aq_b"], how="left")
+    return res.select("_aq_l.*", F.coalesce("_aq_in", "_aq_prev").alias(out))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gustframe.functions.mathfn import clamp, default_if_falsy
 from gustframe.functions.timefn import hours_between, trunc_ntz
-from gustframe.operators.sequence import sequence_index, sequence_lag
+from gustframe.operators.sequence import sequence_asof, sequence_index, sequence_lag
 
 
 def _hours(n) -> Column:
@@ -150,20 +150,17 @@ def as_of_lookup(requests: DataFrame, obs: DataFrame, key: str = "station_id",
                  value_cols: Sequence[str] = ()) -> DataFrame:
     """JN6: latest observation with ``target - lookback < ts <= target`` per request.
 
-    Range join by hour buckets: each request fans out to the ``lookback_h + 1``
-    hour buckets its range touches and equi-joins observations on
-    (key, bucket) -- never a cross product -- then ``max_by`` keeps the latest.
+    Requests and observations form one time-ordered sequence per station
+    (``sequence_asof``): each request takes the last observation before it, then the
+    lookback bound is applied. Linear in rows, no request x observation pairs, so a
+    station-hour holding a third of the data costs one pass, not a product.
     """
-    hb = trunc_ntz("hour", target)
-    req = requests.withColumn(
-        "_hb", F.explode(F.array(*[hb - _hours(i) for i in range(lookback_h + 1)])))
-    o = obs.withColumn("_hb", trunc_ntz("hour", ts))
-    j = req.join(o, on=[key, "_hb"], how="inner").where(
-        (F.col(ts) <= F.col(target)) & (F.col(ts) > F.col(target) - _hours(lookback_h)))
     keep = list(order) + [c for c in value_cols if c not in order]
-    best = j.groupBy(key, target).agg(F.max_by(F.struct(*keep), F.struct(*order)).alias("_m"))
-    out = requests.join(best, on=[key, target], how="left")
-    return out.select(*requests.columns, *[F.col(f"_m.{c}").alias(c) for c in keep])
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    j = sequence_asof(requests, obs, [key], micros(target), micros(ts), order[-1], keep,
+                      bucket_width=3_600_000_000)
+    hit = F.col(f"_asof.{ts}") > F.col(target) - _hours(lookback_h)
+    return j.select(*requests.columns, *[F.when(hit, F.col(f"_asof.{c}")).alias(c) for c in keep])
 
 
 # ---- WIN14 / WIN15 splits and folds -------------------------------------------------
