@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gustframe.functions.timefn import trunc_ntz
-from gustframe.operators.sequence import sequence_streak
+from gustframe.operators.sequence import sequence_asof, sequence_streak
 
 # The five default alert rules
 # (name, metric, threshold, operator, duration in samples, cooldown minutes, severity).
@@ -64,44 +64,87 @@ def evaluate_rules(metrics: DataFrame, rules: DataFrame, key: str = "host", ts:
     return d.withColumn("sustained", F.col("streak") >= F.col("duration_samples"))
 
 
-def _fold_day(cands: Column, carry: Column, cooldown_us: Column) -> Column:
-    """Greedy cool-down fold over one day's sorted candidate times (micros)."""
-    init = F.struct(carry.cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("out"))
+FOLD_LIMIT = 100_000   # candidates per (rule, host) folded in one array (800 KB of longs)
+
+
+def _fold(cands: Column, cooldown_us: Column) -> Column:
+    """Greedy cool-down fold over one key's candidate times sorted by (time, id)."""
+    init = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("out"))
     return F.aggregate(
         cands, init,
-        lambda acc, x: F.when(acc["last"].isNull() | (x >= acc["last"] + cooldown_us),
-                              F.struct(x.alias("last"), F.array_append(acc["out"], x).alias("out")))
-        .otherwise(acc))
+        lambda acc, x: F.when(acc["last"].isNull() | (x["_t"] >= acc["last"] + cooldown_us),
+                              F.struct(x["_t"].alias("last"), F.array_append(acc["out"], x["_t"]).alias("out")))
+        .otherwise(acc))["out"]
 
 
 def apply_cooldown(sustained: DataFrame, key: str = "host", ts: str = "metric_ts",
-                   max_passes: int = 50) -> DataFrame:
+                   order_tie: str = "event_id", max_rounds: int = 64,
+                   fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """WIN11: a sustained breach fires unless the rule fired on the host < cooldown ago.
 
-    The greedy chain is folded per (rule, host, day) with ``aggregate`` over the
-    day's sorted candidate times (a day of one host is bounded by its sampling
-    rate). The last firing of the previous day is carried in and the fold is
-    repeated until no day's carry changes -- exact, usually in two passes; the
-    driver only sees one count per pass.
+    Keys with at most ``fold_limit`` candidates are folded in one pass (``aggregate``
+    over the key's sorted candidate array -- a bounded collection). Larger keys use
+    the group-free pointer-doubling form (``cooldown_doubling``). Both are exact.
     """
     part = ["rule_name", key]
     c = (sustained.where("sustained")
-         .select(*part, "cooldown_minutes", F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"),
-                 F.to_date(ts).alias("_d")))
-    days = (c.groupBy(*part, "_d", "cooldown_minutes")
-            .agg(F.sort_array(F.collect_list("_t")).alias("_cands")))
-    cd_us = F.col("cooldown_minutes").cast("bigint") * 60_000_000
-    wd = Window.partitionBy(*part).orderBy("_d")
-    state = days.withColumn("_carry", F.lit(None).cast("bigint"))
-    for _ in range(max_passes):
-        folded = state.withColumn("_f", _fold_day(F.col("_cands"), F.col("_carry"), cd_us))
-        nxt = folded.withColumn("_new_carry", F.lag(F.col("_f.last")).over(wd)).checkpoint(eager=True)
-        if nxt.where(~F.col("_new_carry").eqNullSafe(F.col("_carry"))).count() == 0:
+         .select(*part, F.col(order_tie).alias("_id"), F.col("cooldown_minutes"),
+                 F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")))
+    sizes = c.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    c = c.join(sizes, on=part, how="inner")
+    small = c.where(F.col("_n") <= fold_limit)
+    cd = F.col("cooldown_minutes").cast("long") * 60_000_000
+    folded = (small.groupBy(*part, "cooldown_minutes")
+              .agg(F.sort_array(F.collect_list(F.struct("_t", "_id"))).alias("_c"))
+              .select(*part, F.explode(_fold(F.col("_c"), F.greatest(cd, F.lit(0)))).alias("_t")))
+    out = folded.select(*part, F.timestamp_micros("_t").cast("timestamp_ntz").alias("fired_ts"))
+    big = c.where(F.col("_n") > fold_limit).drop("_n")
+    if big.limit(1).count() > 0:
+        out = out.unionByName(cooldown_doubling(big, part, max_rounds))
+    return out
+
+
+def cooldown_doubling(c: DataFrame, part, max_rounds: int = 64) -> DataFrame:
+    """WIN11 for keys too large to fold: group-free pointer doubling.
+
+    Candidate rows ``(part..., _id, cooldown_minutes, _t)``.
+    The firings are the chain ``c0, next(c0), next(next(c0)), ...`` where ``c0`` is the
+    key's first candidate and ``next(c)`` the first candidate at or after
+    ``t_c + cooldown``. Computed without collecting any group:
+
+    1. ``next`` for every candidate: forward as-of over the candidate sequence
+       (``sequence_asof`` on negated time) -- linear, no pairs.
+    2. Pointer doubling: ``J_0 = next``, ``J_{k+1} = J_k o J_k``; the chain prefix
+       ``O`` grows as ``O <- O u J_k(O)`` (positions ``[2^k, 2^(k+1))``) until a round
+       adds nothing. O(log #firings) rounds of equi-joins on candidate ids, each
+       checkpointed to ``spark.checkpoint.dir``; the driver sees one count per round.
+    """
+    part = list(part)
+    cd = F.col("cooldown_minutes").cast("long") * 60_000_000
+    # cool-down <= 0 suppresses nothing: every sustained breach fires
+    zero = c.where(cd <= 0).select(*part, "_t")
+    c = c.where(cd > 0)
+    left = c.select(*part, "_id", "_t", (F.col("_t") + cd).alias("_x"))
+    right = c.select(*part, "_id", "_t", (-F.col("_id")).alias("_nid"))
+    j = sequence_asof(left, right, part, -F.col("_x"), -F.col("_t"), "_nid", ["_id", "_t"],
+                      bucket_width=3_600_000_000, out="_next")
+    jump = (j.where(F.col("_next").isNotNull())
+            .select(*part, "_id", F.col("_next._id").alias("_to"))).checkpoint(eager=True)
+    nodes = c.select(*part, "_id", "_t")
+    orbit = (c.groupBy(*part).agg(F.min_by("_id", F.struct("_t", "_id")).alias("_id"))
+             ).checkpoint(eager=True)
+    for _ in range(max_rounds):
+        new = orbit.join(jump, on=[*part, "_id"], how="inner").select(*part, F.col("_to").alias("_id"))
+        grown = orbit.unionByName(new).checkpoint(eager=True)
+        if grown.count() == orbit.count():
             break
-        state = nxt.select(*part, "_d", "cooldown_minutes", "_cands", F.col("_new_carry").alias("_carry"))
+        orbit = grown
+        hop = jump.select(*part, F.col("_id").alias("_to"), F.col("_to").alias("_to2"))
+        jump = jump.join(hop, on=[*part, "_to"], how="inner").select(*part, "_id", F.col("_to2").alias("_to"))
+        jump = jump.checkpoint(eager=True)
     else:
-        raise RuntimeError("cool-down fold did not converge")
-    fired = nxt.select(*part, F.explode(F.col("_f.out")).alias("_t"))
+        raise RuntimeError("cool-down pointer doubling did not converge")
+    fired = orbit.join(nodes, on=[*part, "_id"], how="inner").select(*part, "_t").unionByName(zero)
     return fired.select(*part, F.timestamp_micros("_t").cast("timestamp_ntz").alias("fired_ts"))
 
 

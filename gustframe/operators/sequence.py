@@ -134,8 +134,10 @@ def sequence_asof(left: DataFrame, right: DataFrame, keys, left_t: Column, right
     w = Window.partitionBy(*keys, "_aq_b").orderBy("_aq_t", "_aq_kind", "_aq_tie") \
         .rowsBetween(Window.unboundedPreceding, 0)
     u = u.withColumn("_aq_in", F.last("_aq_r", ignorenulls=True).over(w))
-    edge = (u.where(F.col("_aq_kind") == 0).groupBy(*keys, "_aq_b")
-            .agg(F.max_by("_aq_r", F.struct("_aq_t", "_aq_tie")).alias("_aq_last")))
+    # one row per bucket that holds ANY row (a bucket with only left rows still needs
+    # the value carried from earlier buckets); max skips the NULL left entries
+    last_right = F.max(F.when(F.col("_aq_kind") == 0, F.struct("_aq_t", "_aq_tie", "_aq_r")))
+    edge = u.groupBy(*keys, "_aq_b").agg(last_right["_aq_r"].alias("_aq_last"))
     wb = Window.partitionBy(*keys).orderBy("_aq_b").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("_aq_prev", F.last("_aq_last", ignorenulls=True).over(wb)).drop("_aq_last")
     res = u.where(F.col("_aq_kind") == 1).join(edge, on=[*keys, "_aq_b"], how="left")

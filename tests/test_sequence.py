@@ -35,3 +35,50 @@ def test_streak_matches_plain_window(spark):
     got = sequence_streak(df, ["k"], ["t", "id"], "f", bucket=(F.col("t") / 29).cast("int"))
     bad = got.join(ref, ["k", "id"]).where(F.col("streak") != F.col("want")).count()
     assert bad == 0 and got.count() == 500
+
+
+def test_asof_matches_brute_force_both_directions(spark):
+    from gustframe.operators.sequence import sequence_asof
+    rnd = random.Random(5)
+    right = [(rnd.choice("ab"), rnd.randint(0, 1000), i) for i in range(300)]
+    left = [(rnd.choice("ab"), rnd.randint(-50, 1100), 1000 + i) for i in range(200)]
+    R = spark.createDataFrame(right, "k string, t long, id long")
+    L = spark.createDataFrame(left, "k string, x long, lid long")
+    back = sequence_asof(L, R, ["k"], F.col("x"), F.col("t"), "id", ["id", "t"], bucket_width=37)
+    got = {r.lid: (r._asof.id if r._asof else None) for r in back.collect()}
+    for k, x, lid in left:
+        cands = [(t, i) for kk, t, i in right if kk == k and t <= x]
+        assert got[lid] == (max(cands)[1] if cands else None)
+    R2 = R.withColumn("nid", -F.col("id"))
+    fwd = sequence_asof(L, R2, ["k"], -F.col("x"), -F.col("t"), "nid", ["id", "t"], bucket_width=37)
+    got = {r.lid: (r._asof.id if r._asof else None) for r in fwd.collect()}
+    for k, x, lid in left:
+        cands = [(t, i) for kk, t, i in right if kk == k and t >= x]
+        assert got[lid] == (min(cands)[1] if cands else None)
+
+
+def test_cooldown_fold_and_doubling_agree(spark):
+    import datetime as dt
+    from gustframe.operators.monitor import apply_cooldown
+    rnd = random.Random(3)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for h in ("h1", "h2"):
+        for i in range(400):
+            rows.append(("r", h, len(rows), t0 + dt.timedelta(minutes=rnd.randint(0, 3000)), 30, rnd.random() < 0.6))
+    df = spark.createDataFrame(rows, "rule_name string, host string, event_id long, metric_ts timestamp_ntz, "
+                                     "cooldown_minutes int, sustained boolean")
+    a = apply_cooldown(df)                     # fold path
+    b = apply_cooldown(df, fold_limit=10)      # doubling path
+    assert a.count() == b.count() and a.subtract(b).count() == 0
+    # brute force greedy
+    want = set()
+    for h in ("h1", "h2"):
+        cands = sorted((r[3], r[2]) for r in rows if r[1] == h and r[5])
+        last = None
+        for t, _ in cands:
+            if last is None or t >= last + dt.timedelta(minutes=30):
+                last = t
+                want.add((h, t))
+    got = {(r.host, r.fired_ts) for r in a.collect()}
+    assert got == want
