@@ -78,6 +78,32 @@ def sequence_index(df: DataFrame, keys, order, bucket: Column,
     return d.drop("_seq_local", "_seq_off", b)
 
 
+def global_index(df: DataFrame, order, index_col: str = "position", size_col: str | None = None,
+                 partitions: int | None = None) -> DataFrame:
+    """1-based position of every row in the total ``order`` (zipWithIndex over ranges).
+
+    ``repartitionByRange`` on the full (unique) order splits even a hot timestamp
+    across partitions; rows are numbered inside each range partition, and each
+    partition's offset is the row count of the partitions before it (a table with one
+    row per partition). The partition-tagged rows are checkpointed once so that the
+    numbering and the counts see the same partitions (lineage cut, executor-loss safe).
+    """
+    order = _cols(order)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.repartitionByRange(n, *order).withColumn("_gi_pid", F.spark_partition_id())
+    d = d.withColumn("_gi_local", F.row_number().over(Window.partitionBy("_gi_pid").orderBy(*order)))
+    d = d.checkpoint(eager=True)
+    counts = d.groupBy("_gi_pid").agg(F.count(F.lit(1)).alias("_gi_cnt"))
+    wp = Window.orderBy("_gi_pid").rowsBetween(Window.unboundedPreceding, -1)   # <= n rows
+    counts = counts.withColumn("_gi_off", F.coalesce(F.sum("_gi_cnt").over(wp), F.lit(0)))
+    if size_col:
+        counts = counts.withColumn(size_col, F.sum("_gi_cnt").over(Window.partitionBy()))
+    keep = ["_gi_pid", "_gi_off"] + ([size_col] if size_col else [])
+    d = d.join(F.broadcast(counts.select(*keep)), on="_gi_pid", how="inner")   # one row per partition
+    d = d.withColumn(index_col, (F.col("_gi_local") + F.col("_gi_off")).cast("bigint"))
+    return d.drop("_gi_pid", "_gi_local", "_gi_off")
+
+
 def sequence_streak(df: DataFrame, keys, order, flag: str, bucket: Column,
                     out: str = "streak") -> DataFrame:
     """Length of the run of consecutive ``flag`` = true rows ending at each row, per key.

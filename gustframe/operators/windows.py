@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gustframe.functions.mathfn import clamp, default_if_falsy
 from gustframe.functions.timefn import hours_between, trunc_ntz
-from gustframe.operators.sequence import sequence_asof, sequence_index, sequence_lag
+from gustframe.operators.sequence import global_index, sequence_asof, sequence_index, sequence_lag
 
 
 def _hours(n) -> Column:
@@ -123,11 +123,15 @@ def frame_trends(frames: DataFrame, keys: Sequence[str] = ("station_id", "window
 # ---- WIN8 / WIN9 last-N -----------------------------------------------------------
 
 def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
-           bucket: Column, rank_col: str = "recency_rank") -> DataFrame:
-    """WIN9 / SRT3: the newest ``n`` rows per key (rank 1 = newest)."""
-    d = sequence_index(df, list(keys), list(order), bucket=bucket, index_col=rank_col,
-                       size_col=None, descending=True)
-    return d.where(F.col(rank_col) <= n)
+           bucket: Column | None = None, rank_col: str = "recency_rank") -> DataFrame:
+    """WIN9 / SRT3: the newest ``n`` rows per key (rank 1 = newest).
+
+    ``row_number() <= n`` lets Spark insert a partial ``WindowGroupLimit`` before the
+    shuffle: every map task keeps only its newest ``n`` rows per key, so a hot key ships
+    ``n x tasks`` rows, not all of its rows.
+    """
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    return df.withColumn(rank_col, F.row_number().over(w).cast("bigint")).where(F.col(rank_col) <= n)
 
 
 def first_last_change(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
@@ -165,20 +169,20 @@ def as_of_lookup(requests: DataFrame, obs: DataFrame, key: str = "station_id",
 
 # ---- WIN14 / WIN15 splits and folds -------------------------------------------------
 
-def time_split(df: DataFrame, order: Sequence[str], n_splits: int, bucket: Column) -> DataFrame:
+def time_split(df: DataFrame, order: Sequence[str], n_splits: int, bucket: Column | None = None) -> DataFrame:
     """WIN14: contiguous time split; test = the last floor(n / (k + 1)) rows."""
-    d = sequence_index(df, [], list(order), bucket=bucket, index_col="_i", size_col="_n")
+    d = global_index(df, list(order), index_col="_i", size_col="_n")
     test_n = F.floor(F.col("_n") / (n_splits + 1))
     return d.withColumn("is_test", F.col("_i") > F.col("_n") - test_n).drop("_i", "_n")
 
 
-def contiguous_folds(df: DataFrame, order: Sequence[str], k: int, bucket: Column,
+def contiguous_folds(df: DataFrame, order: Sequence[str], k: int, bucket: Column | None = None,
                      fold_col: str = "fold") -> DataFrame:
     """WIN15: ``ntile(k)`` over the time order (first n % k folds one row longer).
 
-    Computed from a bucketed global position, so no single-partition window.
+    Computed from a range-partitioned global position, so no single-partition window.
     """
-    d = sequence_index(df, [], list(order), bucket=bucket, index_col="_i", size_col="_n")
+    d = global_index(df, list(order), index_col="_i", size_col="_n")
     q = F.floor(F.col("_n") / k)
     r = F.col("_n") - q * k
     big = r * (q + 1)

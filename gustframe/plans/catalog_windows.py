@@ -9,7 +9,7 @@ from gustframe.operators import clean as CL
 from gustframe.operators import windows as WN
 from gustframe.operators.frames import sliding_sets
 from gustframe.operators.scores import baseline_score, frame_aggregates
-from gustframe.operators.sequence import sequence_index
+from gustframe.operators.sequence import global_index
 from gustframe.plans import common as X
 from gustframe.plans.registry import register
 from gustframe.sources import tables as T
@@ -172,8 +172,7 @@ SELECT row_number() OVER (ORDER BY obs_ts, event_id) AS position, station_id, ob
 @register("SRT1_time_order", SORT_SCHEMA, SORT_SQL, ids=("SRT1",))
 def q_sorted(spark, sf):
     o = T.observations(spark, sf)
-    d = sequence_index(o, [], ["obs_ts", "event_id"], bucket=trunc_ntz("day", "obs_ts"),
-                       index_col="position", size_col=None)
+    d = global_index(o, ["obs_ts", "event_id"], index_col="position")
     return d.select("position", "station_id", "obs_ts", "event_id")
 
 

@@ -23,3 +23,8 @@ def test_scan_prunes_columns(spark):
     plan = E.queries()["SRC6_event_time_range_scan"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in plan
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in plan
+
+
+def test_top_n_is_limited_before_the_shuffle(spark):
+    plan = E.queries()["WIN9_last_100_predictions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
