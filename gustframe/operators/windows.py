@@ -71,7 +71,7 @@ def continuity(obs: DataFrame, scope: Sequence[str] = ("station_id",), ts: str =
                order: Sequence[str] = ("obs_ts", "event_id"),
                expected_h: float = 1.0, tolerance_min: float = 10.0) -> DataFrame:
     """WIN3 / DQ4: consecutive gaps per scope; irregular outside 60 +- 10 minutes."""
-    d = sequence_lag(obs, list(scope), list(order), [ts], bucket=trunc_ntz("day", ts))
+    d = sequence_lag(obs, list(scope), list(order), [ts], bucket=trunc_ntz("hour", ts))
     gap = hours_between(F.col(ts), F.col("prev_" + ts))
     lo, hi = expected_h - tolerance_min / 60.0, expected_h + tolerance_min / 60.0
     return d.groupBy(*scope).agg(
