@@ -93,17 +93,20 @@ def comfort_probability(d: DataFrame) -> DataFrame:
     return d.withColumn("comfort_probability", prob).drop("_cp_t", "_cp_p", "_cp_w")
 
 
-def frame_features(obs: DataFrame, keys=("station_id", "window_start", "window_end"),
-                   min_obs: int = 1) -> DataFrame:
+def frame_features(obs: DataFrame, keys=("station_id", "window_start"), min_obs: int = 1,
+                   frame_hours: int = 3) -> DataFrame:
     """FTR8: frame aggregates + dominant type + baseline score, one row per frame.
 
-    ``obs`` must carry ``precipitation_type`` (PRJ3) and the frame columns.
+    ``obs`` must carry ``precipitation_type`` (PRJ3) and the frame columns. The shuffle
+    key is (station, window_start) only; ``window_end`` is derived after the aggregate.
     """
     agg = obs.groupBy(*keys).agg(*frame_aggregates())
     if min_obs > 1:
         agg = agg.where(F.col("n_obs") >= min_obs)
     out = baseline_score(agg)
-    if "window_end" in keys:
+    if "window_start" in keys and "window_end" not in keys and "window_end" in obs.columns:
+        out = out.withColumn("window_end", F.col("window_start") + F.make_dt_interval(F.lit(0), F.lit(frame_hours)))
+    if "window_end" in out.columns:
         out = out.withColumn("target_period", commute_period("window_end"))
     return out
 
