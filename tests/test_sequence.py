@@ -88,7 +88,7 @@ def test_hot_key_and_equal_timestamps(spark):
     """One key holding most rows, many rows sharing one timestamp: positions and lag stay
     exact, and the global index spreads the hot timestamp over several range partitions."""
     from gustframe.operators.sequence import global_index
-    rows = [("hot", 100, i) for i in range(600)] + [("hot", t, 1000 + t) for t in range(50)] + \\
+    rows = [("hot", 100, i) for i in range(600)] + [("hot", t, 1000 + t) for t in range(50)] + \
            [("cold", t, 5000 + t) for t in range(40)]
     df = spark.createDataFrame(rows, "k string, t int, id int")
     w = Window.partitionBy("k").orderBy("t", "id")
@@ -100,6 +100,6 @@ def test_hot_key_and_equal_timestamps(spark):
     g = global_index(df, ["t", "id"], index_col="pos", partitions=8)
     gref = df.select("id", F.row_number().over(Window.orderBy("t", "id")).alias("want"))
     assert g.join(gref, "id").where(F.col("pos") != F.col("want")).count() == 0
-    parts = df.repartitionByRange(8, "t", "id").where(F.col("t") == 100) \\
+    parts = df.repartitionByRange(8, "t", "id").where(F.col("t") == 100) \
         .select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts > 1
