@@ -33,21 +33,24 @@ PATH_RE = r"/([^/]+)/([^/]+)/(\d{4})/(\d{2})/(\d{2})/(\d{4})\.[^/]*$"
 
 
 def read_raw_lines(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
-    """SRC1: every line of every file under ``root`` with file path and position.
+    """SRC1: every line of every file under ``root`` with file path and exact line number.
 
-    ``ignoreCorruptFiles`` skips unreadable files; the station / date come from
-    the path, so a directory filter (partition-style prefix) prunes whole days.
+    Landed payloads are small per-station/hour files, so each file is read whole
+    (``wholetext``) and split with ``posexplode``: line numbers are exact (a split
+    file would lose its order), and files stay the unit of parallelism.
+    ``ignoreCorruptFiles`` skips unreadable files; station and date come from the path,
+    so a directory filter (partition-style prefix) prunes whole days.
     """
     df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-          .option("ignoreCorruptFiles", "true").text(root))
+          .option("ignoreCorruptFiles", "true").option("wholetext", "true").text(root))
     path = F.col("_metadata.file_path")
-    return df.select(
-        path.alias("file_path"),
-        F.regexp_extract(path, PATH_RE, 1).alias("provider"),
-        F.regexp_extract(path, PATH_RE, 2).alias("path_station"),
-        # line order inside a file: ids grow with position within a split
-        F.monotonically_increasing_id().alias("line_no"),
-        F.col("value"),
+    d = df.select(path.alias("file_path"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+    return d.select(
+        "file_path",
+        F.regexp_extract("file_path", PATH_RE, 1).alias("provider"),
+        F.regexp_extract("file_path", PATH_RE, 2).alias("path_station"),
+        F.col("line_no").cast("bigint").alias("line_no"),
+        "value",
     )
 
 

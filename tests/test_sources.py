@@ -90,3 +90,30 @@ def test_sink_dynamic_overwrite_is_idempotent(spark, tmp_path):
     write_features(ft, base, "comfort", "v1")
     back = read_features(spark, base, "comfort", "v1")
     assert back.count() == ft.count()
+
+
+def test_hand_fixtures_through_the_pipeline(spark, tmp_path):
+    """Blank/short lines, bad timestamps, duplicate minutes in two files, T exactly 0.0
+    and 2.0, humidity 0, all-NULL humidity, one-row frame."""
+    from gustframe.functions.features_row import with_row_features
+    from gustframe.operators.clean import dedup_first_per_minute
+    from gustframe.operators.frames import tumbling
+    hdr = "# STN YYMMDDHHMI TA HM WS RN\n"
+    a = hdr + "\n108 202401010800 0.0 0 1.0 1.0\n108 202401010810 2.0 -9.0 1.0 2.0\nshort\n108 2024XX010900 1 1 1 1\n"
+    b = hdr + "108 202401010810 5.0 50 1.0 0.0\n108 202401011500 20.0 -9.0 2.0 0.0\n"
+    _land(str(tmp_path), "108", dt.datetime(2024, 1, 1, 8, 0), a)
+    _land(str(tmp_path), "108", dt.datetime(2024, 1, 1, 9, 0), b)
+    obs = parse_header_text(read_raw_lines(spark, str(tmp_path / "raw_data")))
+    assert obs.count() == 4                                   # bad/short/blank lines skipped
+    d = dedup_first_per_minute(obs, order=("obs_ts", "file_path", "line_no"))
+    rows = {r.obs_ts.strftime("%H%M"): r for r in d.collect()}
+    assert set(rows) == {"0800", "0810", "1500"}
+    assert rows["0810"].temperature_c == 2.0                  # first file wins for the duplicate minute
+    assert rows["0800"].precipitation_type == "snow" and rows["0810"].precipitation_type == "snow"
+    assert rows["0810"].relative_humidity is None             # -9.0 -> NULL (negative humidity)
+    feats = {r.obs_ts.strftime("%H%M"): r for r in with_row_features(d).collect()}
+    assert feats["0800"].comfort_humidity_comfort == 1.0      # humidity 0 -> default 50 (CND1)
+    assert feats["0800"].feature_quality_score < 1.0          # 0.0 degC is suspicious
+    frames = frame_features(tumbling(d)).collect()
+    one = [f for f in frames if f.n_obs == 1][0]              # the 15:00 frame holds one row
+    assert one.humidity_avg_3h is None and one.penalty_humidity == 0.0
