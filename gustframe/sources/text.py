@@ -83,19 +83,20 @@ def parse_header_text(lines: DataFrame, start=None, end=None) -> DataFrame:
     d = lines.withColumn("_v", F.trim("value")).where(F.length("_v") > 0)
     is_comment = F.col("_v").startswith("#")
     stripped = F.trim(F.regexp_replace("_v", r"^#+", ""))
-    comment_hdr = (d.where(is_comment & F.upper(stripped).contains("YYMMDD") & F.upper(stripped).contains("STN"))
-                   .groupBy("file_path")
-                   .agg(F.min_by(stripped, "line_no").alias("_h")))
-    comment_hdr = comment_hdr.select("file_path", _normalize_names(_tokens(F.col("_h"))).alias("_names"))
-    data = d.where(~is_comment)
-    first = data.groupBy("file_path").agg(F.min_by(F.struct("line_no", "_v"), "line_no").alias("_f"))
-    first_tok = _tokens(F.col("_f._v"))
+    is_hdr = is_comment & F.upper(stripped).contains("YYMMDD") & F.upper(stripped).contains("STN")
+    # one aggregate per file: the comment header and the first data line
+    per_file = d.groupBy("file_path").agg(
+        F.min_by(stripped, F.when(is_hdr, F.col("line_no"))).alias("_h"),
+        F.min_by(F.col("_v"), F.when(~is_comment, F.col("line_no"))).alias("_first_v"),
+        F.min(F.when(~is_comment, F.col("line_no"))).alias("_first_no"))
+    first_tok = _tokens(F.col("_first_v"))
     looks = F.exists(first_tok, lambda t: F.lower(t).isin(*HEADER_HINTS))
-    hdr = (first.join(comment_hdr, on="file_path", how="left")
-           .select("file_path",
-                   F.when(F.col("_names").isNotNull(), F.col("_names"))
-                   .when(looks, F.transform(first_tok, lambda t: F.lower(t))).alias("_names"),
-                   F.when(F.col("_names").isNull() & looks, F.col("_f.line_no")).alias("_skip")))
+    names = F.when(F.col("_h").isNotNull(), _normalize_names(_tokens(F.col("_h"))))
+    hdr = per_file.select(
+        "file_path",
+        F.coalesce(names, F.when(looks, F.transform(first_tok, lambda t: F.lower(t)))).alias("_names"),
+        F.when(F.col("_h").isNull() & looks, F.col("_first_no")).alias("_skip"))
+    data = d.where(~is_comment)
     rows = data.join(hdr, on="file_path", how="inner").where(
         F.col("_skip").isNull() | (F.col("line_no") != F.col("_skip")))
     tok = _tokens(F.col("_v"))
