@@ -117,3 +117,29 @@ def test_hand_fixtures_through_the_pipeline(spark, tmp_path):
     frames = frame_features(tumbling(d)).collect()
     one = [f for f in frames if f.n_obs == 1][0]              # the 15:00 frame holds one row
     assert one.humidity_avg_3h is None and one.penalty_humidity == 0.0
+
+
+def test_ingest_and_training_flows(spark, tmp_path):
+    from gustframe.plans.flows import ingest_flow, training_flow
+    from gustframe.sources import tables as T
+    from gustframe.sources.text import lines_from_observations
+    # land a day of rendered observations as text files, one per station-day
+    obs = T.observations(spark, "/root/testdata/sf0.01").where(F.to_date("obs_ts") <= F.lit("2024-01-10"))
+    lines = lines_from_observations(obs).orderBy("file_path", "line_no").collect()
+    files = {}
+    for r in lines:
+        files.setdefault(r.file_path, []).append(r.value)
+    for path, vals in files.items():
+        full = tmp_path / path
+        full.parent.mkdir(parents=True, exist_ok=True)
+        full.write_text("\n".join(vals) + "\n")
+    res = ingest_flow(spark, str(tmp_path / "raw_data"), str(tmp_path / "out"))
+    n = res.features.count()
+    assert n > 0 and res.summary.count() == 10
+    back = spark.read.parquet(str(tmp_path / "out" / "features"))
+    assert back.count() == n
+    feats = res.features.where(F.col("n_obs") >= 3)
+    metrics, best = training_flow(spark, feats, ["temp_median_3h", "wind_peak_3h", "precip_total_3h",
+                                                 "humidity_avg_3h", "temp_range_3h"],
+                                  model_path=str(tmp_path / "model"), families=("linear", "ridge"))
+    assert metrics.count() == 2 and best in ("linear", "ridge")

@@ -122,3 +122,19 @@ def test_stream_hourly_metrics_and_core_rows(spark, tmp_path):
     run_available_now(core_features(s2, as_of).drop("weather_conditions"), str(tmp_path / "ckpt_w"),
                       query_name="stm5_core")
     assert spark.table("stm5_core").subtract(core_features(wide, as_of).drop("weather_conditions")).count() == 0
+
+
+def test_stream_sliding_frames_equal_batch(spark, tmp_path):
+    from gustframe.operators.scores import frame_aggregates
+    from gustframe.operators.frames import with_precipitation_type
+    obs = T.observations(spark, SF)
+    land = str(tmp_path / "landing_sliding")
+    obs.write.parquet(land)
+    s = landing_stream(spark, land, obs.schema)
+    run_available_now(stream_frame_features(s, slide_hours=1), str(tmp_path / "ckpt_sl"), query_name="stm2_sliding")
+    got = spark.table("stm2_sliding").select("station_id", "window_start", "n_obs", "baseline_comfort_score")
+    w = F.window("obs_ts", "3 hours", "1 hour")
+    want = (with_precipitation_type(obs).groupBy("station_id", w.alias("w")).agg(*frame_aggregates())
+            .select("station_id", F.col("w.start").alias("window_start"), "n_obs"))
+    assert got.select("station_id", "window_start", "n_obs").subtract(want).count() == 0
+    assert got.count() >= want.count() - 30
