@@ -258,3 +258,21 @@ def q_readiness(spark, sf):
     s = CL.lookback_cutoff(training_sets(spark, sf).where("passed_gate"), "window_start", as_of, days=7)
     g = s.groupBy("station_id").agg(F.count(F.lit(1)).alias("sets_7d"), F.avg("quality_score").alias("quality_7d"))
     return g.withColumn("ready", (F.col("sets_7d") >= 50) & (F.col("quality_7d") >= 0.6))
+
+
+@register("FLT5_JN6_request_scores", """station_id string, target_ts timestamp, target_period string,
+in_service_window boolean, window_start timestamp, window_end timestamp, baseline_comfort_score double,
+label_bucket string""", """
+WITH r AS (SELECT DISTINCT station_id, date_trunc('hour', obs_ts) + INTERVAL 30 MINUTE AS target_ts FROM $observations)
+SELECT r.station_id, r.target_ts,
+  CASE WHEN hour(r.target_ts) BETWEEN 14 AND 19 THEN 'evening' ELSE 'morning' END AS target_period,
+  (hour(r.target_ts) >= 6 AND hour(r.target_ts) < 9) OR hour(r.target_ts) BETWEEN 14 AND 18 AS in_service_window,
+  f.window_start, f.window_end, f.baseline_comfort_score, f.label_bucket
+FROM r ASOF LEFT JOIN $frame_table f ON r.station_id = f.station_id AND r.target_ts >= f.window_end""",
+          ids=("FLT5", "JN6", "SCR1"))
+def q_request_scores(spark, sf):
+    from gustframe.plans.flows import score_requests
+    o = T.observations(spark, sf)
+    req = o.select("station_id", (trunc_ntz("hour", "obs_ts") + F.expr("INTERVAL 30 MINUTES"))
+                   .alias("target_ts")).distinct()
+    return score_requests(X.frame_table(spark, sf), req)

@@ -61,3 +61,20 @@ def training_flow(spark: SparkSession, features: DataFrame, feature_cols, target
     if model_path and best is not None and best["passed"]:
         TR.save_model(fitted[best["model_name"]], model_path)
     return gated, (best["model_name"] if best is not None else None)
+
+
+def score_requests(frames: DataFrame, requests: DataFrame, key: str = "station_id",
+                   target: str = "target_ts") -> DataFrame:
+    """Online-score entry as a batch: each request gets the latest completed frame
+    (``window_end <= target``) of its station -- a linear as-of, no pairs -- plus the
+    commute period and serving-window flags of its target time (FLT5)."""
+    from gustframe.functions.timefn import commute_period, in_service_window
+    from gustframe.operators.sequence import sequence_asof
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    f = frames.withColumn("_ws", micros("window_start"))
+    cols = ["window_start", "window_end", "baseline_comfort_score", "label_bucket"]
+    j = sequence_asof(requests, f, [key], micros(target), micros("window_end"), "_ws", cols,
+                      bucket_width=6 * 3_600_000_000)
+    return j.select(*requests.columns, commute_period(target).alias("target_period"),
+                    in_service_window(target).alias("in_service_window"),
+                    *[F.col(f"_asof.{c}").alias(c) for c in cols])
