@@ -91,7 +91,9 @@ def apply_cooldown(sustained: DataFrame, key: str = "host", ts: str = "metric_ts
          .select(*part, F.col(order_tie).alias("_id"), F.col("cooldown_minutes"),
                  F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")))
     sizes = c.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
-    c = c.join(sizes, on=part, how="inner")
+    # candidates (sustained breaches only) are materialised once: the size check and
+    # both paths read them without re-running the rule evaluation
+    c = c.join(sizes, on=part, how="inner").checkpoint(eager=True)
     small = c.where(F.col("_n") <= fold_limit)
     cd = F.col("cooldown_minutes").cast("long") * 60_000_000
     folded = (small.groupBy(*part, "cooldown_minutes")
