@@ -81,3 +81,19 @@ FROM (SELECT station_id, count(*) AS total_checks, count(*) FILTER (WHERE passed
 @register("DQ9_10_quality_summary", SUMMARY_SCHEMA, SUMMARY_SQL, ids=("DQ9", "DQ10", "AGG20"))
 def q_dq_summary(spark, sf):
     return dq_summary(dq_checks(T.observations(spark, sf)))
+
+
+@register("FTR8_DQ10_window_features", """station_id string, window_start timestamp, window_end timestamp, n_obs bigint,
+temp_median_3h double, temp_range_3h double, wind_peak_3h double, precip_total_3h double, precip_type_dominant string,
+humidity_avg_3h double, baseline_comfort_score double, label_bucket string, target_period string, quality_score double,
+validation_passed boolean, data_version string""", f"""
+SELECT f.station_id, f.window_start, f.window_end, f.n_obs, f.temp_median_3h, f.temp_range_3h, f.wind_peak_3h,
+  f.precip_total_3h, f.precip_type_dominant, f.humidity_avg_3h, f.baseline_comfort_score, f.label_bucket, f.target_period,
+  s.quality_score, s.validation_passed, 'v1' AS data_version
+FROM $frame_table f JOIN ({SUMMARY_SQL}) s USING (station_id)""", ids=("FTR8", "DQ10", "PIP1"))
+def q_window_features(spark, sf):
+    from gustframe.plans import common as X
+    from pyspark.sql import functions as F
+    summary = dq_summary(dq_checks(T.observations(spark, sf))).select("station_id", "quality_score", "validation_passed")
+    f = X.frame_table(spark, sf).join(summary, on="station_id", how="inner")
+    return f.withColumn("data_version", F.lit("v1"))
