@@ -13,18 +13,31 @@ from gustframe.functions.timefn import trunc_ntz
 from gustframe.operators.windows import last_n
 
 
-def bootstrap_quality(sets: DataFrame, members: DataFrame, key: str = "station_id",
-                      min_samples: int = 100, set_keys=("station_id", "obs_date", "window_start")) -> DataFrame:
-    """AGG12: mean of (sample sufficiency, weather diversity, target spread)."""
-    s = sets.groupBy(key).agg(F.count(F.lit(1)).alias("total_samples"),
-                              F.stddev_pop(F.col("baseline_comfort_score") / 100.0).alias("score_std"))
-    mem = members.join(sets.select(*set_keys), on=list(set_keys), how="left_semi")
+SET_RANGE_AGGS = ("temperature_c", "relative_humidity", "wind_speed_ms")
+
+
+def set_range_aggregates():
+    """Per-set min/max of T, truthy H and W (added to the set aggregation for AGG12)."""
     H = F.col("relative_humidity")
-    r = mem.groupBy(key).agg(
-        (F.max("temperature_c") - F.min("temperature_c")).alias("temp_range"),
-        F.coalesce(F.max(F.when(H != 0, H)) - F.min(F.when(H != 0, H)), F.lit(0.0)).alias("humidity_range"),
-        (F.max("wind_speed_ms") - F.min("wind_speed_ms")).alias("wind_range"))
-    d = s.join(r, key, "inner")
+    hv = F.when(H != 0, H)
+    return [F.min("temperature_c").alias("_t_min"), F.max("temperature_c").alias("_t_max"),
+            F.min(hv).alias("_h_min"), F.max(hv).alias("_h_max"),
+            F.min("wind_speed_ms").alias("_w_min"), F.max("wind_speed_ms").alias("_w_max")]
+
+
+def bootstrap_quality(sets: DataFrame, key: str = "station_id", min_samples: int = 100) -> DataFrame:
+    """AGG12: mean of (sample sufficiency, weather diversity, target spread).
+
+    ``sets`` carries the per-set min/max columns of ``set_range_aggregates``: the range
+    over all member observations is max(per-set max) - min(per-set min), so no second
+    pass over the members is needed.
+    """
+    d = sets.groupBy(key).agg(
+        F.count(F.lit(1)).alias("total_samples"),
+        F.stddev_pop(F.col("baseline_comfort_score") / 100.0).alias("score_std"),
+        (F.max("_t_max") - F.min("_t_min")).alias("temp_range"),
+        F.coalesce(F.max("_h_max") - F.min("_h_min"), F.lit(0.0)).alias("humidity_range"),
+        (F.max("_w_max") - F.min("_w_min")).alias("wind_range"))
     div = ((F.col("temp_range") > 20).cast("int") + (F.col("humidity_range") > 30).cast("int")
            + (F.col("wind_range") > 5).cast("int")) / 3
     sample = F.least(F.lit(1.0), F.col("total_samples") / float(min_samples))

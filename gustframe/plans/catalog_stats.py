@@ -13,7 +13,7 @@ from gustframe.operators.scores import (alternate_penalties, comfort_probability
                                         frame_features)
 from gustframe.plans import common as X
 from gustframe.plans.catalog_wide import _core
-from gustframe.plans.catalog_windows import set_members, training_sets
+from gustframe.plans.catalog_windows import training_sets
 from gustframe.plans.registry import register
 from gustframe.sources import tables as T
 
@@ -32,9 +32,8 @@ SELECT *, ((temp_range > 20)::INT + (humidity_range > 30)::INT + (wind_range > 5
    + least(1, score_std / 0.2)) / 3 AS overall_quality
 FROM a JOIN r USING (station_id)""", ids=("AGG12",))
 def q_bootstrap(spark, sf):
-    m = set_members(spark, sf)
-    sets = training_sets(spark, sf, members=m).where("passed_gate")
-    return ST.bootstrap_quality(sets, m)
+    sets = training_sets(spark, sf, extra_aggs=ST.set_range_aggregates()).where("passed_gate")
+    return ST.bootstrap_quality(sets)
 
 
 @register("AGG15_inference_metrics", """model_name string, prediction_count bigint, prediction_mean double,

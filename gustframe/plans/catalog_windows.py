@@ -25,11 +25,11 @@ def set_members(spark, sf):
     return sliding_sets(WN.with_day_lag(o))
 
 
-def training_sets(spark, sf, min_obs: int = 3, members=None):
+def training_sets(spark, sf, min_obs: int = 3, members=None, extra_aggs=()):
     """WIN1 sets of deduplicated observations with DQ13 quality and the SCR1 score."""
     m = members if members is not None else set_members(spark, sf)
     g = m.groupBy("station_id", "obs_date", "window_start").agg(
-        *frame_aggregates(), *WN.set_quality_aggregates())
+        *frame_aggregates(), *WN.set_quality_aggregates(), *extra_aggs)
     g = g.where(F.col("n_obs") >= min_obs)
     g = baseline_score(g.select("*", *WN.set_quality_columns()))
     return g.withColumn("passed_gate", F.col("quality_score") >= 0.6)
