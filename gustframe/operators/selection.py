@@ -47,6 +47,39 @@ def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
 
+def profile(df: DataFrame, features: Sequence[str], target: str) -> tuple[DataFrame, DataFrame]:
+    """Feature scores and pair correlations from ONE wide aggregate (both long tables are
+    projections of the same aggregate, so the plan shares its exchange)."""
+    n = F.count(F.lit(1))
+    aggs = [n.alias("_n")]
+    for f in features:
+        aggs += [F.var_samp(f).alias(f"{f}__var"), F.avg(f).alias(f"{f}__mean"),
+                 F.count(f).alias(f"{f}__nn"), F.count_distinct(f).alias(f"{f}__nd"),
+                 F.corr(f, target).alias(f"{f}__corr")]
+    pairs = list(combinations(features, 2))
+    aggs += [F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs]
+    wide = df.agg(*aggs)
+    stats = _stats_from_wide(wide, features)
+    prow = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
+                     F.col(f"{a}__{b}").alias("corr")) for a, b in pairs]
+    return stats, wide.select(F.explode(F.array(*prow)).alias("s")).select("s.*")
+
+
+def _stats_from_wide(wide: DataFrame, features: Sequence[str]) -> DataFrame:
+    rows = [F.struct(F.lit(f).alias("feature"), F.col(f"{f}__var").alias("variance"),
+                     F.col(f"{f}__mean").alias("mean"),
+                     (F.col(f"{f}__nn") / F.col("_n")).alias("completeness"),
+                     (F.col(f"{f}__nd") / F.col(f"{f}__nn")).alias("unique_ratio"),
+                     F.col(f"{f}__corr").alias("target_corr")) for f in features]
+    long = wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    v, m, u, c = F.col("variance"), F.col("mean"), F.col("unique_ratio"), F.col("target_corr")
+    var_term = F.when(m == 0, 0.0).otherwise(F.least(F.lit(1.0), F.try_divide(v, m + 1e-6)))
+    uniq = F.when(u < 0.5, F.least(F.lit(1.0), 2 * u)).otherwise(1.0)
+    imp = 0.3 * var_term + 0.3 * F.col("completeness") + 0.2 * uniq + 0.2 * F.coalesce(F.abs(c), F.lit(0.5))
+    train = 0.7 * F.coalesce(F.abs(c), F.lit(0.0)) + 0.3 * F.try_divide(v, v + 1)
+    return long.withColumn("importance", imp).withColumn("training_score", train)
+
+
 def redundancy_drop(stats: DataFrame, pairs: DataFrame, threshold: float = 0.8,
                     min_score: float = 0.1) -> DataFrame:
     """FSL2: in pairs with |corr| > threshold the lower-importance member goes (ties: the

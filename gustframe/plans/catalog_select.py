@@ -71,9 +71,8 @@ d AS (SELECT DISTINCT CASE WHEN sa.importance < sb.importance THEN p.feature_a E
 SELECT feature, importance FROM s WHERE feature NOT IN (SELECT feature FROM d) AND importance > 0.1""",
           ids=("FSL2", "JN8"))
 def q_redundancy(spark, sf):
-    ft = _feature_table(spark, sf)
-    st = SE.feature_stats(ft, FEATURES, TARGET)
-    return SE.redundancy_drop(st, SE.correlation_pairs(ft, FEATURES)).select("feature", "importance")
+    st, pairs = SE.profile(_feature_table(spark, sf), FEATURES, TARGET)
+    return SE.redundancy_drop(st, pairs).select("feature", "importance")
 
 
 @register("FSL3_training_selection", "feature string, training_score double", f"""
