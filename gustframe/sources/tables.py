@@ -23,18 +23,8 @@ def _k() -> Column:
 
 def observations_from_events(events: DataFrame) -> DataFrame:
     """Station observations: 10 stations, wall-clock NTZ timestamps."""
-    eid = F.col("event_id")
-    return events.select(
-        (F.lit(100) + F.col("user_id") % 10).cast("string").alias("station_id"),
-        F.col("ts").alias("obs_ts"),
-        (_k() / 2 - 12.5).alias("temperature_c"),
-        (F.col("value") / 16.0).alias("wind_speed_ms"),
-        F.when(F.col("event_type") == "error", (eid % 32) / 4.0)
-        .otherwise(F.lit(0.0)).alias("precipitation_mm"),
-        F.when((F.col("event_type") == "signup") & (eid % 7 == 0), F.lit(None).cast("double"))
-        .otherwise((15 + (eid * 37) % 85).cast("double")).alias("relative_humidity"),
-        eid.alias("event_id"),
-    )
+    return _obs_with_raw(events).select("station_id", "obs_ts", "temperature_c", "wind_speed_ms",
+                                        "precipitation_mm", "relative_humidity", "event_id")
 
 
 def _obs_with_raw(events: DataFrame) -> DataFrame:
