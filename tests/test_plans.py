@@ -28,3 +28,20 @@ def test_scan_prunes_columns(spark):
 def test_top_n_is_limited_before_the_shuffle(spark):
     plan = E.queries()["WIN9_last_100_predictions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+_SPARK_TYPE_NAMES = {"double": "double", "bigint": "bigint", "int": "int", "string": "string",
+                     "boolean": "boolean", "timestamp": "timestamp_ntz", "date": "string",
+                     "array<string>": "array<string>", "array<double>": "array<double>",
+                     "array<bigint>": "array<bigint>"}
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_declared_schema_is_the_output_schema(spark, name):
+    from gustframe.plans.registry import REGISTRY, parse_schema
+    if name.startswith("ML1_"):
+        pytest.skip("fits models while building the plan; covered by test_training")
+    df = E.queries()[name](spark, SF)
+    got = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+    want = [(n, _SPARK_TYPE_NAMES[t]) for n, t in parse_schema(REGISTRY[name].schema)]
+    assert got == want
