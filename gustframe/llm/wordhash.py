@@ -35,9 +35,10 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class WordHasher:
-    """Hashes of words between ``separators``, A-Z read as a-z."""
+    """Hashes of words between ``separators``, A-Z read as a-z; of their first bytes too for each length in ``prefixes``."""
 
-    def __init__(self, separators: bytes = ASCII_SPACE):
+    def __init__(self, separators: bytes = ASCII_SPACE, prefixes: tuple[int, ...] = ()):
+        self.prefixes = prefixes
         self.separator = np.zeros(256, bool)
         self.separator[list(separators)] = True
         codes = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
@@ -63,7 +64,9 @@ class WordHasher:
         start, end = self.spans(buffer)
         total = np.zeros(len(buffer) + 1, np.uint64)
         np.cumsum(self.codes[buffer] * self.up[:len(buffer)], out=total[1:])
-        return start, mix((total[end] - total[start]) * self.down[start])
+        ends = [end, *(np.minimum(start + n, end) for n in self.prefixes)]
+        own = [mix((total[e] - total[start]) * self.down[start]) for e in ends]
+        return start, np.stack(own, axis=1) if self.prefixes else own[0]
 
     def _blocks(self, text: bytes):
         """Pieces of a long text, cut at separators."""
@@ -82,7 +85,7 @@ class WordHasher:
             start = end
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words of all texts in order, and the number of words of each text."""
+        """Hashes of all words of all texts in order (with prefixes: a row each), and the number of words of each text."""
         parts, counts = [], np.zeros(len(texts), np.int64)
         i = 0
         while i < len(texts):
@@ -104,4 +107,5 @@ class WordHasher:
             counts[i:j] = np.diff(at, prepend=0)
             parts.append(h)
             i = j
-        return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), counts
+        none = np.zeros((0, 1 + len(self.prefixes)) if self.prefixes else 0, np.uint64)
+        return (np.concatenate(parts) if parts else none), counts
