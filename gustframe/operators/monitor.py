@@ -64,50 +64,22 @@ def evaluate_rules(metrics: DataFrame, rules: DataFrame, key: str = "host", ts:
     return d.withColumn("sustained", F.col("streak") >= F.col("duration_samples"))
 
 
-FOLD_LIMIT = 100_000   # candidates per (rule, host) folded in one array (800 KB of longs)
-
-
-def _fold(cands: Column, cooldown_us: Column) -> Column:
-    """Greedy cool-down fold over one key's candidate times sorted by (time, id)."""
-    init = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(
-        cands, init,
-        lambda acc, x: F.when(acc["last"].isNull() | (x["_t"] >= acc["last"] + cooldown_us),
-                              F.struct(x["_t"].alias("last"), F.array_append(acc["out"], x["_t"]).alias("out")))
-        .otherwise(acc))["out"]
-
-
 def apply_cooldown(sustained: DataFrame, key: str = "host", ts: str = "metric_ts",
-                   order_tie: str = "event_id", max_rounds: int = 64,
-                   fold_limit: int = FOLD_LIMIT) -> DataFrame:
+                   order_tie: str = "event_id") -> DataFrame:
     """WIN11: a sustained breach fires unless the rule fired on the host < cooldown ago.
 
-    Keys with at most ``fold_limit`` candidates are folded in one pass (``aggregate``
-    over the key's sorted candidate array -- a bounded collection). Larger keys use
-    the group-free pointer-doubling form (``cooldown_doubling``). Both are exact.
+    One exact, group-free path for keys of every size (``cooldown_doubling``); the
+    candidates (sustained breaches only) are materialised once.
     """
     part = ["rule_name", key]
     c = (sustained.where("sustained")
          .select(*part, F.col(order_tie).alias("_id"), F.col("cooldown_minutes"),
-                 F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")))
-    sizes = c.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
-    # candidates (sustained breaches only) are materialised once: the size check and
-    # both paths read them without re-running the rule evaluation
-    c = c.join(sizes, on=part, how="inner").checkpoint(eager=True)
-    small = c.where(F.col("_n") <= fold_limit)
-    cd = F.col("cooldown_minutes").cast("long") * 60_000_000
-    folded = (small.groupBy(*part, "cooldown_minutes")
-              .agg(F.sort_array(F.collect_list(F.struct("_t", "_id"))).alias("_c"))
-              .select(*part, F.explode(_fold(F.col("_c"), F.greatest(cd, F.lit(0)))).alias("_t")))
-    out = folded.select(*part, F.timestamp_micros("_t").cast("timestamp_ntz").alias("fired_ts"))
-    big = c.where(F.col("_n") > fold_limit).drop("_n")
-    if big.limit(1).count() > 0:
-        out = out.unionByName(cooldown_doubling(big, part, max_rounds))
-    return out
+                 F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))).checkpoint(eager=True)
+    return cooldown_doubling(c, part)
 
 
-def cooldown_doubling(c: DataFrame, part, max_rounds: int = 64) -> DataFrame:
-    """WIN11 for keys too large to fold: group-free pointer doubling.
+def cooldown_doubling(c: DataFrame, part) -> DataFrame:
+    """WIN11 by group-free pointer doubling.
 
     Candidate rows ``(part..., _id, cooldown_minutes, _t)``.
     The firings are the chain ``c0, next(c0), next(next(c0)), ...`` where ``c0`` is the
@@ -135,17 +107,17 @@ def cooldown_doubling(c: DataFrame, part, max_rounds: int = 64) -> DataFrame:
     nodes = c.select(*part, "_id", "_t")
     orbit = (c.groupBy(*part).agg(F.min_by("_id", F.struct("_t", "_id")).alias("_id"))
              ).checkpoint(eager=True)
-    for _ in range(max_rounds):
+    size = orbit.count()
+    while True:           # the orbit doubles each round and is bounded by the candidates
         new = orbit.join(jump, on=[*part, "_id"], how="inner").select(*part, F.col("_to").alias("_id"))
         grown = orbit.unionByName(new).checkpoint(eager=True)
-        if grown.count() == orbit.count():
+        before, size = size, grown.count()
+        if size == before:
             break
         orbit = grown
         hop = jump.select(*part, F.col("_id").alias("_to"), F.col("_to").alias("_to2"))
         jump = jump.join(hop, on=[*part, "_to"], how="inner").select(*part, "_id", F.col("_to2").alias("_to"))
         jump = jump.checkpoint(eager=True)
-    else:
-        raise RuntimeError("cool-down pointer doubling did not converge")
     fired = orbit.join(nodes, on=[*part, "_id"], how="inner").select(*part, "_t").unionByName(zero)
     return fired.select(*part, F.timestamp_micros("_t").cast("timestamp_ntz").alias("fired_ts"))
 

@@ -21,7 +21,7 @@ def model_metrics(spark, sf):
 
 
 @register("EVL1_AGG13_14_model_metrics", MM_SCHEMA, "SELECT * FROM $model_metrics",
-          ids=("EVL1", "AGG13", "AGG14", "JN1", "SNK5"))
+          ids=("EVL1", "AGG13", "AGG14", "JN1"))
 def q_model_metrics(spark, sf):
     return model_metrics(spark, sf)
 

@@ -104,6 +104,6 @@ SELECT station_id, count(*) AS row_count, count(*) FILTER (WHERE obs_ts IS NULL)
   count(*) FILTER (WHERE obs_ts IS NULL OR temperature_c IS NULL OR wind_speed_ms IS NULL OR precipitation_mm IS NULL
                    OR relative_humidity IS NULL) = 0 AND count(*) FILTER (WHERE obs_ts < prev_ts) = 0 AS valid
 FROM (SELECT *, lag(obs_ts) OVER (PARTITION BY station_id ORDER BY event_id) AS prev_ts FROM $observations)
-GROUP BY station_id""", ids=("AGG8", "FLT4"))
+GROUP BY station_id""", ids=("AGG8",))
 def q_null_report(spark, sf):
     return S.null_report(T.observations(spark, sf))

@@ -12,7 +12,7 @@ from gustframe.plans.registry import register
 
 @register("SNK2b_label_dataset", "station_id string, window_start timestamp, baseline_comfort_score double, label_bucket string, event_date date", """
 SELECT station_id, window_start, baseline_comfort_score, label_bucket, CAST(window_start AS DATE) AS event_date
-FROM $frame_table""", ids=("SNK2b", "SNK2"))
+FROM $frame_table""", ids=("SNK2b",))
 def q_labels(spark, sf):
     return SK.label_dataset(X.frame_table(spark, sf))
 
@@ -20,7 +20,7 @@ def q_labels(spark, sf):
 @register("SNK8_serving_snapshot", "model_name string, eval_ts timestamp, prediction double", """
 SELECT model_name, eval_ts, prediction FROM (
   SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY eval_ts DESC) AS rk FROM $predictions) p
-WHERE rk = 1 AND eval_ts >= (SELECT max(ts) FROM events) - INTERVAL 3600 SECOND""", ids=("SNK8", "SNK4"))
+WHERE rk = 1 AND eval_ts >= (SELECT max(ts) FROM events) - INTERVAL 3600 SECOND""", ids=("SNK8",))
 def q_snapshot(spark, sf):
     p = T.predictions(spark, sf).select("model_name", "eval_ts", "prediction")
     return SK.latest_per_key(p, ["model_name"], "eval_ts", T.max_value(T.table(spark, sf, "events"), "ts"))

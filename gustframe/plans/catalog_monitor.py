@@ -60,7 +60,7 @@ def q_breach(spark, sf):
 @register("MON1_WIN11_alert_firings", "rule_name string, host string, fired_ts timestamp, message string", """
 SELECT f.rule_name, f.host, f.fired_ts,
   printf('%s on host %s at %s', f.rule_name, f.host, strftime(f.fired_ts, '%Y-%m-%d %H:%M:%S')) AS message
-FROM $firings f""", ids=("MON1", "WIN11", "MON2", "STR3"))
+FROM $firings f""", ids=("MON1", "WIN11", "STR3"))
 def q_firings(spark, sf):
     f = MO.apply_cooldown(_rule_eval(spark, sf))
     return f.select("rule_name", "host", "fired_ts",
@@ -105,7 +105,7 @@ GROUP BY GROUPING SETS ((level), (module), ())"""
 
 
 @register("AGG19_MON4_log_analytics", "level string, module string, n_logs bigint, grouping_level int", LOG_SQL,
-          ids=("AGG19", "MON4", "SNK6"))
+          ids=("AGG19", "MON4"))
 def q_logs(spark, sf):
     ev = T.table(spark, sf, "events")
     logs = ev.select(

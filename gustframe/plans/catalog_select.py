@@ -105,7 +105,7 @@ FROM (SELECT station_id, count(*) AS total_sets, sum(n_obs) AS total_observation
 
 
 @register("AGG10_11_DQ14_17_training_stats", TS_SCHEMA, TS_SQL,
-          ids=("AGG10", "AGG11", "DQ14", "DQ17", "ML12", "ML13"))
+          ids=("AGG10", "AGG11", "DQ14", "DQ17", "ML12"))
 def q_training_stats(spark, sf):
     s = training_sets(spark, sf).where("passed_gate")
     g = s.groupBy("station_id").agg(

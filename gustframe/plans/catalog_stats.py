@@ -43,7 +43,7 @@ SELECT model_name, count(*) AS prediction_count, avg(prediction) AS prediction_m
   min(prediction) AS prediction_min, max(prediction) AS prediction_max,
   sqrt(avg((prediction - actual) * (prediction - actual))) AS inference_rmse, avg(abs(prediction - actual)) AS inference_mae,
   1 - sum((prediction - actual) * (prediction - actual)) / (var_pop(actual) * count(*)) AS inference_r2
-FROM $predictions GROUP BY model_name""", ids=("AGG15", "ML11"))
+FROM $predictions GROUP BY model_name""", ids=("AGG15",))
 def q_inference(spark, sf):
     return ST.inference_metrics(T.predictions(spark, sf), ["model_name"])
 

@@ -19,7 +19,7 @@ FROM $observations"""
 
 
 @register("SRC2_header_text_parse", PARSED_SCHEMA, PARSED_SQL,
-          ids=("SRC1", "SRC2", "STR1", "STR2", "DTM1", "PRJ2", "PRJ3"))
+          ids=("SRC2", "STR1", "STR2", "DTM1", "PRJ2", "PRJ3"))
 def q_header_parse(spark, sf):
     lines = lines_from_observations(T.observations(spark, sf), "compact")
     p = parse_header_text(lines)

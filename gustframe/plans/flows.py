@@ -11,6 +11,7 @@ they travel as columns (quality score and gate per station).
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,9 @@ class IngestResult:
 
 
 def ingest_flow(spark: SparkSession, raw_root: str, out_root: str | None = None, version: str = "v1",
-                start=None, end=None) -> IngestResult:
+                start=None, end=None, load_id: str | None = None) -> IngestResult:
+    """``load_id`` names this load in the sinks (default: its time range); the same id again replaces it."""
+    load_id = load_id or ("full" if start is None and end is None else re.sub(r"[^0-9A-Za-z]+", "-", f"{start}_{end}"))
     lines = read_raw_lines(spark, raw_root)
     obs = parse_header_text(lines, start=start, end=end)
     obs = dedup_first_per_minute(obs, order=("obs_ts", "file_path", "line_no"))
@@ -44,9 +47,9 @@ def ingest_flow(spark: SparkSession, raw_root: str, out_root: str | None = None,
         summary.select("station_id", F.col("quality_score").alias("station_quality_score"),
                        "validation_passed"), on="station_id", how="left")
     if out_root:
-        SK.write_normalized(obs.drop("file_path", "line_no", "event_id"), f"{out_root}/normalized")
-        SK.write_quality_reports(summary, f"{out_root}/quality")
-        SK.write_features(feats, f"{out_root}/features", "comfort", version)
+        SK.write_normalized(obs.drop("file_path", "line_no", "event_id"), f"{out_root}/normalized", load_id=load_id)
+        SK.write_quality_reports(summary, f"{out_root}/quality", load_id=load_id)
+        SK.write_features(feats, f"{out_root}/features", "comfort", version, load_id=load_id)
     return IngestResult(obs, checks, summary, feats)
 
 

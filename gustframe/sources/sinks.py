@@ -1,7 +1,7 @@
-"""Sinks (SNK1-SNK8): partitioned Parquet / JSON writes with dynamic partition overwrite.
+"""Sinks (SNK1-SNK8): partitioned Parquet / JSON writes, one folder per load.
 
-Reruns replace only the partitions they produce (idempotent, STM9); nothing is
-collected to the driver.
+A load writes only below ``load_id=<its id>``: running it again replaces that folder and nothing
+else, and other loads of the same day, station or version stay. Nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -10,24 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _dynamic(df: DataFrame) -> None:
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+def _load(df: DataFrame, base: str, load_id: str, by: tuple) -> tuple:
+    """Writer of one load (rows rebalanced on the partition columns, large ones split) and its folder."""
+    writer = df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by)
+    return writer, f"{base}/load_id={load_id}"
 
 
-def write_normalized(obs: DataFrame, base: str, source: str = "asos") -> None:
-    """SNK1: ``source / station_id / obs_date`` partitions."""
-    _dynamic(obs)
+def write_normalized(obs: DataFrame, base: str, source: str = "asos", load_id: str = "full") -> None:
+    """SNK1: ``load_id / source / station_id / obs_date`` partitions."""
     d = obs.withColumn("source", F.lit(source)).withColumn("obs_date", F.to_date("obs_ts"))
-    d.write.mode("overwrite").partitionBy("source", "station_id", "obs_date").parquet(base)
+    writer, folder = _load(d, base, load_id, ("source", "station_id", "obs_date"))
+    writer.parquet(folder)
 
 
 def write_features(features: DataFrame, base: str, feature_set: str, version: str,
-                   ts: str = "window_start") -> None:
-    """SNK2: ``feature_set / version / event_date`` partitions."""
-    _dynamic(features)
+                   ts: str = "window_start", load_id: str = "full") -> None:
+    """SNK2: ``load_id / feature_set / version / event_date`` partitions."""
     d = (features.withColumn("feature_set", F.lit(feature_set)).withColumn("version", F.lit(version))
          .withColumn("event_date", F.to_date(ts)))
-    d.write.mode("overwrite").partitionBy("feature_set", "version", "event_date").parquet(base)
+    writer, folder = _load(d, base, load_id, ("feature_set", "version", "event_date"))
+    writer.parquet(folder)
 
 
 def read_features(spark: SparkSession, base: str, feature_set: str, version: str) -> DataFrame:
@@ -41,10 +43,10 @@ def label_dataset(frames: DataFrame) -> DataFrame:
                          F.to_date("window_start").alias("event_date"))
 
 
-def write_quality_reports(checks: DataFrame, base: str, scope=("station_id",)) -> None:
-    """SNK3: JSON quality report per scope, one file set per station partition."""
-    _dynamic(checks)
-    checks.write.mode("overwrite").partitionBy(*scope).json(base)
+def write_quality_reports(checks: DataFrame, base: str, scope=("station_id",), load_id: str = "full") -> None:
+    """SNK3: JSON quality reports of one load, a partition per scope; earlier loads' reports stay."""
+    writer, folder = _load(checks, base, load_id, tuple(scope))
+    writer.json(folder)
 
 
 def append_rows(df: DataFrame, base: str, partition_by=()) -> None:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -61,10 +62,10 @@ def stream_dedup_minute(obs: DataFrame, ts: str = "obs_ts", watermark: str = "10
 
 
 def idempotent_sink(base: str, partition_by=("station_id",)) -> Callable[[DataFrame, int], None]:
-    """STM9: ``foreachBatch`` writer; a replayed batch overwrites the same partitions."""
+    """STM9: ``foreachBatch`` writer; a micro-batch owns ``epoch_id=<n>``, so a replay overwrites itself only."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        batch.write.mode("overwrite").partitionBy(*partition_by).parquet(base)
+        (batch.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by)
+         .parquet(f"{base}/epoch_id={epoch_id}"))
     return write
 
 
@@ -90,16 +91,24 @@ ALERT_STATE = "streak long, last_fired long"
 def _alert_state_fn(key, pdfs, state):
     """Per (rule, host): breach streak and last firing carried across micro-batches."""
     import pandas as pd
+    import numpy as np
     rule, host = key
     streak, last_fired = (state.get if state.exists else (0, None))
+    # the key's rows of one micro-batch (bounded by the trigger) come in Arrow chunks in any order
+    pdf = pd.concat(list(pdfs)).sort_values(["_t", "event_id"])
+    at = np.arange(len(pdf))
+    breach = pdf["breach"].to_numpy(bool)
+    last_calm = np.maximum.accumulate(np.where(breach, -1, at))
+    run = np.where(last_calm < 0, at + 1 + streak, at - last_calm)
+    fires = np.flatnonzero(breach & (run >= pdf["duration_samples"].to_numpy()))
+    times, pauses = pdf["_t"].to_numpy(), pdf["cooldown_minutes"].to_numpy()
     out = []
-    for pdf in pdfs:
-        pdf = pdf.sort_values(["_t", "event_id"])
-        for t, breach, dur, cd in zip(pdf["_t"], pdf["breach"], pdf["duration_samples"], pdf["cooldown_minutes"]):
-            streak = streak + 1 if breach else 0
-            if streak >= dur and (last_fired is None or t >= last_fired + int(cd) * 60_000_000):
-                last_fired = int(t)
-                out.append(t)
+    for t, pause in zip(times[fires].tolist(), pauses[fires].tolist()):
+        if last_fired is None or t >= last_fired + int(pause) * 60_000_000:
+            last_fired = t
+            out.append(t)
+    if len(pdf):
+        streak = int(run[-1]) if breach[-1] else 0
     state.update((int(streak), last_fired))
     if out:
         ts = pd.to_datetime(pd.Series(out, dtype="int64"), unit="us")
@@ -128,11 +137,11 @@ def _history_fn(key, pdfs, state, keep: int = 100, last: int = 24):
     import pandas as pd
     (station,) = key
     ts, vs = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-    for pdf in pdfs:
-        ts += [int(x) for x in pdf["_t"]]
-        vs += [float(x) for x in pdf["v"]]
-    order = sorted(range(len(ts)), key=lambda i: ts[i])[-keep:]
-    ts, vs = [ts[i] for i in order], [vs[i] for i in order]
+    for pdf in pdfs:                 # never more than one chunk and the newest ``keep`` rows in memory
+        t = np.concatenate([np.array(ts, np.int64), pdf["_t"].to_numpy(np.int64)])
+        v = np.concatenate([np.array(vs, float), pdf["v"].to_numpy(float)])
+        order = np.argsort(t, kind="stable")[-keep:]
+        ts, vs = t[order].tolist(), v[order].tolist()
     state.update((ts, vs))
     recent = np.array(vs[-last:])
     if len(recent):
@@ -163,12 +172,14 @@ def retraining_trigger_sink(trigger_path: str, min_new: int = 50, min_quality: f
             return
         day = stats["day_ts"].date()
         try:
-            done = spark.read.parquet(trigger_path).where(F.col("trigger_date") == F.lit(day)).count()
-        except Exception:  # noqa: BLE001 -- no trigger table yet
+            others = spark.read.parquet(trigger_path).where(F.col("epoch_id") != int(epoch_id))
+            done = others.where(F.col("trigger_date") == F.lit(day)).count()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":      # only "no trigger table yet" means none
+                raise
             done = 0
         if done >= daily_cap:
             return
-        row = spark.createDataFrame([(int(epoch_id), day, int(stats["n"]))],
-                                    "epoch_id long, trigger_date date, new_sets long")
-        row.write.mode("append").parquet(trigger_path)
+        row = spark.createDataFrame([(day, int(stats["n"]))], "trigger_date date, new_sets long")
+        row.write.mode("overwrite").parquet(f"{trigger_path}/epoch_id={int(epoch_id)}")   # a replay replaces its own row
     return write

@@ -6,6 +6,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
+from gustframe.operators import training as TR
 from gustframe.plans import common as X
 from gustframe.sources import sinks as SK
 from gustframe.sources import tables as T
@@ -89,3 +90,30 @@ def test_station_wall_clock(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0),)], "t timestamp")
     r = df.select(station_wall_clock("t").alias("w")).first()["w"]
     assert r == dt.datetime(2024, 1, 1, 9, 0)
+
+
+def test_two_loads_of_one_day_keep_all_rows(spark, tmp_path):
+    obs = T.observations(spark, "/root/testdata/sf0.001")
+    base = str(tmp_path / "loads")
+    morning, rest = obs.where(F.hour("obs_ts") < 12), obs.where(F.hour("obs_ts") >= 12)
+    SK.write_normalized(morning, base, load_id="am")
+    SK.write_normalized(rest, base, load_id="pm")
+    SK.write_normalized(rest, base, load_id="pm")            # the same load again replaces itself only
+    assert spark.read.parquet(base).count() == obs.count()
+
+
+def test_ridge_has_the_closed_form_of_population_scaling(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    x = rng.normal(3, 2, 30)
+    y = 1.5 * x + rng.normal(0, 1, 30)
+    df = spark.createDataFrame([(float(a), float(b), i % 5 == 0) for i, (a, b) in enumerate(zip(x, y))],
+                               "x double, y double, is_test boolean")
+    metrics, _ = TR.compare_models(spark, df, ["x"], "y", families=("ridge",))
+    train, test = np.arange(30) % 5 != 0, np.arange(30) % 5 == 0
+    z = (x - x[train].mean()) / x[train].std()
+    w = (z[train] * (y[train] - y[train].mean())).sum() / ((z[train] ** 2).sum() + 1.0)
+    rmse = np.sqrt((((y[train].mean() + w * z[test]) - y[test]) ** 2).mean())
+    assert abs(metrics.first().rmse - rmse) < 1e-6
+    cv = TR.cross_validate(df.withColumn("fold", F.col("is_test").cast("int")), ["x"], "y")
+    assert cv["folds"] == 2 and cv["cv_rmse_mean"] > 0

@@ -10,16 +10,16 @@ from gustframe.operators.scores import frame_features
 from gustframe.sources.json_source import read_observations_json
 from gustframe.sources.text import parse_header_text, parse_positional_text, read_raw_lines
 
-SAMPLE = ("# Sample station data\n"
+SAMPLE = ("# three hours of one harbour station\n"
           "stn stnNm tm ta hm ws wd rn\n"
-          "108 Seoul 202301010800 18.2 55 3.2 200 0.0\n"
-          "108 Seoul 202301010900 19.1 53 3.5 210 0.0\n"
-          "108 Seoul 202301011000 20.0 51 3.8 220 0.5\n")
+          "431 Quay 202402171300 21.5 44 1.9 75 0.0\n"
+          "431 Quay 202402171400 22.75 41 2.4 90 0.0\n"
+          "431 Quay 202402171500 22.0 46 2.1 105 1.2\n")
 
 COMMENT = (
     "# YYMMDDHHMI STN  WD   WS GST  GST  GST     PA     PS PT    PR    TA    TD    HM    PV     RN     RN     RN     RN\n"
     "#        KST  ID  16  m/s  WD   WS   TM    hPa    hPa  -   hPa     C     C     %   hPa     mm    DAY    JUN    INT\n"
-    "202509282000 108  32  0.7  -9 -9.0   -9 1000.2 1010.2 -9  -9.0  19.8  16.2  80.0  18.4   -9.0   44.5   44.5   -9.0\n")
+    "202403120600 431   9  2.3  -9 -9.0   -9  987.6 1003.1 -9  -9.0   7.4   3.1  74.0   7.6   -9.0   12.5   12.5   -9.0\n")
 
 
 def _land(root, station, ts, text):
@@ -30,23 +30,23 @@ def _land(root, station, ts, text):
 
 
 def test_plain_header_parse_and_score(spark, tmp_path):
-    _land(str(tmp_path), "108", dt.datetime(2023, 1, 1, 10, 0), SAMPLE)
+    _land(str(tmp_path), "431", dt.datetime(2024, 2, 17, 15, 0), SAMPLE)
     lines = read_raw_lines(spark, str(tmp_path / "raw_data"))
     obs = parse_header_text(lines).orderBy("obs_ts").collect()
-    assert [o.temperature_c for o in obs] == [18.2, 19.1, 20.0]
-    assert obs[-1].precipitation_mm == 0.5 and obs[-1].precipitation_type == "rain"
-    assert obs[0].station_id == "108"
-    df = parse_header_text(lines).withColumn("window_start", F.lit(dt.datetime(2023, 1, 1, 8)))
+    assert [o.temperature_c for o in obs] == [21.5, 22.75, 22.0]
+    assert obs[-1].precipitation_mm == 1.2 and obs[-1].precipitation_type == "rain"
+    assert obs[0].station_id == "431"
+    df = parse_header_text(lines).withColumn("window_start", F.lit(dt.datetime(2024, 2, 17, 12)))
     r = frame_features(df, keys=("station_id", "window_start")).first()
     assert abs(r.baseline_comfort_score - 95.0) < 1e-9
 
 
 def test_comment_header_duplicate_rn(spark, tmp_path):
-    _land(str(tmp_path), "108", dt.datetime(2025, 9, 28, 20, 0), COMMENT)
+    _land(str(tmp_path), "431", dt.datetime(2024, 3, 12, 6, 0), COMMENT)
     obs = parse_header_text(read_raw_lines(spark, str(tmp_path / "raw_data"))).collect()
     assert len(obs) == 1
     o = obs[0]
-    assert o.temperature_c == 19.8 and o.relative_humidity == 80.0 and o.wind_speed_ms == 0.7
+    assert o.temperature_c == 7.4 and o.relative_humidity == 74.0 and o.wind_speed_ms == 2.3
     # the first RN column wins; -9.0 is above the -900 sentinel, so it is kept, and a
     # negative amount becomes 0 (the reference's parser test expects exactly this)
     assert o.precipitation_mm == 0.0 and o.precipitation_type == "none"
@@ -60,13 +60,13 @@ def test_fallback_header_and_bad_lines(spark, tmp_path):
 
 
 def test_positional_parse(spark, tmp_path):
-    _land(str(tmp_path), "108", dt.datetime(2025, 9, 28, 20, 0), COMMENT)
+    _land(str(tmp_path), "431", dt.datetime(2024, 3, 12, 6, 0), COMMENT)
     lines = read_raw_lines(spark, str(tmp_path / "raw_data"))
     o15 = parse_positional_text(lines).collect()[0]
     o14 = parse_positional_text(lines, rain_index=14).collect()[0]
-    assert o15.temperature_c == 19.8 and o15.relative_humidity == 80.0
+    assert o15.temperature_c == 7.4 and o15.relative_humidity == 74.0
     assert o15.precipitation_mm == 0.0          # index 15 is RN = -9.0 -> missing -> 0
-    assert o14.precipitation_mm == 18.4         # index 14 (PV) in the older reading
+    assert o14.precipitation_mm == 7.6         # index 14 (PV) in the older reading
 
 
 def test_json_observations(spark, tmp_path):

@@ -138,3 +138,46 @@ def test_stream_sliding_frames_equal_batch(spark, tmp_path):
             .select("station_id", F.col("w.start").alias("window_start"), "n_obs"))
     assert got.select("station_id", "window_start", "n_obs").subtract(want).count() == 0
     assert got.count() >= want.count() - 30
+
+
+def test_sinks_keep_every_epoch_and_replays_change_nothing(spark, tmp_path):
+    from gustframe.streaming.jobs import idempotent_sink, retraining_trigger_sink
+    obs = T.observations(spark, SF)
+    sink = idempotent_sink(str(tmp_path / "epochs"))
+    first, second = obs.where("event_id % 2 = 0"), obs.where("event_id % 2 = 1")
+    for batch, epoch in ((first, 0), (second, 1), (second, 1)):
+        sink(batch, epoch)
+    assert spark.read.parquet(str(tmp_path / "epochs")).count() == obs.count()
+    sets = obs.select(F.col("obs_ts").alias("window_start"), F.lit(0.9).alias("quality_score"))
+    trigger = retraining_trigger_sink(str(tmp_path / "trig"))
+    for epoch in (7, 7, 8):
+        trigger(sets, epoch)
+    assert spark.read.parquet(str(tmp_path / "trig")).count() == 2
+
+
+def test_alert_state_orders_a_micro_batch_across_chunks():
+    import numpy as np
+    import pandas as pd
+    from gustframe.streaming.jobs import _alert_state_fn
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    rng = np.random.default_rng(1)
+    rows = pd.DataFrame({"_t": np.arange(400) * 60_000_000, "event_id": np.arange(400), "breach": rng.random(400) < 0.7,
+                         "duration_samples": 3, "cooldown_minutes": 5})
+    mixed = rows.sample(frac=1, random_state=2)
+    whole, chunks = State(), State()
+    one = pd.concat(list(_alert_state_fn(("r", "h"), iter([rows]), whole)))
+    many = pd.concat(list(_alert_state_fn(("r", "h"), iter([mixed[i:i + 20] for i in range(0, 400, 20)]), chunks)))
+    streak, last, want = 0, None, []
+    for t, breach in zip(rows["_t"], rows["breach"]):
+        streak = streak + 1 if breach else 0
+        if streak >= 3 and (last is None or t >= last + 300_000_000):
+            last = t
+            want.append(pd.Timestamp(t, unit="us"))
+    assert list(one["fired_ts"]) == list(many["fired_ts"]) == want
+    assert whole.get == chunks.get
