@@ -51,6 +51,16 @@ def held_out(folds: int, fold: int, doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
+def first_by_hash(ids: DataFrame, n: int, salt: str) -> DataFrame:
+    """The ``n`` doc_ids that come first in the order of a salted hash: a bounded sample drawn from ids alone."""
+    return stored(ids.orderBy(F.xxhash64(F.col("doc_id"), F.lit(salt)), "doc_id").limit(n), "sample-ids")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text and ``more`` of the rows in a bounded sample of ids, which is broadcast: no text is shuffled."""
+    return docs.select("doc_id", "text", *more).join(F.broadcast(ids), "doc_id", "left_semi")
+
+
 def utf8(col):
     """The bytes of a text column; null is empty."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustframe.llm.common import byte_slices, held_out, prepare, utf8
+from gustframe.llm.common import byte_slices, first_by_hash, held_out, prepare, texts_of, utf8
 from gustframe.llm.wordhash import ASCII_SPACE, WordHasher, mix
 
 #: Bounds of the training sample.
@@ -146,10 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     marks = labels.where("quality is not null").select("doc_id", "quality")
     if prior is None:
         prior = marks.agg(F.avg("quality")).first()[0]
-    seed = F.xxhash64(F.col("doc_id"), F.lit("quality"))
-    web = docs.select("doc_id", "text", seed.alias("seed")).orderBy("seed", "text").limit(unlabelled)
-    good = (docs.join(marks.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-            .select("doc_id", "text", seed.alias("seed")).orderBy("seed", "text").limit(positives))
+    ids = docs.select("doc_id").where("doc_id is not null").distinct()
+    trusted = ids.join(marks.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    web, good = (texts_of(docs, first_by_hash(x, n, "quality")) for x, n in ((ids, unlabelled), (trusted, positives)))
     x_u, x_p = (np.array([r.features for r in with_features(x, ("doc_id",)).select("features").collect()]) for x in (web, good))
     if not len(x_u) or not len(x_p):
         return None
