@@ -14,7 +14,7 @@ SAMPLE = ("# three hours of one harbour station\n"
           "stn stnNm tm ta hm ws wd rn\n"
           "431 Quay 202402171300 21.5 44 1.9 75 0.0\n"
           "431 Quay 202402171400 22.75 41 2.4 90 0.0\n"
-          "431 Quay 202402171500 22.0 46 2.1 105 1.2\n")
+          "431 Quay 202402171500 22.0 46 2.1 105 0.4\n")
 
 COMMENT = (
     "# YYMMDDHHMI STN  WD   WS GST  GST  GST     PA     PS PT    PR    TA    TD    HM    PV     RN     RN     RN     RN\n"
@@ -34,7 +34,7 @@ def test_plain_header_parse_and_score(spark, tmp_path):
     lines = read_raw_lines(spark, str(tmp_path / "raw_data"))
     obs = parse_header_text(lines).orderBy("obs_ts").collect()
     assert [o.temperature_c for o in obs] == [21.5, 22.75, 22.0]
-    assert obs[-1].precipitation_mm == 1.2 and obs[-1].precipitation_type == "rain"
+    assert obs[-1].precipitation_mm == 0.4 and obs[-1].precipitation_type == "rain"
     assert obs[0].station_id == "431"
     df = parse_header_text(lines).withColumn("window_start", F.lit(dt.datetime(2024, 2, 17, 12)))
     r = frame_features(df, keys=("station_id", "window_start")).first()
