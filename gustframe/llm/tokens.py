@@ -39,7 +39,8 @@ class Encoder:
 
     The tokenizer's pattern never joins characters across a single space between two non-space characters, and
     gives that space to the word behind it, so a text's ids are those of its first word followed by
-    those of " " + word. Texts with other white space next to a space are encoded as they are.
+    those of " " + word. Texts with other white space next to a space, and texts that hold the string of an
+    added token (the library makes it that token's id), are encoded as they are.
     """
 
     def __init__(self, tokenizer: str = TOKENIZER, cached: int = CACHED_WORDS):
@@ -50,7 +51,7 @@ class Encoder:
             import public_tokenizers
             tokenizer = public_tokenizers.path(tokenizer)
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.id_bytes}"
         self.cached = cached
@@ -102,9 +103,9 @@ class Encoder:
         self._learn(list(need.difference(self.words)))
         first = self._ids([words[0] for words in split])
         out: list[bytes | None] = []
-        for words, head in zip(split, first):
+        for text, words, head in zip(texts, split, first):
             try:
-                whole = len(words) > 1 and (not words[0] or words[0][-1].isspace())
+                whole = len(words) > 1 and (not words[0] or words[0][-1].isspace()) or any(x in text for x in self.added)
                 out.append(None if whole else head + b"".join(map(self.words.__getitem__, words[1:])))
             except TypeError:          # a None: white space next to a space
                 out.append(None)
