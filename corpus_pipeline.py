@@ -1,7 +1,9 @@
 """Corpus pipeline: language ID, near-dedup, decontamination, mixing and token output over ``documents``.
 
 Each stage reads all that the stage before it kept; its result is written as Parquet to the shared
-folder and read again. All stages but the last return the columns of ``documents``.
+folder and read again. All stages but the last return the columns of ``documents``, whatever their names.
+Every stage takes null, empty and very long texts, repeated rows and null ids as its operator's docstring says; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustframe.llm.common import held_out, stored
+from gustframe.llm.common import held_out, packed, stored
 from gustframe.llm.decontaminate import contamination
 from gustframe.llm.language import UNKNOWN, identify, train
 from gustframe.llm.mixing import mixed
@@ -23,21 +25,21 @@ LEAST_SCORE = 0.3
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language that the network knows; ``und`` and scores below LEAST_SCORE go."""
     model = train(docs.where(~held_out(5, 0)))
-    columns = docs.columns
-    found = identify(docs, model, keep=tuple(columns))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    found = identify(packed(docs, "text"), model, keep=("__row",))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("__row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id."""
+    """One document of each group of near duplicates: the one with the least doc_id. Rows without a doc_id stay, and
+    rows that repeat a doc_id are one document."""
     dropped = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
-    return found.where("not contaminated").select(*docs.columns)
+    found = contamination(packed(docs, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("__row",))
+    return found.where("not contaminated").select("__row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

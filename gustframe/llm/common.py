@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows of one Arrow batch: whole texts travel in it, so it is smaller than Spark's default.
 BATCH_ROWS = 1000
@@ -66,6 +67,16 @@ def utf8(col):
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
+def widened(df: DataFrame, keep: tuple[str, ...], more: str) -> StructType:
+    """The columns ``keep`` of ``df`` as they are, and ``more`` (DDL) behind them."""
+    return StructType([StructField(c, df.schema[c].dataType) for c in keep] + StructType.fromDDL(more).fields)
+
+
+def packed(df: DataFrame, *beside: str) -> DataFrame:
+    """``beside`` columns and ``__row``, the whole row: no name of a column can meet one that an operator adds."""
+    return df.select(*beside, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
+
+
 def byte_slices(texts: list, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts together hold ``limit`` bytes at most (one row at least)."""
     start, held = 0, 0

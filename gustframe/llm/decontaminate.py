@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustframe.llm.common import byte_slices, prepare, utf8
+from gustframe.llm.common import byte_slices, prepare, utf8, widened
 from gustframe.llm.wordhash import ASCII_NO_WORD, WordHasher
 
 WINDOW = 10
@@ -150,8 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     parts = benchmark_parts(benchmark)
     shipped = spark.sparkContext.broadcast(parts)
     run = lambda batches: _scan(shipped.value, window, keep)(batches)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     found = docs.select(*keep, utf8(text_col).alias("__text")).mapInArrow(
-        run, f"{fields}, n_words long, n_hit long, n_items long, items_sha256 string, "
-             "passages array<struct<start:int,end:int>>")
+        run, widened(docs, keep, "n_words long, n_hit long, n_items long, items_sha256 string, "
+                                 "passages array<struct<start:int,end:int>>"))
     return found.withColumn("contaminated", F.col("n_hit") > 0)

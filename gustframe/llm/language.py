@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustframe.llm import gru
-from gustframe.llm.common import LETTER, byte_slices, held_out, prepare, utf8
+from gustframe.llm.common import LETTER, byte_slices, held_out, prepare, utf8, widened
 
 UNKNOWN = "und"
 #: Bounds of the training sample: windows of WINDOW characters, one a document, PER_LABEL of each language.
@@ -82,11 +82,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     name) and that mean. Only the text is read; repeated rows get equal results.
     """
     prepare(docs.sparkSession)
-    out = [docs.schema[k] for k in keep]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)
     letters = F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False))
     rows = docs.select(*keep, F.when(letters, F.col(text_col)).alias("__own")).select(*keep, utf8("__own").alias("__text"), F.col("__own").isNotNull().alias("__known"))
-    scored = rows.mapInArrow(_scored(model, [*keep, "__known"]), f"{fields}, __known boolean, lang_pred string, score double")
+    scored = rows.mapInArrow(_scored(model, [*keep, "__known"]),
+                             widened(docs, keep, "__known boolean, lang_pred string, score double"))
     return scored.select(*keep, F.when(F.col("__known"), F.col("lang_pred")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
                          F.when(F.col("__known"), F.col("score")).otherwise(F.lit(0.0)).alias("score"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from gustframe.llm.common import prepare, stored
+from gustframe.llm.common import packed, prepare, stored
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -232,8 +232,9 @@ def mixed(docs: DataFrame, members: Column, weights: tuple[int, ...] = WEIGHTS,
     source; null or empty array: taken 0 times). Documents without words are taken 0 times.
     """
     prepare(docs.sparkSession)
-    columns = [F.col(c) for c in docs.columns]
-    rows = seeded(docs, F.coalesce(members, F.array().cast("array<string>")), id_col, text_col, seed)
+    whole = packed(docs.withColumn("__members", F.coalesce(members, F.array().cast("array<string>"))), "__members")
+    rows = seeded(whole.select("*", F.col(f"__row.{id_col}").alias("__id"), F.col(f"__row.{text_col}").alias("__text")),
+                  F.col("__members"), "__id", "__text", seed)
     plan = make_plan(stored(rows.select("__names", "__pattern", "__size", "__key"), "mix-sizes"), weights, repeats)
     taken = copies(rows, plan).where("__copies > 0 and __size > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*columns)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("__row.*").drop("__members")

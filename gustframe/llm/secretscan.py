@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustframe.llm.common import byte_slices, prepare
+from gustframe.llm.common import byte_slices, prepare, widened
 
 KINDS = ("assign", "access", "hex")
 # The three base patterns and their least lengths.
@@ -117,7 +117,7 @@ def _inflated(data: bytes) -> bytes | None:
             return lzma.LZMADecompressor().decompress(data, MOST_INFLATED)
         if data[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)[:MOST_INFLATED]
+            return zstandard.ZstdDecompressor().stream_reader(data).read(MOST_INFLATED)
     except Exception as e:  # noqa: BLE001 - each library has its own error for data that only looks compressed
         if isinstance(e, MemoryError):
             raise
@@ -216,7 +216,6 @@ def secrets(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("d
     compressed). Null and empty texts have no spans; repeated rows get equal results.
     """
     prepare(docs.sparkSession)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    return rows.mapInArrow(_scanned(keep), f"{fields}, n_assign long, n_access long, n_hex long, base_sha256 string, "
-                                           "spans string, n_layers long")
+    return rows.mapInArrow(_scanned(keep), widened(docs, keep, "n_assign long, n_access long, n_hex long, "
+                                                        "base_sha256 string, spans string, n_layers long"))

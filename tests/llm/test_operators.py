@@ -144,6 +144,30 @@ def test_query_matches_sql(spark, name):
     assert len(a) == len(b) and digest(a) == digest(b)
 
 
+def test_pipeline_stages_on_awkward_rows(spark, docs, no_docs):
+    """Null ids, null and empty texts, repeated rows, and columns named like those the operators add."""
+    import corpus_pipeline as P
+    names = ("copies", "kept", "contaminated", "passages", "lang_pred", "n_words", "component_id", "cut_key", "held_out")
+    wide = docs.withColumns({c: F.lit(1) for c in names}).withColumn("a column", F.lit("x"))
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    every = wide.collect()
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, wide, SF)
+        assert got.columns == wide.columns and set(got.collect()) <= set(every), name
+        assert stage(spark, wide.limit(0), SF).count() == stage(spark, no_docs, SF).count() == 0, name
+    lettered = {r.doc_id for r in every if any(c.isalpha() for c in r.text or "")}
+    assert {r.doc_id for r in P.language_id(spark, wide, SF).collect()} <= lettered
+    assert sorted(r.doc_id or 0 for r in P.near_dedup(spark, wide, SF).collect()) == [0, 1, 2, 3, 4, 5, 5, 7, 8, 9, 10, 11]
+    clean = contamination(docs, bench).where("not contaminated")
+    assert P.decontamination(spark, wide, SF).count() == clean.count()
+    taken = {(r.doc_id, r["size"]): r.taken for r in mixing.mix(wide).collect()}
+    mix = P.mixing(spark, wide, SF)
+    for r in mix.groupBy("doc_id", F.regexp_count("text", F.lit(mixing.WORDS)).alias("words_in")).count().collect():
+        rows = 2 if r.doc_id == 5 else 1
+        assert taken[r.doc_id, r.words_in] * rows == r["count"] * r.words_in
+    assert P.tokens(spark, wide, SF).count() == wide.count() and P.tokens(spark, no_docs, SF).count() == 0
+
+
 def test_pipeline_stages_equal_their_operators(spark):
     import corpus_pipeline as P
     docs = spark.read.parquet(f"{SF}/documents.parquet")
