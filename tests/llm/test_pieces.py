@@ -202,7 +202,10 @@ def test_secret_layers():
     assert [(k, e - s) for s, k, e in base] == [(0, 18), (1, 20), (2, 32)] and every == base
     assert secretscan.scan("secret: token: abcdefghi")[0] == []             # the first match uses up the second word
     assert secretscan.scan("")[:2] == ([], [])
-    assert secretscan.scan("%41" * 50_000 + " " + base64.b64encode(zlib.compress(b"a" * 10**6)).decode())[1] == []
+    run, long = "%41" * 50_000, base64.b64encode(zlib.compress(b"z" * 10**6)).decode()
+    assert secretscan.scan(f"{run} {long}")[1] == []
+    long = base64.b64encode(zlib.compress(b"a" * 10**6)).decode()           # a's are a hex run
+    assert secretscan.scan(f"{run} {long}")[1] == [(len(run) + 1, 2, len(run) + 1 + len(long.rstrip("=")) + long.count("="))]
 
 
 def test_components_equal_union_find(spark):
