@@ -116,26 +116,47 @@ def recent_window_stats(m: DataFrame, key: str = "model_name", ts: str = "eval_d
 
 def baseline_comparison(m: DataFrame, key: str = "model_name", ts: str = "eval_day",
                         last: int = 7) -> DataFrame:
-    """EVL7 / JN7: latest row vs mean of the previous ``last`` rows, % change."""
+    """EVL7 / JN7: latest row vs mean of the previous ``last`` rows, % change. A model with fewer
+    previous rows keeps its row, with status ``insufficient_baseline_data`` and no baseline."""
     h = history_positions(m, key, ts)
     cur = h.where(F.col("recent_rank") == 1).select(key, *[F.col(c).alias(f"cur_{c}") for c in ("r2", "mae", "rmse")])
     base = (h.where((F.col("recent_rank") > 1) & (F.col("recent_rank") <= last + 1))
-            .groupBy(key).agg(*[F.avg(c).alias(f"base_{c}") for c in ("r2", "mae", "rmse")]))
-    j = cur.join(base, on=key, how="inner")
+            .groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"base_{c}") for c in ("r2", "mae", "rmse")])
+            .where(F.col("_n") >= last))
+    j = cur.join(base, on=key, how="left")
+    j = j.withColumn("status", F.when(F.col("_n").isNull(), "insufficient_baseline_data").otherwise("compared"))
     for c in ("r2", "mae", "rmse"):
         j = j.withColumn(f"{c}_change_pct",
-                         F.try_divide(F.col(f"cur_{c}") - F.col(f"base_{c}"), F.abs(F.col(f"base_{c}"))) * 100)
-    return j
+                         F.try_divide(F.col(f"cur_{c}") - F.col(f"base_{c}"), F.col(f"base_{c}")) * 100)
+    return j.drop("_n")
 
 
 def degradation_vs_production(m: DataFrame, production: str, key: str = "model_name",
                               ts: str = "eval_day", rel: float = 0.15, rmse_limit: float = 8.0) -> DataFrame:
-    """EVL8 / JN7: each model vs the production model on the same day."""
+    """EVL8 / JN7: each model vs the production model on the same day; on a day without a production
+    row only the RMSE limit decides."""
     prod = m.where(F.col(key) == production).select(ts, F.col("rmse").alias("prod_rmse"))
-    j = m.join(prod, on=ts, how="inner")
+    j = m.join(prod, on=ts, how="left")
     d = (F.col("rmse") - F.col("prod_rmse")) / F.col("prod_rmse")
     return j.select(key, ts, "rmse", "prod_rmse", d.alias("degradation"),
-                    ((d > rel) | (F.col("rmse") > rmse_limit)).alias("degraded"))
+                    (F.coalesce(d > rel, F.lit(False)) | (F.col("rmse") > rmse_limit)).alias("degraded"))
+
+
+def health_grade(m: DataFrame, as_of, registered: DataFrame | None = None, key: str = "model_name", ts: str = "eval_day",
+                 max_age_hours: int = 24, max_rmse: float = 0.2, min_quality: float = 0.8) -> DataFrame:
+    """EVL10: present, evaluated within ``max_age_hours``, RMSE and data quality of the latest row; a model
+    of ``registered`` without any row fails every check. Two failures are critical, one is a warning."""
+    g = m.groupBy(key).agg(F.max(ts).alias("_last"), F.max_by("rmse", ts).alias("_rmse"),
+                           F.max_by("data_quality_score", ts).alias("_quality"))
+    if registered is not None:
+        g = registered.select(key).distinct().join(g, on=key, how="full")
+    cut = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(max_age_hours))
+    passed = [F.col("_last").isNotNull(), F.col("_last") >= cut, F.col("_rmse") < max_rmse,
+              F.col("_quality") / 100 >= min_quality]
+    failed = sum((1 - F.coalesce(p, F.lit(False)).cast("int") for p in passed[1:]),
+                 1 - passed[0].cast("int"))
+    return g.select(key, passed[0].alias("model_present"), failed.alias("failed_checks"),
+                    F.when(failed >= 2, "critical").when(failed == 1, "warning").otherwise("healthy").alias("health"))
 
 
 def run_trend_stats(m: DataFrame, key: str = "model_name", ts: str = "eval_day", newest: int = 5) -> DataFrame:

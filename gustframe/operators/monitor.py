@@ -152,3 +152,17 @@ def error_rate(metrics: DataFrame, as_of, key: str = "host", ts: str = "metric_t
     g = d.groupBy(key).agg(F.sum("error_count").alias("_e"), F.sum("prediction_count").alias("_p"))
     return g.select(key, F.when(F.col("_p") > 0, 100.0 * F.col("_e") / F.col("_p"))
                     .otherwise(0.0).alias("error_rate"))
+
+
+def monitoring_report(metrics: DataFrame, firings: DataFrame, as_of, key: str = "host", ts: str = "metric_ts",
+                      hours: float = 24.0, max_error_rate: float = 5.0) -> DataFrame:
+    """MON5: one row per host ever seen, with its firings of the last ``hours`` and its error rate of the last
+    hour. A host without samples in that hour is silent: its rate is null and its status a warning."""
+    since = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(hours * 3600.0))
+    fired = firings.where(F.col("fired_ts") >= since).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    rate = error_rate(metrics, as_of, key, ts).withColumn("_seen", F.lit(True))
+    j = metrics.select(key).distinct().join(rate, on=key, how="left").join(fired, on=key, how="left")
+    n, silent = F.coalesce("_n", F.lit(0)), F.col("_seen").isNull()
+    return j.select(key, n.alias("n_firings"), "error_rate", silent.alias("silent"),
+                    F.when((n > 0) | silent | (F.col("error_rate") > max_error_rate), "warning")
+                    .otherwise("healthy").alias("status"))

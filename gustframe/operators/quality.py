@@ -36,6 +36,11 @@ def dq_checks(obs: DataFrame, scope: Sequence[str] = ("station_id",), ts: str =
     if missing:
         raise ValueError(f"DQ1 missing required columns: {missing}")
     scope = list(scope)
+    typed = obs
+    for c in MEASURES:      # text measures: values that are no number count in DQ2 and are missing for the other checks
+        if dict(obs.dtypes)[c] == "string":
+            typed = typed.withColumn(f"{c}__raw", F.col(c)).withColumn(c, F.col(c).try_cast("double"))
+    obs = typed
     n = F.count(F.lit(1))
     aggs = [n.alias("n"), F.count_if(F.col(ts).isNull()).alias("ts_null"),
             (n - F.count_distinct(ts)).alias("dup"),
@@ -45,6 +50,8 @@ def dq_checks(obs: DataFrame, scope: Sequence[str] = ("station_id",), ts: str =
         aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__null"),
                  F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"{c}__oor"),
                  F.count(c).alias(f"{c}__nn"),
+                 F.count_if(F.col(f"{c}__raw").isNotNull() & F.col(c).isNull() if f"{c}__raw" in obs.columns
+                            else F.lit(False)).alias(f"{c}__text"),
                  F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"{c}__q")]
     base = obs.groupBy(*scope).agg(*aggs)
     # DQ6 second pass: count rows outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR]
@@ -67,6 +74,9 @@ def dq_checks(obs: DataFrame, scope: Sequence[str] = ("station_id",), ts: str =
         _check("timestamp_format", F.when(F.col("ts_null") > 0, err).otherwise(info),
                F.col("ts_null") == 0, F.col("ts_null")),
     ]
+    for c in MEASURES:
+        text = F.col(f"{c}__text")
+        checks.append(_check(f"{c}_numeric", F.when(text > 0, warn).otherwise(info), text == 0, text))
     for c in MEASURES:
         oor = F.col(f"{c}__oor")
         checks.append(_check(f"{c}_range", F.when(oor > 0, warn).otherwise(info), oor == 0, oor))
@@ -99,6 +109,13 @@ def dq_checks(obs: DataFrame, scope: Sequence[str] = ("station_id",), ts: str =
     return w.select(*scope, F.explode(F.array(*checks)).alias("c")).select(*scope, "c.*")
 
 
+def dq_structure(obs: DataFrame) -> DataFrame:
+    """DQ1 for the whole input, one row even where it is empty (then critical)."""
+    n = F.count(F.lit(1))
+    return obs.agg(n.alias("n")).select(_check(
+        "basic_structure", F.when(F.col("n") == 0, "critical").otherwise("info"), F.col("n") >= 1, F.col("n")).alias("c")).select("c.*")
+
+
 def dq_summary(checks: DataFrame, scope: Sequence[str] = ("station_id",)) -> DataFrame:
     """DQ9 grade + DQ10 score and gate per scope."""
     sev = F.col("severity")

@@ -83,12 +83,15 @@ def q_recent(spark, sf):
 
 
 @register("EVL7_baseline_comparison", """model_name string, cur_r2 double, base_r2 double, r2_change_pct double,
-cur_mae double, base_mae double, mae_change_pct double, cur_rmse double, base_rmse double, rmse_change_pct double""", """
+cur_mae double, base_mae double, mae_change_pct double, cur_rmse double, base_rmse double, rmse_change_pct double,
+status string""", """
 WITH h AS (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY eval_day DESC) AS rk FROM $model_metrics),
 c AS (SELECT model_name, r2 AS cur_r2, mae AS cur_mae, rmse AS cur_rmse FROM h WHERE rk = 1),
-b AS (SELECT model_name, avg(r2) AS base_r2, avg(mae) AS base_mae, avg(rmse) AS base_rmse FROM h WHERE rk BETWEEN 2 AND 8 GROUP BY model_name)
-SELECT *, (cur_r2 - base_r2) / abs(base_r2) * 100 AS r2_change_pct, (cur_mae - base_mae) / abs(base_mae) * 100 AS mae_change_pct,
-  (cur_rmse - base_rmse) / abs(base_rmse) * 100 AS rmse_change_pct FROM c JOIN b USING (model_name)""",
+b AS (SELECT model_name, avg(r2) AS base_r2, avg(mae) AS base_mae, avg(rmse) AS base_rmse FROM h WHERE rk BETWEEN 2 AND 8 GROUP BY model_name HAVING count(*) >= 7)
+SELECT c.*, base_r2, base_mae, base_rmse, (cur_r2 - base_r2) / base_r2 * 100 AS r2_change_pct,
+  (cur_mae - base_mae) / base_mae * 100 AS mae_change_pct, (cur_rmse - base_rmse) / base_rmse * 100 AS rmse_change_pct,
+  CASE WHEN b.model_name IS NULL THEN 'insufficient_baseline_data' ELSE 'compared' END AS status
+FROM c LEFT JOIN b ON b.model_name = c.model_name""",
           ids=("EVL7", "JN7"))
 def q_baseline(spark, sf):
     return EV.baseline_comparison(model_metrics(spark, sf))
@@ -97,8 +100,8 @@ def q_baseline(spark, sf):
 @register("EVL8_degradation_vs_production", """model_name string, eval_day timestamp, rmse double,
 prod_rmse double, degradation double, degraded boolean""", f"""
 SELECT m.model_name, m.eval_day, m.rmse, p.rmse AS prod_rmse, (m.rmse - p.rmse) / p.rmse AS degradation,
-  (m.rmse - p.rmse) / p.rmse > 0.15 OR m.rmse > 8.0 AS degraded
-FROM $model_metrics m JOIN (SELECT eval_day, rmse FROM $model_metrics WHERE model_name = '{PRODUCTION}') p USING (eval_day)""",
+  coalesce((m.rmse - p.rmse) / p.rmse > 0.15, false) OR m.rmse > 8.0 AS degraded
+FROM $model_metrics m LEFT JOIN (SELECT eval_day, rmse FROM $model_metrics WHERE model_name = '{PRODUCTION}') p USING (eval_day)""",
           ids=("EVL8", "JN7"))
 def q_degradation(spark, sf):
     return EV.degradation_vs_production(model_metrics(spark, sf), PRODUCTION)
@@ -169,11 +172,13 @@ def q_run_retention(spark, sf):
 
 
 @register("SRT5_best_model_per_day", "eval_day timestamp, best_model string, best_rmse double", """
-SELECT eval_day, arg_min(model_name, rmse) AS best_model, min(rmse) AS best_rmse FROM $model_metrics GROUP BY eval_day""",
+SELECT eval_day, model_name AS best_model, rmse AS best_rmse FROM $model_metrics
+QUALIFY row_number() OVER (PARTITION BY eval_day ORDER BY rmse, model_name) = 1""",
           ids=("SRT5", "ML10"))
 def q_best(spark, sf):
     m = model_metrics(spark, sf)
-    return m.groupBy("eval_day").agg(F.min_by("model_name", "rmse").alias("best_model"), F.min("rmse").alias("best_rmse"))
+    best = m.groupBy("eval_day").agg(F.min(F.struct("rmse", "model_name")).alias("b"))
+    return best.select("eval_day", F.col("b.model_name").alias("best_model"), F.col("b.rmse").alias("best_rmse"))
 
 
 @register("SRC9_metric_history", "model_name string, eval_day timestamp, rmse double, r2 double", f"""
@@ -184,20 +189,20 @@ def q_history(spark, sf):
     return m.orderBy(F.col("eval_day").desc()).limit(10).select("model_name", "eval_day", "rmse", "r2")
 
 
-@register("EVL10_health_grade", "model_name string, failed_checks int, health string", """
-SELECT model_name, f AS failed_checks, CASE WHEN f >= 2 THEN 'critical' WHEN f = 1 THEN 'warning' ELSE 'healthy' END AS health
-FROM (SELECT model_name,
-   CAST(max(eval_day) < (SELECT max(ts) FROM events) - INTERVAL 24 HOUR AS INT)
-   + CAST(arg_max(rmse, eval_day) >= 0.2 AS INT) + CAST(arg_max(data_quality_score, eval_day) / 100 < 0.8 AS INT) AS f
-  FROM $model_metrics GROUP BY model_name)""", ids=("EVL10",))
+# Registered models: those that predict, and a candidate that has not predicted yet.
+CANDIDATE = "candidate"
+
+
+@register("EVL10_health_grade", "model_name string, model_present boolean, failed_checks int, health string", f"""
+SELECT model_name, model_present, f AS failed_checks, CASE WHEN f >= 2 THEN 'critical' WHEN f = 1 THEN 'warning' ELSE 'healthy' END AS health
+FROM (SELECT model_name, last_day IS NOT NULL AS model_present,
+   CAST(last_day IS NULL AS INT) + CAST(NOT coalesce(last_day >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR, false) AS INT)
+   + CAST(NOT coalesce(rmse_last < 0.2, false) AS INT) + CAST(NOT coalesce(dq_last / 100 >= 0.8, false) AS INT) AS f
+  FROM (SELECT DISTINCT event_type AS model_name FROM events UNION SELECT '{CANDIDATE}') r
+  LEFT JOIN (SELECT model_name, max(eval_day) AS last_day, arg_max(rmse, eval_day) AS rmse_last,
+               arg_max(data_quality_score, eval_day) AS dq_last FROM $model_metrics GROUP BY model_name) USING (model_name))""",
+          ids=("EVL10",))
 def q_health(spark, sf):
-    m = model_metrics(spark, sf)
     as_of = T.max_value(T.table(spark, sf, "events"), "ts")
-    cut = F.lit(as_of).cast("timestamp_ntz") - F.expr("INTERVAL 24 HOURS")
-    g = m.groupBy("model_name").agg(F.max("eval_day").alias("last_day"),
-                                    F.max_by("rmse", "eval_day").alias("rmse_last"),
-                                    F.max_by("data_quality_score", "eval_day").alias("dq_last"))
-    f = ((F.col("last_day") < cut).cast("int") + (F.col("rmse_last") >= 0.2).cast("int")
-         + (F.col("dq_last") / 100 < 0.8).cast("int"))
-    return g.select("model_name", f.alias("failed_checks"),
-                    F.when(f >= 2, "critical").when(f == 1, "warning").otherwise("healthy").alias("health"))
+    registered = spark.createDataFrame([(CANDIDATE,)], "model_name string")
+    return EV.health_grade(model_metrics(spark, sf), as_of, registered)

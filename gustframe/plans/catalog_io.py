@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gustframe.functions.timefn import trunc_ntz
 from gustframe.plans import common as X
 from gustframe.sources import sinks as SK
 from gustframe.sources import tables as T
@@ -17,13 +18,14 @@ def q_labels(spark, sf):
     return SK.label_dataset(X.frame_table(spark, sf))
 
 
-@register("SNK8_serving_snapshot", "model_name string, eval_ts timestamp, prediction double", """
-SELECT model_name, eval_ts, prediction FROM (
-  SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY eval_ts DESC) AS rk FROM $predictions) p
+@register("SNK8_serving_snapshot", "model_name string, eval_ts timestamp, event_id bigint, prediction double", """
+SELECT model_name, eval_ts, event_id, prediction FROM (
+  SELECT *, row_number() OVER (PARTITION BY model_name, date_trunc('hour', eval_ts) ORDER BY eval_ts DESC, event_id DESC) AS rk FROM $predictions) p
 WHERE rk = 1 AND eval_ts >= (SELECT max(ts) FROM events) - INTERVAL 3600 SECOND""", ids=("SNK8",))
 def q_snapshot(spark, sf):
-    p = T.predictions(spark, sf).select("model_name", "eval_ts", "prediction")
-    return SK.latest_per_key(p, ["model_name"], "eval_ts", T.max_value(T.table(spark, sf, "events"), "ts"))
+    p = T.predictions(spark, sf).select("model_name", "eval_ts", "event_id", "prediction")
+    return SK.latest_per_key(p, ["model_name", trunc_ntz("hour", "eval_ts")], "eval_ts",
+                             T.max_value(T.table(spark, sf, "events"), "ts"), tie=("event_id",))
 
 
 @register("SET1_2_union_feature_files", "station_id string, window_start timestamp, n_obs bigint, baseline_comfort_score double, source string", """

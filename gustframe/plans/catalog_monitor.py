@@ -49,12 +49,15 @@ def _rule_eval(spark, sf):
 
 
 @register("MON1_WIN10_sustained_breach", """rule_name string, host string, event_id bigint, metric_ts timestamp,
-value double, breach boolean, streak bigint, sustained boolean""",
-          "SELECT rule_name, host, event_id, metric_ts, value, breach, streak, sustained FROM $rule_eval",
-          ids=("MON1", "WIN10", "JN5", "FLT6", "UDF2", "UDF3"))
+value double, breach boolean, streak bigint, sustained boolean, message string""", """
+SELECT rule_name, host, event_id, metric_ts, value, breach, streak, sustained,
+  CASE WHEN sustained THEN printf('%s: %s is %.2f (threshold %.2f)', rule_name, metric, value, threshold) END AS message
+FROM $rule_eval""",
+          ids=("MON1", "MON2", "WIN10", "JN5", "FLT6", "UDF2", "UDF3"))
 def q_breach(spark, sf):
     return _rule_eval(spark, sf).select("rule_name", "host", "event_id", "metric_ts", "value", "breach",
-                                        "streak", "sustained")
+                                        "streak", "sustained", F.when(F.col("sustained"), MO.alert_message(
+                                            F.col("rule_name"), F.col("metric"), F.col("value"), F.col("threshold"))).alias("message"))
 
 
 @register("MON1_WIN11_alert_firings", "rule_name string, host string, fired_ts timestamp, message string", """
@@ -139,16 +142,13 @@ def q_hist(spark, sf):
         F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("mean_prediction"), F.avg("actual").alias("mean_actual"))
 
 
-@register("MON5_monitoring_report", "host string, n_firings bigint, error_rate double, status string", """
-SELECT e.host, coalesce(f.n, 0) AS n_firings, e.error_rate,
-  CASE WHEN coalesce(f.n, 0) > 0 OR e.error_rate > 5 THEN 'warning' ELSE 'healthy' END AS status
-FROM (SELECT host, CASE WHEN sum(prediction_count) > 0 THEN 100.0 * sum(error_count) / sum(prediction_count) ELSE 0 END AS error_rate
-      FROM $system_metrics WHERE metric_ts >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY host) e
-LEFT JOIN (SELECT host, count(*) AS n FROM $firings GROUP BY host) f USING (host)""", ids=("MON5", "SET3"))
+@register("MON5_monitoring_report", "host string, n_firings bigint, error_rate double, silent boolean, status string", """
+SELECT h.host, coalesce(f.n, 0) AS n_firings, e.error_rate, e.host IS NULL AS silent,
+  CASE WHEN coalesce(f.n, 0) > 0 OR e.host IS NULL OR e.error_rate > 5 THEN 'warning' ELSE 'healthy' END AS status
+FROM (SELECT DISTINCT host FROM $system_metrics) h LEFT JOIN (SELECT host, CASE WHEN sum(prediction_count) > 0 THEN 100.0 * sum(error_count) / sum(prediction_count) ELSE 0 END AS error_rate
+      FROM $system_metrics WHERE metric_ts >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY host) e ON e.host = h.host
+LEFT JOIN (SELECT host, count(*) AS n FROM $firings WHERE fired_ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR
+           GROUP BY host) f ON f.host = h.host""", ids=("MON5", "SET3"))
 def q_report(spark, sf):
     m = T.system_metrics(spark, sf)
-    er = MO.error_rate(m, T.max_value(T.table(spark, sf, "events"), "ts"))
-    f = MO.apply_cooldown(_rule_eval(spark, sf)).groupBy("host").agg(F.count(F.lit(1)).alias("n_firings"))
-    j = er.join(f, on="host", how="left").withColumn("n_firings", F.coalesce("n_firings", F.lit(0)))
-    return j.withColumn("status", F.when((F.col("n_firings") > 0) | (F.col("error_rate") > 5), "warning")
-                        .otherwise("healthy"))
+    return MO.monitoring_report(m, MO.apply_cooldown(_rule_eval(spark, sf)), T.max_value(T.table(spark, sf, "events"), "ts"))

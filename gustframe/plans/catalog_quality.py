@@ -16,6 +16,7 @@ def _dq_sql() -> str:
         aggs += [f"count(*) FILTER (WHERE {c} IS NULL) AS {c}__null",
                  f"count(*) FILTER (WHERE {c} < {lo} OR {c} > {hi}) AS {c}__oor",
                  f"count({c}) AS {c}__nn",
+                 f"count(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST({c} AS DOUBLE) IS NULL) AS {c}__text",
                  f"quantile_cont({c}, 0.25) AS {c}__q1", f"quantile_cont({c}, 0.75) AS {c}__q3"]
     outs = [f"count(*) FILTER (WHERE o.{c} < b.{c}__q1 - 1.5 * (b.{c}__q3 - b.{c}__q1) "
             f"OR o.{c} > b.{c}__q3 + 1.5 * (b.{c}__q3 - b.{c}__q1)) AS {c}__out" for c in MEASURES]
@@ -23,6 +24,8 @@ def _dq_sql() -> str:
         "SELECT station_id, 'basic_structure' AS name, CASE WHEN n = 0 THEN 'critical' ELSE 'info' END AS severity, n >= 1 AS passed, n AS issue_count, NULL AS ratio FROM w",
         "SELECT station_id, 'timestamp_format', CASE WHEN ts_null > 0 THEN 'error' ELSE 'info' END, ts_null = 0, ts_null, NULL FROM w",
     ]
+    for c in MEASURES:
+        rows.append(f"SELECT station_id, '{c}_numeric', CASE WHEN {c}__text > 0 THEN 'warning' ELSE 'info' END, {c}__text = 0, {c}__text, NULL FROM w")
     for c in MEASURES:
         rows.append(f"SELECT station_id, '{c}_range', CASE WHEN {c}__oor > 0 THEN 'warning' ELSE 'info' END, {c}__oor = 0, {c}__oor, NULL FROM w")
     rows.append("SELECT station_id, 'temporal_continuity', CASE WHEN n_gaps > 0 AND irregular_count > 0 THEN 'warning' ELSE 'info' END, n_gaps = 0 OR irregular_count = 0, irregular_count, NULL FROM w")

@@ -129,10 +129,11 @@ def q_training_stats(spark, sf):
                      & (F.col("avg_quality") >= 0.6)).alias("gate_passed"))
 
 
-@register("DQ15_16_daily_alerts", """station_id string, sets_24h bigint, quality_24h double, volume_alert boolean,
-quality_alert boolean, event_grade string""", """
+@register("DQ15_16_daily_alerts", """station_id string, sets_24h bigint, quality_24h double, completeness_24h double, volume_alert boolean,
+quality_alert boolean, completeness_alert boolean, event_grade string""", """
 WITH s AS (SELECT * FROM $training_sets WHERE window_start >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR)
 SELECT station_id, count(*) AS sets_24h, avg(quality_score) AS quality_24h, count(*) < 12 AS volume_alert,
+  least(1, count(*) * 3.0 / 24) AS completeness_24h, least(1, count(*) * 3.0 / 24) < 0.5 AS completeness_alert,
   avg(quality_score) < 0.6 AS quality_alert,
   CASE WHEN avg(quality_score) * 100 >= 80 THEN 'info' WHEN avg(quality_score) * 100 >= 60 THEN 'warning' ELSE 'error' END AS event_grade
 FROM s GROUP BY station_id""", ids=("DQ15", "DQ16", "FLT2"))
@@ -141,7 +142,9 @@ def q_daily_alerts(spark, sf):
     s = training_sets(spark, sf).where(F.col("window_start") >= F.lit(as_of).cast("timestamp_ntz") - F.expr("INTERVAL 24 HOURS"))
     g = s.groupBy("station_id").agg(F.count(F.lit(1)).alias("sets_24h"), F.avg("quality_score").alias("quality_24h"))
     q = F.col("quality_24h") * 100
-    return g.select("*", (F.col("sets_24h") < 12).alias("volume_alert"), (F.col("quality_24h") < 0.6).alias("quality_alert"),
+    share = F.least(F.lit(1.0), F.col("sets_24h") * 3.0 / 24)
+    return g.select("*", share.alias("completeness_24h"), (F.col("sets_24h") < 12).alias("volume_alert"),
+                    (F.col("quality_24h") < 0.6).alias("quality_alert"), (share < 0.5).alias("completeness_alert"),
                     F.when(q >= 80, "info").when(q >= 60, "warning").otherwise("error").alias("event_grade"))
 
 

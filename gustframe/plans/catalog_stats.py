@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gustframe.functions.timefn import trunc_ntz
 from gustframe.operators import clean as CL
 from gustframe.operators import stats as ST
-from gustframe.operators.frames import lookback
+from gustframe.operators.frames import lookback, tumbling, with_precipitation_type
 from gustframe.operators.scores import (alternate_penalties, comfort_probability, comfort_probability_aggs,
                                         frame_features)
 from gustframe.plans import common as X
@@ -205,7 +205,8 @@ SELECT station_id, window_start, has_snow, n_types,
   (VALUES ('detail_tmax'), ('detail_tmin')) t(k), LATERAL (SELECT CASE WHEN k = 'detail_tmax' THEN tmax ELSE tmin END AS v)""",
           ids=("JSN1", "MAP1", "ARR2"))
 def q_nested(spark, sf):
-    fr = X.frames(spark, sf).join(T.table(spark, sf, "events").select("event_id", "props"), "event_id")
+    ev = T.table(spark, sf, "events")
+    fr = tumbling(with_precipitation_type(T.observations_from_events(ev, "props")))
     parsed = fr.withColumn("p", F.from_json("props", "k INT"))
     g = parsed.groupBy("station_id", "window_start").agg(
         F.collect_set("precipitation_type").alias("types"), F.max("p.k").alias("k_max"),

@@ -57,10 +57,11 @@ def append_rows(df: DataFrame, base: str, partition_by=()) -> None:
     w.parquet(base)
 
 
-def latest_per_key(df: DataFrame, keys, ts: str, as_of, ttl_seconds: int = 3600) -> DataFrame:
-    """SNK8: the serving snapshot -- latest row per key, valid for ``ttl_seconds``."""
+def latest_per_key(df: DataFrame, keys, ts: str, as_of, ttl_seconds: int = 3600, tie=()) -> DataFrame:
+    """SNK8: the serving snapshot -- latest row per key, valid for ``ttl_seconds``. Of rows with the same
+    time the greatest in ``tie`` wins."""
     cols = df.columns
-    g = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col(ts)).alias("_r")).select("_r.*")
+    g = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(ts, *tie)).alias("_r")).select("_r.*")
     fresh = F.col(ts) >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), F.lit(float(ttl_seconds)))
     return g.where(fresh)
@@ -74,10 +75,13 @@ def latest_file(spark: SparkSession, prefix: str, pattern: str = "*") -> DataFra
                        F.max("modificationTime").alias("modificationTime"))
 
 
-def recent_quality_reports(spark: SparkSession, base: str, n: int = 10) -> DataFrame:
-    """SRC7: mean feature quality and total rows over the newest ``n`` report files."""
-    r = spark.read.json(base).withColumn("_file", F.col("_metadata.file_path")) \
-        .withColumn("_mtime", F.col("_metadata.file_modification_time"))
-    files = r.groupBy("_file").agg(F.max("_mtime").alias("_mtime")).orderBy(F.col("_mtime").desc()).limit(n)
-    return r.join(files.select("_file"), on="_file", how="left_semi").agg(
-        F.avg("quality_score").alias("avg_quality"), F.count(F.lit(1)).alias("rows"))
+def recent_quality_reports(spark: SparkSession, base: str, as_of, n: int = 10, hours: float = 24.0,
+                           score: str = "feature_quality_score", rows: str = "row_count") -> DataFrame:
+    """SRC7: mean score and total row count over the newest ``n`` report files of the ``hours`` before ``as_of``
+    (a timestamp; files are dated by their modification time). Reports without a score count for neither."""
+    r = spark.read.json(base).select(score, rows, F.col("_metadata.file_path").alias("_file"),
+                                     F.col("_metadata.file_modification_time").alias("_mtime"))
+    r = r.where(F.col("_mtime") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(hours * 3600.0)))
+    files = r.groupBy("_file").agg(F.max("_mtime").alias("_mtime")).orderBy(F.col("_mtime").desc(), F.col("_file").desc()).limit(n)
+    scored = r.join(files.select("_file"), on="_file", how="left_semi").where(F.col(score).isNotNull())
+    return scored.agg(F.avg(score).alias("avg_quality"), F.coalesce(F.sum(rows), F.lit(0)).cast("bigint").alias("rows"))

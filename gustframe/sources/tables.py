@@ -21,18 +21,18 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("double")
 
 
-def observations_from_events(events: DataFrame) -> DataFrame:
-    """Station observations: 10 stations, wall-clock NTZ timestamps."""
-    return _obs_with_raw(events).select("station_id", "obs_ts", "temperature_c", "wind_speed_ms",
-                                        "precipitation_mm", "relative_humidity", "event_id")
+def observations_from_events(events: DataFrame, *carried: str) -> DataFrame:
+    """Station observations: 10 stations, wall-clock NTZ timestamps; ``carried`` event columns go along."""
+    return _obs_with_raw(events, *carried).select("station_id", "obs_ts", "temperature_c", "wind_speed_ms",
+                                        "precipitation_mm", "relative_humidity", "event_id", *carried)
 
 
-def _obs_with_raw(events: DataFrame) -> DataFrame:
+def _obs_with_raw(events: DataFrame, *carried: str) -> DataFrame:
     """Observation columns plus the event columns the wide view needs (one projection)."""
     eid = F.col("event_id")
     return events.select(
         (F.lit(100) + F.col("user_id") % 10).cast("string").alias("station_id"),
-        F.col("ts").alias("obs_ts"), eid.alias("event_id"), "event_type", "user_id",
+        F.col("ts").alias("obs_ts"), eid.alias("event_id"), "event_type", "user_id", *carried,
         (_k() / 2 - 12.5).alias("temperature_c"),
         (F.col("value") / 16.0).alias("wind_speed_ms"),
         F.when(F.col("event_type") == "error", (eid % 32) / 4.0).otherwise(F.lit(0.0)).alias("precipitation_mm"),

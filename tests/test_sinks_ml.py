@@ -1,5 +1,6 @@
 """Sinks, listings, random split and the pattern index."""
 
+import datetime as dt
 import os
 import time
 
@@ -31,8 +32,15 @@ def test_quality_reports_and_recent_scan(spark, tmp_path):
     rep = dq_summary(dq_checks(T.observations(spark, SF)))
     base = str(tmp_path / "reports")
     SK.write_quality_reports(rep, base)
-    r = SK.recent_quality_reports(spark, base, n=3).first()
-    assert r["rows"] == 3 and 0 <= r["avg_quality"] <= 100
+    now = dt.datetime.now(dt.timezone.utc) + dt.timedelta(minutes=1)
+    recent = lambda as_of, n: SK.recent_quality_reports(spark, base, as_of, n, score="quality_score", rows="total_checks").first()
+    files = spark.read.json(base).select(F.col("_metadata.file_path")).distinct().count()
+    checks = rep.agg(F.sum("total_checks")).first()[0]
+    r = recent(now, files)
+    assert r["rows"] == checks and 0 <= r["avg_quality"] <= 100
+    assert 0 < recent(now, 3)["rows"] < checks
+    late = recent(now + dt.timedelta(hours=25), files)                # all reports are older than a day
+    assert late["rows"] == 0 and late["avg_quality"] is None
 
 
 def test_latest_file_listing(spark, tmp_path):
@@ -53,11 +61,13 @@ def test_serving_snapshot_freshness(spark):
     assert snap.where(F.col("eval_ts") > F.lit(as_of)).count() == 0
 
 
-def test_random_split_is_a_partition(spark):
-    ft = X.frame_table(spark, SF)
-    tr, te = ft.randomSplit([0.8, 0.2], seed=42)
-    assert tr.count() + te.count() == ft.count()
-    assert tr.join(te, ["station_id", "window_start"]).count() == 0
+def test_random_split_is_a_partition_and_stable(spark):
+    ft = T.predictions(spark, SF)
+    split = TR.random_split(ft, "event_id")
+    n, test = ft.count(), split.where("is_test").count()
+    assert 0.15 * n < test < 0.25 * n and split.where("is_test is null").count() == 0
+    again = TR.random_split(ft.repartition(7), "event_id").where("is_test")
+    assert again.join(split.where("is_test"), "event_id", "left_anti").count() == 0 and again.count() == test
 
 
 def test_pattern_index_centered(spark):
@@ -85,7 +95,6 @@ def test_append_sinks_and_pipeline_report(spark, tmp_path):
 
 
 def test_station_wall_clock(spark):
-    import datetime as dt
     from gustframe.functions.timefn import station_wall_clock
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0),)], "t timestamp")
     r = df.select(station_wall_clock("t").alias("w")).first()["w"]
@@ -117,3 +126,41 @@ def test_ridge_has_the_closed_form_of_population_scaling(spark):
     assert abs(metrics.first().rmse - rmse) < 1e-6
     cv = TR.cross_validate(df.withColumn("fold", F.col("is_test").cast("int")), ["x"], "y")
     assert cv["folds"] == 2 and cv["cv_rmse_mean"] > 0
+
+
+def test_snapshot_ties_go_to_the_greatest_id(spark):
+    t = dt.datetime(2024, 1, 1, 12)
+    p = spark.createDataFrame([("a", t, i, float(i)) for i in (3, 9, 5)], "m string, t timestamp_ntz, event_id long, v double")
+    assert SK.latest_per_key(p, ["m"], "t", t, tie=("event_id",)).first().event_id == 9
+
+
+def test_text_measures_and_empty_input(spark):
+    from gustframe.operators.quality import dq_checks, dq_structure
+    rows = [("s", dt.datetime(2024, 1, 1, h), v, 1.0, 0.0, 50.0, h) for h, v in enumerate(["1.5", "wet", None, "2"])]
+    obs = spark.createDataFrame(rows, "station_id string, obs_ts timestamp_ntz, temperature_c string, wind_speed_ms double,"
+                                      " precipitation_mm double, relative_humidity double, event_id long")
+    got = {r["name"]: r for r in dq_checks(obs).collect()}
+    assert got["temperature_c_numeric"].issue_count == 1 and got["temperature_c_numeric"].severity == "warning"
+    assert got["wind_speed_ms_numeric"].passed and got["missing_temperature_c"].issue_count == 2
+    empty = dq_structure(obs.limit(0)).first()
+    assert empty.severity == "critical" and not empty.passed and dq_structure(obs).first().passed
+
+
+def test_silent_host_and_short_history_stay(spark):
+    from gustframe.operators import evaluate as EV
+    from gustframe.operators import monitor as MO
+    as_of = dt.datetime(2024, 1, 2)
+    m = spark.createDataFrame([("up", dt.datetime(2024, 1, 1, 23, 30), 0, 4), ("gone", dt.datetime(2024, 1, 1, 3), 1, 1)],
+                              "host string, metric_ts timestamp_ntz, error_count int, prediction_count int")
+    fired = spark.createDataFrame([("up", dt.datetime(2023, 12, 1))], "host string, fired_ts timestamp_ntz")
+    got = {r.host: r for r in MO.monitoring_report(m, fired, as_of).collect()}
+    assert got["gone"].silent and got["gone"].status == "warning"
+    assert got["up"].n_firings == 0 and got["up"].status == "healthy" and not got["up"].silent
+    day = lambda i: dt.datetime(2024, 1, 1 + i)
+    h = spark.createDataFrame([("old", day(i), 0.5, 1.0, 2.0) for i in range(8)] + [("new", day(8), 0.4, 1.0, 3.0)],
+                              "model_name string, eval_day timestamp_ntz, r2 double, mae double, rmse double")
+    got = {r.model_name: r for r in EV.baseline_comparison(h).collect()}
+    assert got["old"].status == "compared" and got["old"].r2_change_pct == 0
+    assert got["new"].status == "insufficient_baseline_data" and got["new"].base_r2 is None
+    alone = EV.degradation_vs_production(h, "old").where("model_name = 'new'").first()
+    assert alone.degradation is None and not alone.degraded
