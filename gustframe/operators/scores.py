@@ -94,13 +94,13 @@ def comfort_probability(d: DataFrame) -> DataFrame:
 
 
 def frame_features(obs: DataFrame, keys=("station_id", "window_start"), min_obs: int = 1,
-                   frame_hours: int = 3) -> DataFrame:
-    """FTR8: frame aggregates + dominant type + baseline score, one row per frame.
+                   frame_hours: int = 3, more=()) -> DataFrame:
+    """FTR8: frame aggregates + dominant type + baseline score, one row per frame; ``more`` aggregates ride along.
 
     ``obs`` must carry ``precipitation_type`` (PRJ3) and the frame columns. The shuffle
     key is (station, window_start) only; ``window_end`` is derived after the aggregate.
     """
-    agg = obs.groupBy(*keys).agg(*frame_aggregates())
+    agg = obs.groupBy(*keys).agg(*frame_aggregates(), *more)
     if min_obs > 1:
         agg = agg.where(F.col("n_obs") >= min_obs)
     out = baseline_score(agg)

@@ -77,12 +77,8 @@ SELECT station_id, avg(err) AS mean_absolute_error, stddev_pop(err) AS std_error
   min(err) AS min_error, count(*) AS feedback_count, greatest(0, 1 - avg(err)) AS accuracy_score
 FROM e WHERE rk <= 50 GROUP BY station_id""", ids=("AGG22", "WIN9", "SCR5"))
 def q_feedback(spark, sf):
-    fr = X.frames(spark, sf)
-    keys = ["station_id", "window_start", "window_end"]
-    agg = fr.groupBy(*keys).agg(*comfort_probability_aggs())
-    prob = comfort_probability(agg)
-    ft = X.frame_table(spark, sf).join(prob.drop("window_end"), ["station_id", "window_start"])
-    return ST.feedback_metrics(ft)
+    ft = frame_features(X.frames(spark, sf), more=comfort_probability_aggs())
+    return ST.feedback_metrics(comfort_probability(ft))
 
 
 @register("AGG23_collection_completeness", """station_id string, obs_date date, total_observations bigint,

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,17 +33,43 @@ MISSING_TOKENS = ("-9.0", "-9", "-")
 PATH_RE = r"/([^/]+)/([^/]+)/(\d{4})/(\d{2})/(\d{2})/(\d{4})\.[^/]*$"
 
 
-def read_raw_lines(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
+def _prefixes(root: str, stations, days) -> str:
+    """Path (glob) of the station and day folders under ``root``; ``root`` itself where neither is given."""
+    if not stations and not days:
+        return root
+    one_of = lambda names: "{" + ",".join(names) + "}"
+    station = one_of(map(str, stations)) if stations else "*"
+    day = one_of(d.strftime("%Y/%m/%d") for d in days) if days else "*"
+    return f"{root.rstrip('/')}/*/{station}/{day}"
+
+
+def skipped_files(spark: SparkSession, lines: DataFrame, root: str, pattern: str = "*.txt", stations=None, days=None) -> DataFrame:
+    """SRC1: paths of the landed files that gave no line to ``lines`` because they could not be read."""
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+              .load(_prefixes(root, stations, days)).select(F.col("path").alias("file_path")))
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  listings differ in how they write a local scheme
+    return (listed.withColumn("_p", bare("file_path"))
+            .join(lines.select(bare("file_path").alias("_p")).distinct(), "_p", "left_anti").select("file_path"))
+
+
+def read_raw_lines(spark: SparkSession, root: str, pattern: str = "*.txt", stations=None, days=None) -> DataFrame:
     """SRC1: every line of every file under ``root`` with file path and exact line number.
 
     Landed payloads are small per-station/hour files, so each file is read whole
     (``wholetext``) and split with ``posexplode``: line numbers are exact (a split
     file would lose its order), and files stay the unit of parallelism.
-    ``ignoreCorruptFiles`` skips unreadable files; station and date come from the path,
-    so a directory filter (partition-style prefix) prunes whole days.
+    ``stations`` and ``days`` (dates) name the folders to list: no other file is listed or read, and
+    folders that are not there give no rows. ``ignoreCorruptFiles`` skips unreadable files;
+    ``skipped_files`` names them.
     """
-    df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-          .option("ignoreCorruptFiles", "true").option("wholetext", "true").text(root))
+    reader = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+              .option("ignoreCorruptFiles", "true").option("wholetext", "true"))
+    try:
+        df = reader.text(_prefixes(root, stations, days))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND" or not (stations or days):
+            raise
+        return spark.createDataFrame([], "file_path string, provider string, path_station string, line_no bigint, value string")
     path = F.col("_metadata.file_path")
     d = df.select(path.alias("file_path"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
     return d.select(

@@ -164,3 +164,21 @@ def test_silent_host_and_short_history_stay(spark):
     assert got["new"].status == "insufficient_baseline_data" and got["new"].base_r2 is None
     alone = EV.degradation_vs_production(h, "old").where("model_name = 'new'").first()
     assert alone.degradation is None and not alone.degraded
+
+
+def test_feature_loads_metric_and_log_rows(spark, tmp_path):
+    ft = X.frame_table(spark, SF).select("station_id", "window_start", "baseline_comfort_score")
+    base, n = str(tmp_path / "features"), ft.count()
+    early = F.dayofmonth("window_start") <= 15
+    SK.write_features(ft.where(early), base, "comfort", "v1", load_id="a")
+    SK.write_features(ft.where(~early), base, "comfort", "v1", load_id="b")
+    SK.write_features(ft.where(~early), base, "comfort", "v1", load_id="b")
+    assert SK.read_features(spark, base, "comfort", "v1").count() == n
+    assert SK.read_features(spark, base, "comfort", "v2").count() == 0
+    logs = spark.createDataFrame([("ERROR", "m1"), ("INFO", "m2")], "level string, module string")
+    for name, rows, by in (("metrics", ft, ()), ("logs", logs, ("level",))):
+        SK.append_rows(rows, str(tmp_path / name), partition_by=by)
+        SK.append_rows(rows, str(tmp_path / name), partition_by=by)
+        assert spark.read.parquet(str(tmp_path / name)).count() == 2 * rows.count()
+    some = ft.withColumn("target", F.when(F.col("station_id") == "103", F.lit(None)).otherwise(1.0))
+    assert TR.prepare(some, "target").count() == ft.where("station_id <> '103'").count()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gustframe.operators.scores import frame_features
 from gustframe.sources.json_source import read_observations_json
-from gustframe.sources.text import parse_header_text, parse_positional_text, read_raw_lines
+from gustframe.sources.text import parse_header_text, parse_positional_text, read_raw_lines, skipped_files
 
 SAMPLE = ("# three hours of one harbour station\n"
           "stn stnNm tm ta hm ws wd rn\n"
@@ -143,3 +143,18 @@ def test_ingest_and_training_flows(spark, tmp_path):
                                                  "humidity_avg_3h", "temp_range_3h"],
                                   model_path=str(tmp_path / "model"), families=("linear", "ridge"))
     assert metrics.count() == 2 and best in ("linear", "ridge")
+
+
+def test_station_and_day_prefix(spark, tmp_path):
+    for station in ("431", "108"):
+        for day in (16, 17):
+            _land(str(tmp_path), station, dt.datetime(2024, 2, day, 15, 0), SAMPLE)
+    root = str(tmp_path / "raw_data")
+    one = read_raw_lines(spark, root, stations=["431"], days=[dt.date(2024, 2, 17)])
+    assert len(one.inputFiles()) == 1 and {r.path_station for r in one.collect()} == {"431"}
+    assert len(read_raw_lines(spark, root, days=[dt.date(2024, 2, 17)]).inputFiles()) == 2
+    assert len(read_raw_lines(spark, root, stations=["431", "108"]).inputFiles()) == 4
+    none = read_raw_lines(spark, root, stations=["999"], days=[dt.date(2024, 2, 17)])
+    assert none.columns == one.columns and none.count() == 0
+    assert skipped_files(spark, one, root, stations=["431"], days=[dt.date(2024, 2, 17)]).count() == 0
+    assert skipped_files(spark, one, root).count() == 3
