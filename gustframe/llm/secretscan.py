@@ -1,8 +1,9 @@
 """Secret scans: base patterns on the text, then a worklist of decoded layers until nothing new appears.
 
 Layers are made from percent-escapes, Unicode escapes, base64 and compressed data inside a layer; each
-is scanned again and its findings are mapped to places in the original text. A content that was seen
-before in the same text is not opened again, so cycles end.
+is scanned again and its findings are mapped to places in the original text. Escapes are decoded token by
+token and, all kinds together, in place in the whole layer: a key or a sign beside them may stand in clear.
+A content that was seen before in the same text is not opened again, so cycles end.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+ANY_ESCAPE = re.compile(rf"{PERCENT.pattern}|{ESCAPE.pattern}")
 TOKEN_END = re.compile(r"[\s<>]")
 #: An inflated layer is read up to this size (a guard against bombs); real layers are far smaller.
 MOST_INFLATED = 16 << 20
@@ -60,29 +62,29 @@ def _token(text: str, start: int, end: int) -> tuple[int, int]:
     return start, stop.start() if stop else len(text)
 
 
-def _escaped(text: str, pattern: re.Pattern, chars) -> Iterator[tuple[str, list[int], list[int]]]:
-    """Tokens with escapes, decoded, with the start and end of each character in ``text``."""
+def _decoded(text: str, start: int, end: int, pattern: re.Pattern, chars) -> tuple[str, np.ndarray, np.ndarray]:
+    """text[start:end] with its escapes decoded in place, with the start and end of each character in ``text``."""
+    out, a, b, at = [], [], [], start
+    for run in pattern.finditer(text, start, end):
+        plain = np.arange(at, run.start())
+        decoded, x, y = zip(*chars(run.group(), run.start()))
+        out += text[at:run.start()], "".join(decoded)
+        a += plain, np.array(x)
+        b += plain + 1, np.array(y)
+        at = run.end()
+    plain = np.arange(at, end)
+    return "".join(out) + text[at:end], np.concatenate([*a, plain]), np.concatenate([*b, plain + 1])
+
+
+def _escaped(text: str, pattern: re.Pattern, chars) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Tokens with escapes, decoded."""
     done = 0
     for m in pattern.finditer(text):
         if m.start() < done:
             continue
         start, end = _token(text, m.start(), m.end())
         start, done = max(start, done), end
-        out, a, b, at = [], [], [], start
-        for run in pattern.finditer(text, start, end):
-            plain = range(at, run.start())
-            out.append(text[at:run.start()])
-            a += plain
-            b += (i + 1 for i in plain)
-            for char, x, y in chars(run.group(), run.start()):
-                out.append(char)
-                a.append(x)
-                b.append(y)
-            at = run.end()
-        out.append(text[at:end])
-        a += range(at, end)
-        b += range(at + 1, end + 1)
-        yield "".join(out), a, b
+        yield _decoded(text, start, end, pattern, chars)
 
 
 def _percent_chars(run: str, at: int) -> Iterator[tuple[str, int, int]]:
@@ -104,6 +106,10 @@ def _escape_chars(run: str, at: int) -> Iterator[tuple[str, int, int]]:
         yield chr(code) if code < 0x110000 else "�", at + m.start(), at + m.end()
 
 
+def _any_chars(run: str, at: int) -> Iterator[tuple[str, int, int]]:
+    return _percent_chars(run, at) if run[0] == "%" else _escape_chars(run, at)
+
+
 def _inflated(data: bytes) -> bytes | None:
     """Decompressed data, or None if it is not compressed (or broken)."""
     try:
@@ -132,7 +138,7 @@ def _readable(data: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
 
 
-def _unpacked(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
+def _unpacked(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """Base64 runs that decode to text, at once or after decompression."""
     for m in BASE64.finditer(text):
         run = m.group().rstrip("=")
@@ -149,7 +155,7 @@ def _unpacked(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
         if layer is None:
             continue
         if packed:
-            yield layer, [start] * len(layer), [end] * len(layer)
+            yield layer, np.full(len(layer), start), np.full(len(layer), end)
             continue
         a, b, at = [], [], 0
         for c in layer:
@@ -157,14 +163,16 @@ def _unpacked(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
             a.append(start + at * 4 // 3)
             b.append(min(end, start + -(-(at + n) * 4 // 3)))
             at += n
-        yield layer, a, b
+        yield layer, np.array(a), np.array(b)
 
 
-def children(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
+def children(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     if "%" in text:
         yield from _escaped(text, PERCENT, _percent_chars)
     if "\\" in text or "&#" in text:
         yield from _escaped(text, ESCAPE, _escape_chars)
+    if ANY_ESCAPE.search(text):
+        yield _decoded(text, 0, len(text), ANY_ESCAPE, _any_chars)
     yield from _unpacked(text)
 
 
@@ -175,14 +183,14 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     work = list(children(text))
     while work:
         layer, a, b = work.pop()
-        if (key := (layer, a[0], b[-1])) in seen:
+        if (key := (layer, int(a[0]), int(b[-1]))) in seen:
             continue
         seen.add(key)
         layers += 1
-        found.update((a[x], kind, b[y - 1]) for x, kind, y in base_spans(layer))
+        found.update((int(a[x]), kind, int(b[y - 1])) for x, kind, y in base_spans(layer))
         for deeper, x, y in children(layer):
             if deeper != layer:
-                work.append((deeper, [a[i] for i in x], [b[i - 1] for i in y]))
+                work.append((deeper, a[x], b[y - 1]))
     return base, sorted(found), layers
 
 

@@ -208,6 +208,16 @@ def test_secret_layers():
     assert secretscan.scan(f"{run} {long}")[1] == [(len(run) + 1, 2, len(run) + 1 + len(long.rstrip("=")) + long.count("="))]
 
 
+@pytest.mark.parametrize("hidden", [
+    "password = abc%2Fdefgh123", '"secret": "\\u0061bcdefgh12"', "token &#61; abcdefgh12", "token %3D abcdefgh12",
+    "pass\\x77ord : abcdefgh12", '"api_key"\\u003a "abcd%65fgh12"', "token = &#97;bcd%2565fgh12"])
+def test_secret_beside_spaces_with_an_escape_in_part(hidden):
+    """Value alone, sign alone or key alone is escaped; the rest stands in clear behind raw spaces."""
+    _, every, _ = secretscan.scan(f"é one 100% {hidden} two")
+    value = max(i for i, c in enumerate(hidden) if c not in '"') + 1
+    assert any(kind == 0 and a in (11, 12) and b == 11 + value for a, kind, b in every)
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(8)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)]
