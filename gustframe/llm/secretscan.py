@@ -38,6 +38,11 @@ ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7})
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 ANY_ESCAPE = re.compile(rf"{PERCENT.pattern}|{ESCAPE.pattern}")
 TOKEN_END = re.compile(r"[\s<>]")
+LAYOUT = str.maketrans("", "", "\t\r\n")
+#: What a pattern or a decoder could use, in bytes that may be anything else.
+USABLE = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]|&#[0-9xX]|[A-Za-z0-9+/_-]{16}")
+#: ASCII text in UTF-16, of either byte order.
+WIDE = re.compile(rb"(?:[\x09-\x7E]\0){8}")
 #: An inflated layer is read up to this size (a guard against bombs); real layers are far smaller.
 MOST_INFLATED = 16 << 20
 SLICE = 8 << 20
@@ -130,12 +135,30 @@ def _inflated(data: bytes) -> bytes | None:
     return None
 
 
-def _readable(data: bytes) -> str | None:
+def _wide(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """UTF-16 readings of bytes that hold such ASCII text: at even and at odd places, which is both byte orders for
+    all that a pattern or decoder knows."""
+    if WIDE.search(data):
+        for skip in (0, 1):
+            even = data[skip:skip + (len(data) - skip) // 2 * 2]
+            units = np.frombuffer(even, "<u2")
+            at = skip + 2 * np.arange(len(units))
+            yield units.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), at, at + 2
+
+
+def _readings(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Readings of a decoded layer, with the start and end byte of each character: UTF-8, else latin-1 (no byte is
+    lost), and UTF-16 beside it. Left out are layers that are no readable text and hold no run that a pattern or a
+    decoder could use."""
     try:
-        text = data.decode()
+        text, clear = data.decode(), True
+        sizes = np.ones(len(data), np.int64) if data.isascii() else np.array([len(c.encode()) for c in text])
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+        text, clear, sizes = data.decode("latin-1"), False, np.ones(len(data), np.int64)
+    if text and (USABLE.search(data) or clear and text.translate(LAYOUT).isprintable()):
+        ends = np.cumsum(sizes)
+        yield text, ends - sizes, ends
+    yield from _wide(data)
 
 
 def _unpacked(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
@@ -151,19 +174,11 @@ def _unpacked(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         start, end, packed = m.start(), m.end(), False
         while (more := _inflated(data)) is not None and more != data:
             data, packed = more, True
-        layer = _readable(data)
-        if layer is None:
-            continue
-        if packed:
-            yield layer, np.full(len(layer), start), np.full(len(layer), end)
-            continue
-        a, b, at = [], [], 0
-        for c in layer:
-            n = len(c.encode())
-            a.append(start + at * 4 // 3)
-            b.append(min(end, start + -(-(at + n) * 4 // 3)))
-            at += n
-        yield layer, np.array(a), np.array(b)
+        for layer, x, y in _readings(data):
+            if packed:
+                yield layer, np.full(len(layer), start), np.full(len(layer), end)
+            else:
+                yield layer, start + x * 4 // 3, np.minimum(end, start - (-y * 4 // 3))
 
 
 def children(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:

@@ -218,6 +218,19 @@ def test_secret_beside_spaces_with_an_escape_in_part(hidden):
     assert any(kind == 0 and a in (11, 12) and b == 11 + value for a, kind, b in every)
 
 
+@pytest.mark.parametrize("data", [
+    "fran\u00e7ais\u00a0: token = abcdefgh12".encode(), "\ufefftoken = abcdefgh12".encode(), "token = abcdefgh12".encode("utf-16"),
+    "token = abcdefgh12".encode("utf-16-be"), "\ufefftoken = abcdefgh12".encode("utf-16-be"), b"a.txt\0\0\0\x0ctoken = abcdefgh12\0\0",
+    b"caf\xe9 token = abcdefgh12", "\u00ad\u200b\u3000token = abcdefgh12".encode(), bytes(range(256)) + b"token = abcdefgh12"])
+def test_secret_in_a_layer_with_other_characters(data):
+    for packed in (data, gzip.compress(data)):
+        hidden = base64.b64encode(packed).decode()
+        _, every, _ = secretscan.scan(f"é {hidden} two")
+        assert any(kind == 0 and 2 <= a < b <= 2 + len(hidden) for a, kind, b in every)
+    deeper = base64.b64encode(b"\xff " + base64.b64encode(data)).decode()
+    assert any(kind == 0 for _, kind, _ in secretscan.scan(deeper)[1])
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(8)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)]
