@@ -9,7 +9,6 @@ A content that was seen before in the same text is not opened again, so cycles e
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -36,11 +35,17 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs that are parted only by line breaks (also as \\r and \\n in a string) and indentation.
+GAP = re.compile(r"[ \t]*+(?:[\r\n]|\\[rn])(?:[ \t\r\n]|\\[rn])*+")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{GAP.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
+LEAST_RUN = 16
+#: Where compressed data may begin: gzip, zlib, bz2, xz, zstd.
+MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 ANY_ESCAPE = re.compile(rf"{PERCENT.pattern}|{ESCAPE.pattern}")
 TOKEN_END = re.compile(r"[\s<>]")
 LAYOUT = str.maketrans("", "", "\t\r\n")
 #: What a pattern or a decoder could use, in bytes that may be anything else.
-USABLE = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]|&#[0-9xX]|[A-Za-z0-9+/_-]{16}")
+USABLE = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]|&#[0-9xX]|(?:[A-Za-z0-9+/_-](?:\s|\\[rn])*+){16}")
 #: ASCII text in UTF-16, of either byte order.
 WIDE = re.compile(rb"(?:[\x09-\x7E]\0){8}")
 #: An inflated layer is read up to this size (a guard against bombs); real layers are far smaller.
@@ -161,24 +166,37 @@ def _readings(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     yield from _wide(data)
 
 
-def _unpacked(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Base64 runs that decode to text, at once or after decompression."""
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray, int]]:
+    """Base64 runs of one line and runs joined over line ends, with the place of each character and the end."""
     for m in BASE64.finditer(text):
         run = m.group().rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        start, end, packed = m.start(), m.end(), False
-        while (more := _inflated(data)) is not None and more != data:
-            data, packed = more, True
-        for layer, x, y in _readings(data):
-            if packed:
-                yield layer, np.full(len(layer), start), np.full(len(layer), end)
-            else:
-                yield layer, start + x * 4 // 3, np.minimum(end, start - (-y * 4 // 3))
+        yield run, np.arange(m.start(), m.start() + len(run)), m.end()
+    for m in WRAPPED.finditer(text):
+        last, parts, places, at = m.end() - m.group().count("="), [], [], m.start()
+        for start, end in [*(g.span() for g in GAP.finditer(text, m.start(), last)), (last, last)]:
+            parts.append(text[at:start])
+            places.append(np.arange(at, start))
+            at = end
+        if len(run := "".join(parts)) >= LEAST_RUN:
+            yield run, np.concatenate(places), m.end()
+
+
+def _unpacked(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Base64 runs, decoded from each of the four places where a group of four letters can begin (so a prefix that is
+    joined to the payload shifts nothing), and what is compressed in them."""
+    for run, place, end in _runs(text):
+        run = run.replace("-", "+").replace("_", "/")
+        for skip in range(4):
+            letters = run[skip:len(run) - ((len(run) - skip) % 4 == 1)]
+            data = base64.b64decode(letters + "=" * (-len(letters) % 4))
+            for m in MAGIC.finditer(data):
+                layer, inner = None, data[m.start():]
+                while (more := _inflated(inner)) is not None and more != inner:
+                    layer = inner = more
+                for chars, _, _ in _readings(layer or b""):
+                    yield chars, np.full(len(chars), place[0]), np.full(len(chars), end)
+            for chars, x, y in _readings(data):
+                yield chars, place[skip + x * 4 // 3], place[skip - (-y * 4 // 3) - 1] + 1
 
 
 def children(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:

@@ -1,7 +1,9 @@
 """The numpy parts against plain Python."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import re
 import zlib
@@ -9,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from gustframe.llm import gru, minmax, mixing, secretscan
@@ -231,6 +234,29 @@ def test_secret_in_a_layer_with_other_characters(data):
     assert any(kind == 0 for _, kind, _ in secretscan.scan(deeper)[1])
 
 
+NOISE = "".join(random.Random(3).choices("abcdefgh ijkl.", k=300))
+
+
+@pytest.mark.parametrize("gap", ["\n", "\r\n    ", "\\n"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_secret_in_wrapped_base64(gap, pack):
+    run = base64.b64encode(pack(f"{NOISE[:45]} token = abcdefghijklm12 {NOISE}".encode())).decode()
+    hidden = gap.join(run[i:i + 76] for i in range(0, len(run), 76))
+    _, every, _ = secretscan.scan(f"é head\n{hidden}\ntail")
+    assert any(kind == 0 and 2 <= a < b <= len(f"é head\n{hidden}\ntail") for a, kind, b in every)
+    if pack is bytes:
+        a, _, b = next(s for s in every if s[1] == 0)
+        assert a > 7 + 60 and gap in f"é head\n{hidden}"[a:b] and b - a == -(-(22 + 1) * 4 // 3) + len(gap)
+
+
+@pytest.mark.parametrize("prefix", ["/files/", "blob_", "key-", "a", "ab/c", "x-y_"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress])
+def test_secret_in_base64_behind_a_prefix(prefix, pack):
+    for tail in ("", "Q"):
+        hidden = prefix + base64.b64encode(pack(b"token = abcdefghijklm12")).decode().rstrip("=") + tail
+        assert any(kind == 0 for _, kind, _ in secretscan.scan(f"é {hidden} two")[1])
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(8)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)]
