@@ -48,8 +48,10 @@ LAYOUT = str.maketrans("", "", "\t\r\n")
 USABLE = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]|&#[0-9xX]|(?:[A-Za-z0-9+/_-](?:\s|\\[rn])*+){16}")
 #: ASCII text in UTF-16, of either byte order.
 WIDE = re.compile(rb"(?:[\x09-\x7E]\0){8}")
-#: An inflated layer is read up to this size (a guard against bombs); real layers are far smaller.
-MOST_INFLATED = 16 << 20
+#: Inflated data is scanned to its end in pieces of this size that share LAPPED bytes, or the whole of a run without
+#: other characters that stands at the cut, up to a piece's size.
+PIECE, LAPPED, FED = 8 << 20, 1 << 20, 64
+NO_RUN = bytes(0 if chr(i).isalnum() and i < 128 or chr(i) in "+/_-=%\\&#;\r\n\t " else 1 for i in range(256))
 SLICE = 8 << 20
 
 
@@ -120,26 +122,140 @@ def _any_chars(run: str, at: int) -> Iterator[tuple[str, int, int]]:
     return _percent_chars(run, at) if run[0] == "%" else _escape_chars(run, at)
 
 
-def _inflated(data: bytes) -> bytes | None:
-    """Decompressed data, or None if it is not compressed (or broken)."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MOST_INFLATED)
-        if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(data, MOST_INFLATED)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MOST_INFLATED)
-        if data[:6] == b"\xfd7zXZ\0":
-            return lzma.LZMADecompressor().decompress(data, MOST_INFLATED)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-            return zstandard.ZstdDecompressor().stream_reader(data).read(MOST_INFLATED)
-    except Exception as e:  # noqa: BLE001 - each library has its own error for data that only looks compressed
-        if isinstance(e, MemoryError):
-            raise
+def _decoder(data: bytes):
+    if data[:3] == b"\x1f\x8b\x08":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+        return zstandard.ZstdDecompressor().decompressobj()
     return None
 
 
+class Inflater:
+    """The inflated pieces of all members that begin at the start of ``source``, up to the first error; ``taken``
+    bytes were read, and ``dry`` says that the source ended inside a member."""
+
+    def __init__(self, source: Iterator[bytes]):
+        self.source, self.held, self.taken, self.dry = iter(source), b"", 0, False
+
+    def _more(self) -> bool:
+        block = next(self.source, None)
+        self.held += block or b""
+        return block is not None
+
+    def __iter__(self) -> Iterator[bytes]:
+        while True:
+            while len(self.held) < 6 and self._more():
+                pass
+            if (decoder := _decoder(self.held)) is None:
+                return
+            try:
+                yield from self._member(decoder)
+            except Exception as e:  # noqa: BLE001 - each library has its own error for data that only looks compressed
+                if isinstance(e, MemoryError):
+                    raise
+                return
+            while not self.held.strip(b"\0") and self._more():         # members may be padded
+                pass
+            if self.dry or not self.held:
+                return
+            self.held = self.held.lstrip(b"\0")
+
+    def _member(self, decoder) -> Iterator[bytes]:
+        at, full = 0, False
+        while not decoder.eof:
+            if at >= len(self.held) and not full:
+                self.held, at = b"", 0
+                if not self._more():
+                    self.dry = True
+                    return
+                continue
+            block = b"" if full and not isinstance(decoder, zlib_object) else self.held[at:at + FED]
+            if isinstance(decoder, zlib_object):
+                out = decoder.decompress(block, LAPPED)
+                used = len(block) - len(decoder.unconsumed_tail)
+                full = len(out) == LAPPED
+            elif hasattr(decoder, "needs_input"):
+                out = decoder.decompress(block, LAPPED)
+                used, full = len(block), not (decoder.needs_input or decoder.eof)
+            else:
+                out, used = decoder.decompress(block), len(block)
+            if decoder.eof:
+                used -= len(decoder.unused_data)
+            at += used
+            self.taken += used
+            if out:
+                yield out
+        self.held = self.held[at:]
+
+
+zlib_object = type(zlib.decompressobj())
+
+
+def _pieces(source: Iterator[bytes]) -> Iterator[tuple[int, bytes, bool]]:
+    """(offset, bytes, last) of overlapping pieces."""
+    held, at = bytearray(), 0
+    for block in source:
+        held += block
+        if len(held) >= 2 * PIECE:
+            piece = bytes(held)
+            yield at, piece, False
+            left = len(piece) - 1 - piece.translate(NO_RUN).rfind(1)
+            keep = max(LAPPED, left) if left < PIECE else LAPPED
+            del held[:len(piece) - keep]
+            at += len(piece) - keep
+    if held:
+        yield at, bytes(held), True
+
+
+def _after(source: Iterator[bytes], n: int) -> Iterator[bytes]:
+    for block in source:
+        if n < len(block):
+            yield block[n:]
+        n = max(0, n - len(block))
+
+
+def _blocks(data: bytes, at: int) -> Iterator[bytes]:
+    return (data[i:i + (1 << 16)] for i in range(at, len(data), 1 << 16))
+
+
+def _opened(source, within: frozenset = frozenset()) -> Iterator[tuple[str, int, int]]:
+    """Readings of all that is compressed in the bytes that ``source()`` gives, at any depth, with the place and end
+    of the outermost data; a content that holds itself is opened once."""
+    done = 0
+    for at, piece, last in _pieces(source()):
+        if not (hits := [m.start() for m in MAGIC.finditer(piece)]) or (key := hashlib.sha256(piece).digest()) in within:
+            continue
+        for hit in hits:
+            if at + hit < done:
+                continue
+            start, make = at + hit, lambda piece=piece, hit=hit: Inflater(_blocks(piece, hit))
+            flow = make()
+            if next(iter(flow), None) is None and (last or not flow.dry):
+                continue
+            flow = make()
+            if not last:
+                for _ in flow:
+                    pass
+                if flow.dry or flow.taken == len(piece) - hit:          # goes on behind this piece
+                    make = lambda start=start: Inflater(_after(source(), start))
+                flow = make()
+            for _, inner, _ in _pieces(flow):
+                for chars, _, _ in _readings(inner):
+                    yield chars, start, start + flow.taken
+            clean = not flow.dry and flow.taken > 6
+            for chars, _, _ in _opened(lambda make=make: iter(make()), within | {key}):
+                yield chars, start, start + flow.taken
+            if clean:
+                done = max(done, start + flow.taken)
+
+
 def _wide(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """UTF-16 readings of bytes that hold such ASCII text: at even and at odd places, which is both byte orders for
     all that a pattern or decoder knows."""
@@ -151,13 +267,18 @@ def _wide(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
             yield units.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), at, at + 2
 
 
+def _utf8_sizes(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+
+
 def _readings(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """Readings of a decoded layer, with the start and end byte of each character: UTF-8, else latin-1 (no byte is
     lost), and UTF-16 beside it. Left out are layers that are no readable text and hold no run that a pattern or a
     decoder could use."""
     try:
         text, clear = data.decode(), True
-        sizes = np.ones(len(data), np.int64) if data.isascii() else np.array([len(c.encode()) for c in text])
+        sizes = np.ones(len(data), np.int64) if data.isascii() else _utf8_sizes(text)
     except UnicodeDecodeError:
         text, clear, sizes = data.decode("latin-1"), False, np.ones(len(data), np.int64)
     if text and (USABLE.search(data) or clear and text.translate(LAYOUT).isprintable()):
@@ -189,16 +310,43 @@ def _unpacked(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         for skip in range(4):
             letters = run[skip:len(run) - ((len(run) - skip) % 4 == 1)]
             data = base64.b64decode(letters + "=" * (-len(letters) % 4))
-            for m in MAGIC.finditer(data):
-                layer, inner = None, data[m.start():]
-                while (more := _inflated(inner)) is not None and more != inner:
-                    layer = inner = more
-                for chars, _, _ in _readings(layer or b""):
-                    yield chars, np.full(len(chars), place[0]), np.full(len(chars), end)
+            for chars, _, _ in _opened(lambda data=data: iter([data])):
+                yield chars, np.broadcast_to(place[0], len(chars)), np.broadcast_to(end, len(chars))
             for chars, x, y in _readings(data):
                 yield chars, place[skip + x * 4 // 3], place[skip - (-y * 4 // 3) - 1] + 1
 
 
+def _raw_percent(run: str, at: int) -> Iterator[tuple[str, int, int]]:
+    for i, byte in enumerate(bytes.fromhex(run.replace("%", ""))):
+        yield chr(byte), at + 3 * i, at + 3 * i + 3
+
+
+def _raw_plus(run: str, at: int) -> Iterator[tuple[str, int, int]]:
+    return iter([(" ", at, at + 1)]) if run == "+" else _raw_percent(run, at)
+
+
+def _raw_escapes(run: str, at: int) -> Iterator[tuple[str, int, int]]:
+    return iter([(SHORT[run[1]], at, at + 2)]) if run[1:] in SHORT else _escape_chars(run, at)
+
+
+def _escaped_bytes(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """What is compressed in the byte form of a layer's escapes (a URL may write a space as a plus sign)."""
+    for sign, needed, pattern, chars in BYTE_FORMS:
+        if needed in text and sign.search(text):
+            layer, a, b = _decoded(text, 0, len(text), pattern, chars)
+            data = layer.encode("latin-1", "replace")
+            for inner, start, end in _opened(lambda data=data: iter([data])):
+                yield inner, np.broadcast_to(a[start], len(inner)), np.broadcast_to(b[min(end, len(b)) - 1], len(inner))
+
+
+SHORT = dict(zip("abfnrtv0\\'\"/", "\a\b\f\n\r\t\v\0\\'\"/"))
+#: Escapes that no text of printable ASCII needs, the pattern of all, and their bytes.
+BYTE_FORMS = (
+    (re.compile("%[019A-Fa-f8]"), "%", PERCENT, _raw_percent),
+    (re.compile("%[019A-Fa-f8]"), "+", re.compile(rf"{PERCENT.pattern}|\+"), _raw_plus),
+    (re.compile(r"\\x[0189A-Fa-f]|\\u00[0189A-Fa-f]|&#"), "", re.compile(rf"{ESCAPE.pattern}|\\[abfnrtv0\\'\"/]"), _raw_escapes))
+
+
 def children(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     if "%" in text:
         yield from _escaped(text, PERCENT, _percent_chars)
@@ -206,24 +354,34 @@ def children(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         yield from _escaped(text, ESCAPE, _escape_chars)
     if ANY_ESCAPE.search(text):
         yield _decoded(text, 0, len(text), ANY_ESCAPE, _any_chars)
+        yield from _escaped_bytes(text)
     yield from _unpacked(text)
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """Base spans, all spans (start, kind, end) in the text, and the number of decoded layers."""
+    def key(layer: str, start: int, end: int) -> tuple[bytes, int, int]:
+        return hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), int(start), int(end)
+
     base = base_spans(text)
-    found, layers, seen = set(base), 0, {(text, 0, len(text))}
-    work = list(children(text))
+    found, layers, seen = set(base), 0, {key(text, 0, len(text))}
+    work = [(text, children(text), None, None)]                     # one path of layers at a time is held
     while work:
-        layer, a, b = work.pop()
-        if (key := (layer, int(a[0]), int(b[-1]))) in seen:
+        above, rest, a, b = work[-1]
+        if (child := next(rest, None)) is None:
+            work.pop()
+            continue
+        layer, x, y = child
+        if layer == above and len(work) > 1:
+            continue
+        if a is not None:
+            x, y = a[x], b[y - 1]
+        if (own := key(layer, x[0], y[-1])) in seen:
             continue
-        seen.add(key)
+        seen.add(own)
         layers += 1
-        found.update((int(a[x]), kind, int(b[y - 1])) for x, kind, y in base_spans(layer))
-        for deeper, x, y in children(layer):
-            if deeper != layer:
-                work.append((deeper, a[x], b[y - 1]))
+        found.update((int(x[i]), kind, int(y[j - 1])) for i, kind, j in base_spans(layer))
+        work.append((layer, children(layer), x, y))
     return base, sorted(found), layers
 
 

@@ -3,9 +3,11 @@
 import base64
 import bz2
 import gzip
+import json
 import lzma
 import random
 import re
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -257,6 +259,37 @@ def test_secret_in_base64_behind_a_prefix(prefix, pack):
         assert any(kind == 0 for _, kind, _ in secretscan.scan(f"é {hidden} two")[1])
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_secret_in_escaped_compressed_data(pack):
+    data = pack(f"{NOISE} token = abcdefghijklm12".encode())
+    forms = [urllib.parse.quote(data), urllib.parse.quote_plus(data), "".join(f"\\x{i:02x}" for i in data), repr(data),
+             "".join(f"&#{i};" for i in data), json.dumps(data.decode("latin-1"))]
+    for form in (*forms, urllib.parse.quote(forms[0]), base64.b64encode(forms[2].encode()).decode()):
+        assert any(kind == 0 and 6 <= a < b <= 6 + len(form) for a, kind, b in secretscan.scan(f"é see {form} two")[1])
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_secret_in_a_later_member_and_behind_nesting(pack):
+    members = pack(b"first ") + pack(b"token = abcdefgh") + pack(b"ijklm12")
+    for data in (members, pack(pack(members)), gzip.compress(b"\0" * 600 + members)):
+        assert any(kind == 0 for _, kind, _ in secretscan.scan(base64.b64encode(data).decode())[1])
+
+
+def test_secret_behind_the_first_inflated_piece():
+    run = base64.b64encode(gzip.compress("é ".encode() * (6 << 20) + b"token = abcdefgh12", 1)).decode()    # over 16 MB
+    assert (0, 0, len(run)) in secretscan.scan(run)[1]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_secret_behind_many_inflated_pieces(pack, monkeypatch):
+    monkeypatch.setattr(secretscan, "PIECE", 1 << 12)
+    monkeypatch.setattr(secretscan, "LAPPED", 1 << 9)
+    inner = pack(random.Random(4).randbytes(40_000) + b" token = abcdefgh12")
+    for data in ("é ".encode() * 30_000 + b"token = abcdefgh12", b"\0" * 700 + inner, inner):
+        run = base64.b64encode(pack(data)).decode()
+        assert any(kind == 0 and b - a == len(run) for a, kind, b in secretscan.scan(run)[1])
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(8)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)]
