@@ -92,6 +92,35 @@ def test_licence_inheritance(spark):
     assert got[4][0] == "CC-BY-NC-4.0" and got[5] == ("proprietary", "header", None) and got[6] == got[7] == got[8] == (None, "none", None)
 
 
+def test_licence_texts_headers_and_names(spark):
+    texts = {n: t for n, (t,) in licenses.bodies().items()}
+    rows = [(f"{n}/LICENSE", f"Copyright (c) 2020 Some One\n\n{t}") for n, t in texts.items()] + [(f"{n}/src/x.py", "code") for n in texts]
+    free = """# This file is part of Foobar.
+#
+# Foobar is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {}General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version.
+#
+# Foobar is distributed in the hope that it will be useful,
+import os
+x = 1
+"""
+    heads = {"g3.py": (free.format("", 3), "GPL-3.0"), "g2.py": (free.format("", 2), "GPL-2.0"), "l3.py": (free.format("Lesser ", 3), "LGPL-3.0"),
+             "a3.py": (free.format("Affero ", 3), "AGPL-3.0"), "v2": ("GNU General Public License, version 2.", "GPL-2.0"),
+             "l": ("SPDX-License-Identifier: LGPL-3.0", "LGPL-3.0"), "b2": ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
+             "z": ("SPDX-License-Identifier: Zlib", None), "sa": ("Licensed under CC BY-SA 4.0.", None), "isc": ("SPDX-License-Identifier: ISC", "ISC"),
+             "m": ("code\n/* " + texts["MIT"].replace("\n", "\n * ") + "*/\n" + "more code here\n" * 200, "MIT"),
+             "b3": ("# " + texts["BSD-3-Clause"].replace("\n", "\n# ") + "\n" + "more code here\n" * 200, "BSD-3-Clause"),
+             "two": ("SPDX-License-Identifier: MIT\nx\nSPDX-License-Identifier: Apache-2.0", "Apache-2.0,MIT"), "prose": ("the of and to a in that is was " * 300, None)}
+    rows += [(n, t) for n, (t, _) in heads.items()]
+    got = {r.path: r for r in licenses.license_scan(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, path string, text string"),
+                                                    F.col("path")).collect()}
+    assert {n: got[f"{n}/LICENSE"].file_license for n in texts} == {n: n for n in texts}
+    assert {n: (got[f"{n}/src/x.py"].license, got[f"{n}/src/x.py"].from_folder) for n in texts} == {n: (n, n) for n in texts}
+    assert {n: ",".join(sorted((got[n].header_licenses or "").split(","))) or None for n in heads} == {n: want for n, (_, want) in heads.items()}
+
+
 def test_top_k_with_ties_nulls_and_copies(spark):
     rows = [(i, [1.0] * 64 if i < 30 else [float((i * j) % 7 - 3) for j in range(64)]) for i in range(60)]
     rows += [(60, None), (None, [1.0] * 64), (61, []), (0, [1.0] * 64)]
