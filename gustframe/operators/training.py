@@ -95,6 +95,25 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str, fold_col
     return {"cv_rmse_mean": mean, "cv_rmse_std": std, "folds": len(errors)}
 
 
+def with_cross_validation(spark: SparkSession, metrics: DataFrame, df: DataFrame, features: Sequence[str], target: str,
+                          order: Sequence[str], folds: int = 5, bucket=None) -> DataFrame:
+    """ML9: cv_rmse_mean and cv_rmse_std of each family of ``metrics`` over contiguous folds of all rows. They are null
+    (which does not pass the gate) for a family whose fit failed, then with the reason in ``error``."""
+    from gustframe.operators.windows import contiguous_folds
+    d = contiguous_folds(prepare(df, target), list(order), folds, bucket=bucket).persist()
+    rows = []
+    for name in [r.model_name for r in metrics.where("rmse is not null").select("model_name").collect()]:
+        try:
+            cv = cross_validate(d, features, target, family=name)
+            rows.append((name, cv["cv_rmse_mean"], cv["cv_rmse_std"], None))
+        except Exception as e:  # noqa: BLE001 -- one family's failure must not hide the others
+            rows.append((name, None, None, str(e)[:500]))
+    d.unpersist()
+    cv = spark.createDataFrame(rows, "model_name string, cv_rmse_mean double, cv_rmse_std double, cv_error string")
+    return (metrics.join(cv, "model_name", "left")
+            .withColumn("error", F.coalesce("error", "cv_error")).drop("cv_error"))
+
+
 def random_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """ML2: ``is_test`` for a share of the rows by a hash of their key, the same on every run."""
     return df.withColumn("is_test", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) < int(test_share * 10_000))

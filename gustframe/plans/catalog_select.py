@@ -148,7 +148,7 @@ def q_daily_alerts(spark, sf):
                     F.when(q >= 80, "info").when(q >= 60, "warning").otherwise("error").alias("event_grade"))
 
 
-@register("ML1_13_model_comparison", "model_name string, rmse double, mae double, r2 double, train_rows bigint, passed boolean",
+@register("ML1_13_model_comparison", "model_name string, rmse double, mae double, r2 double, train_rows bigint, cv_rmse_mean double, cv_rmse_std double, passed boolean",
           None, ids=("ML1", "ML3", "ML4", "ML5", "ML6", "ML7", "ML8", "ML9", "ML10", "ML11", "ML13", "UDF4"),
           bench=False)
 def q_models(spark, sf):
@@ -156,6 +156,6 @@ def q_models(spark, sf):
     from gustframe.operators.windows import time_split
     ft = _feature_table(spark, sf).where(F.col("n_obs") >= 3)
     ft = time_split(ft, ["window_start", "station_id"], n_splits=3, bucket=F.to_date("window_start"))
-    metrics, _ = TR.compare_models(spark, ft, list(FEATURES), TARGET,
-                                   families=("linear", "ridge", "random_forest"))
-    return TR.gate(metrics)
+    metrics, _ = TR.compare_models(spark, ft, list(FEATURES), TARGET)
+    return TR.gate(TR.with_cross_validation(spark, metrics, ft, list(FEATURES), TARGET, ["window_start", "station_id"],
+                                            bucket=F.to_date("window_start")))

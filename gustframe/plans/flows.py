@@ -2,7 +2,7 @@
 
 * ``ingest_flow``   -- landed text -> observations -> dedup -> quality checks -> frames ->
                        features; writes normalized rows, quality reports and features.
-* ``training_flow`` -- feature table -> time split -> model comparison -> gate -> saved model.
+* ``training_flow`` -- feature table -> time split -> model comparison -> cross-validation -> gate -> saved model.
 
 Every step is a DataFrame transformation; the only driver-side values are the run
 parameters, scalar metrics and paths. Validation failures do not stop feature output:
@@ -54,12 +54,12 @@ def ingest_flow(spark: SparkSession, raw_root: str, out_root: str | None = None,
 
 
 def training_flow(spark: SparkSession, features: DataFrame, feature_cols, target: str = "baseline_comfort_score",
-                  model_path: str | None = None, families=("linear", "ridge", "random_forest")):
+                  model_path: str | None = None, families=None):
     from gustframe.operators import training as TR
     from gustframe.operators.windows import time_split
     d = time_split(features, ["window_start", "station_id"], n_splits=3)
     metrics, fitted = TR.compare_models(spark, d, list(feature_cols), target, families=families)
-    gated = TR.gate(metrics)
+    gated = TR.gate(TR.with_cross_validation(spark, metrics, features, list(feature_cols), target, ["window_start", "station_id"]))
     best = gated.orderBy("rmse").first()
     if model_path and best is not None and best["passed"]:
         TR.save_model(fitted[best["model_name"]], model_path)

@@ -25,3 +25,29 @@ def test_compare_models_and_persist(spark, tmp_path):
     TR.save_model(fitted[best], path)
     again = TR.load_model(path).transform(ft.limit(5)).select("prediction").count()
     assert again == 5
+
+
+def _series(spark, noise):
+    """60 hours of one station; ``noise(i)`` is added to a straight line."""
+    rows = [(i, float(i % 12), 3.0 * (i % 12) + noise(i), i >= 48) for i in range(60)]
+    return (spark.createDataFrame(rows, "i int, x double, y double, is_test boolean").coalesce(1)
+            .withColumn("station_id", F.lit("s")).withColumn("window_start", F.timestamp_seconds(F.col("i") * 3600).cast("timestamp_ntz")))
+
+
+def test_gate_rejects_a_model_that_varies_over_the_folds(spark):
+    passed = {}
+    for name, noise in (("even", lambda i: 0.5 * (-1) ** i), ("uneven", lambda i: 9.0 * (-1) ** i if i < 12 else 0.5 * (-1) ** i)):
+        df = _series(spark, noise)
+        metrics, _ = TR.compare_models(spark, df, ["x"], "y", families=("ridge",))
+        assert TR.gate(metrics).first().passed
+        row = TR.gate(TR.with_cross_validation(spark, metrics, df, ["x"], "y", ["window_start", "station_id"])).first()
+        assert row.cv_rmse_mean > 0
+        passed[name] = row.passed
+    assert passed == {"even": True, "uneven": False}
+
+
+def test_boosting_is_compared_and_cross_validated(spark):
+    df = _series(spark, lambda i: 0.1 * (-1) ** i)
+    metrics, fitted = TR.compare_models(spark, df, ["x"], "y", families=("gradient_boosting",))
+    row = TR.with_cross_validation(spark, metrics, df, ["x"], "y", ["window_start", "station_id"], folds=2).first()
+    assert set(fitted) == {"gradient_boosting"} and row.r2 > 0.9 and row.cv_rmse_mean < 1 and row.error is None
