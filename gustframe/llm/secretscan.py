@@ -44,13 +44,16 @@ MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x28\
 ANY_ESCAPE = re.compile(rf"{PERCENT.pattern}|{ESCAPE.pattern}")
 TOKEN_END = re.compile(r"[\s<>]")
 LAYOUT = str.maketrans("", "", "\t\r\n")
-#: What a pattern or a decoder could use, in bytes that may be anything else.
-USABLE = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]|&#[0-9xX]|(?:[A-Za-z0-9+/_-](?:\s|\\[rn])*+){16}")
+#: Starts of what a pattern or a decoder could use, beside runs of LEAST_RUN letters.
+NAMES, SIGNS = (b"passw", b"secret", b"token", b"apikey", b"api_key"), re.compile(rb"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]|&#[0-9xX]")
+IN_RUN = bytes(1 if chr(i).isalnum() and i < 128 or chr(i) in "+/_-" else 0 for i in range(256))
+BROKEN_RUN = re.compile(rb"(?:[A-Za-z0-9+/_-](?:\s|\\[rn])*+){16}")
 #: ASCII text in UTF-16, of either byte order.
 WIDE = re.compile(rb"(?:[\x09-\x7E]\0){8}")
 #: Inflated data is scanned to its end in pieces of this size that share LAPPED bytes, or the whole of a run without
 #: other characters that stands at the cut, up to a piece's size.
-PIECE, LAPPED, FED = 8 << 20, 1 << 20, 64
+#: A decoder gets FED bytes at first, then twice as many each time up to MOST_FED.
+PIECE, LAPPED, FED, MOST_FED = 8 << 20, 1 << 20, 64, 1 << 16
 NO_RUN = bytes(0 if chr(i).isalnum() and i < 128 or chr(i) in "+/_-=%\\&#;\r\n\t " else 1 for i in range(256))
 SLICE = 8 << 20
 
@@ -131,18 +134,17 @@ def _decoder(data: bytes):
         return bz2.BZ2Decompressor()
     if data[:6] == b"\xfd7zXZ\0":
         return lzma.LZMADecompressor()
-    if data[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
+    if data[:4] == b"\x28\xb5\x2f\xfd" and zstandard:
         return zstandard.ZstdDecompressor().decompressobj()
     return None
 
 
 class Inflater:
     """The inflated pieces of all members that begin at the start of ``source``, up to the first error; ``taken``
-    bytes were read, and ``dry`` says that the source ended inside a member."""
+    bytes were read, ``dry`` says that the source ended inside a member, ``good`` of them are whole members."""
 
     def __init__(self, source: Iterator[bytes]):
-        self.source, self.held, self.taken, self.dry = iter(source), b"", 0, False
+        self.source, self.held, self.taken, self.dry, self.good = iter(source), b"", 0, False, 0
 
     def _more(self) -> bool:
         block = next(self.source, None)
@@ -157,10 +159,9 @@ class Inflater:
                 return
             try:
                 yield from self._member(decoder)
-            except Exception as e:  # noqa: BLE001 - each library has its own error for data that only looks compressed
-                if isinstance(e, MemoryError):
-                    raise
+            except BROKEN:
                 return
+            self.good = self.good if self.dry else self.taken
             while not self.held.strip(b"\0") and self._more():         # members may be padded
                 pass
             if self.dry or not self.held:
@@ -168,7 +169,7 @@ class Inflater:
             self.held = self.held.lstrip(b"\0")
 
     def _member(self, decoder) -> Iterator[bytes]:
-        at, full = 0, False
+        at, full, fed = 0, False, FED
         while not decoder.eof:
             if at >= len(self.held) and not full:
                 self.held, at = b"", 0
@@ -176,7 +177,8 @@ class Inflater:
                     self.dry = True
                     return
                 continue
-            block = b"" if full and not isinstance(decoder, zlib_object) else self.held[at:at + FED]
+            block = b"" if full and not isinstance(decoder, zlib_object) else self.held[at:at + fed]
+            fed = min(2 * fed, MOST_FED)
             if isinstance(decoder, zlib_object):
                 out = decoder.decompress(block, LAPPED)
                 used = len(block) - len(decoder.unconsumed_tail)
@@ -196,6 +198,13 @@ class Inflater:
 
 
 zlib_object = type(zlib.decompressobj())
+#: How the libraries say that data only looks compressed.
+BROKEN = (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError)
+try:
+    import zstandard
+    BROKEN += (zstandard.ZstdError,)
+except ImportError:
+    zstandard = None
 
 
 def _pieces(source: Iterator[bytes]) -> Iterator[tuple[int, bytes, bool]]:
@@ -225,41 +234,76 @@ def _blocks(data: bytes, at: int) -> Iterator[bytes]:
     return (data[i:i + (1 << 16)] for i in range(at, len(data), 1 << 16))
 
 
-def _opened(source, within: frozenset = frozenset()) -> Iterator[tuple[str, int, int]]:
+def _opened(source, seen: set, original, whole: list) -> Iterator[tuple[str, int, int]]:
     """Readings of all that is compressed in the bytes that ``source()`` gives, at any depth, with the place and end
-    of the outermost data; a content that holds itself is opened once."""
-    done = 0
-    for at, piece, last in _pieces(source()):
-        if not (hits := [m.start() for m in MAGIC.finditer(piece)]) or (key := hashlib.sha256(piece).digest()) in within:
-            continue
-        for hit in hits:
-            if at + hit < done:
-                continue
-            start, make = at + hit, lambda piece=piece, hit=hit: Inflater(_blocks(piece, hit))
-            flow = make()
-            if next(iter(flow), None) is None and (last or not flow.dry):
-                continue
-            flow = make()
-            if not last:
-                for _ in flow:
-                    pass
-                if flow.dry or flow.taken == len(piece) - hit:          # goes on behind this piece
-                    make = lambda start=start: Inflater(_after(source(), start))
-                flow = make()
-            for _, inner, _ in _pieces(flow):
-                for chars, _, _ in _readings(inner):
-                    yield chars, start, start + flow.taken
-            clean = not flow.dry and flow.taken > 6
-            for chars, _, _ in _opened(lambda make=make: iter(make()), within | {key}):
-                yield chars, start, start + flow.taken
-            if clean:
-                done = max(done, start + flow.taken)
+    of the outermost data; the parts of the source that inflate without an error are put into ``whole``.
+
+    Layers wait in a worklist as the means to inflate them again, so neither the depth nor the number of layers is
+    held in memory or on the stack; a content that was met before (``seen``, kept for the whole text) at the same
+    place of the text, which ``original(start, end)`` gives, is not opened again."""
+    work = [(source, None)]
+    while work:
+        source, place = work.pop()
+        done = 0
+        for at, piece, last in _pieces(source()):
+            pos, clean = 0, []
+            while match := MAGIC.search(piece, max(pos, done - at)):
+                hit = match.start()
+                start, pos = at + hit, hit + 1
+                make = lambda piece=piece, hit=hit: Inflater(_blocks(piece, hit))
+                flow, size, digest = _measured(make)
+                if not last and (flow.dry or flow.taken == len(piece) - hit):          # goes on behind this piece
+                    make = lambda source=source, start=start: Inflater(_after(source(), start))
+                    flow, size, digest = _measured(make)
+                if not size:
+                    continue
+                if flow.good > 6:
+                    done = max(done, start + flow.good)
+                    clean.append((hit, hit + flow.good))
+                a, b = place or (start, start + flow.taken)
+                if (key := (digest, *original(a, b))) not in seen:
+                    seen.add(key)
+                    work.append((make, (a, b)))
+            if place is None:
+                whole += [(at + a, at + b) for a, b in clean]
+            else:
+                for _, part in _between(piece, clean):
+                    for chars, _, _ in _readings(part):
+                        yield chars, *place
+
+
+def _between(data: bytes, parts: list[tuple[int, int]]) -> Iterator[tuple[int, bytes]]:
+    """The data around ``parts``: what inflates whole is read in its inflated form alone."""
+    at = 0
+    for a, b in [*parts, (len(data), len(data))]:
+        if a > at:
+            yield at, data[at:a] if at or a < len(data) else data
+        at = max(at, b)
+
+
+def _measured(make) -> tuple[Inflater, int, bytes]:
+    """A flow that was read to its end, the number of its bytes and their digest."""
+    flow, size, digest = make(), 0, hashlib.sha256()
+    for block in flow:
+        digest.update(block)
+        size += len(block)
+    return flow, size, digest.digest()
+
+
+def _usable(data: bytes) -> bool:
+    """Whether a pattern or a decoder could find anything in bytes that may be anything else."""
+    lower = data.lower()
+    if any(name in lower for name in NAMES) or b"AKIA" in data or SIGNS.search(data):
+        return True
+    if b"\\n" in data or b"\\r" in data:
+        return bool(BROKEN_RUN.search(data))
+    return bytes([1]) * LEAST_RUN in data.translate(IN_RUN, b" \t\r\n\f\v")
 
 
 def _wide(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """UTF-16 readings of bytes that hold such ASCII text: at even and at odd places, which is both byte orders for
     all that a pattern or decoder knows."""
-    if WIDE.search(data):
+    if (bytes(8) in data[::2] or bytes(8) in data[1::2]) and WIDE.search(data):
         for skip in (0, 1):
             even = data[skip:skip + (len(data) - skip) // 2 * 2]
             units = np.frombuffer(even, "<u2")
@@ -281,7 +325,7 @@ def _readings(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         sizes = np.ones(len(data), np.int64) if data.isascii() else _utf8_sizes(text)
     except UnicodeDecodeError:
         text, clear, sizes = data.decode("latin-1"), False, np.ones(len(data), np.int64)
-    if text and (USABLE.search(data) or clear and text.translate(LAYOUT).isprintable()):
+    if text and (_usable(data) or clear and text.translate(LAYOUT).isprintable()):
         ends = np.cumsum(sizes)
         yield text, ends - sizes, ends
     yield from _wide(data)
@@ -302,7 +346,7 @@ def _runs(text: str) -> Iterator[tuple[str, np.ndarray, int]]:
             yield run, np.concatenate(places), m.end()
 
 
-def _unpacked(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+def _unpacked(text: str, seen: set, original) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """Base64 runs, decoded from each of the four places where a group of four letters can begin (so a prefix that is
     joined to the payload shifts nothing), and what is compressed in them."""
     for run, place, end in _runs(text):
@@ -310,10 +354,12 @@ def _unpacked(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         for skip in range(4):
             letters = run[skip:len(run) - ((len(run) - skip) % 4 == 1)]
             data = base64.b64decode(letters + "=" * (-len(letters) % 4))
-            for chars, _, _ in _opened(lambda data=data: iter([data])):
+            whole: list[tuple[int, int]] = []
+            for chars, _, _ in _opened(lambda data=data: iter([data]), seen, lambda *_: original(place[0], end), whole):
                 yield chars, np.broadcast_to(place[0], len(chars)), np.broadcast_to(end, len(chars))
-            for chars, x, y in _readings(data):
-                yield chars, place[skip + x * 4 // 3], place[skip - (-y * 4 // 3) - 1] + 1
+            for at, part in _between(data, whole):
+                for chars, x, y in _readings(part):
+                    yield chars, place[skip + (x + at) * 4 // 3], place[skip - (-(y + at) * 4 // 3) - 1] + 1
 
 
 def _raw_percent(run: str, at: int) -> Iterator[tuple[str, int, int]]:
@@ -329,13 +375,14 @@ def _raw_escapes(run: str, at: int) -> Iterator[tuple[str, int, int]]:
     return iter([(SHORT[run[1]], at, at + 2)]) if run[1:] in SHORT else _escape_chars(run, at)
 
 
-def _escaped_bytes(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+def _escaped_bytes(text: str, seen: set, original) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """What is compressed in the byte form of a layer's escapes (a URL may write a space as a plus sign)."""
     for sign, needed, pattern, chars in BYTE_FORMS:
         if needed in text and sign.search(text):
             layer, a, b = _decoded(text, 0, len(text), pattern, chars)
             data = layer.encode("latin-1", "replace")
-            for inner, start, end in _opened(lambda data=data: iter([data])):
+            own = lambda start, end: original(a[start], b[min(end, len(b)) - 1])
+            for inner, start, end in _opened(lambda data=data: iter([data]), seen, own, []):
                 yield inner, np.broadcast_to(a[start], len(inner)), np.broadcast_to(b[min(end, len(b)) - 1], len(inner))
 
 
@@ -347,15 +394,15 @@ BYTE_FORMS = (
     (re.compile(r"\\x[0189A-Fa-f]|\\u00[0189A-Fa-f]|&#"), "", re.compile(rf"{ESCAPE.pattern}|\\[abfnrtv0\\'\"/]"), _raw_escapes))
 
 
-def children(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+def children(text: str, seen: set, original) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     if "%" in text:
         yield from _escaped(text, PERCENT, _percent_chars)
     if "\\" in text or "&#" in text:
         yield from _escaped(text, ESCAPE, _escape_chars)
     if ANY_ESCAPE.search(text):
         yield _decoded(text, 0, len(text), ANY_ESCAPE, _any_chars)
-        yield from _escaped_bytes(text)
-    yield from _unpacked(text)
+        yield from _escaped_bytes(text, seen, original)
+    yield from _unpacked(text, seen, original)
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
@@ -364,8 +411,8 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         return hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), int(start), int(end)
 
     base = base_spans(text)
-    found, layers, seen = set(base), 0, {key(text, 0, len(text))}
-    work = [(text, children(text), None, None)]                     # one path of layers at a time is held
+    found, layers, seen, opened = set(base), 0, {key(text, 0, len(text))}, set()
+    work = [(text, children(text, opened, lambda start, end: (int(start), int(end))), None, None)]     # one path of layers at a time is held
     while work:
         above, rest, a, b = work[-1]
         if (child := next(rest, None)) is None:
@@ -381,7 +428,8 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         seen.add(own)
         layers += 1
         found.update((int(x[i]), kind, int(y[j - 1])) for i, kind, j in base_spans(layer))
-        work.append((layer, children(layer), x, y))
+        inside = lambda start, end, x=x, y=y: (int(x[start]), int(y[end - 1]))
+        work.append((layer, children(layer, opened, inside), x, y))
     return base, sorted(found), layers
 
 
