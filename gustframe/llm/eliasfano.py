@@ -59,11 +59,22 @@ class EliasFano:
         bits = np.unpackbits(self.lower[first // 8:(first + self.width + 7) // 8], bitorder="little")[first % 8:first % 8 + self.width]
         return ((place - i) << self.width) | sum(int(b) << k for k, b in enumerate(bits))
 
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[:self.n]
-        out = (places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.width)
+    def select_run(self, first: int, last: int) -> np.ndarray:
+        """The values ``first`` to ``last`` - 1: found as by ``select``, then read on; only this run is held."""
+        n = min(last, self.n) - first
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        at, skipped = int(self.directory[first // STEP]), first % STEP
+        end = (first + n - 1) // STEP + 1
+        stop = int(self.directory[end]) // 8 + 1 if end < len(self.directory) else len(self.upper)
+        bits = np.unpackbits(self.upper[at // 8:stop], bitorder="little")
+        bits[:at % 8] = 0
+        places = np.flatnonzero(bits)[skipped:skipped + n] + at // 8 * 8
+        out = (places - np.arange(first, first + n)).astype(np.uint64) << np.uint64(self.width)
         if self.width:
-            bits = np.unpackbits(self.lower, bitorder="little")[:self.n * self.width].reshape(self.n, self.width)
+            low = first * self.width
+            bits = np.unpackbits(self.lower[low // 8:((first + n) * self.width + 7) // 8], bitorder="little")
+            bits = bits[low % 8:low % 8 + n * self.width].reshape(n, self.width)
             for k in range(self.width):
                 out |= bits[:, k].astype(np.uint64) << np.uint64(k)
         return out

@@ -8,7 +8,6 @@ the documents in ascending order.
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
@@ -23,96 +22,16 @@ from pyspark.sql import functions as F
 
 from gustframe.llm import eliasfano
 from gustframe.llm.common import byte_slices, new_folder, prepare, stored, utf8
+from gustframe.llm.encoding import ByteBpe, encoder_of
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Ids of one shard (a document is never cut, so a shard may exceed it by one document).
 SHARD_TOKENS = 4 << 20
-#: Words whose ids a task remembers.
-CACHED_WORDS = 600_000
 SLICE = 4 << 20
 MAGIC, HEADER = b"GFTOKID1", "<IIIIQQq"
 
 
-class Encoder:
-    """Ids of whole texts, word by word from a cache of the tokenizer's own results.
-
-    The tokenizer's pattern never joins characters across a single space between two non-space characters, and
-    gives that space to the word behind it, so a text's ids are those of its first word followed by
-    those of " " + word. Texts with other white space next to a space, and texts that hold the string of an
-    added token (the library makes it that token's id), are encoded as they are.
-    """
-
-    def __init__(self, tokenizer: str = TOKENIZER, cached: int = CACHED_WORDS):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-        if not os.path.exists(tokenizer):
-            import public_tokenizers
-            tokenizer = public_tokenizers.path(tokenizer)
-        self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.id_bytes}"
-        self.cached = cached
-        self.words: dict[str, bytes | None] = {}
-        self.stops: dict[str, bytes] = {}
-        self.model = self.tokenizer.model
-        self.byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _stem(self, word: str) -> bytes:
-        """Ids of " " + word for a word of letters: one piece for the tokenizer's pattern, so its model alone is asked."""
-        mapped = "\u0120" + word if word.isascii() else self.byte_level.pre_tokenize_str(" " + word)[0][0]
-        return np.array([t.id for t in self.model.tokenize(mapped)], self.kind).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of " " + word; a word with white space at an end (or none at all) gets None.
-
-        Letters with stops behind them are two pieces for the tokenizer's pattern.
-        """
-        known, rest = self.words, []
-        for w in words:
-            if w.isalpha():
-                known[w] = self._stem(w)
-                continue
-            stem = w.rstrip(".,;:!?")
-            if stem.isalpha():
-                stop = w[len(stem):]
-                if stem not in known:
-                    known[stem] = self._stem(stem)
-                if stop not in self.stops:
-                    self.stops[stop] = self._ids([stop])[0]
-                known[w] = known[stem] + self.stops[stop]
-            elif not w or w[0].isspace() or w[-1].isspace():
-                known[w] = None
-            else:
-                rest.append(w)
-        known.update(zip(rest, self._ids([" " + w for w in rest])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > self.cached:
-            self.words.clear()
-            self.stops.clear()
-        split = [t.split(" ") for t in texts]
-        need: set[str] = set()
-        for words in split:
-            need.update(words[1:])
-        self._learn(list(need.difference(self.words)))
-        first = self._ids([words[0] for words in split])
-        out: list[bytes | None] = []
-        for text, words, head in zip(texts, split, first):
-            try:
-                whole = len(words) > 1 and (not words[0] or words[0][-1].isspace()) or any(x in text for x in self.added)
-                out.append(None if whole else head + b"".join(map(self.words.__getitem__, words[1:])))
-            except TypeError:          # a None: white space next to a space
-                out.append(None)
-        rest = iter(self._ids([t for t, ids in zip(texts, out) if ids is None]))
-        return [next(rest) if ids is None else ids for ids in out]
-
-
 def write_shard(partition: int, shard: int, id_bytes: int, doc_ids: list, sizes: list[int], ids: bytes) -> bytes:
     known = [d for d in doc_ids if d is not None]
     least = known[0] if known else 0
@@ -122,7 +41,7 @@ def write_shard(partition: int, shard: int, id_bytes: int, doc_ids: list, sizes:
 
 
 class Shard:
-    """One file's documents; ``document(i)`` touches two select structures and the ids in between."""
+    """One file's documents, found by select: no table of their offsets is built, whatever their number."""
 
     def __init__(self, data: bytes):
         if data[:len(MAGIC)] != MAGIC:
@@ -138,8 +57,14 @@ class Shard:
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.ends.select(i - 1) if i else 0:self.ends.select(i)]
 
-    def doc_ids(self) -> list:
-        return [None] * self.unnamed + [self.least + int(x) for x in self.names.all()]
+    def ends_of(self, first: int, last: int) -> np.ndarray:
+        """Where the documents ``first`` to ``last`` - 1 end in the id array."""
+        return self.ends.select_run(first, last).astype(np.int64)
+
+    def doc_ids(self, first: int, last: int) -> list:
+        known = max(first - self.unnamed, 0), max(last - self.unnamed, 0)
+        return [None] * (min(last, self.unnamed) - min(first, self.unnamed)) + \
+            [self.least + int(x) for x in self.names.select_run(*known)]
 
 
 def _save(folder: str, name: str, data: bytes) -> None:
@@ -164,7 +89,7 @@ def _name(partition: int, shard: int) -> str:
 
 def _write(folder: str, tokenizer: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(ByteBpe, tokenizer)
         end = np.array([end_id], encoder.kind).tobytes()
         partition, shard = TaskContext.get().partitionId(), 0
         names: list = []
@@ -199,13 +124,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
     """Write the ids of all texts to ``folder`` (in a store that driver and executors share); returns the
     manifest: partition, shard, documents, tokens and start (ids of all shards before), one row a file.
 
-    Rows go by ascending doc_id (null first; ties by text) into ranges of rows; a null or empty text is
-    the end id alone.
+    Rows go by ascending doc_id (null first; ties by text) into ranges of rows, of which equal rows may take several; a
+    null or empty text is the end id alone. A long text is one document of its shard. Other columns are not read.
     """
     spark = prepare(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    ordered = (rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "tie")
+    ordered = (rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+               .repartitionByRange(parts, "doc_id", "tie", "row")
                .sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text"))
     manifest = stored(ordered.mapInArrow(_write(folder, tokenizer, end_id, shard_tokens),
                                          "partition long, shard long, documents long, tokens long"), "token-manifest")
@@ -222,12 +148,16 @@ def _read(folder: str):
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(_load(folder, _name(row["partition"], row["shard"])))
-                ends = shard.ends.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
-                crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids(), pa.int64()), pa.array(starts + row["start"]), pa.array(ends - starts),
-                     pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                before = 0
+                for first in range(0, shard.documents, eliasfano.STEP):
+                    last = min(first + eliasfano.STEP, shard.documents)
+                    ends = shard.ends_of(first, last)
+                    starts = np.concatenate([[before], ends[:-1]])
+                    before = int(ends[-1])
+                    crc = [zlib.crc32(shard.ids[a:b].astype("<u4")) for a, b in zip(starts, ends)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(shard.doc_ids(first, last), pa.int64()), pa.array(starts + row["start"]),
+                         pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
     return run
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from gustframe.llm import hamming, language, licenses, mixing, near_dedup, quality, secretscan, tokens, toxicity
+from gustframe.llm import encoding, hamming, language, licenses, mixing, near_dedup, quality, secretscan, tokens, toxicity
 from gustframe.llm.decontaminate import contamination
 from gustframe.plans.verify import _canon, digest, duck
 
@@ -138,7 +138,7 @@ def test_top_k_with_ties_nulls_and_copies(spark):
 def test_tokens_read_back_what_the_library_encodes(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in tokens.token_output(docs).collect()}
-    encoder, at = tokens.Encoder(), 0
+    encoder, at = encoding.ByteBpe(tokens.TOKENIZER), 0
     for r in docs.orderBy("doc_id").collect():
         ids = encoder.tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0]
         assert (got[r.doc_id].start, got[r.doc_id].n_tokens) == (at, len(ids))

@@ -22,7 +22,8 @@ from gustframe.llm.decontaminate import Windows
 from gustframe.llm.eliasfano import EliasFano, encode
 from gustframe.llm.hamming import CodeIndex, distances
 from gustframe.llm.quality import N_FEATURES, Features, nn_pu
-from gustframe.llm.tokens import TOKENIZER, Encoder, Shard, write_shard
+from gustframe.llm.encoding import ByteBpe, LowerWordBpe
+from gustframe.llm.tokens import TOKENIZER, Shard, write_shard
 from gustframe.llm.toxicity import TextCnn, best_threshold
 from gustframe.llm.wordhash import ASCII_NO_WORD, ASCII_SPACE, BLOCK, WordHasher
 
@@ -65,7 +66,10 @@ def test_elias_fano_round_trip():
     for n, top in ((0, 1), (1, 1), (5, 3), (3000, 10), (3000, 10**6), (1200, 2**60)):
         values = np.sort(rng.integers(0, top, n, dtype=np.uint64))
         code = EliasFano(encode(values) + b"tail")
-        assert (code.all() == values).all()
+        assert (code.select_run(0, n) == values).all()
+        for first, last in ((0, 1), (511, 513), (512, 1024), (700, 2999), (n - 1, n + 5)):
+            if 0 <= first < n:
+                assert (code.select_run(first, last) == values[first:last]).all()
         assert [code.select(i) for i in range(0, n, 7)] == values[::7].tolist()
         if n == 3000 and top == 10**6:
             assert code.size < n * 8 / 4
@@ -76,19 +80,23 @@ def test_elias_fano_round_trip():
 def test_shard_keeps_documents():
     sizes, ids = [3, 1, 2], np.arange(6, dtype="<u2")
     shard = Shard(write_shard(4, 2, 2, [None, -7, 900], sizes, ids.tobytes()))
-    assert shard.doc_ids() == [None, -7, 900] and (shard.partition, shard.shard) == (4, 2)
+    assert shard.doc_ids(0, 3) == [None, -7, 900] and shard.doc_ids(1, 2) == [-7] and shard.ends_of(1, 3).tolist() == [4, 6]
+    assert (shard.partition, shard.shard) == (4, 2)
     assert [shard.document(i).tolist() for i in range(3)] == [[0, 1, 2], [3], [4, 5]]
     with pytest.raises(ValueError):
         Shard(b"something else")
 
 
-def test_encoder_equals_the_whole_text():
+@pytest.mark.parametrize("kind, name", [(ByteBpe, TOKENIZER), (LowerWordBpe, "word_bpe_49k.json")])
+def test_encoder_equals_the_whole_text(kind, name):
     texts = ["", " ", "Hello, world! it's", "a  b \n c\n\nd ", " lead", "tail ", "é à. été?! x1y2 <|endoftext|> end", "  x  y",
              "don't. stop, now; ok: yes!? (a) [b] 12.5%", "中文 字 😀 ok", "a\x1cb c\x1c d", "one two<|endoftext|>three four", "<|endoftext|>", "a <|endoftext|>"]
     rng = random.Random(3)
     texts += ["".join(rng.choice("ab é.,'\n\t 1!中s") for _ in range(rng.randint(1, 60))) for _ in range(400)]
-    e = Encoder(cached=50)
-    plain = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))          # as the library makes it
+    texts += [f"x {chr(c)}{chr(c + 1)} {chr(c)}.,\n{chr(c)}" for c in range(0x21, 0x3000)]
+    e = kind(name, cached=50)
+    assert e.by_words
+    plain = Tokenizer.from_file(public_tokenizers.path(name))          # as the library makes it
     whole = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
     for i in range(0, len(texts), 37):
         assert [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts[i:i + 37])] == whole[i:i + 37]
@@ -302,3 +310,25 @@ def test_components_equal_union_find(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("depth", [10, 200, 1000])
+def test_secret_in_many_nested_layers(depth):
+    data = b"password = abcdefgh1234"
+    for _ in range(depth):
+        data = gzip.compress(data, mtime=0)
+    packed = base64.b64encode(data).decode()
+    text = f"x {packed} y {packed}"
+    size = len(packed.rstrip("="))
+    spans = secretscan.scan(text)[1]
+    assert [(a, kind) for a, kind, _ in spans] == [(2, 0), (2 + len(packed) + 3, 0)]
+    assert all(b - a in (size, len(packed)) for a, _, b in spans)
+
+
+def test_text_around_and_behind_compressed_members_is_read():
+    inner = gzip.compress(b"secret=aaaabbbb") + gzip.compress(b"token=ccccdddd")
+    data = b"password=eeeeffff " + inner + b" api_key=gggghhhh"
+    text = base64.b64encode(data).decode()
+    whole = {m for m in secretscan.scan(text)[1]}
+    assert len(whole) >= 3 and all(0 <= a < b <= len(text) for a, _, b in whole)
+    assert (0, 0, 23) in whole or any(a == 0 and b <= 24 for a, _, b in whole)       # the password, by its own letters
