@@ -3,30 +3,30 @@ catalog query, and the row-level scans read only the columns they need."""
 
 import pytest
 
-import __spark_entry__ as E
+from gustframe.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_no_forbidden_operators(spark, name):
-    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for op in FORBIDDEN:
         assert op not in plan, f"{name}: {op}"
 
 
 def test_scan_prunes_columns(spark):
-    plan = E.queries()["FTR8_comfort_frames"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.queries()["FTR8_comfort_frames"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     # the frame query needs ts, user_id, event_type, value, props, event_id -- all six here, so
     # check a narrow query instead
-    plan = E.queries()["SRC6_event_time_range_scan"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.queries()["SRC6_event_time_range_scan"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in plan
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in plan
 
 
 def test_top_n_is_limited_before_the_shuffle(spark):
-    plan = E.queries()["WIN9_last_100_predictions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.queries()["WIN9_last_100_predictions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
@@ -36,12 +36,12 @@ _SPARK_TYPE_NAMES = {"double": "double", "bigint": "bigint", "int": "int", "stri
                      "array<bigint>": "array<bigint>"}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_declared_schema_is_the_output_schema(spark, name):
     from gustframe.plans.registry import REGISTRY, parse_schema
     if name.startswith("ML1_"):
         pytest.skip("fits models while building the plan; covered by test_training")
-    df = E.queries()[name](spark, SF)
+    df = catalog.queries()[name](spark, SF)
     got = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
     want = [(n, _SPARK_TYPE_NAMES[t]) for n, t in parse_schema(REGISTRY[name].schema)]
     assert got == want
