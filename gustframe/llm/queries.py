@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustframe.llm import hamming, language, licenses, mixing, near_dedup, quality, secretscan, tokens, toxicity
+from gustframe.llm import hamming, language, licenses, merkle, mixing, near_dedup, quality, secretscan, tokens, toxicity
 from gustframe.llm.common import prepare
 from gustframe.llm.decontaminate import contamination
 
@@ -66,10 +66,15 @@ def op10_secret_scan(spark, sf_dir):
     return secretscan.secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), is_tampered=tampered)
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
     own = [op1_license_scan, op2_token_output, op3_toxicity, op4_decontamination, op5_language_id, op6_hamming_top_k,
-           op7_near_duplicates, op8_quality, op9_mixing, op10_secret_scan]
+           op7_near_duplicates, op8_quality, op9_mixing, op10_secret_scan, op11_merkle_manifest]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -139,6 +144,38 @@ pairs AS (SELECT q.vec_id, c.vec_id AS neighbour,
 SELECT vec_id, rank, neighbour, distance
 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rank FROM pairs) WHERE rank <= 10"""
 
+_SIZED = "coalesce(octet_length(encode({0}))::VARCHAR || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_SIZED.format(c) for c in ("doc_id::VARCHAR", "source", "lang", "{0}::VARCHAR", "text")) + ")"
+_LEVELS_UP = """{0} AS (SELECT g, 0 AS lvl, pos, n, h FROM {1} UNION ALL
+  SELECT g, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {0} WHERE n > 1 GROUP BY g, lvl, pos // 2, n)"""
+_STEPS = """SELECT l.id, {2} + own.lvl AS lvl, CASE WHEN sib.h IS NULL THEN 'N' WHEN sib.pos < own.pos THEN 'L' || sib.h ELSE 'R' || sib.h END AS step
+  FROM {0} l JOIN {1} own ON own.g = l.g AND own.pos = l.pos >> own.lvl AND own.n > 1
+  LEFT JOIN {1} sib ON sib.g = own.g AND sib.lvl = own.lvl AND sib.pos = xor(own.pos, 1)"""
+
+_OP11 = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+d AS (SELECT doc_id, lang, {_LEAF.format("n_chars")} AS h, {_LEAF.format("(n_chars + 1)")} AS other,
+             xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                 lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 7 = 0 AS tampered FROM documents, crc),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS g, count(*) OVER () AS groups, n
+          FROM (SELECT lang, count(*) AS n FROM d GROUP BY lang)),
+leaves AS (SELECT row_number() OVER () AS id, d.*, g, n, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos
+           FROM d JOIN langs ON d.lang IS NOT DISTINCT FROM langs.lang),
+{_LEVELS_UP.format("up", "leaves")},
+subs AS (SELECT up.g AS id, 0 AS g, up.g AS pos, groups AS n, h FROM up JOIN langs ON langs.g = up.g WHERE up.n = 1),
+{_LEVELS_UP.format("top", "subs")},
+steps AS ({_STEPS.format("leaves", "up", 0)} UNION ALL
+  SELECT leaves.id, s.lvl, s.step FROM ({_STEPS.format("subs", "top", 1000)}) s JOIN leaves ON leaves.g = s.id),
+proofs AS (SELECT id, list(step ORDER BY lvl) AS steps, sha256(string_agg(step[2:], '' ORDER BY lvl)) AS proof_sha256 FROM steps GROUP BY id),
+rows AS (SELECT doc_id, leaves.h AS leaf, subs.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root,
+       coalesce(proof_sha256, sha256('')) AS proof_sha256,
+       list_reduce(coalesce(steps, []), lambda f, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || f WHEN 'R' THEN f || s[2:] ELSE f END),
+                   CASE WHEN coalesce(tampered, false) AND other IS NOT NULL THEN other ELSE leaves.h END) AS folded_root
+FROM leaves JOIN subs ON subs.id = leaves.g LEFT JOIN proofs ON proofs.id = leaves.id)
+SELECT *, folded_root = root AS verified FROM rows"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _OP4, "op6_hamming_top_k": _OP6, "op7_near_duplicates": _OP7, "op9_mixing": _OP9}
+    return {"op4_decontamination": _OP4, "op6_hamming_top_k": _OP6, "op7_near_duplicates": _OP7, "op9_mixing": _OP9,
+            "op11_merkle_manifest": _OP11}
