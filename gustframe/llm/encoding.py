@@ -14,6 +14,9 @@ from array import array
 #: Words whose ids a worker process remembers (about 200 bytes each); beyond it the memory starts anew.
 CACHED_WORDS = 800_000
 
+#: Characters of a long text that are cut into words at a time.
+SEGMENT = 1 << 20
+
 _HELD: dict[tuple, "WordEncoder"] = {}
 
 
@@ -25,6 +28,19 @@ def encoder_of(kind: type, tokenizer: str) -> "WordEncoder":
     return _HELD[key]
 
 
+def segments(text: str):
+    """The text in parts that single spaces, which are left out, part from each other."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        cut = text.rfind(" ", at, at + SEGMENT)
+        cut = cut if cut >= 0 else text.find(" ", at + SEGMENT)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:] if at else text
+
+
 class WordEncoder(dict):
     """word -> its ids as bytes, None where a word's ids depend on its neighbours."""
 
@@ -129,12 +145,16 @@ class ByteBpe(WordEncoder):
         return self.stop("Ċ").join(found) if len(found) > 1 else found[0]
 
     def by_word(self, text: str) -> bytes | None:
-        words = text.split(" ")
-        head = words[0]
-        if len(words) > 1 and (not head or head[-1].isspace()):
-            return None
-        del words[0]
-        return self.library([head])[0] + b"".join(map(self.__getitem__, words))
+        out = []
+        for part in segments(text):
+            words = part.split(" ")
+            if not out:
+                head = words.pop(0)
+                if len(head) < len(text) and (not head or head[-1].isspace()):
+                    return None
+                out.append(self.library([head])[0])
+            out.append(b"".join(map(self.__getitem__, words)))
+        return b"".join(out)
 
 
 class LowerWordBpe(WordEncoder):
@@ -162,4 +182,4 @@ class LowerWordBpe(WordEncoder):
         return self.library([word])[0] if None in found else b"".join(found)
 
     def by_word(self, text: str) -> bytes | None:
-        return b"".join(map(self.__getitem__, text.split(" ")))
+        return b"".join(b"".join(map(self.__getitem__, part.split(" "))) for part in segments(text))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustframe.llm import hamming, language, licenses, merkle, mixing, near_dedup, quality, secretscan, tokens, toxicity, whitening
+from gustframe.llm import hamming, language, licenses, merkle, mixing, near_dedup, packing, quality, secretscan, tokens, toxicity, whitening
 from gustframe.llm.common import prepare
 from gustframe.llm.decontaminate import contamination
 
@@ -75,10 +75,14 @@ def op12_embedding_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
     own = [op1_license_scan, op2_token_output, op3_toxicity, op4_decontamination, op5_language_id, op6_hamming_top_k,
-           op7_near_duplicates, op8_quality, op9_mixing, op10_secret_scan, op11_merkle_manifest, op12_embedding_whitening]
+           op7_near_duplicates, op8_quality, op9_mixing, op10_secret_scan, op11_merkle_manifest, op12_embedding_whitening, op13_best_fit_packing]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
