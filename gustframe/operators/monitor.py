@@ -9,7 +9,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gustframe.functions.timefn import trunc_ntz
 from gustframe.operators.sequence import sequence_asof, sequence_streak
 
 # The five default alert rules
@@ -53,14 +52,14 @@ def evaluate_rules(metrics: DataFrame, rules: DataFrame, key: str = "host", ts:
     ``rules`` is a literal table of a handful of rows, so it is broadcast.
     Sustained = the last ``duration`` samples of the host all breach, computed as a
     breach streak (position - position of the last non-breach sample) from the
-    bucketed sequence index rather than a window over the whole host.
+    segmented scan rather than a window over the whole host.
     """
     long = unpivot_metrics(metrics, [key, *order] if ts in order else [key, ts, *order])
     j = long.join(F.broadcast(rules), on="metric", how="inner")
     j = j.withColumn("breach", F.coalesce(rule_predicate(F.col("value"), F.col("operator"),
                                                          F.col("threshold")), F.lit(False)))
     part = ["rule_name", key]
-    d = sequence_streak(j, part, list(order), "breach", bucket=trunc_ntz("hour", ts))
+    d = sequence_streak(j, part, list(order), "breach")
     return d.withColumn("sustained", F.col("streak") >= F.col("duration_samples"))
 
 
@@ -100,8 +99,7 @@ def cooldown_doubling(c: DataFrame, part) -> DataFrame:
     c = c.where(cd > 0)
     left = c.select(*part, "_id", "_t", (F.col("_t") + cd).alias("_x"))
     right = c.select(*part, "_id", "_t", (-F.col("_id")).alias("_nid"))
-    j = sequence_asof(left, right, part, -F.col("_x"), -F.col("_t"), "_nid", ["_id", "_t"],
-                      bucket_width=3_600_000_000, out="_next")
+    j = sequence_asof(left, right, part, -F.col("_x"), -F.col("_t"), "_nid", ["_id", "_t"], out="_next")
     jump = (j.where(F.col("_next").isNotNull())
             .select(*part, "_id", F.col("_next._id").alias("_to"))).checkpoint(eager=True)
     nodes = c.select(*part, "_id", "_t")

@@ -4,7 +4,7 @@ Each check emits ``(scope..., name, severity, passed, issue_count, ratio)``.
 Counts come from a single ``groupBy(scope)`` (partial aggregation, so a hot
 scope costs one partial row per map task); IQR bounds (DQ6) are exact
 ``percentile`` per scope, joined back to count outliers; continuity (DQ4)
-reuses the bucketed lag of WIN3.
+reuses the lag of WIN3.
 """
 
 from __future__ import annotations

@@ -155,9 +155,9 @@ def frame_statistics(frames: DataFrame, keys=("station_id", "window_start"),
 def null_report(obs: DataFrame, key: str = "station_id", ts: str = "obs_ts",
                 stored_order: str = "event_id", columns=("temperature_c", "wind_speed_ms",
                                                          "precipitation_mm", "relative_humidity")) -> DataFrame:
-    """AGG8: rows, null counts, and unsorted timestamps in stored order (bucketed lag)."""
+    """AGG8: rows, null counts, and unsorted timestamps in stored order."""
     from gustframe.operators.sequence import sequence_lag
-    d = sequence_lag(obs, [key], [stored_order], [ts], bucket=F.floor(F.col(stored_order) / 4096))
+    d = sequence_lag(obs, [key], [stored_order], [ts])
     aggs = [F.count(F.lit(1)).alias("row_count"), F.count_if(F.col(ts).isNull()).alias(f"null_{ts}")]
     aggs += [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns]
     aggs.append(F.count_if(F.col(ts) < F.col("prev_" + ts)).alias("unsorted_count"))

@@ -1,170 +1,267 @@
-"""Order-dependent helpers that never put a whole key into one window partition.
+"""Order-dependent helpers that never put a whole key into one task: a segmented scan.
 
-A window ``partitionBy(key).orderBy(ts)`` sends every row of a key to one task;
-with a hot key (a third of all rows) that task is the job. These helpers split
-each key into time buckets (``bucket``: an expression such as the hour of the
-timestamp), work inside ``(key, bucket)`` partitions, and stitch bucket edges
-together through a bucket-level table that has one row per (key, bucket) --
-its size grows with the time span, not with the row count.
+A window ``partitionBy(key).orderBy(ts)`` sends every row of a key to one task; with a hot key (a third of all rows)
+that task is the job. Here rows are dealt into ranges of (key, full order), so a hot key, and a hot minute of it, takes as
+many ranges as it needs. One pass inside each range gives the result up to what came before the range; a key can only
+come from before in a range's first segment, so the carry is one row per range, whatever the number of keys. These rows
+(at most one per shuffle partition) are folded in order and broadcast back.
 
-* ``sequence_lag``   -- previous row's values across bucket edges (exact lag)
-* ``sequence_index`` -- 1-based position of a row within its key, and the key size
+The ranged rows are checkpointed once to ``spark.checkpoint.dir``: the pass and the carries must see the same ranges.
+
+* ``sequence_lag``    previous row's values
+* ``sequence_index``  1-based position of a row within its key, and the key size
+* ``sequence_streak`` length of the run of true flags that ends at a row
+* ``sequence_asof``   last right row at or before each left row
+* ``global_index``    position in a total order of all rows
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+#: Columns that a pass adds beside its results: range, whether the row is the range's first or last, whether it is in the
+#: range's first segment.
+_MARKS = "_seq_part long, _seq_first boolean, _seq_last boolean, _seq_open boolean"
 
 
 def _cols(names) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
-def sequence_lag(df: DataFrame, keys, order, values, bucket: Column,
-                 prefix: str = "prev_") -> DataFrame:
-    """Add ``prefix+v`` = value of ``v`` on the previous row of the same key.
+def _ranges(df: DataFrame, *order: str) -> DataFrame:
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
-    ``order`` must be a total order within the key (e.g. ``(obs_ts, event_id)``).
-    One window pass over ``(key, bucket)`` gives the in-bucket lag and marks each
-    bucket's last row; those edge rows (one per bucket) are lagged over the key's
-    buckets and joined to the first row of the next non-empty bucket.
-    """
+
+# --- the pass inside a range ----------------------------------------------------------------------------------------
+
+def _behind(last: pa.RecordBatch | None, batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column with the row before the batch (null for the first batch) in front."""
+    own = batch.column(name)
+    head = pa.nulls(1, own.type) if last is None else last.column(name)
+    return pa.concat_arrays([head, own])
+
+
+def _changes(last: pa.RecordBatch | None, batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """True where a row has another key than the row before it."""
+    out = np.zeros(batch.num_rows, bool)
+    for k in keys:
+        both = _behind(last, batch, k)
+        a, b = both[1:], both[:-1]
+        other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        out |= other.to_numpy(zero_copy_only=False)
+    if last is None:
+        out[0] = True
+    return out
+
+
+class _Lag:
+    def __init__(self, values: list[str], prefix: str):
+        self.values, self.names = values, [prefix + v for v in values]
+
+    def start(self) -> None:
+        pass
+
+    def step(self, last, batch, start, fresh) -> list[pa.Array]:
+        at = pa.array(np.arange(batch.num_rows), mask=fresh)
+        return [_behind(last, batch, v).take(at) for v in self.values]
+
+
+class _Index:
+    names = ["_seq_at"]
+
+    def start(self) -> None:
+        self.before = 0
+
+    def step(self, last, batch, start, fresh) -> list[pa.Array]:
+        at = np.arange(batch.num_rows) - start + np.where(start < 0, self.before, 1)
+        self.before = int(at[-1])
+        return [pa.array(at)]
+
+
+class _Streak:
+    names = ["_seq_run", "_seq_all"]
+
+    def __init__(self, flag: str):
+        self.flag = flag
+
+    def start(self) -> None:
+        self.run, self.whole = 0, True
+
+    def step(self, last, batch, start, fresh) -> list[pa.Array]:
+        n = np.arange(batch.num_rows)
+        flag = pc.fill_null(batch.column(self.flag), False).to_numpy(zero_copy_only=False)
+        miss = np.maximum.accumulate(np.where(flag, -1, n))
+        run = n - np.maximum(miss, np.where(start < 0, -1, start - 1))
+        earlier = (start < 0) & (miss < 0)
+        run = run + np.where(earlier, self.run, 0)
+        whole = np.where(start < 0, (miss < 0) & self.whole, miss < start)
+        self.run, self.whole = int(run[-1]), bool(whole[-1])
+        return [pa.array(run), pa.array(whole)]
+
+
+class _Fill:
+    names = ["_seq_fill"]
+
+    def __init__(self, source: str):
+        self.source = source
+
+    def start(self) -> None:
+        self.held = None
+
+    def step(self, last, batch, start, fresh) -> list[pa.Array]:
+        own = batch.column(self.source)
+        both = pa.concat_arrays([pa.nulls(1, own.type) if self.held is None else self.held, own])
+        n = np.arange(1, batch.num_rows + 1)
+        at = np.maximum.accumulate(np.where(own.is_valid().to_numpy(zero_copy_only=False), n, 0))
+        filled = both.take(pa.array(at, mask=(start >= 0) & (at <= start)))
+        self.held = filled[-1:]
+        return [filled]
+
+
+def _pass(kind, keys: list[str]) -> Callable:
+    """Every batch with the results of ``kind`` up to what came before the range, and the marks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, waiting, segments = TaskContext.get().partitionId(), None, None, 0
+        kind.start()
+
+        def marked(batch, results, opened, first, final) -> pa.RecordBatch:
+            n = batch.num_rows
+            at = np.arange(n)
+            return pa.RecordBatch.from_arrays(
+                [*batch.columns, *results, pa.array(np.full(n, part, np.int64)), pa.array(first & (at == 0)),
+                 pa.array(final & (at == n - 1)), pa.array(opened)],
+                [*batch.schema.names, *kind.names, "_seq_part", "_seq_first", "_seq_last", "_seq_open"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = _changes(last, batch, keys)
+            start = np.maximum.accumulate(np.where(fresh, np.arange(batch.num_rows), -1))
+            opened = segments + np.cumsum(fresh) == 1
+            results = kind.step(last, batch, start, fresh)
+            if waiting is not None:
+                yield marked(*waiting, False)
+            waiting = (batch, results, opened, last is None)
+            segments += int(fresh.sum())
+            last = batch.slice(batch.num_rows - 1)
+        if waiting is not None:
+            yield marked(*waiting, True)
+    return run
+
+
+def _folded(keys: list[str], schema: pa.Schema, out: Callable) -> Callable:
+    """(range, carry) from the first and last rows of all ranges in order. ``out(row, carry)`` is what the last row of
+    a range hands on, given the carry into the range."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, before, found = None, None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = [row[k] for k in keys]
+                if row["_seq_first"]:
+                    carry = state if before == own else None
+                    found.append((row["_seq_part"], carry))
+                if row["_seq_last"]:
+                    state, before = out(row, carry), own
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], schema.field(i).type) for i in (0, 1)], schema=schema)
+    return run
+
+
+def _scan(df: DataFrame, keys: list[str], order: list[str], kind, results: list[StructField], used: list[str], carry: str,
+          out: Callable) -> DataFrame:
+    """Ranged rows with the results of ``kind``, the marks and ``_seq_carry`` (null where nothing came before)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    schema = StructType(df.schema.fields + results + StructType.fromDDL(_MARKS).fields)
+    marked = _ranges(df, *keys, *order).mapInArrow(_pass(kind, keys), schema).checkpoint(eager=True)
+    edges = (marked.where("_seq_first or _seq_last").select(*keys, *used, *[f.name for f in StructType.fromDDL(_MARKS)])
+             .coalesce(1).sortWithinPartitions("_seq_part", F.col("_seq_last").cast("int")))       # two rows per range at most
+    carried = StructType([StructField("_seq_part", schema["_seq_part"].dataType),
+                          StructField("_seq_carry", schema[carry].dataType if carry in schema.names else StructType.fromDDL(f"x {carry}")[0].dataType)])
+    carries = edges.mapInArrow(_folded(keys, to_arrow_schema(carried), out), carried)
+    return marked.join(F.broadcast(carries), "_seq_part", "left")                                  # one row per range
+
+
+# --- operators ------------------------------------------------------------------------------------------------------
+
+def sequence_lag(df: DataFrame, keys, order, values, prefix: str = "prev_") -> DataFrame:
+    """Add ``prefix+v`` = value of ``v`` on the previous row of the same key, in a total ``order`` within the key."""
     keys, order, values = _cols(keys), _cols(order), _cols(values)
-    carry = sorted(set(order) | set(values), key=(order + values).index)
-    b = "_seq_bucket"
-    d = df.withColumn(b, bucket)
-    w = Window.partitionBy(*keys, b).orderBy(*order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = d.withColumn("_seq_rn", F.row_number().over(w)).withColumn("_seq_cnt", F.count(F.lit(1)).over(whole))
-    for v in carry:
-        d = d.withColumn(f"_seq_in_{v}", F.lag(v).over(w))
-    edge = d.where(F.col("_seq_rn") == F.col("_seq_cnt")).select(*keys, b, F.struct(*carry).alias("_seq_last"))
-    wb = Window.partitionBy(*keys).orderBy(b)
-    edge = (edge.withColumn("_seq_prev", F.lag("_seq_last").over(wb))
-            .select(*keys, b, F.lit(1).alias("_seq_rn"), "_seq_prev"))
-    d = d.join(edge, on=[*keys, b, "_seq_rn"], how="left")
-    return d.select(
-        *[F.col(c) for c in df.columns],
-        *[F.coalesce(F.col(f"_seq_in_{v}"), F.col(f"_seq_prev.{v}")).alias(prefix + v)
-          for v in values])
-
-
-def sequence_index(df: DataFrame, keys, order, bucket: Column,
-                   index_col: str = "seq_idx", size_col: str | None = "seq_n",
-                   descending: bool = False) -> DataFrame:
-    """Add the 1-based position of each row within its key (and the key's size).
-
-    Equivalent to ``row_number() over (partition by keys order by order)`` but
-    computed as (position inside the bucket) + (rows in earlier buckets).
-    """
-    keys, order = _cols(keys), _cols(order)
-    b = "_seq_bucket"
-    d = df.withColumn(b, bucket)
-    ord_cols = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    w = Window.partitionBy(*keys, b).orderBy(*ord_cols)
-    d = d.withColumn("_seq_local", F.row_number().over(w))
-    counts = d.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_seq_cnt"))
-    bcol = F.col(b).desc() if descending else F.col(b).asc()
-    wb = Window.partitionBy(*keys).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_seq_off", F.coalesce(F.sum("_seq_cnt").over(wb), F.lit(0)))
-    if size_col:
-        counts = counts.withColumn(size_col, F.sum("_seq_cnt").over(Window.partitionBy(*keys)))
-    keep = [*keys, b, "_seq_off"] + ([size_col] if size_col else [])
-    d = d.join(counts.select(*keep), on=[*keys, b], how="inner")
-    d = d.withColumn(index_col, (F.col("_seq_local") + F.col("_seq_off")).cast("bigint"))
-    return d.drop("_seq_local", "_seq_off", b)
-
-
-def global_index(df: DataFrame, order, index_col: str = "position", size_col: str | None = None,
-                 partitions: int | None = None) -> DataFrame:
-    """1-based position of every row in the total ``order`` (zipWithIndex over ranges).
-
-    ``repartitionByRange`` on the full (unique) order splits even a hot timestamp
-    across partitions; rows are numbered inside each range partition, and each
-    partition's offset is the row count of the partitions before it (a table with one
-    row per partition). The partition-tagged rows are checkpointed once so that the
-    numbering and the counts see the same partitions (lineage cut, executor-loss safe).
-    """
-    order = _cols(order)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.repartitionByRange(n, *order).withColumn("_gi_pid", F.spark_partition_id())
-    d = d.withColumn("_gi_local", F.row_number().over(Window.partitionBy("_gi_pid").orderBy(*order)))
-    d = d.checkpoint(eager=True)
-    counts = d.groupBy("_gi_pid").agg(F.count(F.lit(1)).alias("_gi_cnt"))
-    wp = Window.orderBy("_gi_pid").rowsBetween(Window.unboundedPreceding, -1)   # <= n rows
-    counts = counts.withColumn("_gi_off", F.coalesce(F.sum("_gi_cnt").over(wp), F.lit(0)))
-    if size_col:
-        counts = counts.withColumn(size_col, F.sum("_gi_cnt").over(Window.partitionBy()))
-    keep = ["_gi_pid", "_gi_off"] + ([size_col] if size_col else [])
-    d = d.join(F.broadcast(counts.select(*keep)), on="_gi_pid", how="inner")   # one row per partition
-    d = d.withColumn(index_col, (F.col("_gi_local") + F.col("_gi_off")).cast("bigint"))
-    return d.drop("_gi_pid", "_gi_local", "_gi_off")
+    d = df.withColumn("_seq_own", F.struct(*values))
+    results = [StructField(prefix + v, df.schema[v].dataType) for v in values]
+    j = _scan(d, keys, order, _Lag(values, prefix), results, ["_seq_own"], "_seq_own", lambda row, carry: row["_seq_own"])
+    return j.select(*df.columns, *[F.when(F.col("_seq_first"), F.col(f"_seq_carry.{v}")).otherwise(F.col(prefix + v)).alias(prefix + v)
+                                   for v in values])
 
 
-def sequence_streak(df: DataFrame, keys, order, flag: str, bucket: Column,
-                    out: str = "streak") -> DataFrame:
-    """Length of the run of consecutive ``flag`` = true rows ending at each row, per key.
+def sequence_index(df: DataFrame, keys, order, index_col: str = "seq_idx", size_col: str | None = "seq_n") -> DataFrame:
+    """Add the 1-based position of each row within its key, and the number of the key's rows."""
+    keys, order = _cols(keys), _cols(order)
+    results = StructType.fromDDL("_seq_at long").fields
+    j = _scan(df, keys, order, _Index(), results, ["_seq_at"], "long",
+              lambda row, carry: row["_seq_at"] + ((carry or 0) if row["_seq_open"] else 0))
+    at = F.col("_seq_at") + F.when(F.col("_seq_open"), F.coalesce("_seq_carry", F.lit(0))).otherwise(0)
+    d = j.select(*df.columns, at.alias(index_col))
+    if not size_col:
+        return d
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size_col))
+    return d.join(sizes, on=keys, how="inner").select(*df.columns, index_col, size_col)
 
-    streak = position - position of the last row with ``flag`` false (0 if none).
-    One window pass over ``(key, bucket)`` gives local positions, the bucket size and
-    the last local false position; a bucket-level table (one row per bucket) turns
-    them into global offsets and the carried last-false position.
-    """
+
+def sequence_streak(df: DataFrame, keys, order, flag: str, out: str = "streak") -> DataFrame:
+    """Length of the run of consecutive ``flag`` = true rows that ends at each row, per key."""
     keys, order = _cols(keys), _cols(order)
-    b = "_seq_bucket"
-    d = df.withColumn(b, bucket)
-    w = Window.partitionBy(*keys, b).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nf = F.when(~F.col(flag), F.col("_seq_i"))
-    d = (d.withColumn("_seq_i", F.row_number().over(w))
-         .withColumn("_seq_cnt", F.count(F.lit(1)).over(whole))
-         .withColumn("_seq_nf", F.max(nf).over(run))
-         .withColumn("_seq_nf_b", F.max(nf).over(whole)))
-    edge = d.where(F.col("_seq_i") == 1).select(*keys, b, "_seq_cnt", "_seq_nf_b")
-    wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("_seq_off", F.coalesce(F.sum("_seq_cnt").over(wb), F.lit(0)))
-    edge = edge.withColumn("_seq_nf_g", F.col("_seq_nf_b") + F.col("_seq_off"))
-    edge = edge.withColumn("_seq_prev_nf", F.coalesce(F.max("_seq_nf_g").over(wb), F.lit(0)))
-    d = d.join(edge.select(*keys, b, "_seq_off", "_seq_prev_nf"), on=[*keys, b], how="inner")
-    streak = F.when(F.col("_seq_nf").isNotNull(), F.col("_seq_i") - F.col("_seq_nf")) \
-        .otherwise(F.col("_seq_i") + F.col("_seq_off") - F.col("_seq_prev_nf"))
-    return d.withColumn(out, streak.cast("bigint")).drop(
-        b, "_seq_i", "_seq_cnt", "_seq_nf", "_seq_nf_b", "_seq_off", "_seq_prev_nf")
+    results = StructType.fromDDL("_seq_run long, _seq_all boolean").fields
+    j = _scan(df, keys, order, _Streak(flag), results, ["_seq_run", "_seq_all"], "long",
+              lambda row, carry: row["_seq_run"] + ((carry or 0) if row["_seq_open"] and row["_seq_all"] else 0))
+    run = F.col("_seq_run") + F.when(F.col("_seq_open") & F.col("_seq_all"), F.coalesce("_seq_carry", F.lit(0))).otherwise(0)
+    return j.select(*df.columns, run.alias(out))
 
 
 def sequence_asof(left: DataFrame, right: DataFrame, keys, left_t: Column, right_t: Column,
-                  right_tie: str, right_cols, bucket_width: int, out: str = "_asof") -> DataFrame:
+                  right_tie: str, right_cols, out: str = "_asof") -> DataFrame:
     """For each ``left`` row, the last ``right`` row of the same key with ``right_t <= left_t``.
 
-    ``left_t`` / ``right_t`` are numeric (e.g. micros; negate both for a forward lookup);
-    ``right_tie`` breaks ties among right rows. Both sides are unioned into one ordered
-    sequence split into ``bucket_width`` buckets; a running ``last(ignorenulls)`` inside
-    ``(key, bucket)`` plus the last right row of earlier buckets (one row per bucket)
-    answers every left row -- linear work, no pairs, no key-wide window.
-    Adds struct column ``out`` (NULL when no right row precedes).
+    ``left_t`` / ``right_t`` are numeric (e.g. micros; negate both for a forward lookup); ``right_tie`` breaks ties among
+    right rows. Both sides become one sequence in which the last right row is carried forward: linear work, no pairs.
+    Adds struct column ``out`` (null when no right row precedes).
     """
     keys = _cols(keys)
-    rc = list(right_cols)
-    rstruct = F.struct(*[F.col(c) for c in rc])
+    found = F.struct(*[F.col(c) for c in right_cols])
     L = left.select(*[F.col(k) for k in keys], left_t.cast("long").alias("_aq_t"), F.lit(1).alias("_aq_kind"),
-                    F.lit(None).cast("long").alias("_aq_tie"), F.lit(None).cast(right.select(rstruct).schema[0].dataType).alias("_aq_r"),
+                    F.monotonically_increasing_id().alias("_aq_tie"),
+                    F.lit(None).cast(right.select(found).schema[0].dataType).alias("_aq_r"),
                     F.struct(*[F.col(c) for c in left.columns]).alias("_aq_l"))
     R = right.select(*[F.col(k) for k in keys], right_t.cast("long").alias("_aq_t"), F.lit(0).alias("_aq_kind"),
-                     F.col(right_tie).cast("long").alias("_aq_tie"), rstruct.alias("_aq_r"),
+                     F.col(right_tie).cast("long").alias("_aq_tie"), found.alias("_aq_r"),
                      F.lit(None).cast(L.schema["_aq_l"].dataType).alias("_aq_l"))
-    u = L.unionByName(R).withColumn("_aq_b", F.floor(F.col("_aq_t") / bucket_width))
-    w = Window.partitionBy(*keys, "_aq_b").orderBy("_aq_t", "_aq_kind", "_aq_tie") \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumn("_aq_in", F.last("_aq_r", ignorenulls=True).over(w))
-    # one row per bucket that holds ANY row (a bucket with only left rows still needs
-    # the value carried from earlier buckets); max skips the NULL left entries
-    last_right = F.max(F.when(F.col("_aq_kind") == 0, F.struct("_aq_t", "_aq_tie", "_aq_r")))
-    edge = u.groupBy(*keys, "_aq_b").agg(last_right["_aq_r"].alias("_aq_last"))
-    wb = Window.partitionBy(*keys).orderBy("_aq_b").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("_aq_prev", F.last("_aq_last", ignorenulls=True).over(wb)).drop("_aq_last")
-    res = u.where(F.col("_aq_kind") == 1).join(edge, on=[*keys, "_aq_b"], how="left")
-    return res.select("_aq_l.*", F.coalesce("_aq_in", "_aq_prev").alias(out))
+    both = L.unionByName(R)
+    results = [StructField("_seq_fill", both.schema["_aq_r"].dataType)]
+    j = _scan(both, keys, ["_aq_t", "_aq_kind", "_aq_tie"], _Fill("_aq_r"), results, ["_seq_fill"], "_seq_fill",
+              lambda row, carry: row["_seq_fill"] if row["_seq_fill"] is not None or not row["_seq_open"] else carry)
+    got = F.when(F.col("_seq_open"), F.coalesce("_seq_fill", "_seq_carry")).otherwise(F.col("_seq_fill"))
+    return j.where(F.col("_aq_kind") == 1).select("_aq_l.*", got.alias(out))
+
+
+def global_index(df: DataFrame, order, index_col: str = "position", size_col: str | None = None) -> DataFrame:
+    """1-based position of every row in the total ``order``: one range shuffle on the full (unique) order, which splits even
+    a hot timestamp. The place inside a range is the low part of ``monotonically_increasing_id``; offsets come from a table
+    with one row per range."""
+    d = _ranges(df, *_cols(order)).withColumn("_gi_id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    part, place = F.shiftright("_gi_id", 33), F.expr("_gi_id & 8589934591")
+    counts = d.groupBy(part.alias("_gi_part")).agg(F.count(F.lit(1)).alias("_gi_rows"))
+    earlier = Window.orderBy("_gi_part").rowsBetween(Window.unboundedPreceding, -1)                # one row per range
+    counts = counts.withColumn("_gi_off", F.coalesce(F.sum("_gi_rows").over(earlier), F.lit(0)))
+    extra = []
+    if size_col:
+        counts = counts.withColumn(size_col, F.sum("_gi_rows").over(Window.partitionBy()))
+        extra = [size_col]
+    d = d.withColumn("_gi_part", part).join(F.broadcast(counts), "_gi_part")
+    return d.select(*df.columns, (place + F.col("_gi_off") + 1).alias(index_col), *extra)

@@ -9,7 +9,6 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustframe.functions.timefn import trunc_ntz
 from gustframe.operators.windows import last_n
 
 
@@ -71,7 +70,7 @@ def feedback_metrics(frames: DataFrame, key: str = "station_id", ts: str = "wind
     """AGG22: error = |actual score / 100 - predicted probability| over the newest ``last``
     frames per key; MAE, pop-std, max, min, count, 1 - MAE."""
     d = frames.withColumn("_err", F.abs(F.col("baseline_comfort_score") / 100.0 - F.col("comfort_probability")))
-    d = last_n(d, [key], [ts], last, bucket=trunc_ntz("day", ts))
+    d = last_n(d, [key], [ts], last)
     g = d.groupBy(key).agg(F.avg("_err").alias("mean_absolute_error"), F.stddev_pop("_err").alias("std_error"),
                            F.max("_err").alias("max_error"), F.min("_err").alias("min_error"),
                            F.count(F.lit(1)).alias("feedback_count"))

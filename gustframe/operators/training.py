@@ -96,11 +96,11 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str, fold_col
 
 
 def with_cross_validation(spark: SparkSession, metrics: DataFrame, df: DataFrame, features: Sequence[str], target: str,
-                          order: Sequence[str], folds: int = 5, bucket=None) -> DataFrame:
+                          order: Sequence[str], folds: int = 5) -> DataFrame:
     """ML9: cv_rmse_mean and cv_rmse_std of each family of ``metrics`` over contiguous folds of all rows. They are null
     (which does not pass the gate) for a family whose fit failed, then with the reason in ``error``."""
     from gustframe.operators.windows import contiguous_folds
-    d = contiguous_folds(prepare(df, target), list(order), folds, bucket=bucket).persist()
+    d = contiguous_folds(prepare(df, target), list(order), folds).persist()
     rows = []
     for name in [r.model_name for r in metrics.where("rmse is not null").select("model_name").collect()]:
         try:

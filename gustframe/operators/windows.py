@@ -2,8 +2,8 @@
 FTR5), continuity (WIN3), last-N caps (WIN9), as-of lookup (JN6), splits and folds
 (WIN14, WIN15), per-day caps (WIN13).
 
-Row positions come from ``sequence_index`` / ``sequence_lag`` (bucketed, so no
-window ever holds a whole station); everything else is a grouped aggregate.
+Row positions come from ``sequence_index`` / ``sequence_lag`` (segmented scans, so no
+task ever holds a whole station); everything else is a grouped aggregate.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustframe.functions.mathfn import clamp, default_if_falsy
-from gustframe.functions.timefn import hours_between, trunc_ntz
+from gustframe.functions.timefn import hours_between
 from gustframe.operators.sequence import global_index, sequence_asof, sequence_index, sequence_lag
 
 
@@ -59,10 +59,9 @@ def set_quality_columns() -> list[Column]:
 
 def with_day_lag(obs: DataFrame, key: str = "station_id", ts: str = "obs_ts",
                  order: Sequence[str] = ("obs_ts", "event_id")) -> DataFrame:
-    """Previous observation of the same station-day (hour buckets, exact across edges)."""
+    """Previous observation of the same station-day."""
     d = obs.withColumn("obs_date", F.to_date(ts))
-    return sequence_lag(d, [key, "obs_date"], list(order), [ts, "temperature_c"],
-                        bucket=trunc_ntz("hour", ts))
+    return sequence_lag(d, [key, "obs_date"], list(order), [ts, "temperature_c"])
 
 
 # ---- WIN3 continuity ------------------------------------------------------------
@@ -71,7 +70,7 @@ def continuity(obs: DataFrame, scope: Sequence[str] = ("station_id",), ts: str =
                order: Sequence[str] = ("obs_ts", "event_id"),
                expected_h: float = 1.0, tolerance_min: float = 10.0) -> DataFrame:
     """WIN3 / DQ4: consecutive gaps per scope; irregular outside 60 +- 10 minutes."""
-    d = sequence_lag(obs, list(scope), list(order), [ts], bucket=trunc_ntz("hour", ts))
+    d = sequence_lag(obs, list(scope), list(order), [ts])
     gap = hours_between(F.col(ts), F.col("prev_" + ts))
     lo, hi = expected_h - tolerance_min / 60.0, expected_h + tolerance_min / 60.0
     return d.groupBy(*scope).agg(
@@ -88,8 +87,7 @@ def continuity(obs: DataFrame, scope: Sequence[str] = ("station_id",), ts: str =
 def frame_trends(frames: DataFrame, keys: Sequence[str] = ("station_id", "window_start"),
                  order: Sequence[str] = ("obs_ts", "event_id")) -> DataFrame:
     """FTR5: WIN6 slopes (T, H, W over row index), pop-std T, WIN7 tendency, stability."""
-    d = sequence_index(frames, list(keys), list(order), bucket=trunc_ntz("minute", order[0]),
-                       index_col="_i", size_col="_n")
+    d = sequence_index(frames, list(keys), list(order), index_col="_i", size_col="_n")
     T = F.col("temperature_c")
     H = default_if_falsy("relative_humidity")
     W, P = F.col("wind_speed_ms"), F.col("precipitation_mm")
@@ -123,7 +121,7 @@ def frame_trends(frames: DataFrame, keys: Sequence[str] = ("station_id", "window
 # ---- WIN8 / WIN9 last-N -----------------------------------------------------------
 
 def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
-           bucket: Column | None = None, rank_col: str = "recency_rank") -> DataFrame:
+           rank_col: str = "recency_rank") -> DataFrame:
     """WIN9 / SRT3: the newest ``n`` rows per key (rank 1 = newest).
 
     ``row_number() <= n`` lets Spark insert a partial ``WindowGroupLimit`` before the
@@ -161,35 +159,43 @@ def as_of_lookup(requests: DataFrame, obs: DataFrame, key: str = "station_id",
     """
     keep = list(order) + [c for c in value_cols if c not in order]
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    j = sequence_asof(requests, obs, [key], micros(target), micros(ts), order[-1], keep,
-                      bucket_width=3_600_000_000)
+    j = sequence_asof(requests, obs, [key], micros(target), micros(ts), order[-1], keep)
     hit = F.col(f"_asof.{ts}") > F.col(target) - _hours(lookback_h)
     return j.select(*requests.columns, *[F.when(hit, F.col(f"_asof.{c}")).alias(c) for c in keep])
 
 
 # ---- WIN14 / WIN15 splits and folds -------------------------------------------------
 
-def time_split(df: DataFrame, order: Sequence[str], n_splits: int, bucket: Column | None = None) -> DataFrame:
-    """WIN14: contiguous time split; test = the last floor(n / (k + 1)) rows."""
-    d = global_index(df, list(order), index_col="_i", size_col="_n")
-    test_n = F.floor(F.col("_n") / (n_splits + 1))
-    return d.withColumn("is_test", F.col("_i") > F.col("_n") - test_n).drop("_i", "_n")
+def _in_test(i: Column, n: Column, n_splits: int) -> Column:
+    return i > n - F.floor(n / (n_splits + 1))
 
 
-def contiguous_folds(df: DataFrame, order: Sequence[str], k: int, bucket: Column | None = None,
-                     fold_col: str = "fold") -> DataFrame:
-    """WIN15: ``ntile(k)`` over the time order (first n % k folds one row longer).
+def _fold(i: Column, n: Column, k: int) -> Column:
+    """``ntile(k)`` of position ``i``: the first n % k folds are one row longer."""
+    q = F.floor(n / k)
+    r = n - q * k
+    big = r * (q + 1)
+    return F.when(i <= big, F.floor((i - 1) / (q + 1)) + 1).otherwise(r + F.floor((i - big - 1) / q) + 1).cast("int")
 
-    Computed from a range-partitioned global position, so no single-partition window.
-    """
+
+def _positioned(df: DataFrame, order: Sequence[str], columns: dict) -> DataFrame:
     d = global_index(df, list(order), index_col="_i", size_col="_n")
-    q = F.floor(F.col("_n") / k)
-    r = F.col("_n") - q * k
-    big = r * (q + 1)
-    i = F.col("_i")
-    fold = F.when(i <= big, F.floor((i - 1) / (q + 1)) + 1) \
-        .otherwise(r + F.floor((i - big - 1) / q) + 1)
-    return d.withColumn(fold_col, fold.cast("int")).drop("_i", "_n")
+    return d.withColumns({k: f(F.col("_i"), F.col("_n")) for k, f in columns.items()}).drop("_i", "_n")
+
+
+def time_split(df: DataFrame, order: Sequence[str], n_splits: int) -> DataFrame:
+    """WIN14: contiguous time split; test = the last floor(n / (k + 1)) rows."""
+    return _positioned(df, order, {"is_test": lambda i, n: _in_test(i, n, n_splits)})
+
+
+def contiguous_folds(df: DataFrame, order: Sequence[str], k: int, fold_col: str = "fold") -> DataFrame:
+    """WIN15: ``ntile(k)`` over the time order, from a global position, so no single-partition window."""
+    return _positioned(df, order, {fold_col: lambda i, n: _fold(i, n, k)})
+
+
+def split_and_folds(df: DataFrame, order: Sequence[str], n_splits: int, k: int, fold_col: str = "fold") -> DataFrame:
+    """WIN14 and WIN15 from one global position."""
+    return _positioned(df, order, {"is_test": lambda i, n: _in_test(i, n, n_splits), fold_col: lambda i, n: _fold(i, n, k)})
 
 
 def per_day_cap(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],

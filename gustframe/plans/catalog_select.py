@@ -155,7 +155,6 @@ def q_models(spark, sf):
     from gustframe.operators import training as TR
     from gustframe.operators.windows import time_split
     ft = _feature_table(spark, sf).where(F.col("n_obs") >= 3)
-    ft = time_split(ft, ["window_start", "station_id"], n_splits=3, bucket=F.to_date("window_start"))
+    ft = time_split(ft, ["window_start", "station_id"], n_splits=3)
     metrics, _ = TR.compare_models(spark, ft, list(FEATURES), TARGET)
-    return TR.gate(TR.with_cross_validation(spark, metrics, ft, list(FEATURES), TARGET, ["window_start", "station_id"],
-                                            bucket=F.to_date("window_start")))
+    return TR.gate(TR.with_cross_validation(spark, metrics, ft, list(FEATURES), TARGET, ["window_start", "station_id"]))

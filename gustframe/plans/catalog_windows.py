@@ -116,7 +116,7 @@ WHERE rk <= 24 GROUP BY station_id"""
 @register("WIN8_recent_change", CHANGE_SCHEMA, CHANGE_SQL, ids=("WIN8", "WIN9", "SRT3"))
 def q_recent_change(spark, sf):
     o = T.observations(spark, sf)
-    last = WN.last_n(o, ["station_id"], ["obs_ts", "event_id"], 24, bucket=trunc_ntz("day", "obs_ts"))
+    last = WN.last_n(o, ["station_id"], ["obs_ts", "event_id"], 24)
     return WN.first_last_change(last, ["station_id"],
                                 ["temperature_c", "wind_speed_ms", "precipitation_mm"])
 
@@ -131,8 +131,7 @@ WHERE rk <= 100"""
 @register("WIN9_last_100_predictions", LASTN_SCHEMA, LASTN_SQL, ids=("WIN9", "SRT3"))
 def q_last_n(spark, sf):
     p = T.predictions(spark, sf)
-    return WN.last_n(p, ["model_name"], ["eval_ts", "event_id"], 100,
-                     bucket=trunc_ntz("day", "eval_ts")).select("model_name", "event_id", "eval_ts",
+    return WN.last_n(p, ["model_name"], ["eval_ts", "event_id"], 100).select("model_name", "event_id", "eval_ts",
                                                                   "recency_rank")
 
 
@@ -239,8 +238,7 @@ FROM $training_sets WINDOW o AS (ORDER BY window_start, station_id)"""
 def q_splits(spark, sf):
     s = training_sets(spark, sf).select("station_id", "obs_date", "window_start")
     order = ["window_start", "station_id"]
-    s = WN.time_split(s, order, n_splits=3, bucket=F.to_date("window_start"))
-    return WN.contiguous_folds(s, order, k=5, bucket=F.to_date("window_start"))
+    return WN.split_and_folds(s, order, n_splits=3, k=5)
 
 
 CAP_SCHEMA = "station_id string, window_start timestamp, attempt_no int"

@@ -60,8 +60,9 @@ def training_flow(spark: SparkSession, features: DataFrame, feature_cols, target
     d = time_split(features, ["window_start", "station_id"], n_splits=3)
     metrics, fitted = TR.compare_models(spark, d, list(feature_cols), target, families=families)
     gated = TR.gate(TR.with_cross_validation(spark, metrics, features, list(feature_cols), target, ["window_start", "station_id"]))
-    best = gated.orderBy("rmse").first()
-    if model_path and best is not None and best["passed"]:
+    # a family that failed has no rmse and never passes; the best of those that pass is taken
+    best = gated.where("passed").orderBy(F.asc_nulls_last("rmse"), "model_name").first()
+    if model_path and best is not None:
         TR.save_model(fitted[best["model_name"]], model_path)
     return gated, (best["model_name"] if best is not None else None)
 
@@ -76,8 +77,7 @@ def score_requests(frames: DataFrame, requests: DataFrame, key: str = "station_i
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     f = frames.withColumn("_ws", micros("window_start"))
     cols = ["window_start", "window_end", "baseline_comfort_score", "label_bucket"]
-    j = sequence_asof(requests, f, [key], micros(target), micros("window_end"), "_ws", cols,
-                      bucket_width=6 * 3_600_000_000)
+    j = sequence_asof(requests, f, [key], micros(target), micros("window_end"), "_ws", cols)
     return j.select(*requests.columns, commute_period(target).alias("target_period"),
                     in_service_window(target).alias("in_service_window"),
                     *[F.col(f"_asof.{c}").alias(c) for c in cols])
