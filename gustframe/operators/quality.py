@@ -1,10 +1,10 @@
 """Data-quality checks DQ1-DQ10 as one aggregate pass per scope, stacked to rows.
 
 Each check emits ``(scope..., name, severity, passed, issue_count, ratio)``.
-Counts come from a single ``groupBy(scope)`` (partial aggregation, so a hot
-scope costs one partial row per map task); IQR bounds (DQ6) are exact
-``percentile`` per scope, joined back to count outliers; continuity (DQ4)
-reuses the lag of WIN3.
+All counts, gaps (DQ4) and repeated timestamps (DQ8) come from a single ``groupBy(scope)``
+over the rows with their previous timestamp (partial aggregation, so a hot scope costs one
+partial row per map task). IQR bounds and the outliers beyond them (DQ6) come from one table of
+value counts, so no task holds the values of a scope.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gustframe.operators.windows import continuity
+from gustframe.operators.quantiles import quantiles, value_counts
+from gustframe.operators.sequence import sequence_lag
+from gustframe.operators.windows import gap_columns
 
 MEASURES = ("temperature_c", "wind_speed_ms", "precipitation_mm", "relative_humidity")
 # Valid ranges per measure (DQ3).
@@ -41,9 +43,11 @@ def dq_checks(obs: DataFrame, scope: Sequence[str] = ("station_id",), ts: str =
         if dict(obs.dtypes)[c] == "string":
             typed = typed.withColumn(f"{c}__raw", F.col(c)).withColumn(c, F.col(c).try_cast("double"))
     obs = typed
+    rows = sequence_lag(obs, scope, list(order), [ts])
     n = F.count(F.lit(1))
+    repeated = F.col(ts).isNull() | F.coalesce(F.col("prev_" + ts) == F.col(ts), F.lit(False))
     aggs = [n.alias("n"), F.count_if(F.col(ts).isNull()).alias("ts_null"),
-            (n - F.count_distinct(ts)).alias("dup"),
+            F.count_if(repeated).alias("dup"),
             F.count_if((F.col("precipitation_mm") > 0) & (F.col("relative_humidity") < 60)).alias("incons")]
     for c in MEASURES:
         lo, hi = RANGES[c]
@@ -51,21 +55,17 @@ def dq_checks(obs: DataFrame, scope: Sequence[str] = ("station_id",), ts: str =
                  F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"{c}__oor"),
                  F.count(c).alias(f"{c}__nn"),
                  F.count_if(F.col(f"{c}__raw").isNotNull() & F.col(c).isNull() if f"{c}__raw" in obs.columns
-                            else F.lit(False)).alias(f"{c}__text"),
-                 F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"{c}__q")]
-    base = obs.groupBy(*scope).agg(*aggs)
-    # DQ6 second pass: count rows outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR]
-    bounds = base.select(*scope, *[F.col(f"{c}__q") for c in MEASURES])
-    j = obs.join(bounds, on=scope, how="inner")
-    out_aggs = []
-    for c in MEASURES:
-        q1, q3 = F.col(f"{c}__q")[0], F.col(f"{c}__q")[1]
-        iqr = q3 - q1
-        out_aggs.append(F.count_if((F.col(c) < q1 - 1.5 * iqr) | (F.col(c) > q3 + 1.5 * iqr))
-                        .alias(f"{c}__out"))
-    outl = j.groupBy(*scope).agg(*out_aggs)
-    cont = continuity(obs, scope, ts, order).select(*scope, "n_gaps", "irregular_count")
-    w = base.join(outl, on=scope, how="inner").join(cont, on=scope, how="inner")
+                            else F.lit(False)).alias(f"{c}__text")]
+    gaps = gap_columns(ts)
+    base = rows.groupBy(*scope).agg(*aggs, gaps["n_gaps"], gaps["irregular_count"])
+    # DQ6: values outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR], counted on the value table
+    counts = value_counts(obs, scope, MEASURES)
+    q1, q3 = F.col("q")[0], F.col("q")[1]
+    edges = quantiles(counts, scope, (0.25, 0.75)).select(*scope, "name", (q1 - 1.5 * (q3 - q1)).alias("_low"), (q3 + 1.5 * (q3 - q1)).alias("_high"))
+    beyond = F.when((F.col("value") < F.col("_low")) | (F.col("value") > F.col("_high")), F.col("n")).otherwise(0)
+    outl = counts.join(edges, on=[*scope, "name"]).groupBy(*scope).agg(
+        *[F.sum(F.when(F.col("name") == c, beyond).otherwise(0)).alias(f"{c}__out") for c in MEASURES])
+    w = base.join(outl, on=scope, how="left").fillna(0, [f"{c}__out" for c in MEASURES])
 
     nn = F.col("n")
     info, warn, err, crit = (F.lit(s) for s in ("info", "warning", "error", "critical"))

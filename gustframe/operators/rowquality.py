@@ -85,7 +85,7 @@ def frame_confidence(core: DataFrame, as_of, keys=("station_id", "window_start")
 
 def tail_anomaly_score(obs: DataFrame, key: str = "station_id", value: str = "temperature_c",
                        contamination: float = 0.1) -> DataFrame:
-    """FTR10 (re-aimed): flag rows whose distance from the key's median is above the
+    """A plain tail rule beside FTR10's forest (``isolation.py``): flag rows whose distance from the key's median is above the
     key's (1 - contamination) quantile of distances; score = share not flagged.
     Two exact percentile aggregates per key, each joined back (one row per key)."""
     med = obs.groupBy(key).agg(F.median(value).alias("_med"))

@@ -11,6 +11,7 @@ The ranged rows are checkpointed once to ``spark.checkpoint.dir``: the pass and
 * ``sequence_lag``    previous row's values
 * ``sequence_index``  1-based position of a row within its key, and the key size
 * ``sequence_streak`` length of the run of true flags that ends at a row
+* ``sequence_sum``    running sum of whole numbers
 * ``sequence_asof``   last right row at or before each left row
 * ``global_index``    position in a total order of all rows
 """
@@ -108,6 +109,23 @@ class _Streak:
         return [pa.array(run), pa.array(whole)]
 
 
+class _Sum:
+    names = ["_seq_sum"]
+
+    def __init__(self, value: str):
+        self.value = value
+
+    def start(self) -> None:
+        self.before = 0
+
+    def step(self, last, batch, start, fresh) -> list[pa.Array]:
+        total = np.cumsum(pc.fill_null(batch.column(self.value), 0).to_numpy(zero_copy_only=False))
+        before = np.concatenate([[0], total])[np.maximum(start, 0)]
+        out = total - before + np.where(start < 0, self.before, 0)
+        self.before = int(out[-1])
+        return [pa.array(out.astype(np.int64))]
+
+
 class _Fill:
     names = ["_seq_fill"]
 
@@ -225,21 +243,32 @@ def sequence_streak(df: DataFrame, keys, order, flag: str, out: str = "streak")
     return j.select(*df.columns, run.alias(out))
 
 
+def sequence_sum(df: DataFrame, keys, order, value: str, out: str = "upto") -> DataFrame:
+    """Sum of the whole numbers ``value`` over the rows of the key up to each row, the row included."""
+    keys, order = _cols(keys), _cols(order)
+    d = df.withColumn(value, F.col(value).cast("long"))
+    results = StructType.fromDDL("_seq_sum long").fields
+    j = _scan(d, keys, order, _Sum(value), results, ["_seq_sum"], "long",
+              lambda row, carry: row["_seq_sum"] + ((carry or 0) if row["_seq_open"] else 0))
+    total = F.col("_seq_sum") + F.when(F.col("_seq_open"), F.coalesce("_seq_carry", F.lit(0))).otherwise(0)
+    return j.select(*df.columns, total.alias(out))
+
+
 def sequence_asof(left: DataFrame, right: DataFrame, keys, left_t: Column, right_t: Column,
-                  right_tie: str, right_cols, out: str = "_asof") -> DataFrame:
+                  right_tie: str, right_cols, out: str = "_asof", time_type: str = "long") -> DataFrame:
     """For each ``left`` row, the last ``right`` row of the same key with ``right_t <= left_t``.
 
-    ``left_t`` / ``right_t`` are numeric (e.g. micros; negate both for a forward lookup); ``right_tie`` breaks ties among
+    ``left_t`` / ``right_t`` are numeric of ``time_type`` (e.g. micros; negate both for a forward lookup); ``right_tie`` breaks ties among
     right rows. Both sides become one sequence in which the last right row is carried forward: linear work, no pairs.
     Adds struct column ``out`` (null when no right row precedes).
     """
     keys = _cols(keys)
     found = F.struct(*[F.col(c) for c in right_cols])
-    L = left.select(*[F.col(k) for k in keys], left_t.cast("long").alias("_aq_t"), F.lit(1).alias("_aq_kind"),
+    L = left.select(*[F.col(k) for k in keys], left_t.cast(time_type).alias("_aq_t"), F.lit(1).alias("_aq_kind"),
                     F.monotonically_increasing_id().alias("_aq_tie"),
                     F.lit(None).cast(right.select(found).schema[0].dataType).alias("_aq_r"),
                     F.struct(*[F.col(c) for c in left.columns]).alias("_aq_l"))
-    R = right.select(*[F.col(k) for k in keys], right_t.cast("long").alias("_aq_t"), F.lit(0).alias("_aq_kind"),
+    R = right.select(*[F.col(k) for k in keys], right_t.cast(time_type).alias("_aq_t"), F.lit(0).alias("_aq_kind"),
                      F.col(right_tie).cast("long").alias("_aq_tie"), found.alias("_aq_r"),
                      F.lit(None).cast(L.schema["_aq_l"].dataType).alias("_aq_l"))
     both = L.unionByName(R)

@@ -66,20 +66,21 @@ def with_day_lag(obs: DataFrame, key: str = "station_id", ts: str = "obs_ts",
 
 # ---- WIN3 continuity ------------------------------------------------------------
 
+def gap_columns(ts: str = "obs_ts", expected_h: float = 1.0, tolerance_min: float = 10.0) -> dict[str, Column]:
+    """WIN3 / DQ4 aggregates over rows with ``prev_<ts>``: gaps, irregular outside 60 +- 10 minutes."""
+    gap = hours_between(F.col(ts), F.col("prev_" + ts))
+    lo, hi = expected_h - tolerance_min / 60.0, expected_h + tolerance_min / 60.0
+    found = {"n_rows": F.count(F.lit(1)), "n_gaps": F.count(gap), "irregular_count": F.count_if((gap < lo) | (gap > hi)),
+             "max_gap_hours": F.max(gap), "min_gap_hours": F.min(gap)}
+    return {k: v.alias(k) for k, v in found.items()}
+
+
 def continuity(obs: DataFrame, scope: Sequence[str] = ("station_id",), ts: str = "obs_ts",
                order: Sequence[str] = ("obs_ts", "event_id"),
                expected_h: float = 1.0, tolerance_min: float = 10.0) -> DataFrame:
-    """WIN3 / DQ4: consecutive gaps per scope; irregular outside 60 +- 10 minutes."""
+    """WIN3 / DQ4: consecutive gaps per scope."""
     d = sequence_lag(obs, list(scope), list(order), [ts])
-    gap = hours_between(F.col(ts), F.col("prev_" + ts))
-    lo, hi = expected_h - tolerance_min / 60.0, expected_h + tolerance_min / 60.0
-    return d.groupBy(*scope).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count(gap).alias("n_gaps"),
-        F.count_if((gap < lo) | (gap > hi)).alias("irregular_count"),
-        F.max(gap).alias("max_gap_hours"),
-        F.min(gap).alias("min_gap_hours"),
-    )
+    return d.groupBy(*scope).agg(*gap_columns(ts, expected_h, tolerance_min).values())
 
 
 # ---- FTR5 trends over a frame ----------------------------------------------------

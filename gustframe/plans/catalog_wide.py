@@ -66,6 +66,12 @@ d AS (SELECT o.station_id, abs(o.temperature_c - m.med) AS dist FROM $observatio
 c AS (SELECT station_id, quantile_cont(dist, 0.9) AS cut FROM d GROUP BY station_id)
 SELECT station_id, count(*) AS n_rows, count(*) FILTER (WHERE dist > cut) AS flagged,
   1 - count(*) FILTER (WHERE dist > cut) / count(*) AS anomaly_score
-FROM d JOIN c USING (station_id) GROUP BY station_id""", ids=("FTR10", "JN3"))
+FROM d JOIN c USING (station_id) GROUP BY station_id""", ids=("JN3",))
 def q_anomaly(spark, sf):
     return RQ.tail_anomaly_score(T.observations(spark, sf))
+
+
+@register("FTR10_isolation_forest", "station_id string, n_rows bigint, flagged bigint, anomaly_score double", None, ids=("FTR10",))
+def q_isolation_forest(spark, sf):
+    from gustframe.operators.isolation import anomaly_share
+    return anomaly_share(T.observations(spark, sf))
