@@ -10,11 +10,13 @@ from typing import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gustframe.operators.quantiles import medians
+
 
 def prepare(df: DataFrame, target: str) -> DataFrame:
     """ML1 / FLT4: rows with a target (features are median-imputed inside the pipeline)."""
@@ -25,10 +27,9 @@ def estimators(n_rows: int, y_std_pop: float, alpha: float = 1.0, enhanced: bool
     """UDF4: model family table name -> estimator (features in ``features_scaled``).
 
     Ridge: Spark's loss is 1/(2n)·RSS + λ/2·||w||² with the penalty scaled by the
-    label's std, so sklearn's α maps to ``regParam = α · std_pop(y) / n``. The scaler
-    divides by the sample std, which the factor ``(n-1)/n`` turns into the population std.
+    label's std, so sklearn's α maps to ``regParam = α · std_pop(y) / n``.
     """
-    reg = alpha * y_std_pop / max(n_rows, 1) * max(n_rows - 1, 1) / max(n_rows, 1)
+    reg = alpha * y_std_pop / max(n_rows, 1)
     common = dict(featuresCol="features_scaled", labelCol="label")
     return {
         "linear": LinearRegression(solver="normal", **common),
@@ -43,12 +44,24 @@ def estimators(n_rows: int, y_std_pop: float, alpha: float = 1.0, enhanced: bool
     }
 
 
-def feature_pipeline(features: Sequence[str]) -> list:
-    """ML1 + ML4: median imputation, assembly, standard scaling."""
-    imputed = [f"{f}__imp" for f in features]
-    return [Imputer(strategy="median", inputCols=list(features), outputCols=imputed),
-            VectorAssembler(inputCols=imputed, outputCol="features", handleInvalid="keep"),
-            StandardScaler(inputCol="features", outputCol="features_scaled", withMean=True, withStd=True)]
+def _number(value: float) -> str:
+    return f"CAST('{value!r}' AS DOUBLE)"
+
+
+def feature_pipeline(train: DataFrame, features: Sequence[str]) -> list:
+    """ML1 + ML4: missing values (null, NaN) become the training rows' exact median, 0 for a feature without any value; then
+    mean 0 and population standard deviation 1 (a constant feature becomes 0). The stages are SQL with these numbers in it,
+    so a saved pipeline holds them."""
+    features = list(features)
+    middle = medians(train, features)
+    filled = {f: f"coalesce(nanvl(CAST(`{f}` AS DOUBLE), CAST(NULL AS DOUBLE)), {_number(middle.get(f) or 0.0)})" for f in features}
+    stats = train.agg(*[F.avg(F.expr(e)).alias(f"m{i}") for i, e in enumerate(filled.values())],
+                      *[F.stddev_pop(F.expr(e)).alias(f"s{i}") for i, e in enumerate(filled.values())]).first()
+    scaled = [f"(`{f}__imp` - {_number(stats[f'm{i}'] or 0.0)}) / {_number(stats[f's{i}'] or 1.0)} AS `{f}__scaled`"
+              for i, f in enumerate(features)]
+    return [SQLTransformer(statement="SELECT *, " + ", ".join(f"{e} AS `{f}__imp`" for f, e in filled.items()) + " FROM __THIS__"),
+            SQLTransformer(statement="SELECT *, " + ", ".join(scaled) + " FROM __THIS__"),
+            VectorAssembler(inputCols=[f"{f}__scaled" for f in features], outputCol="features_scaled")]
 
 
 def compare_models(spark: SparkSession, df: DataFrame, features: Sequence[str], target: str,
@@ -61,9 +74,10 @@ def compare_models(spark: SparkSession, df: DataFrame, features: Sequence[str],
     stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
     est = estimators(stats["n"], stats["s"] or 0.0)
     rows, fitted = [], {}
+    stages = feature_pipeline(train, features)
     for name in (families or est.keys()):
         try:
-            model = Pipeline(stages=feature_pipeline(features) + [est[name]]).fit(train)
+            model = Pipeline(stages=stages + [est[name]]).fit(train)
         except Exception as e:  # noqa: BLE001 -- one family's failure must not hide the others
             rows.append((name, None, None, None, stats["n"], str(e)[:500]))
             continue
@@ -87,7 +101,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str, fold_col
         train, test = d.where(F.col(fold_col) != fold), d.where(F.col(fold_col) == fold)
         stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
         est = estimators(stats["n"], stats["s"] or 0.0)[family]
-        pred = Pipeline(stages=feature_pipeline(features) + [est]).fit(train).transform(test)
+        pred = Pipeline(stages=feature_pipeline(train, features) + [est]).fit(train).transform(test)
         errors.append(RegressionEvaluator(labelCol="label", metricName="rmse").evaluate(pred))
     d.unpersist()
     mean = sum(errors) / len(errors) if errors else None

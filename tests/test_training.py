@@ -11,7 +11,7 @@ from gustframe.plans.catalog_select import FEATURES, TARGET, _feature_table
 
 def test_compare_models_and_persist(spark, tmp_path):
     ft = _feature_table(spark, "/root/testdata/sf0.01").where(F.col("n_obs") >= 3)
-    ft = time_split(ft, ["window_start", "station_id"], n_splits=3, bucket=F.to_date("window_start"))
+    ft = time_split(ft, ["window_start", "station_id"], n_splits=3)
     n = ft.count()
     assert ft.where("is_test").count() == n // 4
     metrics, fitted = TR.compare_models(spark, ft, list(FEATURES), TARGET,
@@ -51,3 +51,32 @@ def test_boosting_is_compared_and_cross_validated(spark):
     metrics, fitted = TR.compare_models(spark, df, ["x"], "y", families=("gradient_boosting",))
     row = TR.with_cross_validation(spark, metrics, df, ["x"], "y", ["window_start", "station_id"], folds=2).first()
     assert set(fitted) == {"gradient_boosting"} and row.r2 > 0.9 and row.cv_rmse_mean < 1 and row.error is None
+
+
+def test_features_are_filled_with_medians_and_scaled_by_the_population(spark, tmp_path):
+    import numpy as np
+    from pyspark.ml import Pipeline
+    x = [1.0, 2.0, None, 10.0, float("nan"), 4.0, 5.0]
+    rows = [(i, a, 3.0, None if i % 2 else float(i * i), None) for i, a in enumerate(x)]
+    df = spark.createDataFrame(rows, "i int, x double, same double, z double, none double")
+    model = Pipeline(stages=TR.feature_pipeline(df, ["x", "same", "z", "none"])).fit(df)
+    got = np.array([r.features_scaled.toArray() for r in model.transform(df).orderBy("i").collect()])
+    filled = np.array([4.0 if a is None or a != a else a for a in x])
+    z = np.array([10.0 if i % 2 else i * i for i in range(7)])           # the median of 0, 4, 16, 36
+    want = np.stack([(filled - filled.mean()) / filled.std(), np.zeros(7), (z - z.mean()) / z.std(), np.zeros(7)], axis=1)
+    assert np.abs(got - want).max() < 1e-12
+
+
+def test_flow_takes_the_best_family_that_passes(spark, monkeypatch):
+    from gustframe.plans import flows
+    rows = [("broken", None, None, None, False), ("loose", 0.4, 0.1, 0.9, False), ("good", 1.0, 0.1, 0.2, True), ("worse", 2.0, 0.1, 0.2, True)]
+    table = spark.createDataFrame(rows, "model_name string, rmse double, mae double, r2 double, passed boolean")
+    saved = []
+    monkeypatch.setattr(TR, "compare_models", lambda *a, **k: (table, {r[0]: r[0] for r in rows}))
+    monkeypatch.setattr(TR, "with_cross_validation", lambda *a, **k: table)
+    monkeypatch.setattr(TR, "gate", lambda m: m)
+    monkeypatch.setattr(TR, "save_model", lambda m, path: saved.append(m))
+    df = _series(spark, lambda i: 0.0)
+    assert flows.training_flow(spark, df, ["x"], "y", "somewhere")[1] == "good" and saved == ["good"]
+    table = table.where("not passed")
+    assert flows.training_flow(spark, df, ["x"], "y", "somewhere")[1] is None and saved == ["good"]
