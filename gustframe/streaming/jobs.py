@@ -1,4 +1,4 @@
-"""Structured Streaming versions of the hourly batch work (STM1-STM5, STM9).
+"""Structured Streaming versions of the hourly batch work (STM1-STM5, STM8, STM9); keyed state is in ``state.py``.
 
 Watermarks need a zoned TIMESTAMP, so event time is cast from the NTZ wall clock
 under the UTC session zone and cast back on output. Rows later than the
@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gustframe.functions.timefn import trunc_ntz
 from gustframe.operators.frames import with_precipitation_type
 from gustframe.operators.scores import baseline_score, frame_aggregates
 
@@ -55,10 +54,14 @@ def stream_hourly_metrics(metrics: DataFrame, ts: str = "metric_ts", watermark:
                     *[c for c in g.columns if c not in ("host", "w")])
 
 
-def stream_dedup_minute(obs: DataFrame, ts: str = "obs_ts", watermark: str = "10 minutes") -> DataFrame:
-    """STM4: one row per (station, minute) within the watermark (first arrival wins)."""
-    d = _event_time(obs, ts).withColumn("minute_ts", trunc_ntz("minute", ts))
-    return d.withWatermark("_et", watermark).dropDuplicatesWithinWatermark(["station_id", "minute_ts"]).drop("_et")
+def stream_dedup_minute(obs: DataFrame, ts: str = "obs_ts", watermark: str = "10 minutes",
+                        order: tuple[str, ...] = ("obs_ts", "event_id")) -> DataFrame:
+    """STM4: the earliest row of each (station, minute), as DDP1 keeps it, whatever the order of arrival. The state of a
+    minute is one row; it is emitted when the watermark passes the minute's end."""
+    d = _event_time(obs, ts).withWatermark("_et", watermark)
+    row = F.min_by(F.struct(*obs.columns), F.struct(*order)).alias("_r")
+    return d.groupBy("station_id", F.window("_et", "1 minute").alias("w")).agg(row).select(
+        "_r.*", F.col("w.start").cast("timestamp_ntz").alias("minute_ts"))
 
 
 def idempotent_sink(base: str, partition_by=("station_id",)) -> Callable[[DataFrame, int], None]:
@@ -82,83 +85,7 @@ def run_available_now(stream: DataFrame, checkpoint: str, sink: Callable | None
     return q
 
 
-# ---- keyed state (STM6, STM7) ----------------------------------------------------------
-
-ALERT_OUT = "rule_name string, host string, fired_ts timestamp_ntz"
-ALERT_STATE = "streak long, last_fired long"
-
-
-def _alert_state_fn(key, pdfs, state):
-    """Per (rule, host): breach streak and last firing carried across micro-batches."""
-    import pandas as pd
-    import numpy as np
-    rule, host = key
-    streak, last_fired = (state.get if state.exists else (0, None))
-    # the key's rows of one micro-batch (bounded by the trigger) come in Arrow chunks in any order
-    pdf = pd.concat(list(pdfs)).sort_values(["_t", "event_id"])
-    at = np.arange(len(pdf))
-    breach = pdf["breach"].to_numpy(bool)
-    last_calm = np.maximum.accumulate(np.where(breach, -1, at))
-    run = np.where(last_calm < 0, at + 1 + streak, at - last_calm)
-    fires = np.flatnonzero(breach & (run >= pdf["duration_samples"].to_numpy()))
-    times, pauses = pdf["_t"].to_numpy(), pdf["cooldown_minutes"].to_numpy()
-    out = []
-    for t, pause in zip(times[fires].tolist(), pauses[fires].tolist()):
-        if last_fired is None or t >= last_fired + int(pause) * 60_000_000:
-            last_fired = t
-            out.append(t)
-    if len(pdf):
-        streak = int(run[-1]) if breach[-1] else 0
-    state.update((int(streak), last_fired))
-    if out:
-        ts = pd.to_datetime(pd.Series(out, dtype="int64"), unit="us")
-        yield pd.DataFrame({"rule_name": rule, "host": host, "fired_ts": ts})
-
-
-def stream_alerts(rule_rows: DataFrame) -> DataFrame:
-    """STM6: sustained breach with cool-down as keyed state (``applyInPandasWithState``).
-
-    ``rule_rows`` = metric samples joined with rules and flagged (``breach``), as from
-    ``monitor.evaluate_rules`` before the streak step. State per key is two numbers.
-    Within a micro-batch rows are ordered by time; across batches arrival order counts.
-    """
-    d = rule_rows.select("rule_name", "host", "event_id", "breach", "duration_samples", "cooldown_minutes",
-                         F.unix_micros(F.col("metric_ts").cast("timestamp")).alias("_t"))
-    return d.groupBy("rule_name", "host").applyInPandasWithState(
-        _alert_state_fn, ALERT_OUT, ALERT_STATE, "append", "NoTimeout")
-
-
-HISTORY_OUT = "station_id string, n_rows long, change_pct double, std double"
-HISTORY_STATE = "ts array<long>, v array<double>"
-
-
-def _history_fn(key, pdfs, state, keep: int = 100, last: int = 24):
-    import numpy as np
-    import pandas as pd
-    (station,) = key
-    ts, vs = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-    for pdf in pdfs:                 # never more than one chunk and the newest ``keep`` rows in memory
-        t = np.concatenate([np.array(ts, np.int64), pdf["_t"].to_numpy(np.int64)])
-        v = np.concatenate([np.array(vs, float), pdf["v"].to_numpy(float)])
-        order = np.argsort(t, kind="stable")[-keep:]
-        ts, vs = t[order].tolist(), v[order].tolist()
-    state.update((ts, vs))
-    recent = np.array(vs[-last:])
-    if len(recent):
-        change = (recent[-1] - recent[0]) / abs(recent[0] + 1e-6) * 100
-        yield pd.DataFrame({"station_id": [station], "n_rows": [len(recent)], "change_pct": [change],
-                            "std": [float(recent.std())]})
-
-
-def stream_history_trends(obs: DataFrame, value: str = "temperature_c", keep: int = 100,
-                          last: int = 24) -> DataFrame:
-    """STM7: bounded per-key history (newest ``keep`` rows) with first->last change and
-    pop-std over the newest ``last`` rows, emitted per micro-batch (update mode)."""
-    d = obs.select("station_id", F.unix_micros(F.col("obs_ts").cast("timestamp")).alias("_t"),
-                   F.col(value).alias("v"))
-    fn = lambda k, p, s: _history_fn(k, p, s, keep, last)
-    return d.groupBy("station_id").applyInPandasWithState(fn, HISTORY_OUT, HISTORY_STATE, "update", "NoTimeout")
-
+# ---- triggers (STM8) ------------------------------------------------------------------
 
 def retraining_trigger_sink(trigger_path: str, min_new: int = 50, min_quality: float = 0.8,
                             daily_cap: int = 3) -> Callable[[DataFrame, int], None]:

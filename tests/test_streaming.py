@@ -1,6 +1,7 @@
 """Streaming runs (availableNow) give the batch result."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -24,14 +25,36 @@ def test_stream_frames_equal_batch(spark, tmp_path):
     assert got.count() >= want.count() - 10
 
 
-def test_stream_dedup_counts(spark, tmp_path):
+def _land_shuffled(df, path, files, seed):
+    """Land ``df`` in ``files`` files with its rows in any order."""
+    order = df.withColumn("_f", F.pmod(F.xxhash64("event_id", F.lit(seed)), F.lit(files)))
+    for i in range(files):
+        order.where(F.col("_f") == i).drop("_f").orderBy(F.rand(seed)).coalesce(1).write.mode("append").parquet(path)
+
+
+def _days_shuffled(df, path, ts, days_per_file=2):
+    """Files of a few days, rows in any order inside: out of order within the watermark, in order beyond it."""
+    first = df.agg(F.min(F.to_date(ts))).first()[0]
+    d = df.withColumn("_f", F.floor(F.datediff(F.to_date(ts), F.lit(first)) / days_per_file))
+    for (i,) in d.select("_f").distinct().orderBy("_f").collect():
+        d.where(F.col("_f") == i).drop("_f").orderBy(F.rand(3)).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_stream_dedup_keeps_the_rows_of_the_batch(spark, tmp_path):
+    from gustframe.operators.clean import dedup_first_per_minute
     obs = T.observations(spark, SF)
+    twice = obs.unionByName(obs.withColumns({"event_id": F.col("event_id") + 1_000_000,
+                                             "obs_ts": F.date_trunc("minute", "obs_ts").cast("timestamp_ntz"),
+                                             "temperature_c": F.col("temperature_c") + 1}))
     land = str(tmp_path / "landing2")
-    obs.write.parquet(land)
-    s = landing_stream(spark, land, obs.schema)
-    run_available_now(stream_dedup_minute(s), str(tmp_path / "ckpt2"), query_name="stm4_dedup")
-    want = obs.select("station_id", F.date_trunc("minute", "obs_ts")).distinct().count()
-    assert spark.table("stm4_dedup").count() == want
+    _land_shuffled(twice, land, 3, 8)
+    end = twice.limit(1).withColumns({"station_id": F.lit("end"), "obs_ts": F.lit("2199-01-01").cast("timestamp_ntz")})
+    end.select(*twice.columns).coalesce(1).write.mode("append").parquet(land)             # closes every minute
+    s = landing_stream(spark, land, twice.schema, max_files_per_trigger=1)
+    run_available_now(stream_dedup_minute(s, watermark="900 days"), str(tmp_path / "ckpt2"), query_name="stm4_dedup")
+    want = dedup_first_per_minute(twice).select("station_id", "event_id", "obs_ts", "temperature_c")
+    got = spark.table("stm4_dedup").select("station_id", "event_id", "obs_ts", "temperature_c")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
 def _write_by_day(df, path, ts):
@@ -41,31 +64,62 @@ def _write_by_day(df, path, ts):
         df.where(F.to_date(ts) == F.lit(d)).coalesce(1).write.mode("append").parquet(path)
 
 
-def test_stream_alert_state_equals_batch(spark, tmp_path):
+def _rule_rows(spark, metrics):
     from gustframe.operators import monitor as MO
-    m = T.system_metrics(spark, SF)
     rules = MO.alert_rules(spark)
-    long = MO.unpivot_metrics(m, ["host", "metric_ts", "event_id"]).join(F.broadcast(rules), "metric")
-    long = long.withColumn("breach", F.coalesce(MO.rule_predicate(F.col("value"), F.col("operator"),
-                                                                  F.col("threshold")), F.lit(False)))
+    long = MO.unpivot_metrics(metrics, ["host", "metric_ts", "event_id"]).join(F.broadcast(rules), "metric")
+    return rules, long.withColumn("breach", F.coalesce(MO.rule_predicate(F.col("value"), F.col("operator"), F.col("threshold")), F.lit(False)))
+
+
+def test_stream_alerts_of_shuffled_files_equal_batch(spark, tmp_path):
+    from gustframe.operators import monitor as MO
+    from gustframe.streaming.state import stream_alerts
+    m = T.system_metrics(spark, SF)
+    rules, long = _rule_rows(spark, m)
     land = str(tmp_path / "rules_landing")
-    _write_by_day(long, land, "metric_ts")
+    _days_shuffled(long, land, "metric_ts", 20)
     s = landing_stream(spark, land, long.schema, max_files_per_trigger=1)
-    run_available_now(__import__("gustframe.streaming.jobs", fromlist=["x"]).stream_alerts(s),
-                      str(tmp_path / "ckpt_alerts"), query_name="stm6_alerts")
-    got = spark.table("stm6_alerts")
+    run_available_now(stream_alerts(s, "1 hour", idle_ms=400 * 86_400_000), str(tmp_path / "ckpt_alerts"), query_name="stm6_alerts")
+    got, newest = spark.table("stm6_alerts"), m.agg(F.max("metric_ts")).first()[0]
     want = MO.apply_cooldown(MO.evaluate_rules(m, rules))
-    assert got.count() == want.count()
-    assert got.subtract(want).count() == 0
+    closed = want.where(F.col("fired_ts") < F.lit(newest - dt.timedelta(hours=1, seconds=1)))
+    assert got.exceptAll(want).count() == 0 and closed.exceptAll(got).count() == 0 and closed.count() > 20
+
+
+def _samples(spark, rows):
+    d = spark.createDataFrame([("r", h, i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m), b) for i, (h, m, b) in enumerate(rows)],
+                              "rule_name string, host string, event_id long, metric_ts timestamp_ntz, breach boolean")
+    return d.withColumns({"duration_samples": F.lit(2), "cooldown_minutes": F.lit(10)})
+
+
+def test_stream_alerts_over_late_files_and_silent_keys(spark, tmp_path):
+    """Three files whose times overlap; host b stays silent for long and is forgotten, with its streak."""
+    from gustframe.streaming.state import stream_alerts
+    files = [[("a", 5, True), ("a", 1, True), ("b", 2, True)],
+             [("a", 3, False), ("a", 4, True), ("a", 20, True)],
+             [("a", 19, True), ("a", 18, False), ("a", 900, False)],
+             [("b", 905, True), ("a", 3000, False)], [("b", 3001, True), ("a", 6000, False)]]
+    land, schema = str(tmp_path / "late"), None
+    for i, rows in enumerate(files):
+        df = _samples(spark, rows)
+        schema = df.schema
+        df.coalesce(1).write.mode("append").parquet(land)
+        time.sleep(0.05)
+    s = landing_stream(spark, land, schema, max_files_per_trigger=1)
+    run_available_now(stream_alerts(s, "30 minutes", idle_ms=600 * 60_000), str(tmp_path / "ckpt_late"), query_name="stm6_late")
+    base = dt.datetime(2024, 1, 1)
+    got = sorted((r.host, (r.fired_ts - base).seconds // 60) for r in spark.table("stm6_late").collect())
+    # a: minutes 1 T, 3 F, 4 T, 5 T (fires), 18 F, 19 T, 20 T (fires); b: 2 T, forgotten, 905 T, forgotten, 3001 T
+    assert got == [("a", 5), ("a", 20)]
 
 
 def test_stream_history_trends(spark, tmp_path):
     from gustframe.operators.windows import first_last_change, last_n
-    from gustframe.streaming.jobs import stream_history_trends
+    from gustframe.streaming.state import stream_history_trends
     obs = T.observations(spark, SF)
     land = str(tmp_path / "hist_landing")
-    _write_by_day(obs, land, "obs_ts")
-    s = landing_stream(spark, land, obs.schema, max_files_per_trigger=5)
+    _days_shuffled(obs, land, "obs_ts", 20)
+    s = landing_stream(spark, land, obs.schema, max_files_per_trigger=1)
     run_available_now(stream_history_trends(s), str(tmp_path / "ckpt_hist"), output_mode="update",
                       query_name="stm7_hist")
     got = spark.table("stm7_hist")
@@ -152,31 +206,3 @@ def test_sinks_keep_every_epoch_and_replays_change_nothing(spark, tmp_path):
     for epoch in (7, 7, 8):
         trigger(sets, epoch)
     assert spark.read.parquet(str(tmp_path / "trig")).count() == 2
-
-
-def test_alert_state_orders_a_micro_batch_across_chunks():
-    import numpy as np
-    import pandas as pd
-    from gustframe.streaming.jobs import _alert_state_fn
-
-    class State:
-        exists, get = False, None
-
-        def update(self, value):
-            self.exists, self.get = True, value
-
-    rng = np.random.default_rng(1)
-    rows = pd.DataFrame({"_t": np.arange(400) * 60_000_000, "event_id": np.arange(400), "breach": rng.random(400) < 0.7,
-                         "duration_samples": 3, "cooldown_minutes": 5})
-    mixed = rows.sample(frac=1, random_state=2)
-    whole, chunks = State(), State()
-    one = pd.concat(list(_alert_state_fn(("r", "h"), iter([rows]), whole)))
-    many = pd.concat(list(_alert_state_fn(("r", "h"), iter([mixed[i:i + 20] for i in range(0, 400, 20)]), chunks)))
-    streak, last, want = 0, None, []
-    for t, breach in zip(rows["_t"], rows["breach"]):
-        streak = streak + 1 if breach else 0
-        if streak >= 3 and (last is None or t >= last + 300_000_000):
-            last = t
-            want.append(pd.Timestamp(t, unit="us"))
-    assert list(one["fired_ts"]) == list(many["fired_ts"]) == want
-    assert whole.get == chunks.get
