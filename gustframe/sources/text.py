@@ -1,16 +1,20 @@
 """Raw station text: scan (SRC1), header-driven parse (SRC2), positional parse (SRC3).
 
-Files land as ``raw_data/<provider>/<station>/YYYY/MM/DD/HHMM.txt``. One row per
-line is read with ``spark.read.text``; the file path comes from the hidden
-``_metadata`` column. Header names are resolved per file and attached to data
-lines with a join on the file path (one header row per file), then zipped into a
-``MAP<name, token>`` -- no Python in the row path.
+Files land as ``raw_data/<provider>/<station>/YYYY/MM/DD/HHMM.txt``. Each is read whole as
+one row; the file path comes from the hidden ``_metadata`` column. ``parse_files`` resolves a
+file's header inside its row with higher-order functions and then explodes the data lines with
+the names beside them: no shuffle, no join, no Python, and the same on a stream. ``parse_header_text``
+does the same for tables of lines, whose files are spread over rows: there the header is joined back on
+the file path.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from typing import Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +34,7 @@ HEADER_HINTS = ("tm", "ta", "ws", "rn", "hm", "reh")
 FALLBACK_HEADER = ("stn", "stnnm", "tm", "ta", "hm", "ws", "wd", "rn")
 MISSING_TOKENS = ("-9.0", "-9", "-")
 
+LINE_END = r"\r?\n"
 PATH_RE = r"/([^/]+)/([^/]+)/(\d{4})/(\d{2})/(\d{2})/(\d{4})\.[^/]*$"
 
 
@@ -52,33 +57,45 @@ def skipped_files(spark: SparkSession, lines: DataFrame, root: str, pattern: str
             .join(lines.select(bare("file_path").alias("_p")).distinct(), "_p", "left_anti").select("file_path"))
 
 
-def read_raw_lines(spark: SparkSession, root: str, pattern: str = "*.txt", stations=None, days=None) -> DataFrame:
-    """SRC1: every line of every file under ``root`` with file path and exact line number.
+FILES = "file_path string, provider string, path_station string, value string"
+
+
+def _with_path(files: DataFrame) -> DataFrame:
+    d = files.select(F.col("_metadata.file_path").alias("file_path"), "value")
+    return d.select("file_path", F.regexp_extract("file_path", PATH_RE, 1).alias("provider"),
+                    F.regexp_extract("file_path", PATH_RE, 2).alias("path_station"), "value")
+
+
+def read_raw_files(spark: SparkSession, root: str, pattern: str = "*.txt", stations=None, days=None) -> DataFrame:
+    """SRC1: every file under ``root`` as one row with its whole text.
 
-    Landed payloads are small per-station/hour files, so each file is read whole
-    (``wholetext``) and split with ``posexplode``: line numbers are exact (a split
-    file would lose its order), and files stay the unit of parallelism.
+    Landed payloads are small per-station/hour files, so a file is the unit of parallelism and its lines stay in order
+    (a file beyond 2 GB, the limit of one value, is an error).
     ``stations`` and ``days`` (dates) name the folders to list: no other file is listed or read, and
     folders that are not there give no rows. ``ignoreCorruptFiles`` skips unreadable files;
     ``skipped_files`` names them.
     """
     reader = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-              .option("ignoreCorruptFiles", "true").option("wholetext", "true"))
+              .option("ignoreCorruptFiles", "true"))
     try:
-        df = reader.text(_prefixes(root, stations, days))
+        return _with_path(reader.text(_prefixes(root, stations, days), wholetext=True))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND" or not (stations or days):
             raise
-        return spark.createDataFrame([], "file_path string, provider string, path_station string, line_no bigint, value string")
-    path = F.col("_metadata.file_path")
-    d = df.select(path.alias("file_path"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
-    return d.select(
-        "file_path",
-        F.regexp_extract("file_path", PATH_RE, 1).alias("provider"),
-        F.regexp_extract("file_path", PATH_RE, 2).alias("path_station"),
-        F.col("line_no").cast("bigint").alias("line_no"),
-        "value",
-    )
+        return spark.createDataFrame([], FILES)
+
+
+def stream_raw_files(spark: SparkSession, root: str, pattern: str = "*.txt", max_files_per_trigger: int = 100) -> DataFrame:
+    """STM1: new files under ``root`` as rows of whole texts, for ``parse_files``."""
+    return _with_path(spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true")
+                      .option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files_per_trigger).load(root))
+
+
+def read_raw_lines(spark: SparkSession, root: str, pattern: str = "*.txt", stations=None, days=None) -> DataFrame:
+    """SRC1: every line of every file of ``read_raw_files`` with file path and exact line number."""
+    d = read_raw_files(spark, root, pattern, stations, days)
+    return d.select("file_path", "provider", "path_station", F.posexplode(F.split("value", LINE_END)).alias("line_no", "value")).select(
+        "file_path", "provider", "path_station", F.col("line_no").cast("bigint").alias("line_no"), "value")
 
 
 def _tokens(c: Column) -> Column:
@@ -101,31 +118,32 @@ def _fallback(width: Column) -> Column:
     return F.slice(F.concat(base, extra), 1, width)
 
 
-def parse_header_text(lines: DataFrame, start=None, end=None) -> DataFrame:
-    """SRC2: header-driven parse of raw lines into observation rows.
+def _comment(v: Column) -> Column:
+    return v.startswith("#")
 
-    Header = first ``#`` line holding YYMMDD and STN (aliased, de-duplicated);
-    else the first data line when it looks like a header; else fixed names.
-    """
-    d = lines.withColumn("_v", F.trim("value")).where(F.length("_v") > 0)
-    is_comment = F.col("_v").startswith("#")
-    stripped = F.trim(F.regexp_replace("_v", r"^#+", ""))
-    is_hdr = is_comment & F.upper(stripped).contains("YYMMDD") & F.upper(stripped).contains("STN")
-    # one aggregate per file: the comment header and the first data line
-    per_file = d.groupBy("file_path").agg(
-        F.min_by(stripped, F.when(is_hdr, F.col("line_no"))).alias("_h"),
-        F.min_by(F.col("_v"), F.when(~is_comment, F.col("line_no"))).alias("_first_v"),
-        F.min(F.when(~is_comment, F.col("line_no"))).alias("_first_no"))
-    first_tok = _tokens(F.col("_first_v"))
-    looks = F.exists(first_tok, lambda t: F.lower(t).isin(*HEADER_HINTS))
-    names = F.when(F.col("_h").isNotNull(), _normalize_names(_tokens(F.col("_h"))))
-    hdr = per_file.select(
-        "file_path",
-        F.coalesce(names, F.when(looks, F.transform(first_tok, lambda t: F.lower(t)))).alias("_names"),
-        F.when(F.col("_h").isNull() & looks, F.col("_first_no")).alias("_skip"))
-    data = d.where(~is_comment)
-    rows = data.join(hdr, on="file_path", how="inner").where(
-        F.col("_skip").isNull() | (F.col("line_no") != F.col("_skip")))
+
+def _uncommented(v: Column) -> Column:
+    return F.trim(F.regexp_replace(v, r"^#+", ""))
+
+
+def _is_header(v: Column) -> Column:
+    plain = F.upper(_uncommented(v))
+    return _comment(v) & plain.contains("YYMMDD") & plain.contains("STN")
+
+
+def _header(header: Column, first_line: Column, first_no: Column) -> tuple[Column, Column]:
+    """Names from the first header comment, else from the first data line if it looks like one (and the number of that
+    line, which is then no data), else null."""
+    first = _tokens(first_line)
+    looks = F.exists(first, lambda t: F.lower(t).isin(*HEADER_HINTS))
+    names = F.when(header.isNotNull(), _normalize_names(_tokens(_uncommented(header))))
+    return (F.coalesce(names, F.when(looks, F.transform(first, lambda t: F.lower(t)))),
+            F.when(header.isNull() & looks, first_no))
+
+
+def _data_rows(rows: DataFrame, start, end) -> DataFrame:
+    """Observations from data lines ``_v`` with their file's ``_names`` (null: fixed names) and ``_skip``."""
+    rows = rows.where(F.col("_skip").isNull() | (F.col("line_no") != F.col("_skip")))
     tok = _tokens(F.col("_v"))
     names = F.coalesce(F.col("_names"), _fallback(F.size(tok)))
     n = F.least(F.size(names), F.size(tok))
@@ -133,6 +151,37 @@ def parse_header_text(lines: DataFrame, start=None, end=None) -> DataFrame:
     return _fields_to_observations(rows, start, end)
 
 
+def parse_files(files: DataFrame, start=None, end=None) -> DataFrame:
+    """SRC2 on whole files (``read_raw_files``, ``stream_raw_files``): header-driven parse into observation rows.
+
+    Header = first ``#`` line holding YYMMDD and STN (aliased, de-duplicated); else the first data line when it looks like
+    a header; else fixed names. Everything about a file is worked out in its row.
+    """
+    lines = F.filter(F.transform(F.split("value", LINE_END), lambda v, i: F.struct(i.cast("bigint").alias("line_no"), F.trim(v).alias("v"))),
+                     lambda x: F.length(x["v"]) > 0)
+    d = files.select("file_path", "path_station", lines.alias("_lines"))
+    d = d.select("file_path", "path_station", F.filter("_lines", lambda x: ~_comment(x["v"])).alias("_data"),
+                 F.get(F.filter("_lines", lambda x: _is_header(x["v"])), F.lit(0))["v"].alias("_h"))
+    names, skip = _header(F.col("_h"), F.get("_data", F.lit(0))["v"], F.get("_data", F.lit(0))["line_no"])
+    d = d.select("file_path", "path_station", names.alias("_names"), skip.alias("_skip"), F.explode("_data").alias("_line"))
+    return _data_rows(d.select("file_path", "path_station", "_names", "_skip", F.col("_line.line_no").alias("line_no"),
+                               F.col("_line.v").alias("_v")), start, end)
+
+
+def parse_header_text(lines: DataFrame, start=None, end=None) -> DataFrame:
+    """SRC2 on a table of lines (file_path, path_station, line_no, value), with the rules of ``parse_files``."""
+    d = lines.withColumn("_v", F.trim("value")).where(F.length("_v") > 0)
+    v = F.col("_v")
+    # one aggregate per file: the comment header and the first data line
+    per_file = d.groupBy("file_path").agg(
+        F.min_by(v, F.when(_is_header(v), F.col("line_no"))).alias("_h"),
+        F.min_by(v, F.when(~_comment(v), F.col("line_no"))).alias("_first_v"),
+        F.min(F.when(~_comment(v), F.col("line_no"))).alias("_first_no"))
+    names, skip = _header(F.col("_h"), F.col("_first_v"), F.col("_first_no"))
+    hdr = per_file.select("file_path", names.alias("_names"), skip.alias("_skip"))
+    return _data_rows(d.where(~_comment(v)).join(hdr, on="file_path", how="inner"), start, end)
+
+
 def _get(keys: Sequence[str]) -> list[Column]:
     return [F.element_at(F.col("fields"), F.lit(k)) for k in keys]
 
@@ -228,3 +277,47 @@ def lines_from_observations(obs: DataFrame, layout: str = "compact") -> DataFram
         " ", "_tm", "station_id", filler("-9"), "_w", filler("-9"), filler("-9.0"), filler("-9"),
         filler("1000.2"), filler("1010.2"), filler("-9"), filler("-9.0"), "_t", filler("-9.0"), "_h",
         filler("-9.0"), "_p").alias("value"))
+
+
+def _uri(path: str) -> str:
+    """A path or Hadoop path as a URI of the file system library."""
+    if "://" in path:
+        return path
+    return "file://" + path.removeprefix("file:")
+
+
+def _landed(root: str):
+    """Writes the lines of each file, which come one after the other, and gives its path and number of lines."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        store, base = fs.FileSystem.from_uri(root)
+        path, part, out, lines, done = None, None, None, 0, []
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                store.move(part, f"{base}/{path}")                   # a task that runs twice leaves one whole file
+                done.append((path, lines))
+
+        for batch in batches:
+            for own, value in zip(batch.column("file_path").to_pylist(), batch.column("value").to_pylist()):
+                if own != path:
+                    close()
+                    path, lines, part = own, 0, f"{base}/{own}.{uuid.uuid4().hex}.part"
+                    store.create_dir(f"{base}/{own.rsplit('/', 1)[0]}", recursive=True)
+                    out = store.open_output_stream(part)
+                out.write(value.encode() + b"\n")
+                lines += 1
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())],
+                                         ["file_path", "lines"])
+    return run
+
+
+def land_lines(lines: DataFrame, root: str) -> int:
+    """Write a table of lines (file_path below ``root``, line_no, value) as text files in a store that all tasks share;
+    returns the number of files. A file is written by one task, line by line."""
+    spark = lines.sparkSession
+    d = (lines.select("file_path", "line_no", "value").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file_path")
+         .sortWithinPartitions("file_path", "line_no").select("file_path", "value"))
+    return d.mapInArrow(_landed(_uri(root)), "file_path string, lines long").count()
