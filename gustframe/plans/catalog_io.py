@@ -41,3 +41,35 @@ def q_union(spark, sf):
     odd = ft.where(F.col("station_id").cast("int") % 2 == 1).select(
         "station_id", "window_start", "n_obs").withColumn("source", F.lit("fallback"))
     return even.unionByName(odd, allowMissingColumns=True)
+
+
+def _folder(spark, name):
+    import uuid
+    from gustframe.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("SNK1_overlapping_loads", "station_id string, obs_date date, n_rows bigint, temperature_sum double", """
+SELECT station_id, CAST(obs_ts AS DATE) AS obs_date, count(*) AS n_rows,
+  sum(temperature_c + CASE WHEN hour(obs_ts) >= 12 THEN 1 ELSE 0 END) AS temperature_sum
+FROM $observations GROUP BY ALL""", ids=("SNK1",))
+def q_overlapping_loads(spark, sf):
+    """All observations, then a load that holds the afternoons again, one degree warmer; read back."""
+    obs = T.observations(spark, sf).select("station_id", "obs_ts", "event_id", "temperature_c")
+    base = _folder(spark, "normalized")
+    SK.write_normalized(obs, base, load_id="all")
+    SK.write_normalized(obs.where(F.hour("obs_ts") >= 12).withColumn("temperature_c", F.col("temperature_c") + 1), base, load_id="noon")
+    return (SK.read_normalized(spark, base).groupBy(F.col("station_id").cast("string").alias("station_id"), "obs_date")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("temperature_c").alias("temperature_sum")))
+
+
+@register("SNK2_SRC5_feature_versions", "station_id string, window_start timestamp, n_obs bigint, baseline_comfort_score double", """
+SELECT station_id, window_start, n_obs, baseline_comfort_score FROM $frame_table""", ids=("SNK2", "SRC5"))
+def q_feature_versions(spark, sf):
+    """The frame table written as two loads of version v1 (the second again holds half of it) beside a version v2."""
+    ft = X.frame_table(spark, sf).select("station_id", "window_start", "n_obs", "baseline_comfort_score")
+    base = _folder(spark, "features")
+    SK.write_features(ft, base, "comfort", "v1", load_id="a")
+    SK.write_features(ft.where(F.col("station_id").cast("int") % 2 == 0), base, "comfort", "v1", load_id="b")
+    SK.write_features(ft.limit(10), base, "comfort", "v2")
+    return SK.read_features(spark, base, "comfort", "v1").select("station_id", "window_start", "n_obs", "baseline_comfort_score")

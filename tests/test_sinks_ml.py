@@ -20,7 +20,7 @@ def test_normalized_sink_partitions_and_rerun(spark, tmp_path):
     base = str(tmp_path / "normalized")
     SK.write_normalized(obs, base)
     SK.write_normalized(obs, base)            # rerun replaces the same partitions
-    back = spark.read.parquet(base)
+    back = SK.read_normalized(spark, base)
     assert back.count() == obs.count()
     assert set(back.columns) >= {"source", "station_id", "obs_date"}
     one = back.where((F.col("station_id") == "103") & (F.col("source") == "asos"))
@@ -108,7 +108,35 @@ def test_two_loads_of_one_day_keep_all_rows(spark, tmp_path):
     SK.write_normalized(morning, base, load_id="am")
     SK.write_normalized(rest, base, load_id="pm")
     SK.write_normalized(rest, base, load_id="pm")            # the same load again replaces itself only
-    assert spark.read.parquet(base).count() == obs.count()
+    assert SK.read_normalized(spark, base).count() == obs.count()
+
+
+def test_overlapping_loads_give_each_hour_from_the_newest(spark, tmp_path):
+    obs = T.observations(spark, SF).select("station_id", "obs_ts", "event_id", F.lit("first").alias("v"))
+    base = str(tmp_path / "overlap")
+    again = obs.where((F.hour("obs_ts") >= 6) & (F.col("station_id") != "103")).withColumn("v", F.lit("second"))
+    SK.write_normalized(obs, base, load_id="a")
+    SK.write_normalized(again, base, load_id="b")
+    want = {r.event_id: "second" if r.obs_ts.hour >= 6 and r.station_id != "103" else "first" for r in obs.collect()}
+    got = [(r.event_id, r.v) for r in SK.read_normalized(spark, base).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    SK.write_normalized(obs.where("station_id = '104'").withColumn("v", F.lit("third")), base, load_id="b")    # replaces b
+    got = dict((r.event_id, r.v) for r in SK.read_normalized(spark, base).collect())
+    assert got == {r.event_id: "third" if r.station_id == "104" else "first" for r in obs.collect()}
+
+
+def test_a_load_without_its_record_is_not_seen(spark, tmp_path):
+    import shutil
+    obs = T.observations(spark, SF).select("station_id", "obs_ts", "event_id")
+    base = tmp_path / "half"
+    SK.write_normalized(obs, str(base), load_id="a")
+    record = next((base / "_commits").iterdir())
+    SK.write_normalized(obs.limit(10), str(base), load_id="a")              # its record is lost: it ended before the commit
+    late = next(p for p in (base / "_commits").iterdir() if p != record)
+    shutil.rmtree(late)
+    assert SK.read_normalized(spark, str(base)).count() == obs.count()
+    SK.write_normalized(obs.limit(0), str(base), load_id="a")               # a load without rows replaces the one before
+    assert SK.read_normalized(spark, str(base)).count() == 0
 
 
 def test_ridge_has_the_closed_form_of_population_scaling(spark):
