@@ -124,7 +124,8 @@ x = 1
 def test_top_k_with_ties_nulls_and_copies(spark):
     rows = [(i, [1.0] * 64 if i < 30 else [float((i * j) % 7 - 3) for j in range(64)]) for i in range(60)]
     rows += [(60, None), (None, [1.0] * 64), (61, []), (0, [1.0] * 64)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x"))
+    odd = [(80, [1.0] * 60), (81, [1.0] * 65)]                       # of another length: neither asked nor found
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x"))
     got = {}
     for r in hamming.top_k(df, lambda i: i % 20 == 0, k=4).collect():
         got.setdefault(r.vec_id, []).append((r.distance, r.neighbour))

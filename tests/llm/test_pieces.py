@@ -184,8 +184,17 @@ def test_multi_index_equals_brute_force():
         kth = all_d[order][np.searchsorted(np.cumsum(held[order]), 5)]
         assert set(c[q == i].tolist()) == set(np.flatnonzero(all_d <= kth).tolist())
         assert (d[q == i] == all_d[c[q == i]]).all()
+    index = CodeIndex(codes, held)
+    index.search(queries, 5)
+    assert (index.rings < max(index.widths)).all() and sum(index.widths) == 64      # every search ends by its rings
     few = CodeIndex(codes[:3], held[:3]).search(queries[:2], 50)
     assert len(few[0]) == 6
+    short = rng.integers(0, 2, (300, 13)) @ (1 << np.arange(13))                     # 13 bits of a word, codes repeat
+    short = np.unique(short.astype(np.uint64)[:, None], axis=0)
+    q, c, d = CodeIndex(short, np.ones(len(short), np.int64), 13).search(short[:9], 4)
+    for i in range(9):
+        all_d = distances(short[i][None, :], short)
+        assert sorted(c[q == i]) == np.flatnonzero(all_d <= np.sort(all_d)[3]).tolist()
 
 
 def test_targets_and_flow():
