@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from gustframe.plans import catalog
 from gustframe.plans.verify import _canon, digest, duck
 
 SF = "/root/testdata/sf0.001"
@@ -13,10 +14,10 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF).toPandas()
-    sql = E.oracle_sql().get(name)
+    sdf = catalog.queries()[name](spark, SF).toPandas()
+    sql = catalog.oracle_sql().get(name)
     if sql is None:
         assert len(sdf.columns) > 0
         return
