@@ -88,3 +88,27 @@ def test_forest_equals_plain_trees(spark):
     assert (got["one"].n_rows, got["one"].anomaly_score) == (1, 0.5)
     assert (got["none"].n_rows, got["none"].anomaly_score) == (0, 0.0)
     assert 0.05 < got["s"].flagged / got["s"].n_rows <= 0.1
+
+
+def test_distinct_sketches_of_days_merge(spark):
+    from gustframe.operators.selection import SKETCH_BITS, day_sketches, distinct_counts, feature_stats, merged_distinct
+    df = spark.range(60_000).select(
+        F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, CAST(id % 480 AS INT))").alias("ts"),
+        (F.col("id") % 9000).cast("double").alias("many"), (F.col("id") % 7).alias("few"),
+        F.when(F.col("id") % 3 == 0, F.lit(None).cast("double")).otherwise(F.col("id") * 0.5).alias("x"))
+    features = ["many", "few", "x"]
+    exact = {r.feature: r.n_distinct for r in distinct_counts(df, features).collect()}
+    assert exact == {"many": 9000, "few": 7, "x": 40_000}
+    days = day_sketches(df, features, "ts").cache()
+    assert days.count() == 20 * 3
+    merged = {r.feature: r.n_distinct for r in merged_distinct(days).collect()}
+    halves = merged_distinct(days.where("day <= '2024-01-10'").unionByName(days.where("day > '2024-01-10'")))
+    one_pass = merged_distinct(day_sketches(df.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")), features, "ts"))
+    for other in (halves, one_pass):
+        assert {r.feature: r.n_distinct for r in other.collect()} == merged
+    for f in features:
+        assert abs(merged[f] / exact[f] - 1) < 4 * 1.04 / 2 ** (SKETCH_BITS / 2)
+    near = {r.feature: r for r in feature_stats(df, features, "x", merged_distinct(days)).collect()}
+    for r in feature_stats(df, features, "x").collect():
+        assert abs(near[r.feature].unique_ratio - r.unique_ratio) <= 0.07 * r.unique_ratio and near[r.feature].variance == r.variance
+    days.unpersist()
