@@ -89,21 +89,30 @@ def compare_models(spark: SparkSession, df: DataFrame, features: Sequence[str],
     return metrics, fitted
 
 
+def fold_stages(df: DataFrame, features: Sequence[str], target: str, fold_col: str = "fold") -> dict:
+    """fold -> feature stages, rows and target deviation of all other folds; the same for every family."""
+    d = prepare(df, target)
+    out = {}
+    for (fold,) in sorted(d.select(fold_col).distinct().collect()):
+        train = d.where(F.col(fold_col) != fold)
+        stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(F.col(target).cast("double")).alias("s")).first()
+        out[fold] = (feature_pipeline(train, features), stats["n"], stats["s"] or 0.0)
+    return out
+
+
 def cross_validate(df: DataFrame, features: Sequence[str], target: str, fold_col: str = "fold",
-                   family: str = "ridge") -> dict:
+                   family: str = "ridge", stages: dict | None = None) -> dict:
     """ML9: fit on all folds but one, RMSE on that one; mean and population std over the folds.
 
-    ``fold_col`` comes from ``windows.contiguous_folds``, so a fold is a stretch of time.
+    ``fold_col`` comes from ``windows.contiguous_folds``, so a fold is a stretch of time. ``stages`` are those of
+    ``fold_stages``, where they are known.
     """
-    d = prepare(df, target).withColumn("label", F.col(target).cast("double")).persist()
+    d = prepare(df, target).withColumn("label", F.col(target).cast("double"))
     errors = []
-    for (fold,) in sorted(d.select(fold_col).distinct().collect()):
+    for fold, (own, n, deviation) in (stages or fold_stages(df, features, target, fold_col)).items():
         train, test = d.where(F.col(fold_col) != fold), d.where(F.col(fold_col) == fold)
-        stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
-        est = estimators(stats["n"], stats["s"] or 0.0)[family]
-        pred = Pipeline(stages=feature_pipeline(train, features) + [est]).fit(train).transform(test)
+        pred = Pipeline(stages=own + [estimators(n, deviation)[family]]).fit(train).transform(test)
         errors.append(RegressionEvaluator(labelCol="label", metricName="rmse").evaluate(pred))
-    d.unpersist()
     mean = sum(errors) / len(errors) if errors else None
     std = (sum((e - mean) ** 2 for e in errors) / len(errors)) ** 0.5 if errors else None
     return {"cv_rmse_mean": mean, "cv_rmse_std": std, "folds": len(errors)}
@@ -115,10 +124,11 @@ def with_cross_validation(spark: SparkSession, metrics: DataFrame, df: DataFrame
     (which does not pass the gate) for a family whose fit failed, then with the reason in ``error``."""
     from gustframe.operators.windows import contiguous_folds
     d = contiguous_folds(prepare(df, target), list(order), folds).persist()
-    rows = []
+    rows, stages = [], None
     for name in [r.model_name for r in metrics.where("rmse is not null").select("model_name").collect()]:
         try:
-            cv = cross_validate(d, features, target, family=name)
+            stages = stages or fold_stages(d, features, target)
+            cv = cross_validate(d, features, target, family=name, stages=stages)
             rows.append((name, cv["cv_rmse_mean"], cv["cv_rmse_std"], None))
         except Exception as e:  # noqa: BLE001 -- one family's failure must not hide the others
             rows.append((name, None, None, str(e)[:500]))
