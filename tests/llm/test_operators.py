@@ -52,6 +52,22 @@ def test_duplicates_of_awkward_rows(spark, docs):
     assert all(got[i].kept for i in (1, 2, 3, 4, 5, 7)) and got[None].component_id is None and got[None].kept
 
 
+def test_duplicates_of_repeated_ids_with_other_texts(spark):
+    """(5, A), (5, B) and near copies of A or B under other ids: no link is lost, whichever text comes first."""
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for case in range(10):
+        words = [[f"c{case}t{k}w{i}" for i in rng.permutation(80)] for k in range(3)]
+        near = [[*w[:79], "other"] for w in words]
+        k = 10 * case
+        rows += [(k + 5, " ".join(words[0])), (k + 5, " ".join(words[1])), (k + 9, " ".join(near[1])), (k + 8, " ".join(near[0])),
+                 (k + 6, " ".join(words[1])), (k + 6, " ".join(words[2])), (k + 3, " ".join(near[2])), (k + 1, " ".join(near[2][1:40]))]
+        want |= dict.fromkeys((k + 3, k + 5, k + 6, k + 8, k + 9), k + 3) | {k + 1: k + 1}
+    docs = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string").repartition(4)
+    got = near_dedup.near_duplicates(docs).select("doc_id", "component_id").collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
+
+
 def test_duplicates_in_a_large_bucket(spark, monkeypatch):
     """Chains of near copies that no star finds, with small comparison blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
