@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustframe.llm import gru
-from gustframe.llm.common import LETTER, byte_slices, held_out, prepare, utf8, widened
+from gustframe.llm.common import LETTER, byte_slices, held_out, prepare, stored, utf8, widened
 
 UNKNOWN = "und"
 #: Bounds of the training sample: windows of WINDOW characters, one a document, PER_LABEL of each language.
@@ -28,15 +28,26 @@ class LanguageModel:
 
 
 def training_windows(docs: DataFrame, per_label: int = PER_LABEL, window: int = WINDOW) -> DataFrame:
-    """lang, piece: for each non-null language ``per_label`` documents at most, in the order of a hash of the id
-    (ties: of the text), and from each a window at a hashed place. Texts without a letter are left out."""
-    seed = F.xxhash64(F.col("doc_id"), F.lit("window"))
+    """lang, piece, copies: for each non-null language ``per_label`` documents at most, in the order of a hash of id and
+    text (ties: of the window), and from each a window at a hashed place; equal windows of one hash are one row
+    with their number. Texts without a letter are left out.
+
+    Hashes are counted in bins of a twelfth of an octave first, so only the rows up to the bin that fills a language's
+    sample (about a tenth more than it) are sorted, and no task reads all rows of a language.
+    """
+    seed = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("window"))
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select(
-        "lang", seed.alias("seed"),
+        "lang", seed.alias("seed"), F.floor(12 * F.log2(seed.cast("double") + F.lit(2.0 ** 63 + 1))).cast("int").alias("bin"),
         F.substring(F.col("text"), F.pmod(seed, F.greatest(F.length("text") - window, F.lit(0)) + 1).cast("int") + 1,
                     F.lit(window)).alias("piece"))
-    order = Window.partitionBy("lang").orderBy("seed", "piece")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).select("lang", "piece")
+    upto = lambda order, n: F.coalesce(
+        F.sum(n).over(Window.partitionBy("lang").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = rows.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"))
+    last = stored(bins.withColumn("before", upto(["bin"], "n")).where(F.col("before") < per_label)
+                  .groupBy("lang").agg(F.max("bin").alias("last")), "language-bins")       # one row per output of the network
+    first = rows.join(F.broadcast(last), "lang").where("bin <= last").groupBy("lang", "seed", "piece").agg(F.count(F.lit(1)).alias("n"))
+    return (first.withColumn("before", upto(["seed", "piece"], "n")).where(F.col("before") < per_label)
+            .select("lang", "piece", F.least(F.col("n"), per_label - F.col("before")).alias("copies")))
 
 
 def train(docs: DataFrame, per_label: int = PER_LABEL, units: int = UNITS, rounds: int = 400, seed: int = 5) -> LanguageModel:
@@ -44,7 +55,7 @@ def train(docs: DataFrame, per_label: int = PER_LABEL, units: int = UNITS, round
 
     Without a labelled row the model knows no language and every text is ``und``.
     """
-    rows = sorted((r.lang, r.piece) for r in training_windows(docs, per_label).collect())
+    rows = sorted((r.lang, r.piece) for r in training_windows(docs, per_label).collect() for _ in range(r.copies))
     labels = tuple(sorted({r[0] for r in rows}))
     if not labels:
         return LanguageModel((), {})
