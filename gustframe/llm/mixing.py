@@ -3,6 +3,10 @@
 Documents are aggregated by membership pattern (the set of sources they belong to). Each pattern can
 give its words up to three times, a later copy costing more than an earlier one; the flow routes that
 capacity to the sources' quotas at least cost. A pattern's documents are then taken in a seeded order.
+
+The flow falls into parts without common sources. A part of one source and its one pattern has one flow only, the
+quota itself: such parts are worked out by DataFrame functions, whatever their number. Patterns that share sources
+with others go through the flow on the driver; there is one row per pattern.
 """
 
 from __future__ import annotations
@@ -15,12 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gustframe.llm.common import packed, prepare, stored
+from gustframe.operators.sequence import global_index
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 SEED = "mix"
-#: Patterns are the only rows that reach the driver; their number is checked against this bound.
+#: Patterns that share sources are the only rows that reach the driver; their number is checked against this bound.
 MOST_PATTERNS = 20_000
+#: Tables of patterns or sources with at most this many rows are broadcast.
+BROADCAST_ROWS = 50_000
 #: Hexadecimal digits of the seeded order that make up a bin of the running sum.
 BIN_DIGITS = 3
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -102,11 +109,40 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
 @dataclass(frozen=True)
 class Plan:
     """table: pattern, copies (whole ones), cut_key, cut_size: documents up to there in the seeded order get one more,
-    and so does the one of fill_key, fill_size."""
+    and so does the one of fill_key, fill_size. sources: name, size, target."""
 
     table: DataFrame
-    source_sizes: dict
-    source_targets: dict
+    sources: DataFrame
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast where its rows are few; a larger one is left to the shuffled join, in which
+    adaptive execution splits a hot key."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def source_targets(kinds: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """name, size and target of every source of ``kinds`` (names, size), as ``targets`` gives them.
+
+    A round is one aggregate over the sources. A source is full if its share by weight exceeds ``repeats`` times its
+    size; what full ones leave makes the share of the others larger, so a full one stays full. The rounds end when
+    no more are full.
+    """
+    sizes = kinds.select(F.explode("names").alias("name"), "size").groupBy("name").agg(F.sum("size").alias("size"))
+    turn = F.pmod(F.col("place") - 1, F.lit(len(weights))).cast("int")
+    sources = stored(global_index(sizes, "name", "place")
+                     .select("name", "size", F.get(F.array(*map(F.lit, weights)), turn).cast("long").alias("weight")), "mix-sources")
+    total = kinds.agg(F.sum("size")).first()[0] or 0
+    wide = lambda c: c.cast("decimal(38,0)")
+    full, known = F.lit(False), -1
+    while True:
+        n, held, share = sources.agg(F.count_if(full), F.sum(F.when(full, F.col("size"))), F.sum(F.when(~full, F.col("weight")))).first()
+        rest, share = total - repeats * (held or 0), share or 1
+        if n == known:
+            break
+        known, full = n, wide(F.lit(rest)) * F.col("weight") > wide(F.col("size")) * F.lit(repeats * share)
+    part = (F.lit(rest) * F.col("weight")).cast("double") / F.lit(float(share))
+    return sources.select("name", "size", F.when(full, (F.col("size") * repeats).cast("double")).otherwise(part).alias("target"))
 
 
 def _names(members: Column) -> Column:
@@ -125,32 +161,30 @@ def seeded(docs: DataFrame, members: Column, id_col: str, text_col: str, seed: s
 def make_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> Plan:
     """Targets, flow and cut points from narrow rows (__names, __pattern, __size, __key)."""
     spark = rows.sparkSession
-    kinds = rows.groupBy("__pattern").agg(F.first("__names").alias("names"), F.sum("__size").alias("size"))
-    found = kinds.limit(MOST_PATTERNS + 1).collect()
+    kinds = stored(rows.groupBy("__pattern").agg(F.first("__names").alias("names"), F.sum("__size").alias("size")), "mix-patterns")
+    sources = stored(source_targets(kinds, weights, repeats), "mix-targets")
+    alone = kinds.select("__pattern", F.explode("names").alias("name"), F.size("names").alias("k")).groupBy("name").agg(
+        F.count(F.lit(1)).alias("n"), F.min("__pattern").alias("__pattern"), F.max("k").alias("k")).where("n = 1 and k = 1")
+    quota = F.floor("target").cast("long")
+    whole = alone.join(sources, "name").where("size > 0").select(
+        "__pattern", F.floor(quota / F.col("size")).cast("long").alias("copies"), (quota % F.col("size")).alias("rest"))
+    return Plan(_cuts(rows, stored(whole.union(_flow(spark, kinds, alone, sources, repeats)), "mix-flow")), sources)
+
+
+def _flow(spark, kinds: DataFrame, alone: DataFrame, sources: DataFrame, repeats: int) -> DataFrame:
+    """__pattern, copies and rest of the patterns that share sources with others or have several."""
+    shared = stored(kinds.where(F.size("names") > 0).join(alone.select("__pattern"), "__pattern", "left_anti"), "mix-shared")
+    found = shared.limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} sets of sources")
+        raise ValueError(f"more than {MOST_PATTERNS} sets of sources that overlap")
     found.sort(key=lambda r: r["__pattern"])
-    names = sorted({s for r in found for s in r.names})
-    sizes = [sum(r.size for r in found if s in r.names) for s in names] if len(names) < 1000 else _sizes(found, names)
-    place = {s: i for i, s in enumerate(names)}
-    total = sum(r.size for r in found)
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], repeats) if total else [0.0] * len(names)
-    flow = min_cost_flow([(tuple(place[s] for s in r.names), r.size) for r in found], [int(t) for t in goal], repeats)
-    rows_of_plan = []
-    for r, given in zip(found, flow):
-        copies, rest = divmod(sum(given.values()), r.size) if r.size else (0, 0)
-        rows_of_plan.append((r["__pattern"], copies, rest))
-    plan = spark.createDataFrame(rows_of_plan, StructType([
+    goals = sources.join(shared.select(F.explode("names").alias("name")).distinct(), "name", "left_semi").collect()
+    goals.sort(key=lambda r: r.name)
+    place = {r.name: i for i, r in enumerate(goals)}
+    flow = min_cost_flow([(tuple(place[s] for s in r.names), r.size) for r in found], [int(r.target) for r in goals], repeats)
+    planned = [(r["__pattern"], *(divmod(sum(given.values()), r.size) if r.size else (0, 0))) for r, given in zip(found, flow)]
+    return spark.createDataFrame(planned, StructType([
         StructField("__pattern", StringType()), StructField("copies", LongType()), StructField("rest", LongType())]))
-    return Plan(_cuts(rows, plan), dict(zip(names, sizes)), dict(zip(names, goal)))
-
-
-def _sizes(found: list, names: list[str]) -> list[int]:
-    held = dict.fromkeys(names, 0)
-    for r in found:
-        for s in r.names:
-            held[s] += r.size
-    return [held[s] for s in names]
 
 
 def _cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -162,10 +196,10 @@ def _cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
     binned = rows.withColumn("bin", F.substring("__key", 1, BIN_DIGITS))
     bins = binned.groupBy("__pattern", "bin").agg(F.sum("__size").alias("words"))
     before = Window.partitionBy("__pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (bins.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))).join(F.broadcast(plan), "__pattern")
+    edge = (bins.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))).join(_small(plan), "__pattern")
             .where("rest > 0 and start <= rest and rest < start + words").select("__pattern", "bin", "start", "rest"))
     edge = stored(edge, "mix-bins")
-    keys = (binned.join(F.broadcast(edge), ["__pattern", "bin"])
+    keys = (binned.join(_small(edge), ["__pattern", "bin"])
             .groupBy("__pattern", "start", "rest", "__key", "__size").agg(F.sum("__size").alias("words")))
     order = Window.partitionBy("__pattern").orderBy("__key", "__size").rowsBetween(Window.unboundedPreceding, 0)
     cut = (keys.withColumn("end", F.col("start") + F.sum("words").over(order)).where("end <= rest").groupBy("__pattern")
@@ -175,7 +209,7 @@ def _cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
         .select("__pattern", F.coalesce(F.col("cut.__key"), F.col("bin")).alias("cut_key"),
                 F.coalesce(F.col("cut.__size"), F.lit(-1)).alias("cut_size"),
                 (F.col("rest") - F.coalesce(F.col("cut.end"), F.col("start"))).alias("missing")), "mix-cuts")
-    behind = (rows.where("__size > 0").join(F.broadcast(cuts), "__pattern").where(~_up_to_cut())
+    behind = (rows.where("__size > 0").join(_small(cuts), "__pattern").where(~_up_to_cut())
               .withColumn("off", F.abs(F.col("__size") - F.col("missing"))).where("off < missing")
               .groupBy("__pattern").agg(F.min(F.struct("off", "__key", "__size")).alias("fill")))
     return stored(
@@ -193,15 +227,11 @@ def copies(rows: DataFrame, plan: Plan) -> DataFrame:
     """Adds __copies: how often the mix takes a row (0 to ``repeats``)."""
     fill = (F.col("__key") == F.col("fill_key")) & (F.col("__size") == F.col("fill_size"))
     extra = F.coalesce(F.col("cut_key").isNotNull() & _up_to_cut(), F.lit(False)) | F.coalesce(fill, F.lit(False))
-    return (rows.join(F.broadcast(plan.table), "__pattern", "left")
+    return (rows.join(_small(plan.table), "__pattern", "left")
             .withColumn("__copies", F.coalesce(F.col("copies"), F.lit(0)) + extra.cast("long"))
             .drop("copies", "cut_key", "cut_size", "fill_key", "fill_size"))
 
 
-def _literal(values: dict, kind: str) -> Column:
-    return F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)]) if values else F.create_map().cast(f"map<string,{kind}>")
-
-
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED,
         id_col: str = "doc_id", text_col: str = "text", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of ``docs``, each in its one source.
@@ -210,18 +240,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     code point, null last, weigh ``weights`` in turn. taken is a whole multiple (0 to ``repeats``) of the
     size: rows come in the order of md5(seed:doc_id), then size; rows that agree in both are taken
     alike. Behind the cut the one document whose size is nearest to the words still missing is taken too,
-    so a source's taken words miss its target by less than one document. A source without words has target 0. An empty table gives no rows.
+    so a source's taken words miss its target by less than one document. A source without words has target 0. Any number of sources
+    is taken. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     rows = seeded(docs.select(id_col, text_col, source), F.array(F.col(source)), id_col, text_col, seed)
     rows = stored(rows.select(F.col(id_col).alias("doc_id"), "__names", "__pattern", "__size", "__key"), "mix-sizes")
     plan = make_plan(rows, weights, repeats)
-    name = F.element_at("__names", 1)
-    return copies(rows, plan).select(
-        "doc_id", F.col("__size").alias("size"),
-        F.element_at(_literal(plan.source_sizes, "bigint"), name).cast("long").alias("source_size"),
-        F.element_at(_literal(plan.source_targets, "double"), name).alias("target"),
-        (F.col("__size") * F.col("__copies")).alias("taken"))
+    own = plan.sources.select(F.col("name").alias("__name"), F.col("size").alias("source_size"), "target")
+    taken = copies(rows, plan).withColumn("__name", F.element_at("__names", 1))
+    return taken.join(_small(own), "__name", "left").select(
+        "doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, members: Column, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED,

@@ -68,6 +68,43 @@ def test_duplicates_of_repeated_ids_with_other_texts(spark):
     assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
 
 
+def test_mixing_of_many_sources(spark):
+    """50,000 sources: targets of the plain rule, all taken words near them."""
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), F.format_string("%05d", F.col("id") % 50_000)).alias("source"),
+                                    F.repeat(F.lit("word "), (F.col("id") % 7 * F.when(F.col("id") % 1000 == 0, 50).otherwise(1)).cast("int")).alias("text"))
+    got = mixing.mix(df).toPandas()
+    by = got.merge(df.select("doc_id", "source").toPandas(), on="doc_id").groupby("source").agg(
+        size=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"), largest=("size", "max"))
+    want = mixing.targets(by["size"].tolist(), [(5, 2, 1)[i % 3] for i in range(len(by))])
+    assert len(by) == 50_000 and np.allclose(by.target, want, rtol=1e-12, atol=0)
+    assert ((by.taken - by.target).abs() <= np.maximum(by.largest, 1)).all()
+
+
+def test_mixing_of_overlapping_and_separate_sources(spark):
+    """Patterns that share a source go through the flow, the others do not; both meet their targets."""
+    rows = [(i, "one two three four", m) for i, m in enumerate((["a"], ["a", "b"], ["b"], ["c"], ["d"], ["d"], [], ["e", "f"]) * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, members array<string>")
+    narrow = mixing.seeded(docs, F.col("members"), "doc_id", "text", "mix")
+    plan = mixing.make_plan(narrow)
+    taken = mixing.copies(narrow, plan).groupBy("__pattern").agg(F.sum(F.col("__size") * F.col("__copies")).alias("w")).toPandas().set_index("__pattern").w
+    goal = {r.name: r.target for r in plan.sources.collect()}
+    assert goal == {"sa": 400, "sb": 160, "sc": 80, "sd": 400, "se": 160, "sf": 80}          # shares of all 1,280 words by 5, 2, 1, 5, 2, 1
+    assert taken["[]"] == 0 and abs(taken['["sc"]'] - goal["sc"]) <= 4 and abs(taken['["sd"]'] - goal["sd"]) <= 4
+    both = taken['["sa"]'] + taken['["sa","sb"]'] + taken['["sb"]']
+    assert abs(both - goal["sa"] - goal["sb"]) <= 12 and abs(taken['["se","sf"]'] - goal["se"] - goal["sf"]) <= 4
+
+
+def test_language_sample_is_the_first_by_hash(spark):
+    rows = [(i % 900, "en" if i % 3 else "de", f"text number {i % 900} {'x' * (i % 90)}") for i in range(3000)] + [(7, "fr", "une ligne")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5)
+    got = sorted((r.lang, r.piece) for r in language.training_windows(docs, 30, 16).collect() for _ in range(r.copies))
+    seed = F.xxhash64("doc_id", "text", F.lit("window"))
+    at = F.pmod(seed, F.greatest(F.length("text") - 16, F.lit(0)) + 1).cast("int") + 1
+    plain = docs.select("lang", seed.alias("seed"), F.substring("text", at, F.lit(16)).alias("piece")).toPandas()
+    want = plain.sort_values(["lang", "seed", "piece"]).groupby("lang").head(30)
+    assert got == sorted(zip(want.lang, want.piece)) and len(got) == 90
+
+
 def test_duplicates_in_a_large_bucket(spark, monkeypatch):
     """Chains of near copies that no star finds, with small comparison blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
