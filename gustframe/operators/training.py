@@ -15,8 +15,12 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gustframe.operators.moments import fold_errors, fold_moments
 from gustframe.operators.quantiles import medians
 
+#: Families whose folds come from moments, with their penalty.
+LINEAR = {"linear": None, "ridge": 1.0}
+
 
 def prepare(df: DataFrame, target: str) -> DataFrame:
     """ML1 / FLT4: rows with a target (features are median-imputed inside the pipeline)."""
@@ -113,26 +117,45 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str, fold_col
         train, test = d.where(F.col(fold_col) != fold), d.where(F.col(fold_col) == fold)
         pred = Pipeline(stages=own + [estimators(n, deviation)[family]]).fit(train).transform(test)
         errors.append(RegressionEvaluator(labelCol="label", metricName="rmse").evaluate(pred))
+    return _spread(errors)
+
+
+def _spread(errors: list[float]) -> dict:
     mean = sum(errors) / len(errors) if errors else None
     std = (sum((e - mean) ** 2 for e in errors) / len(errors)) ** 0.5 if errors else None
     return {"cv_rmse_mean": mean, "cv_rmse_std": std, "folds": len(errors)}
 
 
+def univariate_fold_errors(spark: SparkSession, df: DataFrame, features: Sequence[str], target: str, fold_col: str = "fold") -> DataFrame:
+    """ML9: feature, model_name, fold and rmse of the linear and the ridge model of each single feature; all of them come
+    from one table of moments."""
+    moments = fold_moments(df, features, target, fold_col)
+    rows = [(f, name, k, e) for f in features for name, alpha in LINEAR.items() for k, e in fold_errors(moments, alpha, [f]).items()]
+    return spark.createDataFrame(rows, "feature string, model_name string, fold int, rmse double")
+
+
 def with_cross_validation(spark: SparkSession, metrics: DataFrame, df: DataFrame, features: Sequence[str], target: str,
                           order: Sequence[str], folds: int = 5) -> DataFrame:
-    """ML9: cv_rmse_mean and cv_rmse_std of each family of ``metrics`` over contiguous folds of all rows. They are null
+    """ML9: cv_rmse_mean and cv_rmse_std of each family of ``metrics`` over contiguous folds of all rows: linear and ridge from
+    one table of moments by fold, the others by a fit per fold. They are null
     (which does not pass the gate) for a family whose fit failed, then with the reason in ``error``."""
     from gustframe.operators.windows import contiguous_folds
     d = contiguous_folds(prepare(df, target), list(order), folds).persist()
-    rows, stages = [], None
-    for name in [r.model_name for r in metrics.where("rmse is not null").select("model_name").collect()]:
-        try:
-            stages = stages or fold_stages(d, features, target)
-            cv = cross_validate(d, features, target, family=name, stages=stages)
-            rows.append((name, cv["cv_rmse_mean"], cv["cv_rmse_std"], None))
-        except Exception as e:  # noqa: BLE001 -- one family's failure must not hide the others
-            rows.append((name, None, None, str(e)[:500]))
-    d.unpersist()
+    rows, stages, moments = [], None, None
+    try:
+        for name in [r.model_name for r in metrics.where("rmse is not null").select("model_name").collect()]:
+            try:
+                if name in LINEAR:
+                    moments = moments or fold_moments(d, features, target)
+                    cv = _spread(list(fold_errors(moments, LINEAR[name]).values()))
+                else:
+                    stages = stages or fold_stages(d, features, target)
+                    cv = cross_validate(d, features, target, family=name, stages=stages)
+                rows.append((name, cv["cv_rmse_mean"], cv["cv_rmse_std"], None))
+            except Exception as e:  # noqa: BLE001 -- one family's failure must not hide the others
+                rows.append((name, None, None, str(e)[:500]))
+    finally:
+        d.unpersist()
     cv = spark.createDataFrame(rows, "model_name string, cv_rmse_mean double, cv_rmse_std double, cv_error string")
     return (metrics.join(cv, "model_name", "left")
             .withColumn("error", F.coalesce("error", "cv_error")).drop("cv_error"))

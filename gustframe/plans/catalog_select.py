@@ -158,3 +158,28 @@ def q_models(spark, sf):
     ft = time_split(ft, ["window_start", "station_id"], n_splits=3)
     metrics, _ = TR.compare_models(spark, ft, list(FEATURES), TARGET)
     return TR.gate(TR.with_cross_validation(spark, metrics, ft, list(FEATURES), TARGET, ["window_start", "station_id"]))
+
+
+def _fold_sql():
+    long = "\nUNION ALL\n".join(f"SELECT '{f}' AS feature, fold, {f} AS x, {TARGET} AS y FROM t" for f in FEATURES)
+    return f"""
+WITH t AS (SELECT *, ntile(5) OVER (ORDER BY window_start, station_id) AS fold FROM {_feature_sql_source()}
+           WHERE n_obs >= 3 AND {TARGET} IS NOT NULL),
+l AS ({long}),
+rest AS (SELECT k.fold AS left_out, l.* FROM (SELECT DISTINCT fold FROM l) k JOIN l ON l.fold <> k.fold),
+mid AS (SELECT left_out, feature, coalesce(median(x), 0) AS mid FROM rest GROUP BY left_out, feature),
+fit AS (SELECT left_out, feature, any_value(mid) AS mid, avg(coalesce(x, mid)) AS mx, avg(y) AS my, count(*) AS n,
+               covar_pop(y, coalesce(x, mid)) AS xy, var_pop(coalesce(x, mid)) AS xx
+        FROM rest JOIN mid USING (left_out, feature) GROUP BY left_out, feature),
+line AS (SELECT *, 'linear' AS model_name, CASE WHEN xx > 1e-10 THEN xy / xx ELSE 0 END AS slope FROM fit
+         UNION ALL SELECT *, 'ridge', CASE WHEN xx > 1e-10 THEN xy / xx * n / (n + 1) ELSE 0 END FROM fit)
+SELECT l.feature, model_name, l.fold, sqrt(avg((y - my - slope * (coalesce(x, mid) - mx)) ** 2)) AS rmse
+FROM l JOIN line ON line.left_out = l.fold AND line.feature = l.feature GROUP BY l.feature, model_name, l.fold"""
+
+
+@register("ML9_fold_errors", "feature string, model_name string, fold int, rmse double", _fold_sql(), ids=("ML9", "ML5", "ML6"))
+def q_fold_errors(spark, sf):
+    from gustframe.operators import training as TR
+    from gustframe.operators.windows import contiguous_folds
+    ft = TR.prepare(_feature_table(spark, sf).where(F.col("n_obs") >= 3), TARGET)
+    return TR.univariate_fold_errors(spark, contiguous_folds(ft, ["window_start", "station_id"], 5), FEATURES, TARGET)

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gustframe.operators import training as TR
@@ -53,8 +54,32 @@ def test_boosting_is_compared_and_cross_validated(spark):
     assert set(fitted) == {"gradient_boosting"} and row.r2 > 0.9 and row.cv_rmse_mean < 1 and row.error is None
 
 
+def test_folds_from_moments_equal_the_refits(spark):
+    """RMSE of each fold from one table of moments, with missing values, a constant and a repeated feature."""
+    rows = [(i, i % 4, None if i % 7 == 3 else float(i % 12), float("nan") if i % 5 == 1 else 1000.0 + (i * i) % 17, 3.0, float(2 * i % 9),
+             None if i == 30 else 3.0 * (i % 12) + 0.2 * ((i * i) % 17) + (-1) ** i) for i in range(80)]
+    df = spark.createDataFrame(rows, "i int, fold int, a double, b double, same double, c double, y double").withColumn("twice", F.col("c") * 2)
+    features = ["a", "b", "same", "c"]
+    moments = TR.fold_moments(df, features, "y")
+    d = df.where("y is not null").toPandas()
+    for name, alpha in TR.LINEAR.items():
+        got = TR.fold_errors(moments, alpha)
+        for k in range(4):
+            train, test = d[d.fold != k], d[d.fold == k]
+            x, own = train[features].fillna(train[features].median()), test[features].fillna(train[features].median())
+            scale = x.std(ddof=0).replace(0, 1)
+            a, y = ((x - x.mean()) / scale).to_numpy(), train.y.to_numpy()
+            w = np.linalg.pinv(a.T @ a + (alpha or 0) * np.eye(4)) @ (a.T @ (y - y.mean()))
+            error = test.y - y.mean() - ((own - x.mean()) / scale).to_numpy() @ w
+            assert math.isclose(got[k], (error ** 2).mean() ** 0.5, rel_tol=1e-11)
+        refit = TR.cross_validate(df, features, "y", family=name)                # Spark's own solver, exact to about 1e-8
+        assert all(math.isclose(v, refit[k], rel_tol=1e-6) for k, v in TR._spread(list(got.values())).items())
+    twice = TR.fold_errors(TR.fold_moments(df, ["a", "b", "same", "c", "twice"], "y"))
+    assert all(math.isclose(twice[k], e, rel_tol=1e-8) for k, e in TR.fold_errors(moments).items())
+    assert TR.fold_errors(TR.fold_moments(df.where("fold = 0"), ["a"], "y")) == {}
+
+
 def test_features_are_filled_with_medians_and_scaled_by_the_population(spark, tmp_path):
-    import numpy as np
     from pyspark.ml import Pipeline
     x = [1.0, 2.0, None, 10.0, float("nan"), 4.0, 5.0]
     rows = [(i, a, 3.0, None if i % 2 else float(i * i), None) for i, a in enumerate(x)]
