@@ -12,7 +12,7 @@ from __future__ import annotations
 from itertools import combinations
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Registers of a distinct sketch are 2**SKETCH_BITS: a relative standard error of about 1.04 / sqrt(2**SKETCH_BITS).
@@ -41,21 +41,36 @@ def merged_distinct(sketches: DataFrame) -> DataFrame:
     return sketches.groupBy("feature").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"))
 
 
+def _corr(a: str, b: str) -> Column:
+    """Pearson correlation over the rows that have both values. As in SQL it is NaN where one of them does not vary (there
+    ``corr`` divides by zero, or by what rounding left of it, so least and greatest value decide), null without such rows."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(varies, F.coalesce(r, F.lit(float("nan")))).when(F.count(x) > 0, F.lit(float("nan")))
+
+
 def _moments(df: DataFrame, features: Sequence[str], target: str, pairs: Sequence[tuple[str, str]] = ()) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("_n")]
     for f in features:
         aggs += [F.var_samp(f).alias(f"{f}__var"), F.avg(f).alias(f"{f}__mean"), F.count(f).alias(f"{f}__nn"),
-                 F.corr(f, target).alias(f"{f}__corr")]
-    return df.agg(*aggs, *[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+                 _corr(f, target).alias(f"{f}__corr")]
+    return df.agg(*aggs, *[_corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+
+
+def _share(part: Column, whole: Column) -> Column:
+    """part / whole; NaN of nothing, as in SQL."""
+    return F.when(whole == 0, F.lit(float("nan"))).otherwise(F.try_divide(part, whole))
 
 
 def _stats(wide: DataFrame, features: Sequence[str], distinct: DataFrame) -> DataFrame:
     rows = [F.struct(F.lit(f).alias("feature"), F.col(f"{f}__var").alias("variance"), F.col(f"{f}__mean").alias("mean"),
-                     (F.col(f"{f}__nn") / F.col("_n")).alias("completeness"), F.col(f"{f}__nn").alias("_nn"),
+                     _share(F.col(f"{f}__nn"), F.col("_n")).alias("completeness"), F.col(f"{f}__nn").alias("_nn"),
                      F.col(f"{f}__corr").alias("target_corr")) for f in features]
     long = wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*").join(distinct, "feature", "left")     # a row per feature
     long = long.select("feature", "variance", "mean", "completeness",
-                       (F.coalesce("n_distinct", F.lit(0)) / F.col("_nn")).alias("unique_ratio"), "target_corr")
+                       _share(F.coalesce("n_distinct", F.lit(0)), F.col("_nn")).alias("unique_ratio"), "target_corr")
     v, m, u, c = F.col("variance"), F.col("mean"), F.col("unique_ratio"), F.col("target_corr")
     var_term = F.when(m == 0, 0.0).otherwise(F.least(F.lit(1.0), F.try_divide(v, m + 1e-6)))
     uniq = F.when(u < 0.5, F.least(F.lit(1.0), 2 * u)).otherwise(1.0)
@@ -78,7 +93,7 @@ def feature_stats(df: DataFrame, features: Sequence[str], target: str, distinct:
 def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """JN4 + AGG25: Pearson correlation of every feature pair i < j (pairwise complete)."""
     pairs = list(combinations(features, 2))
-    return _pairs(df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs]), pairs)
+    return _pairs(df.agg(*[_corr(a, b).alias(f"{a}__{b}") for a, b in pairs]), pairs)
 
 
 def profile(df: DataFrame, features: Sequence[str], target: str) -> tuple[DataFrame, DataFrame]:
