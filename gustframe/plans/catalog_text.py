@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from gustframe.sources import tables as T
-from gustframe.sources.text import (land_lines, lines_from_observations, parse_files, parse_header_text, parse_positional_text,
-                                    read_raw_files)
+from gustframe.sources.text import (land_lines, lines_from_observations, parse_header_text, parse_positional_text,
+                                    read_split_lines)
 from gustframe.plans.registry import register
 
 PARSED_SCHEMA = """station_id string, event_id bigint, obs_ts timestamp, temperature_c double, wind_speed_ms double,
@@ -44,7 +44,8 @@ relative_humidity double, precipitation_type string"""
 
 @register("SRC1_2_landed_files", LANDED_SCHEMA, f"SELECT * EXCLUDE (event_id) FROM ({PARSED_SQL})", ids=("SRC1", "SRC2", "STR2"))
 def q_landed_files(spark, sf):
-    """The observations as landed text, one file per station and month, read back and parsed."""
+    """The observations as landed text, one file per station and month, read back in ranges of lines and parsed: such a
+    file grows with the table."""
     from gustframe.session import checkpoint_dir
     lines = lines_from_observations(T.observations(spark, sf), "compact")
     month = F.regexp_replace("file_path", r"/\d{2}/0000\.txt$", "/01/0000.txt")
@@ -52,5 +53,5 @@ def q_landed_files(spark, sf):
     lines = lines.withColumn("file_path", month).dropDuplicates(["file_path", "line_no", "value"])
     root = f"{checkpoint_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
     land_lines(lines, root)
-    return parse_files(read_raw_files(spark, root)).select(
+    return parse_header_text(read_split_lines(spark, root)).select(
         "station_id", "obs_ts", "temperature_c", "wind_speed_ms", "precipitation_mm", "relative_humidity", "precipitation_type")

@@ -60,10 +60,10 @@ def skipped_files(spark: SparkSession, lines: DataFrame, root: str, pattern: str
 FILES = "file_path string, provider string, path_station string, value string"
 
 
-def _with_path(files: DataFrame) -> DataFrame:
-    d = files.select(F.col("_metadata.file_path").alias("file_path"), "value")
+def _with_path(files: DataFrame, *more: str) -> DataFrame:
+    d = files.select(F.col("_metadata.file_path").alias("file_path"), "value", *more)
     return d.select("file_path", F.regexp_extract("file_path", PATH_RE, 1).alias("provider"),
-                    F.regexp_extract("file_path", PATH_RE, 2).alias("path_station"), "value")
+                    F.regexp_extract("file_path", PATH_RE, 2).alias("path_station"), "value", *more)
 
 
 def read_raw_files(spark: SparkSession, root: str, pattern: str = "*.txt", stations=None, days=None) -> DataFrame:
@@ -98,6 +98,16 @@ def read_raw_lines(spark: SparkSession, root: str, pattern: str = "*.txt", stati
         "file_path", "provider", "path_station", F.col("line_no").cast("bigint").alias("line_no"), "value")
 
 
+def read_split_lines(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
+    """SRC1 for files of any size: lines like those of ``read_raw_lines``, but a file is read in ranges by as many tasks as it
+    needs and no value holds more than one line. ``line_no`` is the place of a line in its file: the start of its range and a
+    number that grows inside it, a struct that compares like the line's number."""
+    d = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(root)
+         .select(F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")).alias("line_no"),
+                 "_metadata", F.regexp_replace("value", r"\r$", "").alias("value")))
+    return _with_path(d, "line_no").select("file_path", "provider", "path_station", "line_no", "value")
+
+
 def _tokens(c: Column) -> Column:
     return F.split(F.trim(c), r"\s+")
 
@@ -163,13 +173,16 @@ def parse_files(files: DataFrame, start=None, end=None) -> DataFrame:
     d = d.select("file_path", "path_station", F.filter("_lines", lambda x: ~_comment(x["v"])).alias("_data"),
                  F.get(F.filter("_lines", lambda x: _is_header(x["v"])), F.lit(0))["v"].alias("_h"))
     names, skip = _header(F.col("_h"), F.get("_data", F.lit(0))["v"], F.get("_data", F.lit(0))["line_no"])
-    d = d.select("file_path", "path_station", names.alias("_names"), skip.alias("_skip"), F.explode("_data").alias("_line"))
+    # names first: beside the explode they would be worked out for every line, from the whole file
+    d = d.select("file_path", "path_station", names.alias("_names"), skip.alias("_skip"), "_data")
+    d = d.select("file_path", "path_station", "_names", "_skip", F.explode("_data").alias("_line"))
     return _data_rows(d.select("file_path", "path_station", "_names", "_skip", F.col("_line.line_no").alias("line_no"),
                                F.col("_line.v").alias("_v")), start, end)
 
 
 def parse_header_text(lines: DataFrame, start=None, end=None) -> DataFrame:
-    """SRC2 on a table of lines (file_path, path_station, line_no, value), with the rules of ``parse_files``."""
+    """SRC2 on a table of lines (file_path, path_station, line_no, value), with the rules of ``parse_files``: files may have
+    any size. ``line_no`` may be of any type that orders the lines of a file."""
     d = lines.withColumn("_v", F.trim("value")).where(F.length("_v") > 0)
     v = F.col("_v")
     # one aggregate per file: the comment header and the first data line
