@@ -105,3 +105,18 @@ def test_flow_takes_the_best_family_that_passes(spark, monkeypatch):
     assert flows.training_flow(spark, df, ["x"], "y", "somewhere")[1] == "good" and saved == ["good"]
     table = table.where("not passed")
     assert flows.training_flow(spark, df, ["x"], "y", "somewhere")[1] is None and saved == ["good"]
+
+
+def test_boosting_runs_in_as_many_partitions_as_its_rows_ask_for(spark):
+    from gustframe.operators import training as TR
+    d = spark.range(100).repartition(48)
+    assert TR._dealt(d, 100, "gradient_boosting").rdd.getNumPartitions() == 1
+    assert TR._dealt(d, 2 * TR.ROWS_PER_TASK + 1, "gradient_boosting").rdd.getNumPartitions() == 3
+    assert TR._dealt(d, 100, "random_forest").rdd.getNumPartitions() == 48
+
+
+def test_gate_takes_folds_without_any_error(spark):
+    from gustframe.operators import training as TR
+    rows = [("a", 1.0, 0.9, 0.0, 0.0), ("b", 1.0, 0.9, 1.0, 0.1)]
+    got = TR.gate(spark.createDataFrame(rows, "model_name string, rmse double, r2 double, cv_rmse_mean double, cv_rmse_std double"))
+    assert {r.model_name: r.passed for r in got.collect()} == {"a": False, "b": True}
