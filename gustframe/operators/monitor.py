@@ -9,7 +9,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gustframe.operators.sequence import sequence_asof, sequence_streak
+from gustframe.operators.sequence import sequence_chain, sequence_streak
 
 # The five default alert rules
 # (name, metric, threshold, operator, duration in samples, cooldown minutes, severity).
@@ -67,56 +67,16 @@ def apply_cooldown(sustained: DataFrame, key: str = "host", ts: str = "metric_ts
                    order_tie: str = "event_id") -> DataFrame:
     """WIN11: a sustained breach fires unless the rule fired on the host < cooldown ago.
 
-    One exact, group-free path for keys of every size (``cooldown_doubling``); the
+    One exact, group-free path for keys of every size (``sequence_chain``); the
     candidates (sustained breaches only) are materialised once.
     """
     part = ["rule_name", key]
     c = (sustained.where("sustained")
-         .select(*part, F.col(order_tie).alias("_id"), F.col("cooldown_minutes"),
-                 F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))).checkpoint(eager=True)
-    return cooldown_doubling(c, part)
-
-
-def cooldown_doubling(c: DataFrame, part) -> DataFrame:
-    """WIN11 by group-free pointer doubling.
-
-    Candidate rows ``(part..., _id, cooldown_minutes, _t)``.
-    The firings are the chain ``c0, next(c0), next(next(c0)), ...`` where ``c0`` is the
-    key's first candidate and ``next(c)`` the first candidate at or after
-    ``t_c + cooldown``. Computed without collecting any group:
-
-    1. ``next`` for every candidate: forward as-of over the candidate sequence
-       (``sequence_asof`` on negated time) -- linear, no pairs.
-    2. Pointer doubling: ``J_0 = next``, ``J_{k+1} = J_k o J_k``; the chain prefix
-       ``O`` grows as ``O <- O u J_k(O)`` (positions ``[2^k, 2^(k+1))``) until a round
-       adds nothing. O(log #firings) rounds of equi-joins on candidate ids, each
-       checkpointed to ``spark.checkpoint.dir``; the driver sees one count per round.
-    """
-    part = list(part)
-    cd = F.col("cooldown_minutes").cast("long") * 60_000_000
+         .select(*part, F.col(order_tie).alias("_id"), (F.col("cooldown_minutes").cast("long") * 60_000_000).alias("_pause"),
+                 F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+         .where(f"_t is not null and rule_name is not null and `{key}` is not null")).checkpoint(eager=True)
     # cool-down <= 0 suppresses nothing: every sustained breach fires
-    zero = c.where(cd <= 0).select(*part, "_t")
-    c = c.where(cd > 0)
-    left = c.select(*part, "_id", "_t", (F.col("_t") + cd).alias("_x"))
-    right = c.select(*part, "_id", "_t", (-F.col("_id")).alias("_nid"))
-    j = sequence_asof(left, right, part, -F.col("_x"), -F.col("_t"), "_nid", ["_id", "_t"], out="_next")
-    jump = (j.where(F.col("_next").isNotNull())
-            .select(*part, "_id", F.col("_next._id").alias("_to"))).checkpoint(eager=True)
-    nodes = c.select(*part, "_id", "_t")
-    orbit = (c.groupBy(*part).agg(F.min_by("_id", F.struct("_t", "_id")).alias("_id"))
-             ).checkpoint(eager=True)
-    size = orbit.count()
-    while True:           # the orbit doubles each round and is bounded by the candidates
-        new = orbit.join(jump, on=[*part, "_id"], how="inner").select(*part, F.col("_to").alias("_id"))
-        grown = orbit.unionByName(new).checkpoint(eager=True)
-        before, size = size, grown.count()
-        if size == before:
-            break
-        orbit = grown
-        hop = jump.select(*part, F.col("_id").alias("_to"), F.col("_to").alias("_to2"))
-        jump = jump.join(hop, on=[*part, "_to"], how="inner").select(*part, "_id", F.col("_to2").alias("_to"))
-        jump = jump.checkpoint(eager=True)
-    fired = orbit.join(nodes, on=[*part, "_id"], how="inner").select(*part, "_t").unionByName(zero)
+    fired = sequence_chain(c.where("_pause > 0"), part, "_t", "_id", "_pause").unionByName(c.where("_pause <= 0").select(*part, "_t"))
     return fired.select(*part, F.timestamp_micros("_t").cast("timestamp_ntz").alias("fired_ts"))
 
 

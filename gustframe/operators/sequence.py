@@ -13,6 +13,7 @@ The ranged rows are checkpointed once to ``spark.checkpoint.dir``: the pass and
 * ``sequence_streak`` length of the run of true flags that ends at a row
 * ``sequence_sum``    running sum of whole numbers
 * ``sequence_asof``   last right row at or before each left row
+* ``sequence_chain``  links of a chain of rows that keep a pause
 * ``global_index``    position in a total order of all rows
 """
 
@@ -200,7 +201,7 @@ def _scan(df: DataFrame, keys: list[str], order: list[str], kind, results: list[
     schema = StructType(df.schema.fields + results + StructType.fromDDL(_MARKS).fields)
     marked = _ranges(df, *keys, *order).mapInArrow(_pass(kind, keys), schema).checkpoint(eager=True)
     edges = (marked.where("_seq_first or _seq_last").select(*keys, *used, *[f.name for f in StructType.fromDDL(_MARKS)])
-             .coalesce(1).sortWithinPartitions("_seq_part", F.col("_seq_last").cast("int")))       # two rows per range at most
+             .repartition(1).sortWithinPartitions("_seq_part", F.col("_seq_last").cast("int")))       # two rows per range at most
     carried = StructType([StructField("_seq_part", schema["_seq_part"].dataType),
                           StructField("_seq_carry", schema[carry].dataType if carry in schema.names else StructType.fromDDL(f"x {carry}")[0].dataType)])
     carries = edges.mapInArrow(_folded(keys, to_arrow_schema(carried), out), carried)
@@ -279,6 +280,123 @@ def sequence_asof(left: DataFrame, right: DataFrame, keys, left_t: Column, right
     return j.where(F.col("_aq_kind") == 1).select("_aq_l.*", got.alias(out))
 
 
+def _segments(batches: Iterator[pa.RecordBatch], keys: list[str], t: str, pause: str):
+    """(keys, times, pauses) of each key of a range in order; times that repeat are kept once."""
+    held, last = [], None
+
+    def whole():
+        at, wait = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        first = np.append(True, at[1:] != at[:-1])
+        return [last.column(k) for k in keys], at[first], wait[first]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edges = np.flatnonzero(_changes(last, batch, keys))
+        at, wait = batch.column(t).to_numpy(), batch.column(pause).to_numpy()
+        bounds = [0, *edges[edges > 0].tolist(), batch.num_rows]
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if held and a in edges:
+                yield whole()
+                held = []
+            held.append((at[a:b], wait[a:b]))
+            last = batch.slice(a, 1)
+        last = batch.slice(batch.num_rows - 1)
+    if held:
+        yield whole()
+
+
+def _ends(at: np.ndarray, wait: np.ndarray) -> np.ndarray:
+    """The place of the last link of the chain from every place: pointers are doubled until all rest."""
+    to = np.searchsorted(at, at + wait)
+    to = np.where(to < len(at), to, np.arange(len(at)))
+    while True:
+        further = to[to]
+        if (further == to).all():
+            return to
+        to = further
+
+
+def _links(keys: list[str], t: str, pause: str, most: int) -> Callable:
+    """What the fold needs of a range: of its first key each place where a chain may enter, and when the next link may
+    come after the chain's last one; of its last key, if it is another, the same from its first place."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last = TaskContext.get().partitionId(), None
+
+        def rows(kind: int, key: list, at: np.ndarray, wait: np.ndarray, n: int) -> pa.RecordBatch:
+            ends = _ends(at, wait)[:n]
+            return pa.RecordBatch.from_arrays(
+                [*(k.take(pa.array([0] * n, pa.int32())) for k in key), pa.array(np.full(n, part, np.int64)), pa.array([kind] * n, pa.int32()),
+                 pa.array(at[:n]), pa.array(at[ends] + wait[ends])], [*keys, "_seq_part", "_kind", "_enter", "_free"])
+
+        for i, own in enumerate(_segments(batches, keys, t, pause)):
+            if not i:
+                yield rows(0, *own, min(len(own[1]), int(np.searchsorted(own[1], own[1][0] + most)) + 1))
+            last = own if i else None
+        if last:
+            yield rows(1, *last, 1)
+    return run
+
+
+def _entered(keys: list[str]) -> Callable:
+    """(range, place where the chain enters it) from the rows of ``_links`` in order, one at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, free, done = None, None, None
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                own = [row[k] for k in keys]
+                if row["_kind"] or own != key:
+                    if not row["_kind"]:
+                        found.append((row["_seq_part"], row["_enter"]))
+                        done = row["_seq_part"]
+                    key, free = own, row["_free"]
+                elif done != row["_seq_part"] and row["_enter"] >= free:
+                    found.append((row["_seq_part"], row["_enter"]))
+                    done, free = row["_seq_part"], row["_free"]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["_seq_part", "_enter"])
+    return run
+
+
+def _chained(keys: list[str], t: str, pause: str) -> Callable:
+    """The links of every key's chain: in a range's first key from the place where it enters, in others from the first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter = []
+
+        def seen():
+            for batch in batches:
+                if batch.num_rows and not enter:
+                    enter.append(batch.column("_enter")[0].as_py())
+                yield batch
+
+        for i, (key, at, wait) in enumerate(_segments(seen(), keys, t, pause)):
+            found, j = [], 0
+            if not i:
+                j = len(at) if enter[0] is None else int(np.searchsorted(at, enter[0]))
+            while j < len(at):
+                found.append(at[j])
+                j = int(np.searchsorted(at, at[j] + wait[j]))
+            yield pa.RecordBatch.from_arrays([*(k.take(pa.array([0] * len(found), pa.int32())) for k in key), pa.array(found, pa.int64())], [*keys, t])
+    return run
+
+
+def sequence_chain(df: DataFrame, keys, t: str, tie: str, pause: str) -> DataFrame:
+    """Keys and ``t`` of the links of each key's chain: its first row, then always the first row at or after the last link's
+    ``t + pause`` (whole numbers, ``pause`` > 0; of rows with one ``t`` the first by ``tie``). Linear work: a range hands on only the
+    rows of its first key within the longest pause of its start, where a chain may enter; these are folded in order."""
+    keys = _cols(keys)
+    kinds = [df.schema[k] for k in keys]
+    most = df.agg(F.max(pause)).first()[0] or 0
+    d = _ranges(df.select(*keys, t, tie, pause), *keys, t, tie).withColumn("_seq_part", F.spark_partition_id().cast("long"))
+    d = d.checkpoint(eager=True)
+    links = d.mapInArrow(_links(keys, t, pause, most), StructType(kinds + StructType.fromDDL(
+        "_seq_part long, _kind int, _enter long, _free long").fields))
+    enter = (links.repartition(1).sortWithinPartitions("_seq_part", "_kind", "_enter")
+             .mapInArrow(_entered(keys), "_seq_part long, _enter long"))
+    return (d.join(F.broadcast(enter), "_seq_part", "left")                                        # one row per range
+            .mapInArrow(_chained(keys, t, pause), StructType(kinds + [StructField(t, df.schema[t].dataType)])))
+
+
 def global_index(df: DataFrame, order, index_col: str = "position", size_col: str | None = None) -> DataFrame:
     """1-based position of every row in the total ``order``: one range shuffle on the full (unique) order, which splits even
     a hot timestamp. The place inside a range is the low part of ``monotonically_increasing_id``; offsets come from a table
