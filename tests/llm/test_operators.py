@@ -105,6 +105,38 @@ def test_language_sample_is_the_first_by_hash(spark):
     assert got == sorted(zip(want.lang, want.piece)) and len(got) == 90
 
 
+def _shuffled(plan) -> list[int]:
+    """Rows that each exchange of an executed plan wrote."""
+    name, below = plan.nodeName(), []
+    if name.startswith("AdaptiveSparkPlan"):
+        below = [plan.executedPlan()]
+    elif name.endswith("QueryStage"):
+        below = [plan.plan()]
+    else:
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("shuffleRecordsWritten").value()] if name == "Exchange" else []
+    return own + [n for p in below for n in _shuffled(p)]
+
+
+def test_texts_of_nodes_without_pairs_are_not_shuffled(spark):
+    """Whether or not the wanted nodes are few enough for a broadcast of their own."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").cast("binary").alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    twice = docs.union(docs.where("doc_id % 1000 = 0")).localCheckpoint()
+    t = {r.doc_id: r.t for r in docs.where("doc_id % 1000 < 2").collect()}
+    pairs = spark.createDataFrame([(i, t[i], i + 1, t[i + 1]) for i in range(0, 20_000, 1000)], near_dedup._PAIRS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = near_dedup._texts(pairs, twice)
+        got = texts.collect()
+        most = max(_shuffled(texts._jdf.queryExecution().executedPlan()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.doc_id, r.t) for r in got) == sorted(t.items()) and all(r.text.decode() == f"text {r.doc_id}" for r in got)
+    assert 0 < most < 100
+
+
 def test_duplicates_in_a_large_bucket(spark, monkeypatch):
     """Chains of near copies that no star finds, with small comparison blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
